@@ -149,7 +149,7 @@ def copies(sized: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS,
         dealt = open_.alias("o").join((F.broadcast(count) if n_sources <= BROADCAST_SOURCES else count).withColumnRenamed("source", "of"), F.col("o.source").eqNullSafe(F.col("of"))).drop("of")
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(len(done))), F.col("chunks"))).drop("chunks")
         moved = settle(dealt.groupBy("source", "chunk").applyInPandas(stage(final), schema))
-        done.append(moved.where("NOT (pi > 0 AND pi < 1)"))
+        done.append(moved if final else moved.where("NOT (pi > 0 AND pi < 1)"))
         open_ = moved.where("pi > 0 AND pi < 1")
         if final:
             break
