@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import mixing, neardup, packing, pii, quality, secrets
+from rillway.llm import fingerprints, mixing, neardup, packing, pii, quality, secrets
 from rillway.llm.store import settle, tables
 
 PII_KEY = os.environ.get("RILLWAY_PII_KEY", "rillway demonstration key").encode()
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_probe(tables(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -50,5 +54,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(tables(spark, sf_dir, "documents"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op4_quality_rules, op7_secret_scans, op8_packing, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op4_quality_rules, op7_secret_scans, op8_packing, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
