@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm import textbytes as tb
 from rillway.llm.store import settle
 
 END_ID = 1
-CACHE = 300_000
+CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -21,51 +25,94 @@ def cut(total: int, window: int) -> list[tuple[int, int]]:
     return [(s, min(window, total - s)) for s in range(0, total, window)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenises whole texts and cuts them; one row per piece with the CRC of its ids.
+#: A word of plain letters with ASCII marks after it: lower-casing and NFC leave such letters one to one,
+#: and the vocabulary's splitting pattern cuts exactly between letters and marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write the bytes outside the printable ranges as characters from 256 on.
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
 
-    A null text is empty and still holds the end id. Texts are split at ASCII blanks first: this
-    vocabulary drops white space, so the ids of the parts joined are the ids of the text, and parts
-    seen before come from a table of at most CACHE entries. A null id stays null.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+class WordIds(dict):
+    """Little-endian ids of words (UTF-8 keys), filled on demand and emptied beyond CACHE entries."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {"": b""}
+
+    def _part(self, text: str) -> bytes:
+        got = self.parts.get(text)
+        if got is None:
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))
+            got = self.parts[text] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return got
 
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+            self.parts = {"": b""}
+        word = key.decode()
+        if plain := _PLAIN.fullmatch(word):
+            got = self._part(plain[1].lower()) + self._part(plain[2])
+        else:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[key] = got
+        return got
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer: str) -> WordIds:
+    """One table per worker process and vocabulary."""
+    if tokenizer not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {"": b""}
-        end = np.uint32(END_ID).astype("<u4").tobytes()
+        _LOADED[tokenizer] = WordIds(Tokenizer.from_file(tokenizer))
+    return _LOADED[tokenizer]
+
+
+def token_ids(known: WordIds, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds): each text's ids with the end id after them.
+
+    The vocabulary drops white space, so the ids of a text are those of its words in turn; each distinct
+    word of the chunk is looked up once.
+    """
+    starts, ends, first = tb.words(data, offs)
+    owner = tb.owner(first)
+    _, at, which = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    entries = [known[raw[a:b]] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    flat = np.frombuffer(b"".join(entries), "<u4")
+    length = np.array([len(e) for e in entries], np.int64) // 4
+    begin = np.cumsum(length) - length
+    per_word = length[which]
+    run = np.cumsum(per_word)
+    total = int(run[-1]) if len(run) else 0
+    place = np.arange(total)
+    out = np.full(total + len(offs) - 1, END_ID, "<u4")
+    out[place + np.repeat(owner, per_word)] = flat[place + np.repeat(begin[which] - (run - per_word), per_word)]
+    bounds = np.concatenate([[0], run])[first] + np.arange(len(offs))
+    return out, bounds
+
+
+def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenises whole texts and cuts them; one row per piece with the CRC of its ids.
+
+    A null text is empty and still holds the end id. A null id stays null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(tokenizer)
         for batch in batches:
-            out: list[tuple] = []
-            ids, col = batch.column(0), batch.column(1)
-            rows, size = [], 0
-            for at in range(len(col) + 1):
-                if at == len(col) or size >= 1 << 22:
-                    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for _, t in rows]
-                    if len(known) > CACHE:
-                        known = {"": b""}
-                    new = list({w for p in parts for w in p if w not in known})
-                    for k in range(0, len(new), 4096):
-                        some = new[k : k + 4096]
-                        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                            known[w] = np.asarray(e.ids, "<u4").tobytes()
-                    for (doc, _), p in zip(rows, parts, strict=True):
-                        blob = b"".join(map(known.__getitem__, p)) + end
-                        total = len(blob) // 4
-                        for s, n in cut(total, window):
-                            out.append((doc, s, n, zlib.crc32(blob[4 * s : 4 * (s + n)]), total))
-                    rows, size = [], 0
-                if at < len(col):
-                    rows.append((ids[at].as_py(), text := col[at].as_py() or ""))
-                    size += len(text)
-            if out:
+            for i, j, data, offs in tb.texts(batch.column(1), 8 << 20):
+                ids, bounds = token_ids(known, data, offs)
+                out = []
+                for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    out += [(doc, s, n, zlib.crc32(ids[a + s : a + s + n]), b - a) for s, n in cut(b - a, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class CapacityTree:
