@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import fingerprints, mixing, neardup, packing, pii, quality, secrets
+from rillway.llm import fingerprints, mixing, neardup, packing, pii, quality, secrets, substrings, suffixes
 from rillway.llm.store import settle, tables
 
 PII_KEY = os.environ.get("RILLWAY_PII_KEY", "rillway demonstration key").encode()
@@ -35,6 +35,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(counted, F.col("lang"), cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(tables(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(tables(spark, sf_dir, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(tables(spark, sf_dir, "documents"))
 
@@ -54,5 +62,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(tables(spark, sf_dir, "documents"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op4_quality_rules, op7_secret_scans, op8_packing, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
