@@ -11,6 +11,7 @@ the words of the source within one of their target. Chunks are of bounded size,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,45 +117,62 @@ def copies(sized: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS,
     A source without words gets target 0 and no copies. Repeated rows are drawn apart. Draws follow from
     the rows and the seed, so reruns agree. An empty table gives an empty result.
     """
-    others = [c for c in sized.columns if c not in ("source", "size")]
+    names = [c for c in sized.columns if c not in ("source", "size")]
+    others = [f"o_{i}" for i in range(len(names))]  # the caller's names cannot clash with those used here
+    sized = sized.select("source", "size", *(F.col(f"`{c}`").alias(o) for c, o in zip(names, others, strict=True)))
     per = settle(targets(sized, weights, most))
     n_sources = per.count()
-    per = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
+    few = n_sources <= BROADCAST_SOURCES
+    per = per.withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    rows = sized.alias("d").join(per.withColumnRenamed("source", "of"), F.col("d.source").eqNullSafe(F.col("of"))).drop("of")
+    rows = sized.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("rate", rate).withColumn("sure", F.floor(F.col("rate") + SURE)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
     rows = rows.withColumn("pi", F.when(F.col("pi") < SURE, 0.0).otherwise(F.col("pi"))).drop("rate").withColumn("h", F.xxhash64(*others, "size", F.lit(seed)))
     schema = rows.schema
 
-    def one(frame: pd.DataFrame, final: bool) -> pd.DataFrame:
-        frame = frame.sort_values(["h", "size", *[c for c in others if frame[c].map(lambda v: not isinstance(v, (list, dict))).all()]], kind="stable")
-        key = int(frame["h"].iloc[0]) & 0xFFFFFFFF
-        draws = np.random.Generator(np.random.PCG64([seed, key, len(frame)])).random(len(frame))
-        pi = flight(frame["pi"].to_numpy(), frame["size"].to_numpy(), draws)
-        return frame.assign(pi=land(pi, frame["size"].to_numpy()) if final else pi)
-
     def stage(final: bool):
-        return lambda frame: one(frame.drop(columns="chunk"), final)
+        def one(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.drop(columns="chunk").sort_values(["h", "size"], kind="stable")
+            draws = np.random.Generator(np.random.PCG64([seed, int(frame["h"].iloc[0]) & 0xFFFFFFFF, len(frame)])).random(len(frame))
+            size = frame["size"].to_numpy()
+            pi = flight(frame["pi"].to_numpy(), size, draws)
+            return frame.assign(pi=land(pi, size) if final else pi)
+
+        return one
 
-    done: list[DataFrame] = []
     rows = settle(rows)
-    open_ = rows.where("pi > 0 AND pi < 1")
-    done.append(rows.where("NOT (pi > 0 AND pi < 1)"))
+    done, open_ = [rows.where("NOT (pi > 0 AND pi < 1)")], rows.where("pi > 0 AND pi < 1")
     while True:
-        count = open_.groupBy("source").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
+        count = open_.groupBy("source").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks")).withColumnRenamed("source", "of")
         most_chunks = count.agg(F.max("chunks")).first()[0]
         if most_chunks is None:
             break
         final = most_chunks == 1
-        dealt = open_.alias("o").join((F.broadcast(count) if n_sources <= BROADCAST_SOURCES else count).withColumnRenamed("source", "of"), F.col("o.source").eqNullSafe(F.col("of"))).drop("of")
+        dealt = open_.join(F.broadcast(count) if few else count, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(len(done))), F.col("chunks"))).drop("chunks")
         moved = settle(dealt.groupBy("source", "chunk").applyInPandas(stage(final), schema))
         done.append(moved if final else moved.where("NOT (pi > 0 AND pi < 1)"))
         open_ = moved.where("pi > 0 AND pi < 1")
         if final:
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    out = reduce(DataFrame.unionByName, done)
     cut = F.when(F.col("pi") < 1, F.round(F.col("pi") * F.col("size"))).otherwise(F.lit(0.0)).cast("long")
-    return out.withColumn("copies", (F.col("sure") + F.floor(F.col("pi"))).cast("long")).withColumn("part", cut).select(*others, "source", "size", "source_size", "target", "copies", "part")
+    out = out.withColumn("copies", (F.col("sure") + F.floor("pi")).cast("long")).withColumn("part", cut)
+    return out.select(*(F.col(o).alias(c) for c, o in zip(names, others, strict=True)), "source", "size", "source_size", "target", "copies", "part")
+
+
+def first_words(rows: DataFrame, text_col: str, count_col: str) -> DataFrame:
+    """``rows`` with the text cut after so many words; a count beyond the text's words leaves it whole."""
+    kept = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text_col).alias("text"), F.col(count_col).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                ends = tb.words(raw, np.array([0, len(raw)]))[1]
+                out.append(text if n >= len(ends) else raw[: ends[n - 1]].tobytes().decode() if n > 0 else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    done = kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in rows.columns))

@@ -20,6 +20,13 @@ CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the queries use; any other path may be given instead."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def cut(total: int, window: int) -> list[tuple[int, int]]:
     """(start, length): full windows first, then what is left."""
     return [(s, min(window, total - s)) for s in range(0, total, window)]

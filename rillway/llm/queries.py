@@ -7,18 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import fingerprints, mixing, neardup, packing, pii, quality, secrets, substrings, suffixes
+import corpus_pipeline
+from rillway.llm import fingerprints, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
 from rillway.llm.store import settle, tables
 
 PII_KEY = os.environ.get("RILLWAY_PII_KEY", "rillway demonstration key").encode()
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(tables(spark, sf_dir, "documents"))
 
@@ -27,6 +22,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(tables(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     counted = settle(quality.with_counts(docs, "text", ["doc_id", "lang"]).select("row.doc_id", "row.lang", *quality.COUNTS))
@@ -48,7 +47,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(tables(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(tables(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +61,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(tables(spark, sf_dir, "documents"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
