@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
-from rillway.llm.store import settle
+from rillway.llm.store import bounded, settle
 
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -32,7 +32,7 @@ SURE = 1e-9
 
 def sizes(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """Words of each whole text beside the columns ``keep``; a null text has none."""
-    kept = docs.select(F.struct(*(c.alias(k) for k, c in keep.items())).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = bounded(docs).select(F.struct(*(c.alias(k) for k, c in keep.items())).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

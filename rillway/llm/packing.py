@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
-from rillway.llm.store import settle
+from rillway.llm.store import bounded, settle
 
 END_ID = 1
 CACHE = 400_000
@@ -112,14 +112,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer)
         for batch in batches:
-            for i, j, data, offs in tb.texts(batch.column(1), 8 << 20):
+            for i, j, data, offs in tb.texts(batch.column(1), 4 << 20):
                 ids, bounds = token_ids(known, data, offs)
                 out = []
                 for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
                     out += [(doc, s, n, zlib.crc32(ids[a + s : a + s + n]), b - a) for s, n in cut(b - a, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class CapacityTree:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm.store import bounded
+
 #: Elements that do not start a block, elements without an end, elements whose text is no text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -418,5 +420,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 text = [" ".join(b[1] for b, keep in zip(blocks, main, strict=True) if keep) for blocks, main in zip(read, label_pages(model, read), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    picked = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.llm.store import bounded
+
 ROUNDS = 10
 KINDS = ("iban", "card", "email", "ip", "ssn", "date", "phone")
 PATTERNS = {
@@ -182,4 +184,4 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "spans", *(f"n_{k}" for k in KINDS)])
 
     schema = "doc_id long, text string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
+from rillway.llm.store import bounded
 
 #: Candidate cutoffs of each rule, lenient to strict.
 CUTOFFS = {
@@ -91,7 +92,7 @@ def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     A null text counts as having no words. ``keep`` travels as one struct, so its names cannot clash.
     """
-    kept = df.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = bounded(df).select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

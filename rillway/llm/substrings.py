@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rillway.llm import repeats as rp
 from rillway.llm import textbytes as tb
-from rillway.llm.store import settle
+from rillway.llm.store import bounded, settle
 from rillway.llm.suffixes import pointers, refine
 
 WIDTH, GRAM = 20, 5
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     A null text has no words. Rows that repeat an id must repeat its text and count as one document; a row
     without an id is compared with nothing and keeps everything.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    picked = bounded(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     index = FingerprintIndex(picked.sparkSession, width, gram)
     cuts, wanted = zip(*map(index.add, batches_by_id(picked, batches)), strict=True)
     wanted = reduce(DataFrame.unionByName, wanted).distinct()
