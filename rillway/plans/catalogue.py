@@ -1,10 +1,438 @@
-"""All registered journal queries with the SQL that must give the same rows."""
+"""All registered journal queries with the SQL that must give the same rows.
+
+Plain relational queries are one text for both engines. Folds, plans and graph walks run through the
+operators here, and are checked against recursive SQL.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillway import schemas as S
+from rillway.functions import scalars as fn
+from rillway.functions.dialect import render
+from rillway.operators import dispatch, fsm, kv, ordered, traffic
+from rillway.sources.views import view, with_clause
+from rillway.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _tables(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+
+def _check(text: str, recursive: bool = False) -> str:
+    names, body = _tables(text), render(text, "check")
+    views = with_clause(names)
+    extra = body.startswith("with ")
+    if extra:
+        body = body.removeprefix("with ").removeprefix("recursive ")
+    head = f"with {'recursive ' if recursive else ''}{views}" if views else f"with {'recursive ' if recursive else ''}" if extra else ""
+    return f"{head}{', ' if views and extra else ' ' if head else ''}{body}"
+
+
+def plain(name: str, text: str) -> None:
+    """One text for both engines."""
+    QUERIES[name] = lambda spark, d: spark.sql(render(text, "spark"), **{t: view(spark, d, t) for t in _tables(text)})
+    ORACLE_SQL[name] = _check(text)
+
+
+def built(name: str, oracle: str | None = None, recursive: bool = False):
+    """A query through an operator, with SQL to check it where given."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = _check(oracle, recursive)
+        return f
+
+    return add
+
+
+# journal ------------------------------------------------------------------------------------------------
+plain("journal_slice", "select seq, kind, subject, at_ms from {journal} where seq > 100 and seq <= 400")
+plain("journal_get", "select seq, kind, subject, at_ms, trace_id from {journal} where seq = 42")
+plain("journal_by_subject", "select seq, subject, kind, event from {journal} where user_id = 7")
+plain("journal_by_trace", "select seq, subject, kind, trace_id from {journal} where trace_id like 'a%'")
+plain("journal_kind_counts", "select kind, count(*) as n from {journal} group by kind")
+plain("journal_head", "select max(seq) as head, count(*) as n from {journal}")
+plain("journal_digest", "select subject, SHA(LAGG(concat('[', seq, ',\"', kind, '\",', at_ms, ']'), '', seq)) as digest from {journal} group by subject")
+plain("journal_codec", """select seq, concat('[', seq, ',"', kind, '","', subject, '",', at_ms, ',"', trace_id, '"]') as line from {journal}""")
+
+# bus ----------------------------------------------------------------------------------------------------
+plain("msg_route", "select key, STR(H64(key)) as hash, B(H64(key) % 4) as partition, count(*) as n from {messages} group by key")
+plain("msg_offsets", "select seq, partition, off, msg_id from {messages}")
+plain("bus_read_log", "select partition, off, key, msg_id from {messages} where topic = 'fleet.events' and partition = 2")
+plain("bus_read_range", "select partition, off, key from {messages} where off between 20 and 20 + 50 - 1")
+plain("bus_replay_keys", "select partition, off, key from {messages} where off >= 10 and off <= 900 and key in ('1', '2', '3', '5', '8', '13')")
+plain("partition_size", "select partition, B(sum(size)) as bytes, count(*) as n from {messages} group by partition")
+plain("topic_offsets_rollup", "select topic, partition, B(max(off) + 1) as head, count(*) as n from {messages} group by rollup (topic, partition)")
+plain("partitions_used", "select topic, count(distinct partition) as used from {messages} group by topic")
+plain("committed_prefix_sql", "select partition, B(max(off) + 1) as head, B(coalesce(min(case when failed then off end), max(off) + 1)) as committed from {messages} group by partition")
+plain("group_lag", "select B(sum(greatest(head - committed, 0))) as lag, B(max(head - committed)) as worst from (select partition, max(off) + 1 as head, coalesce(min(case when failed then off end), max(off) + 1) as committed from {messages} group by partition) c")
+plain("lag_by_partition", "select partition, B(greatest(head - committed, 0)) as lag, head > committed as has_gap from (select partition, max(off) + 1 as head, coalesce(min(case when failed then off end), max(off) + 1) as committed from {messages} group by partition) c")
+plain("dlq_attempts", "select msg_id, arrival, B(attempt) as attempt, attempt > 1 as dead from (select msg_id, arrival, count(*) over (partition by key order by arrival, msg_id rows between unbounded preceding and current row) as attempt from {deliveries} where failed) a")
+plain("dlq_records", "select key, max(attempt) as attempts, count(*) as n from (select key, B(count(*) over (partition by key order by arrival, msg_id rows between unbounded preceding and current row)) as attempt from {deliveries} where failed) a where attempt > 3 group by key")
+plain("poll_batch", "select fresh, partition, off from (select case when failed then 0 else 1 end as fresh, partition, off from {messages}) p order by fresh, partition, off limit 64")
+plain("lag_series_peak", "select day, B(max(lag)) as peak from (select IDIV(at_ms, 86400000) as day, sum(case when failed then 1 else 0 end) over (order by seq rows between unbounded preceding and current row) as lag from {messages}) s group by day")
+plain("backpressure", "select partition, B(count_if(lag >= 200)) as refused, count(*) as n from (select partition, sum(case when failed then 1 else 0 end) over (partition by partition order by seq rows between unbounded preceding and current row) as lag from {messages}) s group by partition")
+plain("bus_stats", "select topic, count(*) as messages, count(distinct key) as keys, B(count_if(failed)) as failed, B(sum(size)) as bytes from {messages} where topic not like '__dlq__%' group by topic")
+plain("message_trace", "select msg_id, coalesce(case when event_id % 3 = 0 then substr(md5(STR(event_id)), 1, 8) end, '') as trace_id from {messages}")
+plain("dlq_redrive", "select msg_id, count(*) as tries, B(min(arrival)) as first_try from (select msg_id, arrival from {deliveries} where failed union all select msg_id, arrival + 1000000 as arrival from {deliveries} where failed) r group by msg_id having count(*) > 2")
+
+
+@built("dedup_first", "select msg_id, arrival from (select msg_id, arrival, row_number() over (partition by msg_id order by arrival) as rn from {deliveries} where not failed) d where rn = 1")
+def _(spark, d):
+    return ordered.first_successful(view(spark, d, "deliveries"), ["msg_id"], [F.col("arrival")], ~F.col("failed")).select("msg_id", "arrival")
+
+
+@built("committed_prefix", "select partition, B(max(off) + 1) as head, B(coalesce(min(case when failed then off end), max(off) + 1)) as committed from {messages} group by partition")
+def _(spark, d):
+    return ordered.committed(view(spark, d, "messages").select("partition", F.col("off").alias("offset"), (~F.col("failed")).alias("acked")))
+
+
+_GAP = """with recursive ev as materialized (select partition, off, row_number() over (partition by partition order by arr, off) as n from (select partition, off, off + case when event_id % 10 = 0 then 4 else 0 end as arr from {messages}) m),
+ st(partition, n, expected, late) as (select distinct partition, B(0), B(0), B(0) from ev union all select s.partition, e.n, case when e.off = s.expected then s.expected + 1 else s.expected end, s.late + case when e.off > s.expected then 1 else 0 end from st s join ev e on e.partition = s.partition and e.n = s.n + 1)
+ select partition, B(arg_max(expected, n)) as expected, B(arg_max(late, n)) as late from st group by partition"""
+
+
+@built("gap_detect", _GAP, True)
+def _(spark, d):
+    m = view(spark, d, "messages").withColumnRenamed("off", "offset")
+    at = F.col("offset") + F.when(F.col("event_id") % 10 == 0, 4).otherwise(0)
+    return ordered.out_of_order(m.withColumn("at", at), "partition", F.struct("at", "offset"))
+
+
+# state machines -----------------------------------------------------------------------------------------
+def _moves(moves: list[tuple[str, str, str]]) -> str:
+    return "(values " + ", ".join(f"('{a}', '{e}', '{t}')" for a, e, t in moves) + ") as m(f, e, t)"
+
+
+def _fold(name: str, events: str, moves: list, initial: str) -> str:
+    """A recursive fold over ``events`` (subject, ord, at_ms, event): one row per step."""
+    return f"""{name}_ev as materialized (select *, row_number() over (partition by subject order by ord) as n from ({events}) x),
+ {name}_mv as materialized (select * from {_moves(moves)}),
+ {name}(subject, n, ord, at_ms, event, from_state, state, ps, qs, accepted) as (
+  select distinct subject, B(0), B(0), B(0), '', '', '{initial}', cast([] as varchar[]), cast([] as varchar[]), true from {name}_ev
+  union all
+  select subject, n, ord, at_ms, event, state, coalesce(tgt, state),
+   case when tgt is null then ps when event = 'PAUSE' then list_append(ps, state) when event = 'RECOVER' then ps[1:len(ps) - 1] when event = 'REQUEUE' then cast([] as varchar[]) else ps end,
+   case when tgt is null then qs when event = 'ENQUEUE' then list_append(qs, state) when event = 'PROCEED' then qs[1:len(qs) - 1] when event = 'REQUEUE' then cast([] as varchar[]) else qs end, tgt is not null
+  from (select s.subject, e.n, e.ord, e.at_ms, e.event, s.state, s.ps, s.qs, case m.t when '{S.RESUME}' then s.ps[-1] when '{S.QUEUE}' then s.qs[-1] else m.t end as tgt
+   from {name} s join {name}_ev e on e.subject = s.subject and e.n = s.n + 1 left join {name}_mv m on m.f = s.state and m.e = e.event) q)"""
+
+
+_TASKS = "with recursive " + _fold("st", "select subject, seq as ord, at_ms, event from {journal}", S.TASK_MOVES, "PENDING")
+
+
+def _folded(spark: SparkSession, d: str, key: list[str] | None = None) -> DataFrame:
+    return fsm.fold_fsm(view(spark, d, "journal"), key or ["subject"], F.col("seq"), F.col("event"), F.col("at_ms"))
+
+
+@built("fsm_final_state", _TASKS + " select subject, arg_max(state, n) as state, B(arg_max(len(ps), n)) as paused, B(arg_max(len(qs), n)) as queued from st group by subject", True)
+def fsm_final_state(spark, d):
+    return _folded(spark, d).select("subject", "state", F.size("pause_stack").cast("long").alias("paused"), F.size("queue_stack").cast("long").alias("queued"))
+
+
+@built("task_state_counts", _TASKS + " select state, count(*) as n from (select subject, arg_max(state, n) as state from st group by subject) f group by state", True)
+def _(spark, d):
+    return _folded(spark, d).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@built("fsm_history", _TASKS + " select subject, B(n) as n, event, from_state, state as to_state from st where n > 0 and accepted", True)
+def _(spark, d):
+    return fsm.steps(_folded(spark, d), ["subject"]).where("accepted").select("subject", "n", "event", "from_state", "to_state")
+
+
+@built("fsm_rejections", _TASKS + " select concat(from_state, '<-', event) as reason, count(*) as n from st where n > 0 and not accepted group by 1", True)
+def _(spark, d):
+    return fsm.steps(_folded(spark, d), ["subject"]).where("NOT accepted").groupBy(F.concat("from_state", F.lit("<-"), "event").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@built("fsm_transition_stats", _TASKS + " select event, state as to_state, count(*) as n from st where n > 0 and accepted group by grouping sets ((event), (state), ())", True)
+def _(spark, d):
+    steps = fsm.steps(_folded(spark, d), ["subject"]).where("accepted")
+    return steps.groupingSets([["event"], ["to_state"], []], "event", "to_state").agg(F.count("*").alias("n"))
+
+
+_TIMES = """, tm as (select subject, arg_max(state, n) as state, max(case when accepted and event = 'ASSIGN' then at_ms end) as assigned_ms, min(case when accepted and event = 'START' then at_ms end) as started_ms, max(case when accepted and event in ('COMPLETE', 'CANCEL', 'FAIL') then at_ms end) as finished_ms from st where n > 0 group by subject)"""
+
+
+@built("task_timings", _TASKS + _TIMES + " select subject, state, B(assigned_ms) as assigned_ms, B(started_ms) as started_ms, B(finished_ms) as finished_ms from tm", True)
+def _(spark, d):
+    return fsm.timings(_folded(spark, d), ["subject"])
+
+
+@built("task_timing_distribution", _TASKS + _TIMES + """ select metric, count(v) as count, B(min(v)) as min, round(avg(D(v)), 3) as mean, B(percentile_disc(0.5) within group (order by v)) as p50, B(percentile_disc(0.95) within group (order by v)) as p95, B(percentile_disc(0.99) within group (order by v)) as p99, B(max(v)) as max
+ from (select 'service' as metric, finished_ms - assigned_ms as v from tm union all select 'start' as metric, started_ms - assigned_ms as v from tm) u where v is not null group by metric""", True)
+def _(spark, d):
+    t = fsm.timings(_folded(spark, d), ["subject"])
+    long = t.select(F.expr("stack(2, 'service', finished_ms - assigned_ms, 'start', started_ms - assigned_ms) as (metric, v)")).where("v IS NOT NULL")
+    return ordered.percentiles(long, ["metric"], "v")
+
+
+@built("lifecycle_fingerprint", _TASKS + _TIMES + """ select user_id, SHA(concat('[', LAGG(concat('["', subject, '","', state, '",', coalesce(assigned_ms, 0), ',', coalesce(finished_ms, 0), ']'), ',', subject), ']')) as fingerprint, count(*) as n
+ from (select tm.*, split_part(substr(subject, 2), '-', 1) as user_id from tm) f group by user_id""", True)
+def _(spark, d):
+    t = fsm.timings(_folded(spark, d), ["subject"]).withColumn("user_id", F.split_part(F.substring("subject", 2, 1 << 20), F.lit("-"), F.lit("1").cast("int")))
+    row = fn.canonical_json(fn.quoted(F.col("subject")), fn.quoted(F.col("state")), F.coalesce("assigned_ms", F.lit(0)).cast("string"), F.coalesce("finished_ms", F.lit(0)).cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("subject", row.alias("r"))))
+    return t.groupBy("user_id").agg(fn.digest(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x["r"]), ","), F.lit("]"))).alias("fingerprint"), F.count("*").alias("n"))
+
+
+@built("no_duplicate_effect", _TASKS + " select subject, B(count_if(accepted and event in ('COMPLETE', 'CANCEL', 'FAIL'))) as ends, B(count_if(accepted and event = 'COMPLETE')) as completes from st where n > 0 group by subject having count_if(accepted and event in ('COMPLETE', 'CANCEL', 'FAIL')) >= 1", True)
+def _(spark, d):
+    ends = F.col("accepted") & F.col("event").isin("COMPLETE", "CANCEL", "FAIL")
+    return fsm.steps(_folded(spark, d), ["subject"]).groupBy("subject").agg(F.count_if(ends).alias("ends"), F.count_if(F.col("accepted") & (F.col("event") == "COMPLETE")).alias("completes")).where("ends >= 1")
+
+
+_VEHICLES = _TASKS + ", " + _fold("vs", f"""select concat('V', B(split_part(substr(subject, 2), '-', 1)) % 40) as subject, 2 * ord as ord, at_ms, case event {' '.join(f"when '{k}' then '{v}'" for k, v in S.TASK_TO_VEHICLE.items())} end as event from st where n > 0 and accepted
+ union all select concat('V', user_id % 40), 2 * seq + 1, at_ms, case kind when 'vehicle_offline' then 'HEARTBEAT_TIMEOUT' else 'ONLINE' end from {{journal}} where kind in ('vehicle_offline', 'task_created')""", S.VEHICLE_MOVES, "IDLE")
+
+
+def _vehicles(spark: SparkSession, d: str) -> DataFrame:
+    vehicle = lambda user: F.concat(F.lit("V"), (user % 40).cast("string"))
+    made = fsm.derived_vehicle_events(_folded(spark, d, ["subject", "user_id"]), ["subject", "user_id"], vehicle(F.col("user_id"))).select("vehicle_id", (2 * F.col("order")).alias("o"), "event", "at_ms")
+    live = view(spark, d, "journal").where("kind in ('vehicle_offline', 'task_created')").select(vehicle(F.col("user_id")).alias("vehicle_id"), (2 * F.col("seq") + 1).alias("o"), F.when(F.col("kind") == "vehicle_offline", "HEARTBEAT_TIMEOUT").otherwise("ONLINE").alias("event"), "at_ms")
+    return fsm.fold_fsm(made.unionByName(live), ["vehicle_id"], F.col("o"), F.col("event"), F.col("at_ms"), S.VEHICLE_MOVES, "IDLE")
+
+
+@built("replay_vehicles", _VEHICLES + " select subject as vehicle_id, arg_max(state, n) as state, B(count_if(n > 0 and accepted)) as accepted, B(count_if(not accepted)) as rejected from vs group by subject", True)
+def _(spark, d):
+    return _vehicles(spark, d).select("vehicle_id", "state", F.size(F.filter("steps", lambda x: x["accepted"])).cast("long").alias("accepted"), F.size(F.filter("steps", lambda x: ~x["accepted"])).cast("long").alias("rejected"))
+
+
+@built("vehicle_state_counts", _VEHICLES + " select state, count(*) as n from (select subject, arg_max(state, n) as state from vs group by subject) f group by state", True)
+def _(spark, d):
+    return _vehicles(spark, d).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@built("fsm_table", f"select f as from_state, string_agg(e, '|' order by e) as events, count(*) as n from {_moves(S.TASK_MOVES)} group by f")
+def _(spark, d):
+    return spark.createDataFrame(S.TASK_MOVES, "from_state string, event string, to_state string").groupBy("from_state").agg(F.array_join(F.array_sort(F.collect_list("event")), "|").alias("events"), F.count("*").alias("n"))
+
+
+@built("fsm_allowed_events", _TASKS + f", cur as (select subject, arg_max(state, n) as state from st group by subject) select subject, count(e) as allowed, count(e) = 0 as terminal from cur left join {_moves(S.TASK_MOVES)} on f = state group by subject", True)
+def _(spark, d):
+    moves = spark.createDataFrame(S.TASK_MOVES, "state string, event string, to_state string")
+    return _folded(spark, d).select("subject", "state").join(F.broadcast(moves), "state", "left").groupBy("subject").agg(F.count("event").alias("allowed"), (F.count("event") == 0).alias("terminal"))
+
+
+@built("fsm_consistency", f"select t as target, count(*) as n from {_moves(S.VEHICLE_MOVES)} where t not in (select f from {_moves(S.VEHICLE_MOVES)}) group by t")
+def _(spark, d):
+    moves = spark.createDataFrame(S.VEHICLE_MOVES, "f string, e string, target string")
+    return moves.join(moves.select(F.col("f").alias("target")).distinct(), "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
+
+
+# tasks and vehicles -------------------------------------------------------------------------------------
+plain("tasks_by_state", "select task_id, priority, created_ms from {tasks_in} where state in ('PENDING', 'EXECUTING')")
+plain("task_lookup", "select task_id, cust, priority, state from {tasks_in} where task_id = 33")
+plain("task_projection", "select task_id, case priority when 1 then 'LOW' when 2 then 'NORMAL' when 3 then 'HIGH' when 4 then 'URGENT' when 5 then 'CRITICAL' else concat('P', priority) end as label, ox, oy, dx, dy, sqrt((ox - dx) * (ox - dx) + (oy - dy) * (oy - dy)) as leg from {tasks_in}")
+plain("open_tasks", "select state, count(*) as n from {tasks_in} where state not in ('COMPLETED', 'FAILED', 'CANCELLED') group by state")
+plain("overdue_tasks", "select priority, count(*) as n from {tasks_in} where state not in ('COMPLETED', 'FAILED', 'CANCELLED') and 900000000000 > created_ms + 120000 group by priority")
+plain("completion_rate", "select coalesce(avg(case when state = 'COMPLETED' then D(1) else D(0) end), D(0)) as rate, count(*) as n from {tasks_in}")
+plain("gantt_rows", "select task_id, created_ms from {tasks_in} order by created_ms, task_id limit 28")
+plain("pending_order", "select task_id, B(row_number() over (order by priority desc, created_ms, task_id)) as place from {tasks_in} where state = 'PENDING'")
+plain("vehicle_projection", "select vehicle_id, D(vx) as vx, D(vy) as vy, battery, online, vstate from {vehicles_in}")
+plain("fleet_stats", "select vstate, count(*) as n, B(count_if(online)) as online, B(count_if(online and vstate = 'IDLE' and battery >= 20)) as dispatchable from {vehicles_in} group by vstate")
+plain("vehicle_candidates", "select vehicle_id, battery from {vehicles_in} where online and vstate = 'IDLE' and battery >= 20")
+plain("vehicles_at_hub", "select vehicle_id from {vehicles_in} where sqrt((vx - 60.0) * (vx - 60.0) + (vy - 60.0) * (vy - 60.0)) <= 3.0")
+plain("recharge_events", "select vehicle_id, case when battery < 30 and vstate = 'IDLE' then 'CHARGE' when battery >= 85 and vstate = 'CHARGING' then 'CHARGE_DONE' end as event from {vehicles_in} where (battery < 30 and vstate = 'IDLE') or (battery >= 85 and vstate = 'CHARGING')")
+plain("duplicate_creates", "select count(*) as created, count(distinct subject) as subjects, B(count(*) - count(distinct subject)) as repeats from {journal} where kind = 'task_created'")
+plain("first_create_wins", "select subject, min(seq) as seq from {journal} where kind = 'task_created' group by subject")
+plain("no_task_lost", "select count(*) as lost from (select distinct subject from {journal} where kind = 'task_created') c where not exists (select 1 from {journal} j where j.subject = c.subject and j.kind = 'task_event')")
+plain("snapshot_brief", "select 'task' as kind, state, count(*) as n from {tasks_in} group by state union all select 'vehicle' as kind, vstate as state, count(*) as n from {vehicles_in} group by vstate")
+plain("no_loss_sets", "select count(*) as missing from (select subject from {journal} where kind = 'task_assigned' except select subject from {journal} where kind = 'task_created') x")
+plain("json_path_diff", "select coalesce(a.user_id, b.user_id) as user_id, a.n as live, b.n as rebuilt from (select user_id, count(*) as n from {journal} where event_id % 3 <> 0 group by user_id) a full outer join (select user_id, count(*) as n from {journal} where event_id % 5 <> 0 group by user_id) b on a.user_id = b.user_id where a.n is distinct from b.n")
+plain("live_vs_replay_diff", "select l.subject, l.n as live, r.n as replay from (select subject, count(*) as n from {journal} group by subject) l join (select subject, count(*) as n from {journal} where seq % 50 <> 0 group by subject) r on l.subject = r.subject where l.n <> r.n")
+plain("task_of_vehicle", "select v.vehicle_id, min(t.task_id) as task_id from {vehicles_in} v join (select task_id, cust % 97 + 1 as vid from {tasks_in} where state = 'EXECUTING') t on t.vid = v.vehicle_id where v.online group by v.vehicle_id")
+
+
+@built("best_vehicle", """with v as (select * from {vehicles_in} where online and vstate = 'IDLE' and battery >= 20), o as (select distinct ox, oy from {tasks_in}),
+ b as (select ox, oy, vehicle_id, 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)) as val, row_number() over (partition by ox, oy order by 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)) desc, vehicle_id) as rn, count(*) over (partition by ox, oy) as c from v cross join o)
+ select t.task_id, b.vehicle_id, round(1000.0 * t.priority + 50.0 + b.val, 6) as score, b.c as candidates from {tasks_in} t join b on b.ox = t.ox and b.oy = t.oy and b.rn = 1 where t.state = 'PENDING'""")
+def _(spark, d):
+    return dispatch.best_vehicle(view(spark, d, "tasks_in").where("state = 'PENDING'"), view(spark, d, "vehicles_in")).withColumn("score", F.round("score", 6))
+
+
+@built("preempt_victims", """with run as (select t.task_id, t.priority, t.created_ms as assigned_ms, v.vehicle_id from {tasks_in} t join {vehicles_in} v on v.vehicle_id = t.cust % 97 + 1 where t.state = 'EXECUTING' and v.online),
+ p as (select rp, task_id, vehicle_id, row_number() over (partition by rp order by r.priority, r.assigned_ms desc, r.task_id) as rn from (values (3), (4), (5)) q(rp) join run r on r.priority < q.rp)
+ select t.task_id, p.task_id as victim, p.vehicle_id from {tasks_in} t join p on p.rp = t.priority and p.rn = 1 where t.state = 'PENDING' and t.priority >= 3""")
+def _(spark, d):
+    tasks, fleet = view(spark, d, "tasks_in"), view(spark, d, "vehicles_in")
+    running = tasks.where("state = 'EXECUTING'").withColumn("vehicle_id", F.col("cust") % 97 + 1).join(fleet.select("vehicle_id", "online"), "vehicle_id").select("task_id", "priority", F.col("created_ms").alias("assigned_ms"), "vehicle_id", "online", F.lit(0).alias("preempted"))
+    return dispatch.victims(tasks.where("state = 'PENDING'").select("task_id", "priority"), running)
+
+
+_PLAN = """with recursive v as materialized (select * from {vehicles_in} where online and vstate = 'IDLE' and battery >= 20),
+ q as materialized (select *, row_number() over (order by priority desc, created_ms, task_id) as n from {tasks_in} where state = 'PENDING' qualify n <= (select count(*) from v)),
+ c as materialized (select q.n, q.task_id, v.vehicle_id, 1000.0 * q.priority + 50.0 + 0.5 * v.battery - sqrt((v.vx - q.ox) * (v.vx - q.ox) + (v.vy - q.oy) * (v.vy - q.oy)) as score from q cross join v),
+ p(n, taken, task_id, vehicle_id, score) as (select B(0), cast([] as bigint[]), B(0), B(0), D(0) union all select n, list_append(taken, vehicle_id), task_id, vehicle_id, score from (select c.n, p.taken, c.task_id, c.vehicle_id, c.score, row_number() over (order by c.score desc, c.vehicle_id) as rn from p join c on c.n = p.n + 1 where not list_contains(p.taken, c.vehicle_id)) z where rn = 1)
+ select B(n) as step, task_id, vehicle_id, round(score, 6) as score from p where n > 0"""
+
+
+@built("plan_greedy", _PLAN, True)
+def _(spark, d):
+    fleet = view(spark, d, "vehicles_in")
+    free = fleet.where(dispatch.dispatchable()).count()  # a round plans at most a task per free vehicle
+    tasks = view(spark, d, "tasks_in").where("state = 'PENDING'").orderBy(*dispatch.pending_order()).limit(free)
+    return dispatch.plan_greedy(tasks, fleet).withColumn("score", F.round("score", 6))
+
+
+# traffic ------------------------------------------------------------------------------------------------
+_FREE = "fs as (select r.resource, B(r.capacity) as capacity, B(count(h.vehicle)) as held, B(greatest(r.capacity - count(h.vehicle), 0)) as free from {resources} r left join {holders} h on h.resource = r.resource group by r.resource, r.capacity), rk as (select *, B(row_number() over (partition by resource order by priority desc, requested_ms, seq, vehicle)) as rank from {requests})"
+
+
+def _traffic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return view(spark, d, "requests"), view(spark, d, "resources"), view(spark, d, "holders")
+
+
+@built("free_resources", f"with {_FREE} select resource, held, free from fs where free > 0")
+def _(spark, d):
+    _, r, h = _traffic(spark, d)
+    return traffic.free_slots(r, h).where("free > 0").select("resource", "held", "free")
+
+
+@built("grants", f"with {_FREE} select rk.resource, rk.vehicle, rk.rank from rk join fs on fs.resource = rk.resource where rk.rank <= fs.free")
+def _(spark, d):
+    return traffic.grants(*_traffic(spark, d)).select("resource", "vehicle", "rank")
+
+
+@built("conflicts", f"with {_FREE} select fs.resource, (select min(vehicle) from {{holders}} h where h.resource = fs.resource) as winner, string_agg(STR(rk.vehicle), ',' order by rk.rank) as losers from fs join rk on rk.resource = fs.resource where fs.free = 0 group by fs.resource")
+def _(spark, d):
+    return traffic.conflicts(*_traffic(spark, d)).withColumn("losers", F.array_join(F.col("losers").cast("array<string>"), ","))
+
+
+@built("wait_for_graph", f"with {_FREE} select distinct q.vehicle as waiter, h.vehicle as holder from {{requests}} q join fs on fs.resource = q.resource and fs.free = 0 join {{holders}} h on h.resource = q.resource where not exists (select 1 from {{holders}} x where x.resource = q.resource and x.vehicle = q.vehicle)")
+def _(spark, d):
+    return traffic.wait_for(*_traffic(spark, d))
+
+
+_EDGES = "select distinct waiter, holder from (select n_nationkey as waiter, (n_nationkey * 7 + 3) % 25 as holder from {nation} union all select n_nationkey, (n_nationkey * 3 + 1) % 25 from {nation} where n_nationkey % 3 = 0) e where waiter <> holder"
+_CYCLES = f"with recursive eg as materialized ({_EDGES}), pt(root, tip, path) as (select waiter, holder, [waiter, holder] from eg where holder > waiter union all select p.root, e.holder, list_append(p.path, e.holder) from pt p join eg e on e.waiter = p.tip where e.holder > p.root and not list_contains(p.path, e.holder)), cy as (select distinct p.path from pt p join eg e on e.waiter = p.tip and e.holder = p.root)"
+
+
+def _cycles(spark: SparkSession, d: str) -> DataFrame:
+    return traffic.cycles(spark.sql(_EDGES, nation=view(spark, d, "nation")))
+
+
+@built("deadlock_cycles", _CYCLES + " select array_to_string(path, '>') as cycle, B(len(path)) as n from cy", True)
+def _(spark, d):
+    return _cycles(spark, d).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.size("cycle").cast("long").alias("n"))
+
+
+@built("deadlock_victim", _CYCLES + ", u as (select path, unnest(path) as v from cy) select array_to_string(path, '>') as cycle, B(arg_min(v, v % 5 * 1000 + v)) as victim from u group by path", True)
+def _(spark, d):
+    priority = F.map_from_entries(F.transform("cycle", lambda v: F.struct(v, (v % 5).cast("int"))))
+    found = _cycles(spark, d).withColumn("victim", traffic.victim(F.col("cycle"), priority).cast("long"))
+    return found.withColumn("cycle", F.array_join(F.col("cycle").cast("array<string>"), ">"))
+
+
+_HUBS = "(values " + ", ".join(f"('{h}', {x}, {y})" for h, x, y in S.HUBS) + ") as h(hub, x, y)"
+_LANES = "(values " + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in S.ROADS) + ") as l(a, b)"
+
+
+@built("route_shortest", f"with recursive ln as (select l.a, l.b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as c from {_LANES} join (select * from {_HUBS}) p on p.hub = l.a join (select * from {_HUBS}) q on q.hub = l.b), rt(s, g, cost, path, seen) as (select hub, hub, D(0), hub, [hub] from {_HUBS} union all select r.s, ln.b, r.cost + ln.c, concat(r.path, '>', ln.b), list_append(r.seen, ln.b) from rt r join ln on ln.a = r.g where not list_contains(r.seen, ln.b)) select s as start, g as goal, min(cost) as cost, arg_min(path, (cost, path)) as path from rt group by s, g", True)
+def _(spark, d):
+    return traffic.routes(spark)
+
+
+plain("nearest_hub", f"select vehicle_id, hub from (select v.vehicle_id, h.hub, row_number() over (partition by v.vehicle_id order by (v.vx - h.x) * (v.vx - h.x) + (v.vy - h.y) * (v.vy - h.y), h.hub) as rn from {{vehicles_in}} v cross join {_HUBS}) n where rn = 1")
+plain("contended_union", "select distinct vehicle, resource from (select vehicle, resource from {holders} union select vehicle, resource from {requests}) u where vehicle % 97 = 5 and resource <> 3")
+plain("blocked_on", "select vehicle, count(*) as n, min(resource) as first from {requests} group by vehicle")
+plain("queue_depth_peak", "select B(max(n)) as deepest, count(*) as contended, B(sum(n)) as waiting from (select resource, count(*) as n from {requests} group by resource) q")
+plain("holder_priority", "select vehicle, max(priority) as priority from (select vehicle, priority from {holders} union all select vehicle, priority from {requests}) p group by vehicle")
+plain("traffic_snapshot", "select resource, LAGG(STR(vehicle), ',', vehicle) as held_by, count(*) as n from {holders} group by resource")
+
+# observability ------------------------------------------------------------------------------------------
+plain("percentiles_nearest_rank", "select rule, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95, percentile_disc(0.99) within group (order by value) as p99, min(value) as p0, max(value) as p100 from {readings} group by rule")
+plain("histogram_summary", "select rule, count(*) as n, min(value) as low, round(avg(value), 3) as mean, percentile_disc(0.95) within group (order by value) as p95, max(value) as high from {readings} group by rule")
+plain("histogram_capped", "select rule, count(*) as n, B(min(event_id)) as oldest from (select rule, event_id, row_number() over (partition by rule order by at_ms desc, event_id desc) as rn from {readings}) h where rn <= 200 group by rule")
+plain("counters", "select rule, count(*) as n, round(sum(value), 2) as total from {readings} group by rule")
+plain("gauge_last_and_peak", "select rule, max_by(value, at_ms * 1000000 + event_id) as last, max(value) as peak from {readings} group by rule")
+plain("metrics_snapshot", "select 'counter' as type, rule as name, D(count(*)) as value from {readings} group by rule union all select 'gauge' as type, rule as name, max(value) as value from {readings} group by rule")
+plain("log_event_counts", "select rule as event, count(*) as n from {readings} group by rule")
+plain("log_level_filter", "select event_id, case rule when 'error' then 'ERROR' when 'purchase' then 'WARNING' else 'INFO' end as level from {readings} where case rule when 'error' then 3 when 'purchase' then 2 else 1 end >= 2")
+plain("alerts_by_rule_severity", "select rule, severity, count(*) as n from (select rule, case when value > 90 then 'CRITICAL' else 'WARNING' end as severity from {readings} where value > 50) a group by grouping sets ((rule), (severity))")
+plain("trace_summary", "select trace_id, count(*) as spans, B(sum(duration_ms)) as duration_ms, LAGG(name, '>', start_ms * 100000 + span_id) as path from {spans} group by trace_id")
+plain("trace_parent_chain", "select c.trace_id, c.span_id, p.name as parent, B(c.duration_ms - coalesce(p.duration_ms, 0)) as longer from {spans} c left join {spans} p on p.trace_id = c.trace_id and p.span_id = c.parent_id")
+plain("slowest_spans", "select trace_id, span_id, duration_ms from {spans} order by duration_ms desc, trace_id, span_id limit 20")
+plain("trace_union", "select trace_id, source, count(*) as n from (select trace_id, 'span' as source from {spans} union all select user_id as trace_id, 'journal' as source from {journal}) u group by trace_id, source")
+plain("tracer_eviction", "select trace_id, n from (select trace_id, count(*) as n, row_number() over (order by trace_id desc) as rn from {spans} group by trace_id) t where rn <= 50")
+
+_COOL = """with recursive ev as materialized (select rule, subject, at_ms, value, row_number() over (partition by rule, subject order by at_ms, value) as n from {readings}),
+ st(rule, subject, n, at_ms, value, last, fired) as (select distinct rule, subject, B(0), B(0), D(0), cast(null as bigint), false from ev union all
+ select s.rule, s.subject, e.n, e.at_ms, e.value, case when e.value > 50 and (s.last is null or e.at_ms - s.last >= 86400000) then e.at_ms else s.last end, e.value > 50 and (s.last is null or e.at_ms - s.last >= 86400000) from st s join ev e on e.rule = s.rule and e.subject = s.subject and e.n = s.n + 1)
+ select rule, subject, at_ms, value from st where fired"""
+
+
+@built("alerts_cooldown", _COOL, True)
+def _(spark, d):
+    return ordered.cooldown(view(spark, d, "readings"), ["rule", "subject"], F.col("at_ms"), F.col("value"), 50.0, 86_400_000)
+
+
+# liveness -----------------------------------------------------------------------------------------------
+plain("stale_vehicles", "select subject, B(1706745600000 - max(at_ms)) as silent_ms from {readings} where at_ms <= 1706745600000 group by subject having 1706745600000 - max(at_ms) > 5000")
+plain("offline_intervals", "select subject, at_ms + 5000 as offline_ms, nxt as online_ms from (select subject, at_ms, lead(at_ms) over (partition by subject order by at_ms, event_id) as nxt from {readings}) g where nxt - at_ms > 86400000")
+plain("heartbeat_asof", "select subject, max_by(rule, at_ms * 1000000 + event_id) as rule, B(max(at_ms)) as at_ms from {readings} where at_ms <= 1705300000000 group by subject")
+plain("silence_windows", "select subject, B(count_if(at_ms % 86400000 between 0 and 3600000)) as muted, count(*) as n from {readings} group by subject")
+
+# key-value store ----------------------------------------------------------------------------------------
+_KV = """with recursive ev as materialized (select *, row_number() over (partition by key order by seq) as n from {commands}),
+ st(key, n, op, present, val, exp, result, seq) as (select distinct key, B(0), '', false, cast(null as varchar), cast(null as bigint), cast(null as varchar), B(0) from ev union all
+ select key, n, op, case when op in ('set', 'incr') then true when op = 'delete' then false when op = 'expire' and coalesce(ttl_ms, 0) <= 0 then false else alive end,
+  case when op = 'set' then value when op = 'incr' then cast(cast(coalesce(case when alive then val end, '0') as bigint) + 1 as varchar) when op = 'delete' or (op = 'expire' and coalesce(ttl_ms, 0) <= 0) or not alive then null else val end,
+  case when op = 'set' then at_ms + ttl_ms when op in ('delete', 'persist') or not alive then null when op = 'expire' then case when coalesce(ttl_ms, 0) <= 0 then null else at_ms + ttl_ms end else exp end,
+  case when op = 'set' then 'OK' when op = 'get' then case when alive then val end when op in ('exists', 'delete', 'expire') then case when alive then '1' else '0' end when op = 'persist' then case when alive and exp is not null then '1' else '0' end
+   when op = 'incr' then cast(cast(coalesce(case when alive then val end, '0') as bigint) + 1 as varchar) when op = 'ttl' then case when not alive then '-2' when exp is null then '-1' else cast(cast(ceil((exp - at_ms) / 1000.0) as bigint) as varchar) end end, seq
+ from (select e.key, e.n, e.op, e.value, e.ttl_ms, e.at_ms, e.seq, s.val, s.exp, s.present and (s.exp is null or s.exp > e.at_ms) as alive from st s join ev e on e.key = s.key and e.n = s.n + 1) z)"""
+
+
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    log = view(spark, d, "commands").select("key", F.col("seq").alias("order"), "at_ms", "op", "field", "value", "ttl_ms")
+    return kv.fold_commands(log)
+
+
+@built("kv_results", _KV + " select key, seq, op, result from st where n > 0", True)
+def _(spark, d):
+    return _store(spark, d).select("key", F.explode("results").alias("r")).select("key", F.col("r.order").alias("seq"), "r.op", "r.result")
+
+
+@built("kv_live_snapshot", _KV + ", f as (select key, arg_max(present, n) as present, arg_max(coalesce(val, ''), n) as val, arg_max(coalesce(exp, -1), n) as exp from st group by key) select key, val as value, B(exp) as expires_ms from f where present and (exp = -1 or exp > 1706000000000)", True)
+def _(spark, d):
+    now = F.lit(1706000000000)
+    return _store(spark, d).where(F.col("kind").isNotNull() & fn.live(F.col("expires_ms"), now)).select("key", "value", F.coalesce("expires_ms", F.lit(-1)).cast("long").alias("expires_ms"))
+
+
+@built("kv_ttl", _KV + ", f as (select key, arg_max(present, n) as present, arg_max(coalesce(exp, -1), n) as exp from st group by key) select key, B(case when not present or (exp >= 0 and exp <= 1706000000000) then -2 when exp = -1 then -1 else ceil((exp - 1706000000000) / 1000.0) end) as ttl from f", True)
+def _(spark, d):
+    return _store(spark, d).select("key", fn.ttl_seconds(F.col("kind").isNotNull(), F.col("expires_ms"), F.lit(1706000000000)).alias("ttl"))
+
+
+@built("kv_keys_glob", "select distinct key from {commands} where key like 'k1_'")
+def _(spark, d):
+    return view(spark, d, "commands").where(fn.glob(F.col("key"), "k1?")).select("key").distinct()
+
+
+plain("kv_hash_fields", "select key, field, max_by(STR(event_id), seq) as value, count(*) as sets from {commands} group by key, field")
+plain("cache_projection", "select concat('veh:', vehicle_id) as key, concat(vstate, '|', online) as value from {vehicles_in} union all select concat('task:', task_id) as key, concat(state, '|', priority) as value from {tasks_in}")
+plain("cache_lost_keys", "select key from {commands} where seq <= 5000 except select key from {commands} where op = 'set' and seq > 5000")
+plain("command_outcomes", "select key, op, B(min(seq)) as applied, B(count(*) - 1) as duplicates from {commands} group by key, op")
+plain("idempotency_eviction", "select msg_id, arrival from (select msg_id, max(arrival) as arrival, row_number() over (order by max(arrival) desc, msg_id) as rn from {deliveries} where not failed group by msg_id) e where rn <= 500")
+
+# faults, scenarios ---------------------------------------------------------------------------------------
+plain("fault_perturb", "select partition, B(count_if(H64(msg_id) % 100 < 50)) as duplicated, B(count_if(H64(msg_id) % 100 >= 80)) as dropped, count(*) as n from {messages} group by partition")
+plain("fault_counts", "select case when event_id % 40 = 0 then 'crash' when event_id % 10 = 0 then 'timeout' when event_id % 7 = 0 then 'duplicate' else 'none' end as fault, count(*) as n from {messages} group by 1")
+plain("scenario_headline", "select event_type as scenario, count(*) as events, B(max(seq)) as head, count(distinct subject) as subjects, round(avg(value), 3) as mean from {journal} group by event_type")
+plain("event_samples", "select event_type as scenario, LAGG(concat(kind, '=', n), ',', kind) as kinds from (select event_type, kind, count(*) as n from {journal} group by event_type, kind) k group by event_type")
+
+# streaming ------------------------------------------------------------------------------------------------
+for _name, (_job, _sql) in jobs.JOBS.items():
+    built(_name, _sql)(_job)
+del _name, _job, _sql
