@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillway import schemas as S
 from rillway.functions.scalars import rotated
+from rillway.operators.cut import cut
 
 
 def ranked(requests: DataFrame) -> DataFrame:
@@ -41,24 +42,27 @@ def wait_for(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> D
 def cycles(edges: DataFrame, longest: int = 32) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
-    Nodes that cannot lie on a cycle are peeled off first (no way in or no way out), so long chains cost
-    nothing; paths then grow from the least node of a cycle only, to at most ``longest`` nodes.
+    Nodes that do not reach themselves are dropped first, by squaring the reachability relation, which takes
+    as many rounds as the longest wait has bits; so long chains cost little. Paths then grow from the least
+    node of a cycle only, to at most ``longest`` nodes.
     """
-    edges = edges.where("waiter <> holder").distinct()
+    edges = cut(edges.where("waiter <> holder").distinct())
+    reach, n = edges, edges.count()
     while True:
-        n = edges.count()
-        core = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi")
-        core = core.join(core.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "holder")
-        if core.count() == n:
+        hop = reach.alias("p").join(reach.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder")
+        reach = cut(reach.union(hop).distinct())
+        if (m := reach.count()) == n:
             break
-        edges = core
+        n = m
+    loops = reach.where("waiter = holder").select("waiter")
+    edges = cut(edges.join(loops, "waiter", "left_semi").join(loops.withColumnRenamed("waiter", "holder"), "holder", "left_semi").select("waiter", "holder"))
     paths = edges.where("holder > waiter").select(F.col("waiter").alias("root"), F.col("holder").alias("tip"), F.array("waiter", "holder").alias("path"))
     found = None
     for _ in range(longest - 1):
         grown = paths.join(edges, F.col("tip") == F.col("waiter"))
         closed = grown.where("holder = root").select("path")
         found = closed if found is None else found.unionByName(closed)
-        paths = grown.where("holder > root AND NOT array_contains(path, holder)").select("root", F.col("holder").alias("tip"), F.concat("path", F.array("holder")).alias("path"))
+        paths = cut(grown.where("holder > root AND NOT array_contains(path, holder)").select("root", F.col("holder").alias("tip"), F.concat("path", F.array("holder")).alias("path")))
         if paths.isEmpty():
             break
     return found.select(rotated(F.col("path")).alias("cycle")).distinct() if found is not None else edges.sparkSession.createDataFrame([], "cycle array<bigint>")
