@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
+from rillway.llm.store import bounded
 
 PLACE = np.uint64(28)
 STRETCH = "fp long, ctx long, doc long, lo int, n int, off int"
+#: Stands for a missing id; a key that is never null lets both joins with the documents share one shuffle.
+NO_ID = -(1 << 63)
 #: (units, bounds, texts) of a chunk: unit values, their bounds per text.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -138,7 +141,7 @@ def anchors(docs: DataFrame, units: Units, width: int, gram: int) -> DataFrame:
             yield _batch(0, fp=tb.mix(d.view(np.uint64)).view(np.int64), doc=d, lo=a, n=b - a)
             yield _batch(1, **{k: v[keep] for k, v in s.items()})
 
-    return docs.where("doc IS NOT NULL").mapInArrow(run, ANCHORS)
+    return docs.where(F.col("doc") != NO_ID).mapInArrow(run, ANCHORS)
 
 
 def classes(rows: DataFrame, width: int) -> DataFrame:
@@ -264,6 +267,15 @@ def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarr
     return rows.mapInArrow(run, "doc long, lo int, n int")
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) with NO_ID for missing ids. The least long is reserved for that."""
+    return bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def unkeyed(done: DataFrame) -> DataFrame:
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def ranges_per_document(ranges: DataFrame) -> DataFrame:
     """(doc, cuts): start << 32 | end of each range, as many as the document has."""
     packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR((F.col("lo") + F.col("n")).cast("long"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rillway.llm import repeats as rp
 from rillway.llm import textbytes as tb
-from rillway.llm.store import bounded, settle
+from rillway.llm.store import settle
 from rillway.llm.suffixes import pointers, refine
 
 WIDTH, GRAM = 20, 5
@@ -61,8 +61,8 @@ class FingerprintIndex:
         sorted_ = touched.repartition(self.buckets, "fp").sortWithinPartitions("kind", "fp", "ctx", "doc", "lo")
         found = settle(rp.classes(sorted_, self.width))
         self.runs.append((0, table))
-        cuts = found.where("kind = 0").unionByName(new.where("kind = 0"))
-        return cuts.select("doc", "lo", "n"), found.where("kind = 2").select("fp", "doc", "lo", "n", "off")
+        whole = settle(new.where("kind = 0").select("doc", "lo", "n"))
+        return found.where("kind = 0").select("doc", "lo", "n").unionByName(whole), found.where("kind = 2").select("fp", "doc", "lo", "n", "off")
 
     def compact(self) -> None:
         """Merges the runs of any full level, the first level first; only first stretches of a class stay."""
@@ -97,7 +97,7 @@ def batches_by_id(docs: DataFrame, count: int) -> list[DataFrame]:
     bounds = [None, *edges, None]
     out = []
     for low, high in zip(bounds, bounds[1:], strict=False):
-        part = docs.where("doc IS NOT NULL")
+        part = docs.where(F.col("doc") != rp.NO_ID)
         part = part if low is None else part.where(F.col("doc") > low)
         out.append(part if high is None else part.where(F.col("doc") <= high))
     return out
@@ -139,11 +139,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     A null text has no words. Rows that repeat an id must repeat its text and count as one document; a row
     without an id is compared with nothing and keeps everything.
     """
-    picked = bounded(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    picked = rp.keyed(docs, id_col, text_col)
     index = FingerprintIndex(picked.sparkSession, width, gram)
     cuts, wanted = zip(*map(index.add, batches_by_id(picked, batches)), strict=True)
     wanted = reduce(DataFrame.unionByName, wanted).distinct()
     ranges = reduce(DataFrame.unionByName, cuts).unionByName(index.verify(picked, wanted))
-    ranges = settle(rp.ranges_per_document(ranges).select("doc", F.explode("cuts").alias("c")).select("doc", F.shiftright("c", 32).cast("int").alias("lo"), (F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("c", 32)).cast("int").alias("n")))
     index.drop()
-    return cut_words(picked, ranges)
+    return rp.unkeyed(cut_words(picked, ranges))

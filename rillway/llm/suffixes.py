@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rillway.llm import repeats as rp
 from rillway.llm import textbytes as tb
-from rillway.llm.store import bounded, settle
+from rillway.llm.store import settle
 
 WIDTH, GRAM = 100, 32
 
@@ -114,5 +114,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "
 
     A null text is empty. A row without an id is compared with nothing and keeps everything.
     """
-    picked = bounded(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return cut_bytes(picked, repeated_ranges(picked, width, gram))
+    picked = rp.keyed(docs, id_col, text_col)
+    return rp.unkeyed(cut_bytes(picked, repeated_ranges(picked, width, gram)))
