@@ -177,6 +177,13 @@ def _(spark, d):
     return ordered.percentiles(long, ["metric"], "v")
 
 
+@built("replay_tasks", _TASKS + _TIMES + """ select subject, state, case when state in ('PENDING', 'COMPLETED', 'FAILED', 'CANCELLED') then '' else concat('V', B(split_part(substr(subject, 2), '-', 1)) % 40) end as vehicle, B(coalesce(assigned_ms, 0)) as assigned_ms, B(coalesce(finished_ms, 0)) as finished_ms from tm""", True)
+def _(spark, d):
+    user = F.split_part(F.substring("subject", 2, 1 << 20), F.lit("-"), F.lit("1").cast("int")).cast("long")
+    held = F.when(F.col("state").isin("PENDING", *S.TERMINAL), "").otherwise(F.concat(F.lit("V"), (user % 40).cast("string")))
+    return fsm.timings(_folded(spark, d), ["subject"]).select("subject", "state", held.alias("vehicle"), F.coalesce("assigned_ms", F.lit(0)).alias("assigned_ms"), F.coalesce("finished_ms", F.lit(0)).alias("finished_ms"))
+
+
 @built("lifecycle_fingerprint", _TASKS + _TIMES + """ select user_id, SHA(concat('[', LAGG(concat('["', subject, '","', state, '",', coalesce(assigned_ms, 0), ',', coalesce(finished_ms, 0), ']'), ',', subject), ']')) as fingerprint, count(*) as n
  from (select tm.*, split_part(substr(subject, 2), '-', 1) as user_id from tm) f group by user_id""", True)
 def _(spark, d):
@@ -251,6 +258,10 @@ plain("snapshot_brief", "select 'task' as kind, state, count(*) as n from {tasks
 plain("no_loss_sets", "select count(*) as missing from (select subject from {journal} where kind = 'task_assigned' except select subject from {journal} where kind = 'task_created') x")
 plain("json_path_diff", "select coalesce(a.user_id, b.user_id) as user_id, a.n as live, b.n as rebuilt from (select user_id, count(*) as n from {journal} where event_id % 3 <> 0 group by user_id) a full outer join (select user_id, count(*) as n from {journal} where event_id % 5 <> 0 group by user_id) b on a.user_id = b.user_id where a.n is distinct from b.n")
 plain("live_vs_replay_diff", "select l.subject, l.n as live, r.n as replay from (select subject, count(*) as n from {journal} group by subject) l join (select subject, count(*) as n from {journal} where seq % 50 <> 0 group by subject) r on l.subject = r.subject where l.n <> r.n")
+plain("snapshot_tasks", "select task_id, cust, priority, created_ms, state from {tasks_in}")
+plain("full_fingerprint", "select hub, SHA(concat('[', LAGG(concat('[', vehicle_id, ',\"', vstate, '\",', case when online then 'true' else 'false' end, ',', B(round(vx * 1000)), ',', B(round(battery * 100)), ']'), ',', vehicle_id), ']')) as fingerprint, count(*) as n from (select *, vehicle_id % 6 as hub from {vehicles_in}) v group by hub")
+plain("hub_vehicle_scores", "select ox, oy, vehicle_id, round(50.0 + 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)), 6) as score from (select distinct ox, oy from {tasks_in}) o cross join {vehicles_in} v where online and vstate = 'IDLE' and battery >= 20")
+plain("preemption_rate", "select round(D(count_if(priority >= 3 and state = 'PENDING')) / D(count(*)), 4) as rate, count(*) as n from {tasks_in}")
 plain("task_of_vehicle", "select v.vehicle_id, min(t.task_id) as task_id from {vehicles_in} v join (select task_id, cust % 97 + 1 as vid from {tasks_in} where state = 'EXECUTING') t on t.vid = v.vehicle_id where v.online group by v.vehicle_id")
 
 
