@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
+from rillway.functions.folds import gathering_fold
 from rillway.functions.scalars import literal_map
 
-STEPS = "array<struct<n:bigint,order:bigint,at_ms:bigint,event:string,from_state:string,to_state:string,accepted:boolean>>"
+STEP = "struct<n:bigint,order:bigint,at_ms:bigint,event:string,from_state:string,to_state:string,accepted:boolean>"
 
 
 def fold_fsm(events: DataFrame, key: list[str], order: Column, event: Column, at_ms: Column, moves: list[tuple[str, str, str]] = S.TASK_MOVES, initial: str = "PENDING") -> DataFrame:
@@ -21,7 +22,7 @@ def fold_fsm(events: DataFrame, key: list[str], order: Column, event: Column, at
     stack, change nothing and leave a step with accepted = false."""
     table = literal_map({f"{a}|{e}": t for a, e, t in moves})
     nothing = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.lit(initial).alias("state"), nothing.alias("pause"), nothing.alias("queue"), F.expr(f"cast(array() as {STEPS})").alias("steps"))
+    start = {"state": F.lit(initial), "pause": nothing, "queue": nothing, "n": F.lit(0).cast("long")}
 
     def step(acc: Column, x: Column) -> Column:
         raw = table[F.concat(acc["state"], F.lit("|"), x["event"])]
@@ -33,11 +34,11 @@ def fold_fsm(events: DataFrame, key: list[str], order: Column, event: Column, at
             popped = F.when(F.size(s) > 0, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)
             return F.when(~ok, s).when(x["event"] == push, F.concat(s, F.array(acc["state"]))).when(x["event"] == pop, popped).when(x["event"] == "REQUEUE", nothing).otherwise(s)
 
-        made = F.struct((F.size(acc["steps"]) + 1).cast("long").alias("n"), x["order"].alias("order"), x["at_ms"].alias("at_ms"), x["event"].alias("event"), acc["state"].alias("from_state"), F.coalesce(to, acc["state"]).alias("to_state"), ok.alias("accepted"))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), stack("pause", "PAUSE", "RECOVER").alias("pause"), stack("queue", "ENQUEUE", "PROCEED").alias("queue"), F.concat(acc["steps"], F.array(made)).alias("steps"))
+        made = F.struct((acc["n"] + 1).alias("n"), x["order"].alias("order"), x["at_ms"].alias("at_ms"), x["event"].alias("event"), acc["state"].alias("from_state"), F.coalesce(to, acc["state"]).alias("to_state"), ok.alias("accepted"))
+        return F.struct(F.coalesce(to, acc["state"]).alias("state"), stack("pause", "PAUSE", "RECOVER").alias("pause"), stack("queue", "ENQUEUE", "PROCEED").alias("queue"), (acc["n"] + 1).alias("n"), F.concat(acc["steps"], F.array(made)).alias("steps"))
 
     log = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order.cast("long").alias("order"), event.alias("event"), at_ms.cast("long").alias("at_ms")))).alias("log"))
-    folded = log.select(*key, F.aggregate("log", start, step).alias("s"))
+    folded = log.select(*key, gathering_fold(F.col("log"), start, "steps", STEP, step).alias("s"))
     return folded.select(*key, F.col("s.state").alias("state"), F.col("s.pause").alias("pause_stack"), F.col("s.queue").alias("queue_stack"), F.col("s.steps").alias("steps"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = "struct<kind:string,value:string,fields:map<string,string>,expires_ms:bigint,results:array<struct<order:bigint,op:string,result:string>>>"
+from rillway.functions.folds import gathering_fold
+
+RESULT = "struct<order:bigint,op:string,result:string>"
 
 
 def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
@@ -16,10 +18,11 @@ def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
     nothing; incr of a value that is no integer gives NOTINT; set drops an old expiry unless it brings one,
     expire of zero or less deletes, and the last hdel deletes the key.
     """
-    start = F.expr(f"cast(struct(null, null, null, null, array()) as {STATE})")
     rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("order", "at_ms", "op", "field", "value", "ttl_ms"))).alias("log"))
     none_s, none_l, none_m = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("map<string,string>")
 
+    start = {"kind": none_s, "value": none_s, "fields": none_m, "expires_ms": none_l}
+
     def step(a: Column, x: Column) -> Column:
         alive = a["kind"].isNotNull() & (a["expires_ms"].isNull() | (a["expires_ms"] > x["at_ms"]))
         kind, value = F.when(alive, a["kind"]), F.when(alive, a["value"])
@@ -48,9 +51,9 @@ def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
             .when(op == "hdel", flag(has)).when(op == "hlen", F.size(held).cast("string")).when(op == "ttl", ttl)
         )
         made = F.concat(a["results"], F.array(F.struct(x["order"].cast("long").alias("order"), op.alias("op"), result.alias("result"))))
-        return F.struct(new_kind.alias("kind"), new_value.alias("value"), new_fields.alias("fields"), new_expires.cast("long").alias("expires_ms"), made.alias("results")).cast(STATE)
+        return F.struct(new_kind.alias("kind"), new_value.alias("value"), new_fields.alias("fields"), new_expires.cast("long").alias("expires_ms"), made.alias("results"))
 
-    return rows.select(key, F.aggregate("log", start, step).alias("s")).select(key, "s.*")
+    return rows.select(key, gathering_fold(F.col("log"), start, "results", RESULT, step).alias("s")).select(key, "s.*")
 
 
 def flat_fields(fields: Column) -> Column:
