@@ -124,3 +124,19 @@ def test_store(spark):
     got = {r.key: [x.result for x in r.results] for r in kv.fold_commands(spark.createDataFrame(log, "key string, order int, at_ms long, op string, field string, value string, ttl_ms long")).collect()}
     assert got["a"] == ["OK", "1", None, "1", "WRONGTYPE"]
     assert got["h"] == ["1", "0", "2", "1", "0", "OK", "NOTINT"]
+
+
+def test_fold_of_a_long_log(spark):
+    """Beyond one chunk of the gathering fold, and exactly at its edge."""
+    r = random.Random(4)
+    names = sorted({e for _, e, _ in S.VEHICLE_MOVES})
+    table = {(a, e): t for a, e, t in S.VEHICLE_MOVES}
+    for n in (63, 64, 65, 500):
+        events = r.choices(names, k=n)
+        state, pause, queue, steps = "IDLE", [], [], []
+        for e in events:
+            before = state
+            state, pause, queue, ok = move(state, pause, queue, e, table)
+            steps.append((e, before, state, ok))
+        got = final(spark, events, S.VEHICLE_MOVES, "IDLE")
+        assert got.state == state and [(s.event, s.from_state, s.to_state, s.accepted) for s in got.steps] == steps and [s.n for s in got.steps] == list(range(1, n + 1))
