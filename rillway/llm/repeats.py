@@ -190,28 +190,66 @@ def classes(rows: DataFrame, width: int) -> DataFrame:
 
 
 CONTEXT = "fp long, doc long, lo int, n int, off int, units binary"
+#: q-grams with more contexts than this are compared by window hashes, dealt by those.
+HOT = 2048
+#: In ``off``: the row holds window hashes of a hot q-gram, or a range already known to repeat.
+HASHES, DONE = -1, -2
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, units: Units, width: int) -> DataFrame:
-    """The units of each wanted stretch, read from its document once."""
-    per = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "lo", "n", "off")).alias("w"))
+    """What ``compared`` needs of each wanted stretch, read from its document once.
+
+    Usually that is the stretch's units under its q-gram. A q-gram with n > HOT contexts, such as the edge
+    of a passage that a third of all documents share, would meet in one task; its windows are hashed to 128
+    bits instead and dealt by hash to n / HOT groups, after those that repeat within a batch are cut.
+    """
+    many = wanted.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+    wanted = wanted.join(many, "fp", "left").withColumn("salts", F.coalesce(F.ceil(F.col("k") / HOT), F.lit(1)).cast("int"))
+    per = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "lo", "n", "off", "salts")).alias("w"))
     met = docs.join(per, "doc").select("doc", "text", "w")
 
+    def rows(fp, doc, lo, n, off, blob) -> pa.RecordBatch:
+        full = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int32), len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(doc.astype(np.int64)), full(lo), full(n), full(off), pa.array(blob, pa.binary())], names=["fp", "doc", "lo", "n", "off", "units"])
+
+    def hot(values, begin, fp, doc, lo, n, salts) -> Iterator[pa.RecordBatch]:
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at, d, p = begin[row] + step, doc[row], lo[row] + step
+        h1, h2 = tb.span_hash(values, at, at + width), tb.span_hash(values, at, at + width, np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.lexsort((p, d, h2, h1))
+        late = order[later_of_class(order, h1, h2, doc=d, lo=p)]
+        cd, ca, ce = merged(d[late], p[late], p[late] + width)
+        yield rows(tb.mix(cd.view(np.uint64)).view(np.int64), cd, ca, ce - ca, DONE, [b""] * len(cd))
+        keep = np.ones(len(row), bool)
+        keep[late] = False
+        row, d, p, h1, h2 = (x[keep] for x in (row, d, p, h1, h2))
+        salt = h1 % salts[row].astype(np.uint64)
+        group = tb.mix(fp[row].view(np.uint64) ^ tb.mix(salt + np.uint64(1)))
+        order = np.lexsort((group, row))
+        new = np.append(True, (row[order][1:] != row[order][:-1]) | (group[order][1:] != group[order][:-1]))
+        edge = np.append(np.flatnonzero(new), len(order))
+        packed = np.stack([h1.view(np.int64), h2.view(np.int64), p], axis=1)[order]
+        first = order[edge[:-1]]
+        yield rows(group[first].view(np.int64), d[first], p[first], np.diff(edge), HASHES, [packed[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, want = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j, data, offs in tb.texts(batch.column(1)):
+            for i, j, data, offs in tb.texts(batch.column(1), 4 << 20):
                 values, bounds = units(data, offs)
                 some = want.slice(i, j - i)
                 w = some.flatten()
                 of = np.repeat(np.arange(j - i), some.value_lengths().to_numpy())
-                fp, lo, n, off = (w.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                fp, lo, n, off, salts = (w.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 inside = lo + n - 1 + width <= np.diff(bounds)[of]
-                fp, lo, n, off, of = (x[inside] for x in (fp, lo, n, off, of))
-                a = bounds[of] + lo
+                doc, begin = ids[i:j][of].astype(np.int64), bounds[of] + lo
+                cold, warm = inside & (salts == 1), inside & (salts > 1)
                 raw, step = values.tobytes(), values.itemsize
-                blob = [raw[x * step : y * step] for x, y in zip(a.tolist(), (a + n - 1 + width).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ids[i:j][of].astype(np.int64)), pa.array(lo), pa.array(n), pa.array(off), pa.array(blob, pa.binary())], names=["fp", "doc", "lo", "n", "off", "units"])
+                blob = [raw[x * step : y * step] for x, y in zip(begin[cold].tolist(), (begin + n - 1 + width)[cold].tolist(), strict=True)]
+                yield rows(fp[cold], doc[cold], lo[cold], n[cold], off[cold], blob)
+                if warm.any():
+                    yield from hot(values, begin[warm], fp[warm], doc[warm], lo[warm].astype(np.int64), n[warm], salts[warm])
 
     return met.mapInArrow(run, CONTEXT)
 
@@ -224,7 +262,26 @@ def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarr
     together, as many as fit ``limit`` units, or one.
     """
 
-    def solve(group: pa.Table) -> pa.RecordBatch:
+    def ranges(doc, lo, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "lo", "n"])
+
+    def solve(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        off = group.column(4).to_numpy()
+        if (off == DONE).any():
+            done = group.filter(pa.array(off == DONE))
+            yield ranges(*(done.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3)))
+        if (off == HASHES).any():
+            part = group.filter(pa.array(off == HASHES))
+            doc = np.repeat(part.column(1).to_numpy(), part.column(3).to_numpy())
+            h1, h2, p = np.frombuffer(b"".join(x.as_buffer() for c in part.column(5).chunks for x in c), np.int64).reshape(-1, 3).T
+            order = np.lexsort((p, doc, h2, h1))
+            late = order[later_of_class(order, h1, h2, doc=doc, lo=p)]
+            d, a, b = merged(doc[late], p[late], p[late] + width)
+            yield ranges(d, a, b - a)
+        if (off >= 0).any():
+            yield told_apart(group.filter(pa.array(off >= 0)))
+
+    def told_apart(group: pa.Table) -> pa.RecordBatch:
         fp, doc, lo, n, off = (group.column(k).to_numpy().astype(np.int64) for k in range(5))
         flat = np.frombuffer(b"".join(x.as_buffer() for c in group.column(5).chunks for x in c), kind)
         size = n - 1 + width
@@ -238,7 +295,7 @@ def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarr
         at = lo[row] + step
         later = order[later_of_class(order, q, name, rel, doc=doc[row], lo=at)]
         d, a, b = merged(doc[row][later], at[later], at[later] + width)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["doc", "lo", "n"])
+        return ranges(d, a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -256,13 +313,13 @@ def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarr
             for e in edge:
                 if units_kept + sizes[e] - sizes[at] >= limit:
                     kept.append(batch.slice(at, e - at))
-                    yield solve(pa.Table.from_batches([b for b in kept if b.num_rows]).combine_chunks())
+                    yield from solve(pa.Table.from_batches([b for b in kept if b.num_rows]).combine_chunks())
                     kept, units_kept, at = [], 0, int(e)
             kept.append(batch.slice(at))
             units_kept += int(sizes[-1] - sizes[at])
         kept = [b for b in kept if b.num_rows]
         if kept:
-            yield solve(pa.Table.from_batches(kept).combine_chunks())
+            yield from solve(pa.Table.from_batches(kept).combine_chunks())
 
     return rows.mapInArrow(run, "doc long, lo int, n int")
 

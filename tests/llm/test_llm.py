@@ -323,6 +323,19 @@ def test_repeats_odd(spark, empty, dedup):
     assert sorted((r.doc_id or -1, r.n_removed > 0) for r in got) == [(-1, False), (4, False), (4, False), (5, False), (9, True)]
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_grams(spark, monkeypatch, hot):
+    """q-grams with many contexts are compared by window hashes, with the same result."""
+    monkeypatch.setattr(repeats, "HOT", hot or 2048)
+    passage = " ".join(f"p{i}" for i in range(30))
+    df, texts, ids = shuffled(spark, [*corpus(30), *(f"a{i} b{i} {passage} c{i} d{i} e{i}" for i in range(25))])
+    raw, words = [(t or "").encode() for t in texts], [WORD.findall(t or "") for t in texts]
+    got = {r.doc_id: r.n_removed for r in suffixes.dedup(df, 40, 12).collect()}
+    assert got == {i: sum(m) for i, m in zip(ids, covered(raw, 40), strict=True)}
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(df, 8, 3, 2).collect()}
+    assert got == {i: sum(m) for i, m in zip(ids, covered(words, 8), strict=True)}
+
+
 def test_index_compacts(spark):
     texts = corpus(40)
     rows = frame(spark, texts).select(F.col("doc_id").alias("doc"), "text")
