@@ -2,10 +2,11 @@
 
 Every tree of the forest reads its own eight hashes of the signature as one key. Sorted by that key, texts
 that resemble one another stand side by side: candidates are neighbours that share at least ``DEPTH``
-leading hashes. Regions of the order with many texts are cut deeper, so the depth adapts to the region and
-no task holds more than a region cut at full depth and salted. Candidates are confirmed on full shingle
-sets, first the next neighbours alone, then whatever in a region is not in one component yet. Equal sets are
-one class from the start and are never paired with one another.
+leading hashes. Regions of the order with many texts are cut deeper for a first look, so that no task holds
+more than a region cut at full depth and salted. Candidates are confirmed on full shingle sets, first the
+next neighbours alone, then whatever in a region is not in one component yet. Last, each crowded region is
+compared as a whole: it is dealt into blocks, and every two blocks meet in a task of their own. Equal sets
+are one class from the start and are never paired with one another.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from rillway.llm.store import bounded, settle
 
 TREES, LEVELS, DEPTH = 16, 8, 4
 REGION = 256
+BLOCK = 2048
+BROADCAST_BYTES = 32 << 20
 BROADCAST_IDS = 400_000
 MARKS = 1024
 _MARK_FACTORS = tb.mix(np.arange(1 << 20, (1 << 20) + MARKS, dtype=np.uint64)) | np.uint64(1)
@@ -103,12 +106,14 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("id", "signature").mapInArrow(run, "id long, p4 long, p6 long, p8 long, r1 long, r2 long")
 
 
-def regions(rows: DataFrame) -> DataFrame:
-    """(region, part, r1, r2, id): the texts that stand together in some order, two at least.
+def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, part, r1, r2, id): the texts that stand together in some order, two at least; and (region,
+    id) of the crowded regions, whole.
 
-    A region is the texts that share DEPTH hashes; above REGION texts it is cut at six, then at all eight
-    hashes. Texts still together then agree in a whole key; they are dealt by hash into parts of about
-    REGION, and each part also gets the region's least id, so the region stays connected.
+    A region is the texts that share DEPTH hashes; above REGION texts it is crowded, and cut at six, then at
+    all eight hashes. Texts still together then agree in a whole key; they are dealt by hash of id into parts
+    of about REGION, and each part also gets the region's least id. What the cuts part is left to
+    ``across_blocks``.
     """
     out, open_ = [], rows
     same = ["part", "r1", "r2", "id"]
@@ -118,12 +123,14 @@ def regions(rows: DataFrame) -> DataFrame:
         open_ = met.where(F.col("n") > REGION)
         if key != "p8":
             open_ = settle(open_.drop("n"))
+        if key == "p4":
+            crowded = open_.select(F.col("p4").alias("region"), "id")
     parts = F.ceil(F.col("n") / REGION)
     out.append(open_.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select(F.col("p8").alias("region"), *same))
     least = open_.groupBy("p8", "n").agg(F.min("id").alias("id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     first = F.lit(-(1 << 63))
     out.append(least.select(F.col("p8").alias("region"), "part", first.alias("r1"), first.alias("r2"), "id"))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out), crowded
 
 
 def next_neighbours(places: DataFrame) -> DataFrame:
@@ -148,12 +155,17 @@ def mismatches(a: Column, b: Column) -> Column:
     return total
 
 
+def most_mismatches(percent: int) -> int:
+    """How many marks of linked texts may differ, 4.5 deviations allowed."""
+    p = (100 - percent) / 200
+    return int(MARKS * p + 4.5 * (MARKS * p * (1 - p)) ** 0.5) + 1
+
+
 def strangers(places: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(a, b) with a < b: all pairs of a region whose texts are not in one component yet, but whose marks
     differ no more often than linked texts' would, 4.5 deviations allowed. What is too unlike is told
     inside the window, so it makes no rows."""
-    p = (100 - percent) / 200
-    most = int(MARKS * p + 4.5 * (MARKS * p * (1 - p)) ** 0.5) + 1
+    most = most_mismatches(percent)
     known = places.join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").join(marks, "id").select("region", "part", "r1", "r2", "id", F.coalesce("label", "id").alias("label"), "marks")
     order = Window.partitionBy("region", "part").orderBy("r1", "r2", "id")
     ahead = F.collect_list(F.struct("id", "label", "marks")).over(order.rowsBetween(1, 2 * REGION))
@@ -188,6 +200,17 @@ def sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str
     return picked.mapInArrow(run, "id long, items binary, marks array<long>")
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |x n y| >= percent * |x u y|, of sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |A n B| >= percent * |A u B|."""
     left = pairs.join(full.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a")
@@ -195,22 +218,40 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def across_blocks(crowded: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: out of all pairs of each crowded region those that are not in one component yet
+    and whose marks allow a link. A region is dealt by hash of id into blocks of about BLOCK texts, and
+    every two blocks meet in one task."""
+    known = settle(crowded.join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("region", "id", F.coalesce("label", "id").alias("label")))
+    sizes = known.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    dealt = known.join(sizes.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label")
+    most = most_mismatches(percent)
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, label, block, x, y = (group[c].to_numpy() for c in ("id", "label", "block", "x", "y"))
+        bits = group["marks"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        right = np.flatnonzero(block == y[0])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(block == x[0]):
+            met = right[right > i] if x[0] == y[0] else right
+            met = met[label[met] != label[i]]
+            near = ids[met[np.bitwise_count(bits[met] ^ bits[i]).sum(axis=1) <= most]]
+            a.append(np.minimum(near, ids[i]))
+            b.append(np.maximum(near, ids[i]))
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    met = dealt.join(marks, "id").select("region", "x", "y", "block", "id", "label", "marks")
+    return met.groupBy("region", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id reachable, by alternating large-star and small-star steps.
 
@@ -241,12 +282,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sketched = settle(sketch(docs, width, id_col, text_col))
     named = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
-    places = settle(regions(forest(classes)))
-    full = settle(sets(docs, places.select("id").distinct(), width, id_col, text_col).dropDuplicates(["id"]))
+    places, crowded = regions(forest(classes))
+    places = settle(places)
+    full = settle(sets(docs, places.select("id").union(crowded.select("id")).distinct(), width, id_col, text_col).dropDuplicates(["id"]))
     edges = settle(confirmed(next_neighbours(places), full, percent))
     label = components(edges)
     rest = strangers(places, label, full.select("id", "marks"), percent)
     label = components(edges.unionByName(confirmed(rest, full, percent)))
+    if not crowded.isEmpty():
+        joined = label.select(F.col("label").alias("a"), F.col("id").alias("b"))
+        across = settle(across_blocks(crowded, label, full.select("id", "marks"), percent))
+        met = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
+        own = settle(full.join(met, "id", "left_semi").select("id", "items"))
+        few = (own.agg(F.sum(F.length("items"))).first()[0] or 0) <= BROADCAST_BYTES
+        label = components(joined.unionByName(confirmed(across, F.broadcast(own) if few else own, percent)))
     first = classes.select("n_shingles", "set_a", "set_b", "id").join(label, "id", "left")
     first = first.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.coalesce("label", "id")).alias("component"))
     out = sketched.drop("signature").join(first, ["n_shingles", "set_a", "set_b"], "left")

@@ -182,6 +182,19 @@ def test_near_duplicates_regions(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_near_duplicates_template(spark, monkeypatch):
+    """Pairs inside a template family whose other texts are just too unlike are found in every part of it."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    template = " ".join(f"t{i}" for i in range(300))
+    own = lambda i: [f"p{i // 2}x{k}" if i and k < 8 else f"u{i}x{k}" for k in range(28)]
+    texts = [f"{template} {' '.join(own(i))}" for i in range(120)]
+    ids = random.Random(6).sample(range(1, 5000), len(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame(spark, texts, ids), 1, 85).collect()}
+    want = brute_components(texts, ids, 1, 85)
+    assert len({c for _, c in want.values()}) == 61 and got == want
+
+
 def test_near_duplicates_odd(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     got = neardup.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", ""], [3, 3, None, 9])).collect()
