@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +29,11 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Contexts of the method: a credential's name, then a separator, then one value without blanks or quotes.
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:\x20*(?:[:=]+|=>|->)\x20*|\x20+is\x20+|\x20+)["']?(?P<value>[!-&(-~]{6,256})"""
+    r"""(?ai)\b(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:\x20*(?:[:=]+|=>|->)\x20*|\x20+is\x20+|\x20+)["']?(?P<value>[!-&(-~]{6,})"""
 )
-USERINFO = re.compile(r"(?a)://[^\s:@/]{1,128}:(?P<value>[^\s:@/]{6,256})@")
+USERINFO = re.compile(r"(?a)://[^\s:@/]+:(?P<value>[^\s:@/]{6,})@")
 THRESHOLD = 9.0
-LONGEST_VALUE = 256
+CACHED = 256
 
 #: Words of high rank in published lists of common passwords, and stand-ins for a value.
 WORDS = """password passwd secret token admin administrator root user guest login welcome letmein monkey dragon
@@ -47,6 +48,7 @@ _LEET = str.maketrans("4@310$5!7", "aaelossit")
 _LONGEST_WORD = max(map(len, WORDS))
 _DATE = re.compile(r"(?a)(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
 _PER_SEGMENT = 0.3
+_CUT = max(_LONGEST_WORD, 10) + 3
 
 
 def _alphabet(text: str) -> int:
@@ -55,10 +57,22 @@ def _alphabet(text: str) -> int:
     return size + 33 * any(not c.isalnum() for c in text)
 
 
-@lru_cache(maxsize=65_536)
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for the empty value."""
-    value = value[:LONGEST_VALUE] if len(value) > LONGEST_VALUE else value
+    return _cached_cost(value) if len(value) <= CACHED else _cost(value)
+
+
+def dear(value: str, threshold: float) -> bool:
+    """Does the value cost at least the threshold? A long one is read only as far as it takes to tell."""
+    return (guess_cost(value) if len(value) <= CACHED else _cost(value, threshold)) >= threshold
+
+
+def _cost(value: str, enough: float = math.inf) -> float:
+    """The cost of the whole value, or, from ``enough`` on, a lower bound of it that reaches ``enough``.
+
+    Every cut of the value either has a bound among the last ``_CUT`` places or covers them all by one
+    span, which costs no less than its part up to here; so the least of their costs bounds the whole.
+    """
     n = len(value)
     if not n:
         return 0.0
@@ -88,14 +102,25 @@ def guess_cost(value: str) -> float:
                 cost = min(cost, best[j] + _PER_SEGMENT + math.log10(rank + 1) + odd)
         for j in dates.get(i, ()):
             cost = min(cost, best[j] + _PER_SEGMENT + math.log10(366 * 120))
-        for k in range(3, same[i - 1] + 1):
+        for k in _lengths(same[i - 1]):
             cost = min(cost, best[i - k] + _PER_SEGMENT + each + math.log10(k))
-        for k in range(3, walk[i - 1] + 1):
+        for k in _lengths(walk[i - 1]):
             cost = min(cost, best[i - k] + _PER_SEGMENT + math.log10(94 * k))
         best[i] = cost
+        if enough < math.inf and i >= _CUT and (least := min(best[i - _CUT : i + 1])) >= enough:
+            return least
     return best[n]
 
 
+_cached_cost = lru_cache(maxsize=65_536)(_cost)
+
+
+def _lengths(run: int) -> Iterable[int]:
+    """Lengths of a repeat or walk that end here. In a long one only short spans and those from about its
+    start count: two spans of one run never cost less than one over both."""
+    return range(3, run + 1) if run <= 4 * _CUT else chain(range(3, _CUT + 1), range(run - _CUT, run + 1))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, start of the value), ordered by start and kind."""
     out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -106,17 +131,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """Values in credential contexts that no base span covers and that cost at least the threshold."""
+    """Values in credential contexts that start in no base span and cost at least the threshold, whole."""
     out, last = [], -1
     found = [m for p in (CONTEXT, USERINFO) if p is CONTEXT or "://" in text for m in p.finditer(text)]
     for m in sorted(found, key=lambda m: m.start("value")):
         s, value = m.start("value"), m["value"].rstrip("\"'.,;:)]}>")
         e = s + len(value)
-        if len(value) < 6 or s < last or any(a < e and s < b for a, _, b, _ in base):
+        if len(value) < 6 or s < last or any(a <= s < b for a, _, b, _ in base):
             continue
         if not any(c.isdigit() or not c.isalnum() for c in value) and value[1:] == value[1:].lower():
             continue  # a plain word of running text
-        if guess_cost(value) >= threshold:
+        if dear(value, threshold):
             out.append((s, 3, e, s))
             last = e
     return out

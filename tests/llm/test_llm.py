@@ -425,6 +425,18 @@ def test_scan_and_redact(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty).count() == 0
 
 
+def test_long_values():
+    r = random.Random(8)
+    long = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(700))
+    for text in (f"pwd: {long} end", f"bearer {long}", f"ftp://{'u' * 200}:{long}@host"):
+        assert secrets.redacted(text) == text.replace(long, "<secret>")
+    tail = long + "0a" * 20 + long
+    assert secrets.redacted(f"session_key={tail} end") == "session_key=<secret> end"
+    assert not secrets.dear("=" * 5000, secrets.THRESHOLD) and secrets.redacted("pwd: " + "-" * 3000) == "pwd: " + "-" * 3000
+    for v in (long[:300], "password" * 40, "x" * 300 + long[:3]):
+        assert secrets.dear(v, 9.0) == (secrets.guess_cost(v) >= 9.0)
+
+
 # 8 ------------------------------------------------------------------------------------------------------
 def test_pieces_and_packing(spark, docs, empty):
     from tokenizers import Tokenizer
