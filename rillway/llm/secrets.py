@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm.store import bounded
+from rillway.llm.wordlist import COMMON
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -29,11 +30,12 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Contexts of the method: a credential's name, then a separator, then one value without blanks or quotes.
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:\x20*(?:[:=]+|=>|->)\x20*|\x20+is\x20+|\x20+)["']?(?P<value>[!-&(-~]{6,})"""
+    r"""(?ai)\b(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:(?P<sep>\x20*(?:[:=]+|=>|->)\x20*)|\x20+is\x20+|\x20+)["']?(?P<value>[!-&(-~]{6,})"""
 )
 USERINFO = re.compile(r"(?a)://[^\s:@/]+:(?P<value>[^\s:@/]{6,})@")
 THRESHOLD = 9.0
 CACHED = 256
+_LONGEST_NAME = 64
 
 #: Words of high rank in published lists of common passwords, and stand-ins for a value.
 WORDS = """password passwd secret token admin administrator root user guest login welcome letmein monkey dragon
@@ -132,18 +134,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
     """Values in credential contexts that start in no base span and cost at least the threshold, whole."""
+    found = []
+    for p in (CONTEXT, USERINFO) if "://" in text else (CONTEXT,):
+        at = 0
+        while m := p.search(text, at):
+            at = s = m.start("value")  # a dropped value may itself be the name before the real one
+            value = m["value"].rstrip("\"'.,;:)]}>")
+            e = s + len(value)
+            if (within := max((b for a, _, b, _ in base if a <= s < b), default=0)) or len(value) < 6:
+                at = max(s, within - _LONGEST_NAME)
+                continue
+            if not any(c.isdigit() or not c.isalnum() for c in value) and value[1:] == value[1:].lower():
+                if (p is CONTEXT and m["sep"] is None) or value.lower() in COMMON:
+                    continue  # a plain word of running text
+            if dear(value, threshold):
+                found.append((s, 3, e, s))
+                at = e
     out, last = [], -1
-    found = [m for p in (CONTEXT, USERINFO) if p is CONTEXT or "://" in text for m in p.finditer(text)]
-    for m in sorted(found, key=lambda m: m.start("value")):
-        s, value = m.start("value"), m["value"].rstrip("\"'.,;:)]}>")
-        e = s + len(value)
-        if len(value) < 6 or s < last or any(a <= s < b for a, _, b, _ in base):
-            continue
-        if not any(c.isdigit() or not c.isalnum() for c in value) and value[1:] == value[1:].lower():
-            continue  # a plain word of running text
-        if dear(value, threshold):
-            out.append((s, 3, e, s))
-            last = e
+    for span in sorted(found):
+        if span[0] >= last:
+            out.append(span)
+            last = span[2]
     return out
 
 

@@ -1,0 +1,185 @@
+"""Words of running English text, six letters or more: those of the prose in the standard library of Python 3.13."""
+
+COMMON = frozenset(
+    """
+abandoned abbreviated ability absent absolute abstract accept acceptable accepted accepting accepts access accessed
+accessible accessing according account accumulate accurately achieve acquire acquired acquiring across action
+actions active actual actually adapted adding addition additional address addresses adhere adjust adjusted advance
+advanced advancing advantage advertising affect affected affecting affects against algorithm algorithms aliased
+aliases alignment allocated allocation allowed allowing allows almost already altered alternate alternating
+alternative although always ambiguous amount analysis ancestors anchor animation annotation annotations anonymous
+another answer anymore anyone anything anyway anywhere apparently appear appearance appears append appended
+appending appends applicable application applications applied applies applying approach appropriate appropriately
+approximate approximation arbitrarily arbitrary archive archives argparse argument arguments arithmetic around
+arranges arrays aspects assert assertion assign assigned assignment assignments associated assume assumed assumes
+assuming assumption asynchronous asynchronously asyncio atomic attach attached attacks attempt attempted attempting
+attempts attribute attributes authentication author authorization authors automatic automatically available avoids
+awaited background backslash backslashes backup backward backwards basename basically because become becomes before
+beginning begins behave behaves behavior behaviour behind belong belongs benefit better between beyond binary
+binding bindings bitmap blanks blocked blocking blocks bodies boolean bootstrap bootstrapping bother bottom
+boundaries boundary bounded bounds brackets branch breaking breaks broken browser buffer buffered buffering buffers
+bufsize builder building builds builtin builtins button bypass bytearray bytecode bytestring cached caches caching
+calculate calculated calculating calculation calendar callable callables callback callbacks called caller callers
+calling cancel canceled cancellation cancelled cancelling candidate cannot canonical canvas capabilities capability
+capture captured capturing careful carefully carriage catching categories category caught caused causes causing
+central certain certainly certificate chained chance change changed changes changing channel character characters
+charset charsets checked checker checking checks children choice choices choose chosen chrome chunks circle circular
+circumstances classes classmethod classmethods clause cleaned cleaning cleanup cleared clearly clears clever client
+clients closed closes closest closing closure codecs coding coerce coerced collapse collapsed collect collected
+collecting collection collections collector colons column columns combination combinations combine combined
+combining command commands commas comment commented comments common commonly communication compact compare compared
+compares comparing comparison comparisons compat compatibility compatible compilation compile compiled compiler
+compiling complement complete completed completely completes completing completion completions complex complexity
+compliance compliant complicated comply component components composite compound compress compressed compression
+computation compute computed computing concatenate concatenated concatenation concept concrete concurrent condition
+conditional conditions config configuration configure configured conform confused confusing conjunction connect
+connected connection connections consecutive consequence conservative consider considered consist consistency
+consistent consisting consists console constant constants construct constructed construction constructor constructs
+consume consumed consumer consumes consuming consumption contain contained container containers containing contains
+content contents context contexts contiguous continuation continue continues contrarily contributed control
+controlled controlling controls convenience convenient convention conventions conversion conversions convert
+converted converting converts cookie cookies coordinates copied copies copying copyright corner coroutine coroutines
+correct correctly correspond corresponding corresponds counted counter counting counts course covered cpython create
+created creates creating creation critical ctypes cumulative current currently curses cursor custom customization
+customize customized cycles daemon dangling database dataclass datagram datatype datetime daylight deadlock dealing
+debugged debugger debugging decide decimal declaration declarations declare declared decode decoded decoder decodes
+decoding decorated decorator decorators decremented dedicated deemed deepcopy deeper default defaulting defaults
+defect defects deferred define defined defines defining definition definitions delayed delegate delete deleted
+deletes deleting deletion deliberately delimited delimiter delimiters delivery demand denominator denote depend
+dependencies dependency dependent depending depends deprecated derive derived derives descendant descendants
+describe described describes describing description descriptions descriptor descriptors design designed desirable
+desired despite destination destroy destroyed detached detail detailed details detect detected detection detects
+determine determined determines determining developed deviation device diagnostic diagram dialog dictionaries
+dictionary differ difference differences different differently differs digest digits direct direction directive
+directly directories directory directs dirname disable disabled disabling disallow disappear discard discarded
+discover discovered discussion dispatch display displayed displaying displays distance distinct distinguish
+distribute distributed distribution distributions divide division divmod docstring docstrings doctest doctype
+document documentation documented documents domain domains dotted double drawing driver dubious duplicate duplicated
+duplicates duration during dynamic dynamically earlier easier easily editing effect effective effectively effects
+efficiency efficient efficiently effort either element elements eliminate eliminating elsewhere embedded emitted
+emulate emulation enable enabled enables encapsulates enclosed enclosing encode encoded encoder encodes encoding
+encodings encounter encountered endian ending endings enforce enhanced enough ensure ensures ensuring entered
+entering entire entirely entities entity entries environment equality equally equals equivalent errors escape
+escaped escapes especially essentially establish established estimate evaluate evaluated evaluates events eventually
+everything exactly examine examined example examples exceed exceeds except exception exceptions exclamation exclude
+excluded excluding exclusive exclusively executable execute executed executes executing execution executor exhausted
+existence existent existing exists exited exiting expand expanded expansion expect expected expecting expects
+expensive expires explained explanation explicit explicitly exponent export exported exports expose exposed exposes
+express expressed expression expressions extend extended extends extensible extension extensions external extract
+extracted extracting extraction extracts facilities facing factor factory failed failure failures fairly fallback
+falling familiar family faster fastest feature features feeding fields figure filename filenames fileobj filepath
+filesystem filled filling filter filtered filtering filters finalization finalizer finally finder finders finding
+finish finished finishes finishing finite floating floats flushed flushes flushing folded folder folding follow
+followed following follows forbidden forces forever forget forked forking format formats formatted formatter
+formatting formed former forward fraction fractional fractions fragment frames framework fredrik freely friends
+frozen frozenset fullname function functional functionality functions further future futures garbage gathered
+general generally generate generated generates generating generation generator generators generic geometry getattr
+getting giving global globally globals gotten grammar granted greater grouping groups guarantee guaranteed
+guarantees guessed handle handled handler handlers handles handling handshake happen happened happens hasattr
+hashable hashing having header headers heading heavily height helper helpers helpful hereby hexadecimal hidden
+hierarchical hierarchy higher highest historical history hitting holding hopefully horizontal hostname however
+hyphen identical identification identified identifier identifiers identifies identify identifying identity ignorable
+ignore ignored ignores ignoring illegal imaginary immediate immediately immutable implement implementation
+implementations implemented implementing implements implicit implicitly implied implies import importable important
+imported importing importlib imports impossible improve include included includes including inclusion incoming
+incompatible incomplete inconsistent incorrect incorrectly increases increment incremental incremented indent
+indentation indented independent indexed indexes indexing indicate indicated indicates indicating indicator indices
+indirect indirectly individual infinite infinity information informational informative inherit inheritance inherited
+inheriting inherits initial initialised initialization initialize initialized initializer initializing initially
+injection inline inputs insensitive insensitively insert inserted inserting insertion inside inspect inspecting
+inspection inspired install installation installed instance instances instantiate instantiated instantiating
+instantiation instead instruction instructions intact integer integers integral integration intended intent
+intentionally interactive interested interesting interface interfaces interfere interior intermediate internal
+internally internals interpret interpretation interpreted interpreter interprets interrupted interval introduce
+introduced introduces introspection invalid invariant inverse invocation invoke invoked invokes invoking involve
+involved involving isinstance issued issues iterable iterables iterate iterated iterating iteration iterator
+iterators itself joined joining keeping kernel keyboard keyword keywords knowledge kqueue kwargs labels lambda
+lambdas language larger largest latest latter launch launching leading leaves leaving leftmost legacy length lengths
+lenient letter letters levels lexical liable libraries library license licenses licensing likely likewise
+limitations limited limits linear linecache lineno linesep linked listed listen listening listing literal literally
+literals little loaded loader loaders loading locale localhost localized locally locals located location locked
+locking logged logger logging logical longer longest lookahead looked looking lookup lookups losing lowercase
+lowercased lowest machine machinery mailbox mainly maintain maintained maintaining making malformed manage managed
+management manager manages managing mandatory manipulate manipulated manipulating manipulation manner manual
+manually mapped mapping mappings marked marker markers marking master matched matches matching matter maximal
+maximum maxlinelen maxsize meaning meaningful meanings measure mechanism member members memory memoryview mentioned
+merely merged message messages metaclass metadata method methods micahel microseconds middle mimics minimal minimize
+minimum minutes missing modern modification modifications modified modifier modifies modify modifying module modules
+modulo moment monitor mostly movement multiline multipart multiple multiplication multiprocessing mutable mutate
+mutated mutually namedtuple namespace namespaces naming native natural nearest nearly necessarily necessary needed
+negative neither nested nesting network newline newlines nonlocal nonzero normal normalization normalize normalized
+normally notation nothing notice notification notified notify number numbers numeric numerical object objects
+obsolete obtain obtained obtaining obvious obviously occurred occurrence occurrences occurring occurs octets
+offending offered official offset offsets oldest omitted opaque opcode opcodes opened opening operand operate
+operates operating operation operations operator operators opposed opposite optimal optimization optimize optimized
+option optional optionally options ordered ordering ordinal ordinary oriented origin original originally others
+otherwise outcome output outputs outside overall overflow overhead overlap overlapped overlapping overload
+overloaded overridden override overrides overriding overview overwrite overwrites overwriting overwritten package
+packages packed padded padding paragraph parallel parameter parameters params parent parentheses parents parsed
+parser parsers parses parsing partial partially particular particularly parties passed passes passing password
+patched pathname pathnames pattern patterns payload pending people percent perform performance performed performing
+performs perhaps period periods permanently permission permissions permitted persistent person perspective
+pertaining phrases pickle pickled pickles pickling pieces placed placeholder placeholders places plaintext platform
+platforms please pointed pointer pointing points policy popped popping popular populate populated portable portion
+portions position positional positions positive possibilities possibility possible possibly potential potentially
+powerful practical practice pragma precede preceded precedence precedes preceding precise precision predefined
+predicate prefer preference preferred prefix prefixed prefixes prepare prepared prepend prepended presence present
+presented preserve preserved preserves preserving pressed pressing presumably pretty prevent preventing prevents
+previous previously primarily primary primitive printable printed printing prints priority private probably problem
+problems proceed process processed processes processing processor produce produced produces producing product
+production profile profiler program programming programs progress prompt propagate propagated proper properly
+properties property protect protected protection protocol protocols provide provided provides providing proxies
+pseudo public publicity published purely purpose purposes pushed pushes putting pyexpat python quadratic qualified
+queries querying queues quotation quoted quotes quoting raised raises raising random ranges rarely rather reachable
+reached reaches readable reader reading readline readonly really reason reasonable reasonably reasons receive
+received receives receiving recent recently recognize recognized recommended recommends record recorded records
+recreate rectangle recurse recursion recursive recursively redefine redirect redirected redistribute reduce reduced
+reduces redundant reference referenced references referring refers reflect reflected refuse regardless regexp
+register registered registering registers registry regular reject related relative relatively release released
+releases relevant reliable reliably relied relies remain remainder remaining remains remember remote removal remove
+removed removes removing rename renamed rendered repeat repeated repeatedly repeats repetitions replace replaced
+replacement replacements replaces replacing report reported reporting reports represent representation
+representations represented representing represents reproduce request requested requests require required
+requirement requirements requires requiring reraise reserved resets resolution resolve resolved resolving resource
+resources respect respective respectively respond response responses responsible restore restores restrict
+restriction restrictions result resulting results resume resumes retain retained retrieve retrieved return returned
+returning returns reused reverse reversed rewrite rights rotate roughly rounded rounding routine routines runner
+running runtime safely safety sample sanity satisfy saving scalar scanned scanning scheduled scheduling scheme
+schemes screen script scripts search searched searches searching second seconds section sections secure security
+seeking segment segments select selected selection selector selects semantics semaphore semaphores semicolon
+sendfile sending sensible sensitive sentinel separate separated separately separating separator separators sequence
+sequences serialization serialize serialized series server servers serves service session setting settings several
+shared shortcut shorter shortest shorthand should showing shutdown shutting signal signalled signals signature
+signatures signed significant silently similar similarly simple simpler simplest simplified simplify simply
+simultaneously single singleton situation situations skipped skipping slashes slicing slightly slower smaller
+smallest snapshot socket sockets software solely solution someone something sometimes somewhat somewhere
+sophisticated sorted sorting source sources spaces spawned special specialized specific specifically specification
+specifications specified specifier specifies specify specifying speeds speedup splits splitting spurious square
+stable stacking standard started starting starts startup statement statements states static statistics status stderr
+stdlib stdout sticky stopped stopping storage stored stores storing straight strategy stream streaming streams
+stretched strict strictly string strings stripped stripping strong strongly struct structure structures styles
+subclass subclassed subclasses subclassing subdirectories subdirectory subject submodule submodules subparts
+subprocess subprocesses subsequent subsequently subset substitute substitution substitutions substring subtle
+subtract subtraction subtree subtype subtypes succeed succeeds success successful successfully sufficient suffix
+suffixes suitable suites summarize summary superclass supplied supply supplying support supported supporting
+supports suppose supposed suppress surrogate surrounding switch symbol symbolic symbols symlink symlinks symmetry
+synchronization synchronous syntactically syntax syscall sysconfig system systems tables tabsize taking target
+targets technically template temporarily temporary terminal terminate terminated terminates terminating terminator
+termios tested testing textual thanks themselves theory therefore thereof things though thought thousands thread
+threaded threading threads through thrown throws timeout timeouts timestamp timezone together tokens toolkit
+toplevel topmost towards traceback tracing tracker tracking traditional trailing transfer transform transformed
+transient transition transitions translate translated translating translation transmission transmit transparent
+transport traverse traversing treated tricks tricky trigger triggered triggering triple triples trivial truncate
+truncated truncating trying tuples turned turtle turtledemo turtles typical typically typing unable unambiguously
+unavailable unblock unbound unbounded unbuffered unchanged uncompressed unconditionally undefined underlying
+underscore underscores understand understood undocumented undone unexpected unfinished unfortunately unhandled
+unhashable unicode uniformly unique uniquely unittest universal unknown unless unlike unlimited unlink unnecessary
+unpack unpacked unpacking unpickling unquoted unrecognized unsafe unsigned unspecified unsupported unusable unused
+update updated updates updating uppercase urllib usable useful username usually utility validate validation valued
+values variable variables variant variants varies various vector verbose verified verify version versions vertical
+violate virtual visible waited waiter waiting wakeup walking wanted warning warnings weakref weight whatever
+whenever whereas whether whitespace widget wildcard wildcards window windows within without workaround workers
+working wrapped wrapper wrappers wrapping writable writer writes writing written yielded yielding yields yourself
+zeroes zipfile
+""".split()
+)

@@ -425,6 +425,18 @@ def test_scan_and_redact(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty).count() == 0
 
 
+def test_contexts_overlap():
+    r = random.Random(9)
+    letters = "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(20))
+    for text, value in (
+        ("Authorization: Bearer s9KwQ3mZq7RtX2", "s9KwQ3mZq7RtX2"), ("login password is kD8#vQz2!pLx", "kD8#vQz2!pLx"),
+        (f"passphrase: {letters}", letters), (f"ftp://bob:{letters}@host", letters),
+    ):
+        assert secrets.redacted(text) == text.replace(value, "<secret>")
+    for text in ("login: required", "auth: previously known", "credentials: Documentation", f"the bearer {letters} of it", "login password is changeme"):
+        assert secrets.redacted(text) == text
+
+
 def test_long_values():
     r = random.Random(8)
     long = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(700))
