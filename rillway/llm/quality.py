@@ -1,26 +1,27 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a text whose feature exceeds a cutoff. Cutoffs are not guessed: labelled good texts of
-each stratum (a language) are the holdout, and a cutoff is certified only if an exact binomial test says
-that it rejects at most its share of ``alpha`` of the good texts. Candidates of one rule are tested from
-lenient to strict and testing stops at the first that fails (fixed-sequence testing, which needs no
-correction within a rule); rules and strata share ``delta`` by Bonferroni. The false rejection rate of a
-whole stratum is then at most ``alpha`` with probability 1 - ``delta``, over all strata together.
+each stratum (a language) are the holdout, and the five cutoffs are certified together, only if an exact
+binomial test says that all rules at once reject at most ``alpha`` of the good texts. The vectors tested
+form one path from no cutoff to the strictest, drawn from the stratum's bad texts alone, so that it is fixed
+as far as the good texts go; testing stops at the first vector that fails (fixed-sequence testing, which
+needs no correction along the path), and strata share ``delta`` by Bonferroni. The false rejection rate of
+a whole stratum is then at most ``alpha`` with probability 1 - ``delta``, over all strata together.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
-from rillway.llm.store import bounded
+from rillway.llm.store import bounded, settle
 
 #: Candidate cutoffs of each rule, lenient to strict.
 CUTOFFS = {
@@ -132,7 +133,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 def certified(wrong: list[int], good: int, alpha: float, delta: float) -> int:
-    """How many of a rule's cutoffs pass, in order: those whose excess risk is refuted at level delta."""
+    """How many vectors of a path pass, in order: those whose excess risk is refuted at level delta."""
     passed = 0
     for k in wrong:
         if good == 0 or k > alpha * good or binomial_cdf(k, good, alpha) > delta:
@@ -141,34 +142,59 @@ def certified(wrong: list[int], good: int, alpha: float, delta: float) -> int:
     return passed
 
 
+def path(bad: np.ndarray, weight: np.ndarray) -> list[int]:
+    """The rule whose next cutoff each step adds; ``bad`` has, per text and rule, the first cutoff exceeded.
+
+    Steps that catch the most bad texts each come first; what catches none follows, all rules abreast.
+    """
+    size = np.array([len(CUTOFFS[r]) for r in RULES])
+    at, steps = np.zeros(len(RULES), np.int64), []
+    while (at < size).any():
+        left = ~(bad < at).any(axis=1)
+        best = (0.0, int(np.argmin(at / size)), 1)
+        for r in range(len(RULES)):
+            caught = np.cumsum(np.bincount(bad[left, r], weight[left], size[r] + 1)[at[r] : size[r]])
+            for m, c in enumerate(caught, 1):
+                best = max(best, (c / m, r, m), key=lambda x: x[0])
+        steps += [best[1]] * best[2]
+        at[best[1]] += best[2]
+    return steps
+
+
+def joint_cutoffs(first: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> list[float | None]:
+    """The strictest certified vector; rows of ``first`` are kinds of texts, with numbers of good and bad ones."""
+    steps = np.array(path(first[bad > 0], bad[bad > 0]))
+    fails = np.full(len(first), len(steps))
+    for r in range(len(RULES)):
+        when = np.append(np.flatnonzero(steps == r), len(steps))
+        fails = np.minimum(fails, when[first[:, r]])
+    wrong = np.cumsum(np.bincount(fails, good, len(steps) + 1)[:-1]).astype(int).tolist()
+    taken = np.bincount(steps[: certified(wrong, int(good.sum()), alpha, delta)], minlength=len(RULES))
+    return [CUTOFFS[r][k - 1] if k else None for r, k in zip(RULES, taken.tolist(), strict=True)]
+
+
 def fit_cutoffs(counted: DataFrame, stratum: Column, good: Column, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, one nullable cutoff per rule) from labelled rows with COUNTS.
 
-    Only counts of good texts beyond each candidate leave the executors, one row per stratum. A stratum
-    with too few good texts gets nulls: no rule is certified there, so none applies. A null stratum is a
-    stratum of its own.
+    Only numbers of texts alike in what they exceed leave the executors' first pass. A stratum with too few
+    good texts gets nulls: nothing is certified there, so no rule applies. A null stratum is a stratum of
+    its own.
     """
     x = features()
-    named = counted.select(F.struct(stratum.alias("s")).alias("stratum"), good.alias("good"), *(c.alias(r) for r, c in x.items())).where("good")
-    grid = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS[r])]
-    seen = named.groupBy(F.col("stratum.s").alias("s")).agg(F.count("*").alias("n"), *grid)
-    strata = max(1, seen.count())
-    a, d = alpha / len(RULES), delta / (len(RULES) * strata)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = {"s": f["s"]}
-            for r in RULES:
-                got = []
-                for _, row in f.iterrows():
-                    k = certified([int(row[f"{r}_{i}"]) for i in range(len(CUTOFFS[r]))], int(row["n"]), a, d)
-                    got.append(CUTOFFS[r][k - 1] if k else None)
-                out[r] = pd.Series(got, dtype="float64")
-            yield pd.DataFrame(out)
-
-    kind = seen.schema["s"].dataType.simpleString()
-    fitted = seen.mapInPandas(run, f"s {kind}, " + ", ".join(f"{r} double" for r in RULES))
-    fitted = fitted.select(F.col("s").alias("cut_stratum"), *(F.when(~F.isnan(r), F.col(r)).alias(f"cut_{r}") for r in RULES))
+    first = [reduce(lambda a, b: a + b, [F.when(x[r] > c, 0).otherwise(1) for c in CUTOFFS[r]]).cast("long").alias(r) for r in RULES]
+    named = counted.select(F.struct(stratum.alias("s")).alias("stratum"), good.alias("good"), base_failed().alias("base"), *first)
+    cells = named.groupBy(F.col("stratum.s").alias("s"), *RULES).agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good") & ~F.col("base")).alias("n_bad"))
+    cells = settle(cells)
+    strata = max(1, cells.where("n_good > 0").select(F.struct("s").alias("s")).distinct().count())
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds = np.stack([group[r].to_numpy() for r in RULES], axis=1)
+        got = joint_cutoffs(kinds, group["n_good"].to_numpy(), group["n_bad"].to_numpy(), alpha, delta / strata)
+        return pa.table([group["s"].slice(0, 1), *(pa.array([c], pa.float64()) for c in got)], names=["s", *RULES])
+
+    kind = cells.schema["s"].dataType.simpleString()
+    fitted = cells.groupBy("s").applyInArrow(run, f"s {kind}, " + ", ".join(f"{r} double" for r in RULES))
+    fitted = fitted.select(F.col("s").alias("cut_stratum"), *(F.col(r).alias(f"cut_{r}") for r in RULES))
     return F.broadcast(fitted) if strata <= BROADCAST_STRATA else fitted
 
 

@@ -288,6 +288,21 @@ def test_cutoffs_hold(spark):
     assert quality.judge(counted.limit(0), F.col("lang"), cuts).count() == 0
 
 
+def test_cutoffs_of_small_strata(spark):
+    """Risk is spent jointly, so a few hundred good texts certify cutoffs; all rules together keep to it."""
+    r = random.Random(3)
+    text = lambda tail: " ".join(f"w{r.randint(0, 5000)}{tail}" for _ in range(80))
+    rows = [(lang, i < 330, text("" if i < 330 else "###")) for lang in ("de", "en", "es", "fr") for i in range(350)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "doc_id long, lang string, good boolean, text string")
+    counted = quality.with_counts(df, "text", ["doc_id", "lang", "good"]).select("row.*", *quality.COUNTS).cache()
+    cuts = quality.fit_cutoffs(counted, F.col("lang"), F.col("good"))
+    got = quality.judge(counted, F.col("lang"), cuts).groupBy("lang", "good").agg(F.count_if("kept").alias("n")).collect()
+    assert all(x.n >= 0.98 * 330 if x.good else x.n == 0 for x in got) and len(got) == 8
+    first = np.array([[12, 10, 10, 11, 12], [13, 9, 10, 11, 12], [13, 10, 9, 11, 12], [13, 10, 10, 11, 12]])
+    cut = quality.joint_cutoffs(first, np.array([6, 6, 6, 982]), np.zeros(4, int), 0.02, 0.0125)
+    assert sum(c is not None and c == quality.CUTOFFS[k][-1] for k, c in zip(quality.RULES[:3], cut, strict=False)) < 2
+
+
 # 5, 6 ---------------------------------------------------------------------------------------------------
 def covered(seqs, width):
     seen, out = set(), []
