@@ -39,12 +39,12 @@ def wait_for(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> D
     return waiting.select("resource", F.col("vehicle").alias("waiter")).join(holders.select("resource", F.col("vehicle").alias("holder")), "resource").select("waiter", "holder").distinct()
 
 
-def cycles(edges: DataFrame, longest: int = 32) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
     Nodes that do not reach themselves are dropped first, by squaring the reachability relation, which takes
     as many rounds as the longest wait has bits; so long chains cost little. Paths then grow from the least
-    node of a cycle only, to at most ``longest`` nodes.
+    node of a cycle only, until none is left; a path repeats no node, so the nodes bound the rounds.
     """
     edges = cut(edges.where("waiter <> holder").distinct())
     reach, n = edges, edges.count()
@@ -58,14 +58,15 @@ def cycles(edges: DataFrame, longest: int = 32) -> DataFrame:
     edges = cut(edges.join(loops, "waiter", "left_semi").join(loops.withColumnRenamed("waiter", "holder"), "holder", "left_semi").select("waiter", "holder"))
     paths = edges.where("holder > waiter").select(F.col("waiter").alias("root"), F.col("holder").alias("tip"), F.array("waiter", "holder").alias("path"))
     found = None
-    for _ in range(longest - 1):
+    while True:
         grown = paths.join(edges, F.col("tip") == F.col("waiter"))
         closed = grown.where("holder = root").select("path")
+        closed = cut(closed)
         found = closed if found is None else found.unionByName(closed)
         paths = cut(grown.where("holder > root AND NOT array_contains(path, holder)").select("root", F.col("holder").alias("tip"), F.concat("path", F.array("holder")).alias("path")))
         if paths.isEmpty():
             break
-    return found.select(rotated(F.col("path")).alias("cycle")).distinct() if found is not None else edges.sparkSession.createDataFrame([], "cycle array<bigint>")
+    return found.select(rotated(F.col("path")).alias("cycle")).distinct()
 
 
 def victim(cycle: Column, priority: Column) -> Column:

@@ -107,6 +107,12 @@ def test_deadlock_cycles(spark):
     assert sorted(list(r.cycle) for r in got) == [[1, 2], [3, 4, 5]]
 
 
+def test_long_deadlock_cycle(spark):
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    got = traffic.cycles(spark.createDataFrame([*ring, (39, 38)], "waiter long, holder long")).collect()
+    assert sorted(list(r.cycle) for r in got) == [list(range(40)), [38, 39]]
+
+
 def test_routes(spark):
     r = {(x.start, x.goal): (x.path, x.cost) for x in traffic.routes(spark).collect()}
     assert r["A", "F"] == ("A>B>C>F", 760.0) and r["A", "A"] == ("A", 0.0) and len(r) == 36
