@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from rillway.llm.store import bounded
 
-#: Elements that do not start a block, elements without an end, elements whose text is no text.
+#: Elements that do not start a block, elements without an end, elements whose text is
+#: no text once they are closed (what follows an unclosed one is text), or never; elements of a head.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom mspace merror semantics annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style template noscript iframe object svg math canvas audio video head title select textarea button".split())
+SILENT = set("template noscript object svg canvas audio video select button".split())
+RAW = set("script style iframe title textarea annotation annotation-xml".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME_CLOSES = set("li dd dt tr td th option p".split())
 PATH, WORD, MEASURES = 256, 32, 8
@@ -42,6 +46,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.held: list[tuple[int, int]] = []
         self.blocks: list[tuple[tuple[str, ...], str, int, str]] = []
         self.parts: list[str] = []
         self.linked = self.in_link = self.silent = 0
@@ -56,9 +61,11 @@ class Blocks(HTMLParser):
 
     def _pop(self, at: int) -> None:
         for tag, _ in self.open[at:]:
-            self.silent -= tag in SILENT
+            self.silent -= tag in RAW
             self.in_link -= tag == "a"
         del self.open[at:]
+        while self.held and self.held[-1][0] >= at:
+            self.held.pop()
 
     def _path(self) -> tuple[str, ...]:
         return tuple(n for t, names in self.open if t not in INLINE for n in names)
@@ -67,6 +74,11 @@ class Blocks(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD or tag == "body":
+            at = next((i for i, (name, _) in enumerate(self.open) if name == "head"), None)
+            if at is not None:
+                self.flush()
+                self._pop(at)
         if tag not in INLINE:
             self.flush()
             stop = {"p": CLOSES_P}.get("p") if tag in CLOSES_P else ()
@@ -84,8 +96,10 @@ class Blocks(HTMLParser):
             for k, v in attrs:
                 if v and k in ("class", "id", "role", "itemprop"):
                     names += [f".{w}" for w in _NAME.findall(v.lower())[:6]]
+        if tag in SILENT:
+            self.held.append((len(self.open), len(self.blocks)))
         self.open.append((tag, tuple(names)))
-        self.silent += tag in SILENT
+        self.silent += tag in RAW
         self.in_link += tag == "a"
         if tag not in INLINE:
             self.names = self._path()
@@ -103,6 +117,8 @@ class Blocks(HTMLParser):
             self.flush()
         elif any(t not in INLINE for t, _ in self.open[at:]):
             return  # a stray inline end does not close blocks
+        if tag in SILENT:
+            del self.blocks[next(n for i, n in self.held if i == at) :]
         self._pop(at)
         self.names = self._path()
 

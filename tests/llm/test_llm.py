@@ -247,6 +247,17 @@ def test_blocks():
     assert len(pages.read_blocks("<div>" * 3000 + "deep")) == 1
 
 
+def test_blocks_of_unclosed_elements():
+    read = lambda html: [b[1] for b in pages.read_blocks(html)]
+    story = "<article><p>one</p><p>two</p></article>"
+    for head in ("<head><title>t</title><body>", "<head><title>t</title>", "<head><meta charset=x><style>p {}</style></head>", "<head><noscript><link href=x><body>"):
+        assert read("<html>" + head + story) == ["one", "two"]
+    for tag in ("button", "select", "object", "template", "svg"):
+        assert read(f"<body><div><{tag}><p>one</p><p>two</p></div><p>three</p>") == ["one", "two", "three"]
+        assert read(f"<body><div><{tag}><i>no</i> no</{tag}><p>one</p></div>") == ["one"]
+    assert read("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
+
+
 def test_extract(spark):
     html = "<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li></ul></nav><article><h1>A title here</h1>" + "".join(f"<p>Sentence number {i} of the story, with words enough to read.</p>" for i in range(6)) + "</article><footer>&copy; 2020 example, all rights reserved</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", html, "x"), (2, None, None, "x"), (3, "v", "", None), (3, "v", "", None)], "page_id long, url string, html string, text string")
