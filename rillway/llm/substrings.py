@@ -62,6 +62,7 @@ class FingerprintIndex:
         found = settle(rp.classes(sorted_, self.width))
         self.runs.append((0, table))
         whole = settle(new.where("kind = 0").select("doc", "lo", "n"))
+        self.compact()
         return found.where("kind = 0").select("doc", "lo", "n").unionByName(whole), found.where("kind = 2").select("fp", "doc", "lo", "n", "off")
 
     def compact(self) -> None:
@@ -133,7 +134,7 @@ def cut_words(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest per row of the words left of each whole text, its documents added in batches of rising ids.
 
     A null text has no words. Rows that repeat an id must repeat its text and count as one document; a row

@@ -394,6 +394,14 @@ def test_index_compacts(spark):
     index.drop()
 
 
+def test_dedup_compacts(spark, docs, monkeypatch):
+    """Batches as the registered query adds them fill a level, and the index merges it by itself."""
+    levels, compact = [], substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (compact(self), levels.append([k for k, _ in self.runs])))
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(docs, 6, 3).collect()}
+    assert levels[-1] == [1] and got == {i: sum(m) for i, m in enumerate(covered([WORD.findall(t or "") for t in corpus()], 6))}
+
+
 def test_refinement_is_exact():
     r = np.random.default_rng(4)
     flat = r.integers(0, 3, 4000).astype(np.uint8)
