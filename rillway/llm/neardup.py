@@ -46,7 +46,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
     grams = tb.window_hash(h, width)
     at = np.flatnonzero(of[: len(grams)] == of[width - 1 :]) if len(grams) else np.zeros(0, np.int64)
     short = np.flatnonzero((n_words > 0) & (n_words < width))
-    whole = tb.span_hash(h, first[short], first[short + 1], np.uint64(0xC2B2AE3D27D4EB4F))
+    whole = tb.sequence_hash(h, first[short], first[short + 1])
     keys, texts = np.concatenate([grams[at], whole]), np.concatenate([of[at] if len(at) else at, short])
     order = np.lexsort((keys, texts))
     keys, texts = keys[order], texts[order]

@@ -87,7 +87,7 @@ def token_ids(known: WordIds, data: np.ndarray, offs: np.ndarray) -> tuple[np.nd
     """
     starts, ends, first = tb.words(data, offs)
     owner = tb.owner(first)
-    _, at, which = np.unique(tb.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    at, which = tb.distinct_spans(data, starts, ends)
     raw = data.tobytes()
     entries = [known[raw[a:b]] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     flat = np.frombuffer(b"".join(entries), "<u4")

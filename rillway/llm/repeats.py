@@ -52,13 +52,8 @@ def stretches(units: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> d
     none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "off", "fp", "ctx")}
     if total < width:
         return none
-    at = np.arange(total - gram + 1)
-    prefix = np.zeros(total + 1, np.uint64)
-    base = np.uint64(0xC2B2AE3D27D4EB4F)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * tb.powers(base, total), out=prefix[1:])
-    back = tb.powers(tb._INVERSE[int(base)], total + 1)
-    grams = tb.mix((prefix[at + gram] - prefix[at]) * back[at])
-    key = (tb.mix(grams) >> PLACE << PLACE) | at.astype(np.uint64)
+    grams = tb.window_hash(units, gram)
+    key = (grams >> PLACE << PLACE) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_least(key, width - gram + 1)
     size = np.diff(bounds)
     many = np.maximum(size - width + 1, 0)
@@ -73,7 +68,8 @@ def stretches(units: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> d
     n = np.diff(np.append(first, len(text)))
     lo, a, of = windows[first], anchor[first], text[first]
     end = lo + n - 1 + width
-    ctx = tb.mix((prefix[end] - prefix[lo]) * back[lo] + (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (n.astype(np.uint64) << np.uint64(40)))
+    whole = tb.span_hash if units.dtype == np.uint8 else tb.sequence_hash
+    ctx = tb.mix(whole(units, lo, end) + (a - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (n.astype(np.uint64) << np.uint64(40)))
     return {"text": of, "lo": lo - bounds[of], "n": n, "off": a - lo, "fp": grams[a].view(np.int64), "ctx": ctx.view(np.int64)}
 
 
@@ -216,7 +212,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, units: Units, width: int) -> Da
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at, d, p = begin[row] + step, doc[row], lo[row] + step
-        h1, h2 = tb.span_hash(values, at, at + width), tb.span_hash(values, at, at + width, np.uint64(0xC2B2AE3D27D4EB4F))
+        h1, h2 = (tb.window_hash(values, width, seed)[at] for seed in (1, 2))
         order = np.lexsort((p, d, h2, h1))
         late = order[later_of_class(order, h1, h2, doc=d, lo=p)]
         cd, ca, ce = merged(d[late], p[late], p[late] + width)
@@ -236,7 +232,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, units: Units, width: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, want = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j, data, offs in tb.texts(batch.column(1), 4 << 20):
+            for i, j, data, offs in tb.texts(batch.column(1), 1 << 20):
                 values, bounds = units(data, offs)
                 some = want.slice(i, j - i)
                 w = some.flatten()
@@ -254,7 +250,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, units: Units, width: int) -> Da
     return met.mapInArrow(run, CONTEXT)
 
 
-def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type, width: int, limit: int = 1 << 21) -> DataFrame:
+def compared(rows: DataFrame, label: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type, width: int, limit: int = 1 << 19) -> DataFrame:
     """Ranges (doc, lo, n) of windows that start earlier in another context of the same q-gram.
 
     ``rows`` is sorted by (fp, doc, lo) within partitions of fp. ``label`` numbers the windows that start

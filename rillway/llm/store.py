@@ -40,3 +40,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results wherever Spark's file systems hold it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

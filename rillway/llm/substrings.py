@@ -3,28 +3,32 @@
 The index is a list of immutable runs: tables bucketed by fingerprint and sorted within buckets, one per
 batch added. A batch is combined within itself, written as the next run, and merge-joined with every
 earlier run bucket by bucket, without shuffling history. Fingerprints met again are compared: equal
-contexts are repeats throughout, others are verified word by word against the documents. When a level
-holds ``fan_in`` runs they are compacted into one run of the next level.
+contexts under equal fingerprints (128 bits together) are repeats throughout, others are verified word by
+word against the documents. When a level holds ``fan_in`` runs they are compacted into one run of the next
+level.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import repeats as rp
 from rillway.llm import textbytes as tb
-from rillway.llm.store import settle
+from rillway.llm.store import fresh_path, remove, settle
 from rillway.llm.suffixes import pointers, refine
 
 WIDTH, GRAM = 20, 5
+ANCHOR_COLUMNS = ["kind", "fp", "ctx", "doc", "lo", "n", "off"]
 
 
 def word_labels(width: int):
@@ -32,52 +36,88 @@ def word_labels(width: int):
 
 
 class FingerprintIndex:
-    """Runs of anchor fingerprints (fp, ctx, doc, lo, n, off); documents come in batches of rising ids."""
+    """Runs of anchor fingerprints (fp, ctx, doc, lo, n, off); documents come in batches of rising ids.
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fan_in: int = 4):
-        self.spark, self.width, self.gram, self.fan_in = spark, width, min(gram, max(1, width // 2)), fan_in
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.made = f"rillway_index_{uuid.uuid4().hex}", 0
+    An index lives in a folder of its own under the shared one: each run's files, and a manifest per change
+    that names the runs it has. Opening the same folder again, in any session, goes on where it stopped.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fan_in: int = 4, root: str | None = None):
+        self.spark, self.fan_in = spark, fan_in
+        self.root = root or fresh_path(spark, "fingerprint-index")
+        self.session = uuid.uuid4().hex
         self.runs: list[tuple[int, str]] = []
+        self.made = 0
+        known = self._manifest() if root else None
+        if known is None:
+            self.width, self.gram = width, min(gram, max(1, width // 2))
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        else:
+            self.width, self.gram, self.buckets, self.made = known["width"], known["gram"], known["buckets"], known["made"]
+            for level, run in known["runs"]:
+                self.runs.append((level, run))
+                spark.sql(f"CREATE TABLE {self._table(run)} ({rp.ANCHORS.replace(' long', ' bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, ctx, doc, lo) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{run}'")
+
+    def _table(self, run: str) -> str:
+        return f"rillway_{self.session}_{run}"
+
+    def _rows(self, run: str) -> DataFrame:
+        return self.spark.table(self._table(run))
+
+    def _manifest(self) -> dict | None:
+        """The manifest of the last change, or None in a folder without one."""
+        try:
+            found = self.spark.read.schema("made long, body string").json(f"{self.root}/manifest").orderBy(F.desc("made")).first()
+        except AnalysisException:
+            return None
+        return found and json.loads(found["body"])
+
+    def _commit(self) -> None:
+        body = json.dumps({"width": self.width, "gram": self.gram, "buckets": self.buckets, "made": self.made, "runs": self.runs})
+        self.spark.createDataFrame([(self.made, body)], "made long, body string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def _write(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
+        run = f"run_{self.made}"
         self.made += 1
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "ctx", "doc", "lo").format("parquet").option("compression", "zstd").saveAsTable(table)
-        return table
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "ctx", "doc", "lo").format("parquet").option("compression", "zstd").option("path", f"{self.root}/{run}").saveAsTable(self._table(run))
+        return run
+
+    def _forget(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+        remove(self.spark, f"{self.root}/{run}")
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Adds documents (doc, text) later than all before. Gives (ranges to cut, stretches to verify)."""
         rows = rp.anchors(batch, rp.word_units, self.width, self.gram).repartition(self.buckets, "fp")
-        new = self.spark.table(table := self._write(rows))
-        stretches = new.where("kind = 1")
+        new = self._rows(run := self._write(rows))
+        every = [t.where("kind = 1") for t in (new, *(self._rows(r) for _, r in self.runs))]
         # fingerprints met in an earlier run, and those with company in this one
-        alone = stretches.groupBy("fp").agg(F.count("*").alias("k"))
-        met = [alone.join(self.spark.table(t).where("kind = 1").select("fp"), "fp", "left_semi").select("fp") for _, t in self.runs]
-        again = reduce(DataFrame.union, met, alone.where("k > 1").select("fp")).distinct()
-        again = settle(again)
-        every = [stretches, *(self.spark.table(t).where("kind = 1") for _, t in self.runs)]
-        touched = reduce(DataFrame.unionByName, [t.join(again, "fp", "left_semi").select("kind", "fp", "ctx", "doc", "lo", "n", "off") for t in every])
+        alone = every[0].groupBy("fp").agg(F.count("*").alias("k"))
+        met = [alone.join(t.select("fp"), "fp", "left_semi").select("fp") for t in every[1:]]
+        again = settle(reduce(DataFrame.union, met, alone.where("k > 1").select("fp")).distinct())
+        touched = reduce(DataFrame.unionByName, [t.join(again, "fp", "left_semi").select(*ANCHOR_COLUMNS) for t in every])
         sorted_ = touched.repartition(self.buckets, "fp").sortWithinPartitions("kind", "fp", "ctx", "doc", "lo")
         found = settle(rp.classes(sorted_, self.width))
-        self.runs.append((0, table))
+        self.runs.append((0, run))
         whole = settle(new.where("kind = 0").select("doc", "lo", "n"))
         self.compact()
+        self._commit()
         return found.where("kind = 0").select("doc", "lo", "n").unionByName(whole), found.where("kind = 2").select("fp", "doc", "lo", "n", "off")
 
     def compact(self) -> None:
         """Merges the runs of any full level, the first level first; only first stretches of a class stay."""
         level = 0
         while level <= max((k for k, _ in self.runs), default=-1):
-            full = [t for k, t in self.runs if k == level]
+            full = [r for k, r in self.runs if k == level]
             if len(full) >= self.fan_in:
-                rows = reduce(DataFrame.unionByName, (self.spark.table(t).where("kind = 1") for t in full))
+                rows = reduce(DataFrame.unionByName, (self._rows(r).where("kind = 1") for r in full))
                 first = rows.groupBy("fp", "ctx").agg(F.min(F.struct("doc", "lo", "n", "off")).alias("s"))
                 merged = first.select(F.lit(1).alias("kind"), "fp", "ctx", "s.doc", "s.lo", "s.n", "s.off").repartition(self.buckets, "fp")
-                table = self._write(merged)
-                self.runs = [r for r in self.runs if r[1] not in full] + [(level + 1, table)]
-                for t in full:
-                    self.spark.sql(f"DROP TABLE {t}")
+                run = self._write(merged)
+                self.runs = [r for r in self.runs if r[1] not in full] + [(level + 1, run)]
+                self._commit()
+                for r in full:
+                    self._forget(r)
             level += 1
 
     def verify(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -85,10 +125,15 @@ class FingerprintIndex:
         near = rp.contexts(docs, wanted, rp.word_units, self.width).repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc", "lo")
         return rp.compared(near, word_labels(self.width), np.uint64, self.width)
 
+    def close(self) -> None:
+        """Forgets the tables of this session; the folder stays and can be opened again."""
+        for _, r in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(r)}")
+
     def drop(self) -> None:
-        for _, t in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.close()
         self.runs = []
+        remove(self.spark, self.root)
 
 
 def batches_by_id(docs: DataFrame, count: int) -> list[DataFrame]:
@@ -142,8 +187,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int =
     """
     picked = rp.keyed(docs, id_col, text_col)
     index = FingerprintIndex(picked.sparkSession, width, gram)
-    cuts, wanted = zip(*map(index.add, batches_by_id(picked, batches)), strict=True)
+    try:
+        cuts, wanted = zip(*map(index.add, batches_by_id(picked, batches)), strict=True)
+    finally:
+        index.drop()
     wanted = reduce(DataFrame.unionByName, wanted).distinct()
     ranges = reduce(DataFrame.unionByName, cuts).unionByName(index.verify(picked, wanted))
-    index.drop()
     return rp.unkeyed(cut_words(picked, ranges))

@@ -7,14 +7,17 @@ temporaries stay near ``CHUNK`` bytes times a small constant, or one text if tha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_STEP = np.uint64(0xC2B2AE3D27D4EB4F | 1)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Longer spans are hashed one by one with BLAKE2.
+LONG = 256
+_FULL = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,50 +65,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, zeros beyond the end; a view of one copy."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    got = _POWERS.get(int(base))
-    if got is None or len(got) < n:
-        got = np.full(max(n, 1 << 16), base, np.uint64)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        if n <= 4 * CHUNK:
-            _POWERS[int(base)] = got
-    return got[:n]
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end].
 
-
-def _inverse(base: int) -> np.uint64:
-    return np.uint64(pow(base, -1, 1 << 64))
-
-
-_INVERSE = {int(b): _inverse(int(b)) for b in (_BASE, _STEP)}
+    Strings are read eight bytes at a time, each block mixed in turn, all strings abreast; those of more than
+    LONG bytes get a BLAKE2 digest. Strings of one length up to eight bytes never collide.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(seed))
+    at, eights, j = np.flatnonzero((size > 0) & (size <= LONG)), _eights(data), 0
+    while len(at):
+        left = size[at] - 8 * j
+        out[at] = mix(out[at] ^ (eights[starts[at] + 8 * j] & _FULL[np.minimum(left, 8)]))
+        at, j = at[left > 8], j + 1
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """64-bit hashes of values[start:end]: differences of one running polynomial, then mixed with the length."""
-    n = len(values)
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=run[1:])
-    back = powers(_INVERSE[int(base)], n + 1)
-    return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def sequence_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the short sequences values[start:end] of 64-bit hashes."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(seed))
+    at, j = np.flatnonzero(size > 0), 0
+    while len(at):
+        out[at] = mix(out[at] * _STEP + values[starts[at] + j])
+        j += 1
+        at = at[size[at] > j]
+    return out
 
 
-def window_hash(values: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of each ``width`` consecutive values (64-bit hashes themselves)."""
+def window_hash(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of each ``width`` consecutive values, bytes or 64-bit hashes, by doubling: a window is hashed
+    from two windows that cover it. Up to eight bytes are kept as they are until they are mixed."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if width <= 4:
-        out = values[:n].copy()
-        for j in range(1, width):
-            out = mix(out * _STEP + values[j : j + n])
-        return out
-    at = np.arange(n)
-    return span_hash(values, at, at + width, _STEP)
+    h, have = values, 1
+    if values.dtype == np.uint8:
+        h = values.astype(np.uint64)
+        while 2 * have <= min(width, 8):
+            h = (h[:-have] << np.uint64(8 * have)) | h[have:]
+            have *= 2
+    if seed or values.dtype == np.uint8:
+        h = mix(h + np.uint64(seed))
+    while have < width:
+        step = min(have, width - have)
+        h = mix(h[: len(h) - step] * _STEP + h[step:])
+        have += step
+    return h[:n]
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the distinct byte strings data[start:end], which of them each is), told by their bytes."""
+    _, at, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    size, own, eights = ends - starts, at[which], _eights(data)
+    same = size == size[own]
+    some, j = np.flatnonzero(same & (size > 8) & (own != np.arange(len(own)))), 0
+    while len(some) and j * 8 < LONG:
+        left = np.minimum(size[some] - 8 * j, 8)
+        same[some] &= ((eights[starts[some] + 8 * j] ^ eights[starts[own[some]] + 8 * j]) & _FULL[left]) == 0
+        some, j = some[size[some] > 8 * (j + 1)], j + 1
+    for i in some.tolist():
+        same[i] &= np.array_equal(data[starts[i] : ends[i]], data[starts[own[i]] : ends[own[i]]])
+    if not same.all():
+        raw, first = data.tobytes(), {}
+        own = np.array([first.setdefault(raw[a:b], i) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))])
+        at, which = np.unique(own, return_inverse=True)
+    return at, which
 
 
 def runs(mark: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
