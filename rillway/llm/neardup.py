@@ -5,8 +5,9 @@ that resemble one another stand side by side: candidates are neighbours that sha
 leading hashes. Regions of the order with many texts are cut deeper for a first look, so that no task holds
 more than a region cut at full depth and salted. Candidates are confirmed on full shingle sets, first the
 next neighbours alone, then whatever in a region is not in one component yet. Last, each crowded region is
-compared as a whole: it is dealt into blocks, and every two blocks meet in a task of their own. Equal sets
-are one class from the start and are never paired with one another.
+compared as a whole: it is dealt into blocks, every two blocks meet in a task of their own, and what their
+marks leave is confirmed block by block. Equal sets are one class from the start and are never paired with
+one another.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from rillway.llm.store import bounded, settle
 TREES, LEVELS, DEPTH = 16, 8, 4
 REGION = 256
 BLOCK = 2048
-BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
+GROUP_BYTES = 32 << 20
 BROADCAST_IDS = 400_000
 MARKS = 1024
 _MARK_FACTORS = tb.mix(np.arange(1 << 20, (1 << 20) + MARKS, dtype=np.uint64)) | np.uint64(1)
@@ -107,8 +109,8 @@ def forest(reps: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, part, r1, r2, id): the texts that stand together in some order, two at least; and (region,
-    id) of the crowded regions, whole.
+    """(region, part, r1, r2, id, whole): the texts that stand together in some order, two at least, and
+    whether that is their whole region; and (region, id) of the crowded regions, whole.
 
     A region is the texts that share DEPTH hashes; above REGION texts it is crowded, and cut at six, then at
     all eight hashes. Texts still together then agree in a whole key; they are dealt by hash of id into parts
@@ -116,20 +118,20 @@ def regions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``across_blocks``.
     """
     out, open_ = [], rows
-    same = ["part", "r1", "r2", "id"]
+    same = ["part", "r1", "r2", "id", "whole"]
     for key in ("p4", "p6", "p8"):
         met = open_.join(open_.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key)
-        out.append(met.where(F.col("n") <= REGION).withColumn("part", F.lit(0).cast("long")).select(F.col(key).alias("region"), *same))
+        out.append(met.where(F.col("n") <= REGION).withColumns({"part": F.lit(0).cast("long"), "whole": F.lit(key == "p4")}).select(F.col(key).alias("region"), *same))
         open_ = met.where(F.col("n") > REGION)
         if key != "p8":
             open_ = settle(open_.drop("n"))
         if key == "p4":
             crowded = open_.select(F.col("p4").alias("region"), "id")
     parts = F.ceil(F.col("n") / REGION)
-    out.append(open_.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select(F.col("p8").alias("region"), *same))
+    out.append(open_.withColumns({"part": F.pmod(F.xxhash64("id"), parts), "whole": F.lit(False)}).select(F.col("p8").alias("region"), *same))
     least = open_.groupBy("p8", "n").agg(F.min("id").alias("id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     first = F.lit(-(1 << 63))
-    out.append(least.select(F.col("p8").alias("region"), "part", first.alias("r1"), first.alias("r2"), "id"))
+    out.append(least.select(F.col("p8").alias("region"), "part", first.alias("r1"), first.alias("r2"), "id", F.lit(False).alias("whole")))
     return reduce(DataFrame.unionByName, out), crowded
 
 
@@ -162,16 +164,16 @@ def most_mismatches(percent: int) -> int:
 
 
 def strangers(places: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: all pairs of a region whose texts are not in one component yet, but whose marks
-    differ no more often than linked texts' would, 4.5 deviations allowed. What is too unlike is told
-    inside the window, so it makes no rows."""
+    """(a, b) with a < b: all pairs of a region of up to REGION texts that are not in one component yet, but
+    whose marks differ no more often than linked texts' would, 4.5 deviations allowed. What is too unlike is
+    told inside the window, so it makes no rows. Crowded regions are left to ``across_blocks``."""
     most = most_mismatches(percent)
-    known = places.join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").join(marks, "id").select("region", "part", "r1", "r2", "id", F.coalesce("label", "id").alias("label"), "marks")
+    known = places.where("whole").join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").join(marks, "id").select("region", "part", "r1", "r2", "id", F.coalesce("label", "id").alias("label"), "marks")
     order = Window.partitionBy("region", "part").orderBy("r1", "r2", "id")
-    ahead = F.collect_list(F.struct("id", "label", "marks")).over(order.rowsBetween(1, 2 * REGION))
+    ahead = F.collect_list(F.struct("id", "label", "marks")).over(order.rowsBetween(1, REGION))
     fits = F.filter("ahead", lambda x: F.when(x["label"] != F.col("label"), mismatches(x["marks"], F.col("marks")) <= most).otherwise(F.lit(False)))
     met = known.withColumn("ahead", ahead).select("id", F.transform(fits, lambda x: x["id"]).alias("o")).where(F.size("o") > 0)
-    # a pair met in several trees is made a row once; a text has at most TREES * 2 * REGION partners here
+    # a pair met in several trees is made a row once; a text has at most TREES * REGION partners here
     once = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("o"))).alias("o"))
     return _pairs(once.select("id", F.explode("o").alias("o")))
 
@@ -224,12 +226,14 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across_blocks(crowded: DataFrame, label: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: out of all pairs of each crowded region those that are not in one component yet
-    and whose marks allow a link. A region is dealt by hash of id into blocks of about BLOCK texts, and
-    every two blocks meet in one task."""
-    known = settle(crowded.join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("region", "id", F.coalesce("label", "id").alias("label")))
-    sizes = known.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+def across_blocks(crowded: DataFrame, label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(g, a, b) with a < b: out of all pairs of each crowded region those that are not in one component yet
+    and whose marks allow a link. A region is dealt by hash of id into blocks of about BLOCK texts and
+    BLOCK_BYTES of sets, and every two blocks meet in one task, named g."""
+    named = crowded.join(label.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("region", "id", F.coalesce("label", "id").alias("label"))
+    known = settle(named.join(full.select("id", F.length("items").cast("long").alias("size")), "id"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
+    sizes = known.groupBy("region").agg(blocks.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     dealt = known.join(sizes.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label")
@@ -246,21 +250,74 @@ def across_blocks(crowded: DataFrame, label: DataFrame, marks: DataFrame, percen
             near = ids[met[np.bitwise_count(bits[met] ^ bits[i]).sum(axis=1) <= most]]
             a.append(np.minimum(near, ids[i]))
             b.append(np.maximum(near, ids[i]))
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    met = dealt.join(marks, "id").select("region", "x", "y", "block", "id", "label", "marks")
-    return met.groupBy("region", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"g": pa.array(np.full(len(a), group["g"][0].as_py() if len(a) else 0, np.int64)), "a": pa.array(a), "b": pa.array(b)})
+
+    met = dealt.join(full.select("id", "marks"), "id").select("region", "x", "y", F.xxhash64("region", "x", "y").alias("g"), "block", "id", "label", "marks")
+    return met.groupBy("region", "x", "y").applyInArrow(run, "g long, a long, b long").groupBy("a", "b").agg(F.min("g").alias("g")).select("g", "a", "b")
+
+
+def linked_among(flat: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets are alike: a[k] and b[k] name the sets flat[bounds[i] : bounds[i + 1]]; a is sorted."""
+    names, own = np.unique(flat, return_inverse=True)
+    mark, size = np.zeros(len(names), np.int32), np.diff(bounds)
+    keep = np.zeros(len(a), bool)
+    edge = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)) if len(a) else np.zeros(1, np.int64)
+    for s, e in zip(edge, edge[1:], strict=False):
+        i = a[s]
+        may = np.flatnonzero(100 * np.minimum(size[b[s:e]], size[i]) >= percent * np.maximum(size[b[s:e]], size[i])) + s
+        if not len(may):
+            continue
+        mark[own[bounds[i] : bounds[i + 1]]] = 1
+        with_ = b[may]
+        met = mark[np.concatenate([own[bounds[j] : bounds[j + 1]] for j in with_])]
+        common = np.add.reduceat(met, np.cumsum(size[with_]) - size[with_])
+        keep[may] = 100 * common >= percent * (size[i] + size[with_] - common)
+        mark[own[bounds[i] : bounds[i + 1]]] = 0
+    return keep
+
+
+def confirmed_together(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The linked among (g, a, b): a group's sets are sent to its task once, however many pairs it has.
+
+    Groups whose sets take more than GROUP_BYTES are confirmed pair by pair instead.
+    """
+    named = settle(pairs.select("g", F.col("a").alias("id")).union(pairs.select("g", "b")).distinct())
+    sizes = named.join(full.select("id", F.length("items").cast("long").alias("size")), "id").groupBy("g").agg(F.sum("size").alias("size"))
+    large = settle(sizes.where(F.col("size") > GROUP_BYTES).select("g"))
+
+    def run(pair: pa.Table, sets_: pa.Table) -> pa.Table:
+        if not pair.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ids, items = sets_["id"].to_numpy(), sets_["items"].combine_chunks()
+        order = np.argsort(ids)
+        flat = np.frombuffer(b"".join(x.as_buffer() for x in items), np.uint64)
+        bounds = np.append(0, np.cumsum([len(x.as_buffer()) // 8 for x in items])).astype(np.int64)
+        pair = pair.sort_by("a")
+        a, b = (order[np.searchsorted(ids, pair[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+        return pair.select(["a", "b"]).filter(pa.array(linked_among(flat, bounds, a, b, percent)))
+
+    small, some = pairs, named
+    if crowd := not large.isEmpty():
+        small, some = pairs.join(large, "g", "left_anti"), named.join(large, "g", "left_anti")
+    held = some.join(full.select("id", "items"), "id").select(F.col("g").alias("h"), "id", "items")
+    out = small.groupBy("g").cogroup(held.groupBy("h")).applyInArrow(run, "a long, b long")
+    if crowd:
+        out = out.unionByName(confirmed(pairs.join(large, "g", "left_semi").select("a", "b"), full, percent))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id reachable, by alternating large-star and small-star steps.
 
-    Each step is two grouped minima and joins with edge-sized tables, so no component meets in one task.
+    Each step is two grouped minima, combined before they are dealt, and joins with edge-sized tables. The
+    edges of a star's hub share a key; the minima are settled first, so that the join reads both sides
+    straight from a shuffle and Spark's skew handling may split that key.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -277,27 +334,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Texts are linked if the Jaccard likeness of their shingle sets is at least ``percent`` hundredths;
     component_id is the least id linked, itself included. Texts without words are linked with nothing.
-    Rows that repeat an id get the same component; a row without an id has no component and is kept.
+    Rows that repeat an id get the same component, and of several texts of one id the one with the greatest
+    set of hashes is compared; a row without an id has no component and is kept.
     """
     sketched = settle(sketch(docs, width, id_col, text_col))
     named = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     places, crowded = regions(forest(classes))
     places = settle(places)
-    full = settle(sets(docs, places.select("id").union(crowded.select("id")).distinct(), width, id_col, text_col).dropDuplicates(["id"]))
+    full = sets(docs, places.select("id").union(crowded.select("id")).distinct(), width, id_col, text_col)
+    full = settle(full.groupBy("id").agg(F.max(F.struct("items", "marks")).alias("s")).select("id", "s.*"))
     edges = settle(confirmed(next_neighbours(places), full, percent))
     label = components(edges)
     rest = strangers(places, label, full.select("id", "marks"), percent)
     label = components(edges.unionByName(confirmed(rest, full, percent)))
     if not crowded.isEmpty():
         joined = label.select(F.col("label").alias("a"), F.col("id").alias("b"))
-        across = settle(across_blocks(crowded, label, full.select("id", "marks"), percent))
-        met = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
-        own = settle(full.join(met, "id", "left_semi").select("id", "items"))
-        few = (own.agg(F.sum(F.length("items"))).first()[0] or 0) <= BROADCAST_BYTES
-        label = components(joined.unionByName(confirmed(across, F.broadcast(own) if few else own, percent)))
-    first = classes.select("n_shingles", "set_a", "set_b", "id").join(label, "id", "left")
-    first = first.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.coalesce("label", "id")).alias("component"))
+        across = settle(across_blocks(crowded, label, full, percent))
+        if not across.isEmpty():
+            label = components(joined.unionByName(confirmed_together(across, full, percent)))
+    # settled, so that the join can split a class that holds many rows
+    first = settle(classes.select("n_shingles", "set_a", "set_b", "id").join(label, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("label", "id").alias("component")))
     out = sketched.drop("signature").join(first, ["n_shingles", "set_a", "set_b"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -75,6 +75,28 @@ def test_thue_morse(spark, pair):
     assert ids.tolist()[:-1] == tokenizer.tokenizer.encode(texts[3], add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("n", "pieces"), [(400, False), (1600, False), (400, True)])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, n, pieces):
+    """A family whose pairs are all at 0.847, but for planted ones at 0.855: every one is found, at real sizes."""
+    if pieces:  # groups too large for one task are confirmed pair by pair
+        monkeypatch.setattr(neardup, "GROUP_BYTES", 1)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 20)
+    core = [f"c{i}" for i in range(1000)]
+    texts = [" ".join([*core, *(f"p{i // 2}x{k}" for k in range(5)), *(f"u{i}x{k}" for k in range(85))]) for i in range(n)]
+    assert 100 * 1005 >= 85 * (1000 + 5 + 170) and 100 * 1000 < 85 * (1000 + 180)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts, list(range(10, n + 10))), 1, 85).collect()}
+    assert got == {i + 10: i - i % 2 + 10 for i in range(n)}
+
+
+def test_linked_among_equals_pairs():
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    sets = [pool[np.sort(rng.choice(40, rng.integers(1, 40), replace=False))] for _ in range(60)]
+    a, b = (x.ravel() for x in np.meshgrid(range(60), range(60), indexing="ij"))
+    got = neardup.linked_among(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])), a, b, 60)
+    assert got.tolist() == [neardup.alike(sets[i], sets[j], 60) for i, j in zip(a, b, strict=True)]
+
+
 def test_long_texts(spark):
     """Texts of several chunks of CHUNK bytes, in part equal, through every operator on words and bytes."""
     rng = np.random.default_rng(5)
