@@ -28,6 +28,7 @@ REGION = 256
 BLOCK = 2048
 BLOCK_BYTES = 12 << 20
 GROUP_BYTES = 32 << 20
+EDGES_PER_PART = 200_000
 BROADCAST_IDS = 400_000
 MARKS = 1024
 _MARK_FACTORS = tb.mix(np.arange(1 << 20, (1 << 20) + MARKS, dtype=np.uint64)) | np.uint64(1)
@@ -312,21 +313,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is two grouped minima, combined before they are dealt, and joins with edge-sized tables. The
     edges of a star's hub share a key; the minima are settled first, so that the join reads both sides
-    straight from a shuffle and Spark's skew handling may split that key.
+    straight from a shuffle and Spark's skew handling may split that key. Tables of few edges are kept in
+    few partitions, in proportion to their number.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    check = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = check(edges)
+    parts = 1 + seen[0] // EDGES_PER_PART
     while True:
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = settle(small.select("e.u", "e.v").where("u <> v").distinct())
-        check = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(check(new)) == tuple(check(edges)):
-            return new.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        edges = new
+        edges = settle(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(parts))
+        if (now := check(edges)) == seen:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        seen = now
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
