@@ -25,7 +25,7 @@ from rillway.llm.store import bounded, settle
 
 TREES, LEVELS, DEPTH = 16, 8, 4
 REGION = 256
-BLOCK = 2048
+BLOCK = 512
 BLOCK_BYTES = 12 << 20
 GROUP_BYTES = 32 << 20
 EDGES_PER_PART = 200_000

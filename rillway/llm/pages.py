@@ -12,9 +12,11 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,73 +38,103 @@ SAME_CLOSES = set("li dd dt tr td th option p".split())
 PATH, WORD, MEASURES = 256, 32, 8
 INPUT, HIDDEN = PATH + WORD + MEASURES, 20
 TRAIN_PAGES, EPOCHS, SEED = 2000, 8, 3
+#: Pages of more blocks are labelled alone, in bounded memory.
+LONG_PAGE = 16_384
 _WORD = re.compile(r"\w+")
 _NAME = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _slot(name: str, size: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
+
+
+class Block(NamedTuple):
+    """A leaf block: counts of hashed path names, their number, text, characters inside links, element."""
+
+    path: bytes
+    names: int
+    text: str
+    linked: int
+    tag: str
+
+
 class Blocks(HTMLParser):
-    """Collects (path names, text, characters inside links, element name) per leaf block, in page order."""
+    """Collects the blocks of a page in order. Each tag costs the same however deep it stands: the path is kept
+    as running counts of its hashed names, and open elements are found by their name."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[tuple[str, list[int]]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.solid: list[int] = []  # places of open elements that are not inline
+        self.count, self.total = [0] * PATH, 0
+        self.mark = bytearray(PATH)
         self.held: list[tuple[int, int]] = []
-        self.blocks: list[tuple[tuple[str, ...], str, int, str]] = []
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.in_link = self.silent = 0
-        self.names: tuple[str, ...] = ()
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            block = next((t for t, _ in reversed(self.open) if t not in INLINE), "")
-            self.blocks.append((self.names, text, self.linked, block))
-        self.parts, self.linked = [], 0
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.blocks.append(Block(bytes(self.mark), self.total, text, self.linked, self.open[self.solid[-1]][0] if self.solid else ""))
+            self.parts = []
+        self.linked = 0
+
+    def _push(self, tag: str, slots: list[int]) -> None:
+        self.where[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.solid.append(len(self.open))
+        self.open.append((tag, slots))
+        self.silent += tag in RAW
+        self.in_link += tag == "a"
+        self.total += len(slots)
+        for k in slots:
+            self.count[k] += 1
+            self.mark[k] = 1
 
     def _pop(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
+        while len(self.open) > at:
+            tag, slots = self.open.pop()
+            self.where[tag].pop()
             self.silent -= tag in RAW
             self.in_link -= tag == "a"
-        del self.open[at:]
+            self.total -= len(slots)
+            for k in slots:
+                self.count[k] -= 1
+                self.mark[k] = self.count[k] > 0
+        while self.solid and self.solid[-1] >= at:
+            self.solid.pop()
         while self.held and self.held[-1][0] >= at:
             self.held.pop()
 
-    def _path(self) -> tuple[str, ...]:
-        return tuple(n for t, names in self.open if t not in INLINE for n in names)
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
-        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD or tag == "body":
-            at = next((i for i, (name, _) in enumerate(self.open) if name == "head"), None)
-            if at is not None:
-                self.flush()
-                self._pop(at)
+        if (self.open and self.open[-1][0] == "head" and tag not in IN_HEAD or tag == "body") and self.where["head"]:
+            self.flush()
+            self._pop(self.where["head"][0])
         if tag not in INLINE:
             self.flush()
-            stop = {"p": CLOSES_P}.get("p") if tag in CLOSES_P else ()
-            for i in reversed(range(len(self.open))):
-                name = self.open[i][0]
-                if (name == "p" and tag in stop) or (name == tag and tag in SAME_CLOSES):
-                    self._pop(i)
-                    break
-                if name not in INLINE:
-                    break
+            if self.solid:
+                name = self.open[self.solid[-1]][0]
+                if name == "p" and tag in CLOSES_P or name == tag and tag in SAME_CLOSES:
+                    self._pop(self.solid[-1])
         if tag in VOID:
             return
-        names = [tag]
+        slots: list[int] = []
         if tag not in INLINE:
+            names = [tag]
             for k, v in attrs:
                 if v and k in ("class", "id", "role", "itemprop"):
-                    names += [f".{w}" for w in _NAME.findall(v.lower())[:6]]
+                    names += [f".{w}" for w in _NAME.findall(v.lower())]
+            slots = [_slot(n, PATH) for n in names]
         if tag in SILENT:
             self.held.append((len(self.open), len(self.blocks)))
-        self.open.append((tag, tuple(names)))
-        self.silent += tag in RAW
-        self.in_link += tag == "a"
-        if tag not in INLINE:
-            self.names = self._path()
+        self._push(tag, slots)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -110,17 +142,18 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
-        if at is None:
+        if not self.where[tag]:
             return
+        at = self.where[tag][-1]
         if tag not in INLINE:
             self.flush()
-        elif any(t not in INLINE for t, _ in self.open[at:]):
+        elif self.solid and self.solid[-1] > at:
             return  # a stray inline end does not close blocks
         if tag in SILENT:
-            del self.blocks[next(n for i, n in self.held if i == at) :]
+            while self.held[-1][0] > at:
+                self.held.pop()
+            del self.blocks[self.held[-1][1] :]
         self._pop(at)
-        self.names = self._path()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -129,7 +162,7 @@ class Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def read_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, str]]:
+def read_blocks(html: str | None) -> list[Block]:
     """Blocks of a page; null and pages without text have none. White space within a block is one space."""
     page = Blocks()
     page.feed(html or "")
@@ -138,26 +171,21 @@ def read_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int, str]]
     return page.blocks
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
-
-
-def vectors(blocks: list) -> np.ndarray:
-    """One row per block; every word of the block counts."""
+def vectors(blocks: list, first: int = 0, of: int | None = None) -> np.ndarray:
+    """One row per block; every word of the block counts. ``blocks`` may be those from ``first`` on of a page of ``of``."""
     out = np.zeros((len(blocks), INPUT), np.float32)
-    n = max(1, len(blocks) - 1)
-    for i, (names, text, linked, tag) in enumerate(blocks):
+    n = max(1, (of or len(blocks)) - 1)
+    if blocks:
+        out[:, :PATH] = np.frombuffer(b"".join(b.path for b in blocks), np.uint8).reshape(len(blocks), PATH)
+    for i, (_, names, text, linked, tag) in enumerate(blocks):
         row = out[i]
-        for name in names:
-            row[_slot(name, PATH)] = 1.0
         row[_slot("<" + tag, PATH)] = 1.5
         words = _WORD.findall(text.lower())
         if words:
             count = np.bincount([_slot(w, WORD) for w in words], minlength=WORD)
             row[PATH : PATH + WORD] = np.sqrt(count / len(words))
         marks = sum(text.count(c) for c in ".,;!?")
-        row[PATH + WORD :] = (np.log1p(len(text)) / 6, min(1.0, linked / len(text)), min(1.0, 8 * marks / len(text)), text[-1] in ".!?…:\"»”'", len(words) < 6, i / n, min(1.0, sum(map(text.count, "|©»·")) / 2), len(names) / 12)
+        row[PATH + WORD :] = (np.log1p(len(text)) / 6, min(1.0, linked / len(text)), min(1.0, 8 * marks / len(text)), text[-1] in ".!?…:\"»”'", len(words) < 6, (first + i) / n, min(1.0, sum(map(text.count, "|©»·")) / 2), min(3.0, names / 12))
     return out
 
 
@@ -174,10 +202,11 @@ class Labeller:
         self.b = [np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)]).astype(np.float32) for _ in range(2)]
         self.v, self.c = (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), np.zeros(1, np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, k: int, keep: bool):
-        steps, pages, _ = x.shape
-        pre = x.reshape(-1, INPUT) @ self.w[k][:INPUT]
-        pre = pre.reshape(steps, pages, -1) + self.b[k]
+    def _inputs(self, x: np.ndarray, k: int) -> np.ndarray:
+        return x @ self.w[k][:INPUT] + self.b[k]
+
+    def _pass(self, pre: np.ndarray, mask: np.ndarray, k: int, keep: bool):
+        steps, pages, _ = pre.shape
         u = self.w[k][INPUT:]
         h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
         out, trace = np.zeros((steps, pages, HIDDEN), np.float32), []
@@ -195,12 +224,24 @@ class Labeller:
             out[t] = h
         return out, trace
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._pass(x, mask, k, False)[0] for k in (0, 1)], axis=2)
+    def _scores(self, pre: list[np.ndarray], mask: np.ndarray) -> np.ndarray:
+        both = np.concatenate([self._pass(p, mask, k, False)[0] for k, p in enumerate(pre)], axis=2)
         return _sigmoid(both @ self.v + self.c)
 
+    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self._scores([self._inputs(x, k) for k in (0, 1)], mask)
+
+    def scores_of_long(self, blocks: list, part: int = 4096) -> np.ndarray:
+        """The scores of one long page, whose vectors are made and projected ``part`` blocks at a time."""
+        pre = [np.empty((len(blocks), 1, 4 * HIDDEN), np.float32) for _ in (0, 1)]
+        for at in range(0, len(blocks), part):
+            x = vectors(blocks[at : at + part], at, len(blocks))
+            for k in (0, 1):
+                pre[k][at : at + part, 0] = self._inputs(x, k)
+        return self._scores(pre, np.ones((len(blocks), 1), np.float32))[:, 0]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        passes = [self._pass(x, mask, k, True) for k in (0, 1)]
+        passes = [self._pass(self._inputs(x, k), mask, k, True) for k in (0, 1)]
         both = np.concatenate([p[0] for p in passes], axis=2)
         d = (_sigmoid(both @ self.v + self.c) - y) * mask / max(1.0, mask.sum())
         grads = [None, None, None, None, np.tensordot(d, both, 2), np.array([d.sum()], np.float32)]
@@ -389,7 +430,7 @@ def drawn(count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         blocks = read_blocks(html)
         want = [" ".join(unescape(t).split()) for t in main]
         y, at = np.zeros(len(blocks), np.float32), 0
-        for i, (_, text, _, _) in enumerate(blocks):
+        for i, (_, _, text, _, _) in enumerate(blocks):
             if at < len(want) and text == want[at]:
                 y[i], at = 1.0, at + 1
         if at == len(want):
@@ -413,6 +454,10 @@ def label_pages(model: Labeller, pages: list[list], limit: int = 200_000) -> lis
         while end < len(order) and end - at < 256 and len(pages[order[end]]) * (end - at + 1) * 8 <= limit:
             end += 1
         some = order[at:end]
+        if len(pages[order[at]]) > LONG_PAGE:
+            out[order[at]] = model.scores_of_long(pages[order[at]]) >= 0.5
+            at += 1
+            continue
         x, mask = padded([vectors(pages[i]) for i in some])
         score = model.scores(x, mask)
         for j, i in enumerate(some):
@@ -433,7 +478,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 read = [read_blocks(h.as_py()) for h in part.column(2)]
-                text = [" ".join(b[1] for b, keep in zip(blocks, main, strict=True) if keep) for blocks, main in zip(read, label_pages(model, read), strict=True)]
+                text = [" ".join(b.text for b, keep in zip(blocks, main, strict=True) if keep) for blocks, main in zip(read, label_pages(model, read), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     picked = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -1,13 +1,15 @@
 """Texts made to confuse hashes, very long texts, and the index across sessions."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.llm import neardup, packing, quality, substrings, suffixes
+from rillway.llm import mixing, neardup, packing, pages, pii, quality, queries, secrets, substrings, suffixes
 from rillway.llm import textbytes as tb
 from tests.llm.test_llm import WORD, corpus, covered, frame
 
@@ -151,3 +153,37 @@ def test_index_is_dropped_after_failure(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         substrings.dedup(frame(spark, ["a b"]))
     assert gone and gone[-1].startswith("fingerprint-index")
+
+
+# pages ---------------------------------------------------------------------------------------------------
+def test_reading_takes_linear_time():
+    n = 100_000
+    for html, blocks in (
+        ("<div>x" * n, n), ("<div>" * n + "x", 1), ("<b>" * n + "<p>x", 1), ("</b>" * n, 0), ("<p><b>x" * n, n), ("<div>" * n + "</i><i>x</i>" * n, 1), ("<select>" * n + "x" + "</select>" * n, 0),
+    ):
+        began = time.process_time()
+        assert len(pages.read_blocks(html)) == blocks
+        assert time.process_time() - began < 10  # a quadratic reader takes minutes
+
+
+def test_every_class_name_counts():
+    many = " ".join(f"{c}x" for c in "abcdefghijkl")
+    (block,) = pages.read_blocks(f'<div class="{many}">text</div>')
+    assert block.names == 13 and sum(block.path) == len({pages._slot(x, pages.PATH) for x in ["div", *(f".{c}x" for c in "abcdefghijkl")]})
+
+
+def test_long_page_is_labelled_alike(monkeypatch):
+    model = pages.trained()
+    html = "<nav><ul><li><a href=x>Home</a></li></ul></nav><article>" + "".join(f"<p>Sentence number {i} of the story, with words enough to read.</p>" for i in range(900)) + "</article><footer>&copy; 2020 all rights reserved</footer>"
+    blocks = pages.read_blocks(html)
+    (whole,) = pages.label_pages(model, [blocks])
+    monkeypatch.setattr(pages, "LONG_PAGE", 100)
+    (parts,) = pages.label_pages(model, [blocks])
+    assert (whole == parts).all() and whole[1:-1].mean() > 0.99 and not whole[0]
+
+
+def test_page_beyond_ten_megabytes(spark):
+    html = "<nav><a href=x>Home</a></nav><article>" + "<p>Some words of a very long story, one after another.</p>" * 190_000 + "</article>"
+    assert len(html) > 10 << 20
+    (row,) = pages.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert row.n_chars > 9_000_000 and row.text.startswith("Some words of")

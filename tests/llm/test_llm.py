@@ -242,13 +242,13 @@ def test_labeller_gradients():
 
 def test_blocks():
     html = '<nav><a href=x>Menu</a></nav><script>var a="<p>no</p>";</script><article><h1>T &amp; U</h1><p>one <b>two</b>three<br>four<p>five\n  six<!-- no --></article>'
-    assert [b[1] for b in pages.read_blocks(html)] == ["Menu", "T & U", "one twothree four", "five six"]
+    assert [b.text for b in pages.read_blocks(html)] == ["Menu", "T & U", "one twothree four", "five six"]
     assert pages.read_blocks(None) == pages.read_blocks("") == pages.read_blocks("<p></p>") == []
     assert len(pages.read_blocks("<div>" * 3000 + "deep")) == 1
 
 
 def test_blocks_of_unclosed_elements():
-    read = lambda html: [b[1] for b in pages.read_blocks(html)]
+    read = lambda html: [b.text for b in pages.read_blocks(html)]
     story = "<article><p>one</p><p>two</p></article>"
     for head in ("<head><title>t</title><body>", "<head><title>t</title>", "<head><meta charset=x><style>p {}</style></head>", "<head><noscript><link href=x><body>"):
         assert read("<html>" + head + story) == ["one", "two"]
