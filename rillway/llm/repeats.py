@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
-from rillway.llm.store import bounded
+from rillway.llm.store import bounded, settle
 
 PLACE = np.uint64(28)
 STRETCH = "fp long, ctx long, doc long, lo int, n int, off int"
@@ -199,7 +199,8 @@ def contexts(docs: DataFrame, wanted: DataFrame, units: Units, width: int) -> Da
     of a passage that a third of all documents share, would meet in one task; its windows are hashed to 128
     bits instead and dealt by hash to n / HOT groups, after those that repeat within a batch are cut.
     """
-    many = wanted.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+    # settled, so that the join reads both sides straight from a shuffle and can split a hot q-gram
+    many = settle(wanted.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > HOT).coalesce(1))
     wanted = wanted.join(many, "fp", "left").withColumn("salts", F.coalesce(F.ceil(F.col("k") / HOT), F.lit(1)).cast("int"))
     per = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "lo", "n", "off", "salts")).alias("w"))
     met = docs.join(per, "doc").select("doc", "text", "w")
