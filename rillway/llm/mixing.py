@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
@@ -26,6 +26,7 @@ from rillway.llm.store import bounded, settle
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CHUNK_ROWS = 4096
+REPEATS = 10_000
 BROADCAST_SOURCES = 5_000
 SURE = 1e-9
 
@@ -43,27 +44,37 @@ def sizes(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> D
     return got.select("row.*", "size")
 
 
+def numbered(per: DataFrame) -> DataFrame:
+    """``per`` (settled by this) with place: 0, 1, 2 ... by source code point, null last. Sources are sorted
+    in ranges; only the number of rows of each range comes to the driver."""
+    per = settle(per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    before, offsets = 0, []
+    for p, n in sorted(per.groupBy(part.alias("p")).agg(F.count("*")).collect()):
+        offsets += [F.lit(p), F.lit(before)]
+        before += n
+    return per.withColumn("place", F.element_at(F.create_map(*offsets), part) + F.col("place").bitwiseAND((1 << 33) - 1)) if offsets else per
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, n_docs, target) by water filling.
 
-    Sources are ordered by most * size / weight; the capped ones are a prefix of that order, and the first
-    prefix whose remaining level no longer exceeds the next source's is the fixed point of resharing.
+    All sources share one level per unit of weight; what a source's cap leaves raises the level of the rest.
+    Each round is one sum over the capped sources, until their set no longer grows.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (rank % len(weights) + 1).cast("int")))
-    order = Window.orderBy((F.lit(float(most)) * F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumns({
-        "s_before": F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-        "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-        "s_all": F.sum("source_size").over(all_),
-        "w_all": F.sum("w").over(all_),
-    })
-    level = (F.col("s_all") - most * F.col("s_before")) / (F.col("w_all") - F.col("w_before"))
-    free = level * F.col("w") <= most * F.col("source_size")
-    per = per.withColumn("level", F.min(F.when(free, F.struct((F.lit(float(most)) * F.col("source_size") / F.col("w")).alias("at"), F.col("w_before").alias("wb"), level.alias("level")))).over(all_)["level"])
-    target = F.least(F.coalesce(F.col("level") * F.col("w"), F.lit(float("inf"))), (most * F.col("source_size")).cast("double"))
+    per = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    per = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    all_size, all_w = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    capped, level = (0, 0, 0.0), 0.0
+    while True:
+        left = all_w - capped[2]
+        level = (all_size - most * capped[1]) / left if left > 0 else float("inf")
+        over = F.lit(level) * F.col("w") > most * F.col("source_size")
+        now = tuple(per.where(over).agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first())
+        if now[0] <= capped[0]:
+            break
+        capped = now
+    target = F.least(F.lit(level) * F.col("w"), (most * F.col("source_size")).cast("double"))
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
@@ -111,6 +122,17 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pi
 
 
+def apart(sized: DataFrame) -> DataFrame:
+    """Equal rows with a number, turn, from 0 on. They are counted before they are dealt and made rows again
+    in steps of REPEATS, so that however many there are they meet in no task."""
+    counted = sized.groupBy(*sized.columns).agg((F.count("*") - 1).alias("turn"))
+    last = F.floor(F.col("turn") / REPEATS)
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rest = F.least(F.col("turn") - F.col("step") * REPEATS, F.lit(REPEATS - 1).cast("long"))
+    each = steps.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), rest)))
+    return each.withColumn("turn", F.col("step") * REPEATS + F.col("at")).drop("step", "at")
+
+
 def copies(sized: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``sized`` (source, size and any others) with source_size, target, copies (whole) and part (words of one more, cut copy).
 
@@ -120,6 +142,7 @@ def copies(sized: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS,
     names = [c for c in sized.columns if c not in ("source", "size")]
     others = [f"o_{i}" for i in range(len(names))]  # the caller's names cannot clash with those used here
     sized = sized.select("source", "size", *(F.col(f"`{c}`").alias(o) for c, o in zip(names, others, strict=True)))
+    sized = apart(sized)
     per = settle(targets(sized, weights, most))
     n_sources = per.count()
     few = n_sources <= BROADCAST_SOURCES
@@ -127,7 +150,7 @@ def copies(sized: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS,
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     rows = sized.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("rate", rate).withColumn("sure", F.floor(F.col("rate") + SURE)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
-    rows = rows.withColumn("pi", F.when(F.col("pi") < SURE, 0.0).otherwise(F.col("pi"))).drop("rate").withColumn("h", F.xxhash64(*others, "size", F.lit(seed)))
+    rows = rows.withColumn("pi", F.when(F.col("pi") < SURE, 0.0).otherwise(F.col("pi"))).drop("rate").withColumn("h", F.xxhash64(*others, "size", "turn", F.lit(seed))).drop("turn")
     schema = rows.schema
 
     def stage(final: bool):
