@@ -32,7 +32,10 @@ PATTERNS = {
 
 
 def permute(values: list[int], radices: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
-    """A keyed permutation of all value lists of these radices; ``back`` inverts it."""
+    """A keyed permutation of all value lists of these radices; ``back`` inverts it. One value alone walks the
+    cycle of a square domain."""
+    if len(values) == 1:
+        return [permute_below(values[0], radices[0], key, tweak, back)]
     half = len(values) // 2
     mod, num = [1, 1], [0, 0]
     for i, (v, r) in enumerate(zip(values, radices, strict=True)):
@@ -167,8 +170,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """Per row: the rewritten whole text, the number of values per kind, and their spans in the input.
 
     Spans are kind:start:end in code points, by start, comma-joined. A null text stays null and has no
-    values; repeated rows give repeated results.
+    values; repeated rows give repeated results. Whoever has the key can invert the pseudonyms, so there is
+    no default; an empty key is refused.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,22 +11,29 @@ import corpus_pipeline
 from rillway.llm import fingerprints, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
 from rillway.llm.store import settle, tables
 
-PII_KEY = os.environ.get("RILLWAY_PII_KEY", "rillway demonstration key").encode()
+
+def pii_key() -> bytes:
+    """The key in RILLWAY_PII_KEY; where it is unset a fresh one per run, which nobody keeps."""
+    return os.environ.get("RILLWAY_PII_KEY", "").encode() or os.urandom(32)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every text, its edited text, and its likeness to that and to the next document."""
     return fingerprints.edit_probe(tables(spark, sf_dir, "documents"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components: three-word shingles, a likeness of 0.85 or more."""
     return neardup.near_duplicates(tables(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return pages.extract(tables(spark, sf_dir, "pages"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of the base rules and the certified cutoffs of its language."""
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     counted = settle(quality.with_counts(docs, "text", ["doc_id", "lang"]).select("row.doc_id", "row.lang", *quality.COUNTS))
     labelled = counted.join(labels.select("doc_id", "quality").where("quality IS NOT NULL"), "doc_id")
@@ -35,22 +42,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated strings of 100 bytes."""
     return suffixes.dedup(tables(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated windows of 20 words."""
     return substrings.dedup(tables(spark, sf_dir, "documents"))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(tables(spark, sf_dir, "documents"))
+    """Base secrets of every text and the values that are dear to guess."""
+    return secrets.scan(tables(spark, sf_dir, "documents"), words=secrets.dictionary_path())
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens of every text and their places in sequences."""
     return packing.pack_documents(tables(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     docs = tables(spark, sf_dir, "documents")
     sized = mixing.sizes(docs, {"doc_id": F.col("doc_id"), "source": F.col("source")})
     out = mixing.copies(settle(sized))
@@ -58,10 +70,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(tables(spark, sf_dir, "documents"), PII_KEY)
+    """Every text with its personal numbers, dates and addresses replaced by pseudonyms."""
+    return pii.pseudonymise(tables(spark, sf_dir, "documents"), pii_key())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage of corpus_pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
 
 

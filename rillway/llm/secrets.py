@@ -2,12 +2,14 @@
 
 A value's guess cost is the least total of log10 guesses over all ways to cut it into known words,
 dates, repeats, walks along keyboard rows or the alphabet, and brute-force spans. Values that stand in a
-credential context which the base patterns miss, and cost at least ``THRESHOLD``, add spans.
+credential context which the base patterns miss, and cost at least ``THRESHOLD``, add spans. Known words
+come ranked from a public vocabulary file, read at run time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -19,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm.store import bounded
-from rillway.llm.wordlist import COMMON
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -43,14 +44,35 @@ master shadow sunshine princess football baseball superman batman trustno ilovey
 changeme change me example sample test testing demo default placeholder dummy your my the here key api value
 none null true false undefined redacted hidden required optional string summer winter spring autumn
 january february march april may june july august september october november december""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: The longest words of a dictionary that count, and how many of its words, in its order.
+LONGEST_WORD, DICTIONARY_WORDS = 20, 30_000
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 _NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
 _LEET = str.maketrans("4@310$5!7", "aaelossit")
-_LONGEST_WORD = max(map(len, WORDS))
 _DATE = re.compile(r"(?a)(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
 _PER_SEGMENT = 0.3
-_CUT = max(_LONGEST_WORD, 10) + 3
+_CUT = LONGEST_WORD + 3
+
+
+def dictionary_path() -> str:
+    """The public vocabulary that the queries use; another file of ranked words with ends may be given."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@lru_cache(maxsize=4)
+def ranked(path: str | None) -> dict[str, int]:
+    """Rank of each known word: WORDS first, then the whole words of the vocabulary in its order, which is
+    about that of their frequency. Without a path WORDS alone."""
+    found = list(WORDS)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model["end_of_word_suffix"]
+        whole = (t.removesuffix(end) for t in sorted(model["vocab"], key=model["vocab"].get) if t.endswith(end))
+        found += [t for t in whole if 3 <= len(t) <= LONGEST_WORD and t.isascii() and t.isalpha()][:DICTIONARY_WORDS]
+    return {w: i for i, w in reversed(list(enumerate(found, 1)))}
 
 
 def _alphabet(text: str) -> int:
@@ -59,17 +81,18 @@ def _alphabet(text: str) -> int:
     return size + 33 * any(not c.isalnum() for c in text)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation needs; 0 for the empty value."""
-    return _cached_cost(value) if len(value) <= CACHED else _cost(value)
+def guess_cost(value: str, words: str | None = None) -> float:
+    """log10 of the guesses that the cheapest segmentation needs; 0 for the empty value. ``words`` is the path
+    of a vocabulary."""
+    return _cached_cost(value, words) if len(value) <= CACHED else _cost(value, words)
 
 
-def dear(value: str, threshold: float) -> bool:
+def dear(value: str, threshold: float, words: str | None = None) -> bool:
     """Does the value cost at least the threshold? A long one is read only as far as it takes to tell."""
-    return (guess_cost(value) if len(value) <= CACHED else _cost(value, threshold)) >= threshold
+    return (guess_cost(value, words) if len(value) <= CACHED else _cost(value, words, threshold)) >= threshold
 
 
-def _cost(value: str, enough: float = math.inf) -> float:
+def _cost(value: str, words: str | None = None, enough: float = math.inf) -> float:
     """The cost of the whole value, or, from ``enough`` on, a lower bound of it that reaches ``enough``.
 
     Every cut of the value either has a bound among the last ``_CUT`` places or covers them all by one
@@ -78,8 +101,9 @@ def _cost(value: str, enough: float = math.inf) -> float:
     n = len(value)
     if not n:
         return 0.0
-    low = value.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
+    rank_of = ranked(words).get
     each = math.log10(max(2, _alphabet(value)))
     best = [0.0] + [math.inf] * n
     same = [1] * n
@@ -95,10 +119,10 @@ def _cost(value: str, enough: float = math.inf) -> float:
     for i in range(1, n + 1):
         brute = min(brute, best[i - 1] + _PER_SEGMENT) + each
         cost = brute
-        for j in range(max(0, i - _LONGEST_WORD), i - 1):
-            rank = RANK.get(low[j:i])
+        for j in range(max(0, i - LONGEST_WORD), i - 1):
+            rank = rank_of(low[j:i])
             odd = 0.0 if low[j:i] == value[j:i] else 0.5
-            if rank is None and (rank := RANK.get(plain[j:i])) is not None:
+            if rank is None and (rank := rank_of(plain[j:i])) is not None:
                 odd = 1.0
             if rank is not None:
                 cost = min(cost, best[j] + _PER_SEGMENT + math.log10(rank + 1) + odd)
@@ -132,22 +156,41 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """Values in credential contexts that start in no base span and cost at least the threshold, whole."""
+_PROSE = re.compile(r"[^\W\d_]+(?:['’/-][^\W\d_]+)*")
+_ADDRESS = re.compile(r"(?a)[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def plain_words(value: str, words: str | None) -> bool:
+    """Letters, capital at most at the start of a part, all parts of a compound being known words."""
+    known = ranked(words)
+    parts = re.split(r"['’/-]", value)
+    return _PROSE.fullmatch(value) is not None and all(p[1:] == p[1:].lower() and (p.lower() in known or len(p) < 3) for p in parts)
+
+
+def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: float = THRESHOLD, words: str | None = None) -> list[tuple[int, int, int, int]]:
+    """Values in credential contexts that start in no base span and cost at least the threshold, whole.
+
+    A value of known words alone is running text, and so is one of small letters where no separator stands
+    before it; an e-mail address names an account. Those are no secrets.
+    """
     found = []
     for p in (CONTEXT, USERINFO) if "://" in text else (CONTEXT,):
-        at = 0
+        at, k = 0, 0
         while m := p.search(text, at):
             at = s = m.start("value")  # a dropped value may itself be the name before the real one
             value = m["value"].rstrip("\"'.,;:)]}>")
             e = s + len(value)
-            if (within := max((b for a, _, b, _ in base if a <= s < b), default=0)) or len(value) < 6:
+            while k < len(base) and base[k][2] <= s:  # both run by start: base spans behind are done with
+                k += 1
+            within, j = 0, k
+            while j < len(base) and base[j][0] <= s:
+                within, j = max(within, base[j][2] if s < base[j][2] else 0), j + 1
+            if within or len(value) < 6:
                 at = max(s, within - _LONGEST_NAME)
                 continue
-            if not any(c.isdigit() or not c.isalnum() for c in value) and value[1:] == value[1:].lower():
-                if (p is CONTEXT and m["sep"] is None) or value.lower() in COMMON:
-                    continue  # a plain word of running text
-            if dear(value, threshold):
+            if p is CONTEXT and (m["sep"] is None and value.isalpha() and value[1:] == value[1:].lower() or plain_words(value, words) or _ADDRESS.fullmatch(value)):
+                continue
+            if dear(value, threshold, words):
                 found.append((s, 3, e, s))
                 at = e
     out, last = [], -1
@@ -162,10 +205,11 @@ def joined(spans: list[tuple[int, int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: str | None = None) -> DataFrame:
     """Per row: counts per kind, the digest of the base spans and all spans (code points, end exclusive).
 
-    A null text is empty and has no spans. Rows keep their number; a null id stays null.
+    A null text is empty and has no spans. Rows keep their number; a null id stays null. ``words`` is the path
+    of a vocabulary of ranked words; without one a short list of common passwords serves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +218,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = method_spans(text, base, threshold)
+                more = method_spans(text, base, threshold, words)
                 count = [sum(k == i for _, k, _, _ in base) for i in range(3)]
                 for c, v in zip(cols, (*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)), strict=True):
                     c.append(v)
@@ -188,11 +232,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 MASK = "<secret>"
 
 
-def redacted(text: str, threshold: float = THRESHOLD) -> str:
+def redacted(text: str, threshold: float = THRESHOLD, words: str | None = None) -> str:
     """The text with the value of every span replaced by MASK."""
     base = base_spans(text)
     out, at = [], 0
-    for s, e in sorted((v, e) for _, _, e, v in base + method_spans(text, base, threshold)):
+    for s, e in sorted((v, e) for _, _, e, v in base + method_spans(text, base, threshold, words)):
         if e <= at:
             continue
         if s >= at:
@@ -201,13 +245,13 @@ def redacted(text: str, threshold: float = THRESHOLD) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, words: str | None = None) -> DataFrame:
     """``docs`` with the text redacted, all other columns as they are; a null text stays null."""
     kept = bounded(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [None if t is None else redacted(t, threshold) for t in (x.as_py() for x in batch.column(1))]
+            got = [None if t is None else redacted(t, threshold, words) for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["row", "text"])
 
     out = kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, text string")

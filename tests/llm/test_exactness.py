@@ -187,3 +187,127 @@ def test_page_beyond_ten_megabytes(spark):
     assert len(html) > 10 << 20
     (row,) = pages.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
     assert row.n_chars > 9_000_000 and row.text.startswith("Some words of")
+
+
+# secrets -------------------------------------------------------------------------------------------------
+def cheapest(value, ranks):
+    """The least cost over all segmentations, one by one."""
+    import functools
+    import math
+
+    each = math.log10(max(2, secrets._alphabet(value)))
+
+    def span(a, b):
+        part, found = value[a:b], [(b - a) * each]
+        low = part.lower()
+        if len(part) > 1:
+            odd = 0.0 if low == part else 0.5
+            if low in ranks:
+                found.append(math.log10(ranks[low] + 1) + odd)
+            elif (plain := low.translate(secrets._LEET)) in ranks:
+                found.append(math.log10(ranks[plain] + 1) + 1.0)
+        if m := secrets._DATE.match(value, a):
+            if m.end() == b:
+                found.append(math.log10(366 * 120))
+        if b - a >= 3 and len(set(part)) == 1:
+            found.append(each + math.log10(b - a))
+        if b - a >= 3 and all(p in secrets._NEXT for p in zip(low, low[1:], strict=False)):
+            found.append(math.log10(94 * (b - a)))
+        return min(found)
+
+    @functools.cache
+    def best(a):
+        return 0.0 if a == len(value) else min(span(a, b) + 0.3 + best(b) for b in range(a + 1, len(value) + 1))
+
+    return best(0)
+
+
+@pytest.mark.parametrize("words", [None, "public"])
+def test_guess_cost_equals_all_segmentations(words):
+    words = words and secrets.dictionary_path()
+    ranks = secrets.ranked(words)
+    r = random.Random(2)
+    pieces = ["password", "dragon", "the", "abc", "qwer", "aaa", "2024", "P4ss", "x", "7", "!", "Love", "321", "zz", "0101"]
+    values = ["".join(r.choices(pieces, k=r.randint(1, 3)))[:8] for _ in range(300)] + ["".join(r.choices("ab1!Az09", k=r.randint(1, 8))) for _ in range(300)]
+    for v in values:
+        assert abs(secrets.guess_cost(v, words) - cheapest(v, ranks)) < 1e-9, v
+
+
+def test_secrets_precision_and_recall():
+    """Random values in contexts are found and covered whole; running text with the same names is left alone."""
+    words, r = secrets.dictionary_path(), random.Random(4)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+    vocabulary = [w for w in secrets.ranked(words) if len(w) > 3]
+    caught = 0
+    for k in range(300):
+        value = "".join(r.choices(letters, k=r.randint(12, 40)))
+        name = r.choice(["pwd: ", "passphrase = ", "Authorization: Bearer ", "client_secret: ", "session-key => ", "private_key=", "db_pass: "])
+        text = f"{' '.join(r.choices(vocabulary, k=9))} {name}{value} {' '.join(r.choices(vocabulary, k=9))}"
+        caught += secrets.redacted(text, words=words) == text.replace(value, "<secret>")
+    assert caught >= 297
+    wrong = 0
+    for k in range(2000):
+        w = r.choices(vocabulary[:8000], k=8)
+        name = r.choice(["login", "pass", "the password is", "credentials", "auth", "bearer", "secret", "token"])
+        text = r.choice([f"{w[0]} {name} {w[1]} {w[2]}", f"{name}: {w[1]}-{w[2]} {w[3]}", f"{w[0]} {name} {w[1]}-{w[2]}", f"{name} is {w[4].capitalize()}", f"{name} {w[5]}, {w[6]}."])
+        wrong += bool(secrets.method_spans(text, secrets.base_spans(text), words=words))
+    assert wrong <= 20
+
+
+# mixing --------------------------------------------------------------------------------------------------
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """One row repeated very often is dealt over chunks, and its copies follow its source's target."""
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = spark.createDataFrame([(1, "a", 10)] * 500 + [(2, "b", 30)] * 50 + [(None, None, None)] * 3, "doc_id long, source string, size long").fillna({"size": 0})
+    turns = mixing.apart(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("d"), F.max("turn").alias("m"))
+    assert sorted(((r.n, r.d, r.m) for r in turns.collect())) == [(3, 3, 2), (50, 50, 49), (500, 500, 499)]
+    run = lambda: sorted((x.doc_id or 0, x.copies, x.part) for x in mixing.copies(rows, chunk_rows=16).collect())
+    got = run()
+    assert got == run() and len(got) == 553
+    for doc, size, target in ((1, 10, 6500 - 3 * 1500 if 6500 * 2 / 8 > 4500 else 6500 * 5 / 7), (2, 30, 6500 * 2 / 7)):
+        taken = sum(size * c + p for d, c, p in got if d == doc)
+        assert abs(taken - target) <= 1
+
+
+def test_targets_of_many_sources(spark):
+    """The level over thousands of sources, with as many caps, equals that found by resharing one by one."""
+    from tests.llm.test_llm import brute_targets
+
+    r = random.Random(3)
+    sizes = {f"s{i:05d}": r.choice((0, 1, 5, 100, 10_000)) for i in range(3000)} | {None: 50}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+    want = brute_targets(sizes)
+    rows = got.collect()
+    assert len(rows) == 3001 and all(abs(x.target - want[x.source]) <= 1e-6 * max(1, want[x.source]) for x in rows)
+
+
+# pseudonyms ----------------------------------------------------------------------------------------------
+def test_pseudonyms_need_a_key(spark, monkeypatch):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame(spark, ["a"]), b"")
+    monkeypatch.delenv("RILLWAY_PII_KEY", raising=False)
+    assert queries.pii_key() != queries.pii_key()
+    monkeypatch.setenv("RILLWAY_PII_KEY", "k")
+    assert queries.pii_key() == b"k"
+
+
+def test_one_letter_is_no_shift():
+    got = [pii.permute([v], [26], b"key", "t")[0] for v in range(26)]
+    assert sorted(got) == list(range(26)) and len({(b - a) % 26 for a, b in enumerate(got)}) > 3
+    assert [pii.permute([v], [26], b"key", "t", back=True)[0] for v in got] == list(range(26))
+
+
+# the registered entries ----------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_entries_run(spark, tmp_path, name):
+    """Every registered query over small tables: all rows come back, also where the tables are empty."""
+    rows = [(i, t, ("en", "de", None)[i % 3], f"s{i % 4}", len(t or "")) for i, t in enumerate(corpus(40))]
+    html = "<nav><a href=x>Menu</a></nav><article><p>One sentence of the text, with words enough.</p></article>"
+    for part, keep in (("full", slice(None)), ("none", slice(0))):
+        spark.createDataFrame(rows[keep], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        spark.createDataFrame([(i, i % 2, 0) for i in range(30)][keep], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        spark.createDataFrame([(1, "u", html), (2, None, None)][keep], "page_id long, url string, html string").write.parquet(f"{tmp_path}/{part}/pages.parquet")
+    got = queries.QUERIES[name](spark, f"{tmp_path}/full")
+    want = {"op3_html_extraction": 2}.get(name, len(rows))
+    assert got.count() >= want if name in ("op8_packing",) else got.count() == want if name != "pipeline" else got.count() > 0
+    assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0

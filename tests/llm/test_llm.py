@@ -466,9 +466,10 @@ def test_contexts_overlap():
         ("Authorization: Bearer s9KwQ3mZq7RtX2", "s9KwQ3mZq7RtX2"), ("login password is kD8#vQz2!pLx", "kD8#vQz2!pLx"),
         (f"passphrase: {letters}", letters), (f"ftp://bob:{letters}@host", letters),
     ):
-        assert secrets.redacted(text) == text.replace(value, "<secret>")
-    for text in ("login: required", "auth: previously known", "credentials: Documentation", f"the bearer {letters} of it", "login password is changeme"):
-        assert secrets.redacted(text) == text
+        assert secrets.redacted(text) == secrets.redacted(text, words=secrets.dictionary_path()) == text.replace(value, "<secret>")
+    words = secrets.dictionary_path()
+    for text in ("login: required", "auth: previously known", "credentials: Documentation", f"the bearer {letters} of it", "login password is changeme", "the secret is well-known to all", "pass through-hole soldering", "login: support@example.com"):
+        assert secrets.redacted(text, words=words) == text
 
 
 def test_long_values():
