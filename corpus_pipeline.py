@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values of secrets are masked; the character count follows."""
-    return secrets.redact(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return secrets.redact(docs, words=secrets.dictionary_path()).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
