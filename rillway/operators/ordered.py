@@ -8,29 +8,67 @@ from pyspark.sql import functions as F
 from rillway import schemas as S
 
 
-def with_sequence(df: DataFrame, order: list[str], name: str = "seq", ranges: int = 64) -> DataFrame:
-    """Gap-free numbers from 1 in the given order, without one task sorting everything.
+#: Rows that one range of an order holds, about.
+RANGE_ROWS = 200_000
+MOST_RANGES = 1 << 16
 
-    Rows are dealt to ranges of the first order column, numbered within a range, and shifted by the rows of
-    the ranges before; only bounds and counts, at most ``ranges`` of each, reach the driver.
+
+def _position(df: DataFrame, column: str) -> Column:
+    kind = dict(df.dtypes)[column]
+    return F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column)
+
+
+def ranged(df: DataFrame, column: str, log_scale: bool = False) -> tuple[DataFrame, int]:
+    """``df`` with _range, which rises with the column, and the number of ranges.
+
+    Ranges are of equal width between the least and the greatest value, as many as the rows ask for; where
+    values have a long tail, of equal width in their logarithm. One aggregate gives all that is needed, and
+    finding a row's range takes the same time however many there are. Nulls come first.
+    """
+    x = _position(df, column)
+    low, high, rows = df.agg(F.min(x), F.max(x), F.count("*")).first()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, max(least, 4 * rows // RANGE_ROWS))
+    if low is None or low == high:
+        return df.withColumn("_range", F.when(x.isNull(), -1).otherwise(0)), ranges
+    if log_scale:
+        at = F.log2(1 + F.greatest(x - F.lit(low), F.lit(0))) / F.log2(1 + F.lit(high) - F.lit(low))
+    else:
+        at = (x - F.lit(low)) / (F.lit(float(high)) - F.lit(float(low)))
+    return df.withColumn("_range", F.coalesce(F.least(F.floor(at * ranges), F.lit(ranges - 1)), F.lit(-1)).cast("int")), ranges
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, tuple[list[str], Column]], log_scale: bool = False) -> DataFrame:
+    """``df`` with running sums in the given order: name -> (columns that part the rows, value), each row's own
+    value included.
+
+    Rows are dealt to ranges of the first order column and summed within them; what the ranges before hold
+    is a table of one row per range and part. No task holds a whole part, and all sums share one shuffle.
     """
-    first = F.col(order[0])
-    number = F.unix_micros(first.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
-    bounds = sorted(set(df.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
-    cuts = F.array(*(F.lit(b) for b in bounds)) if bounds else F.expr("cast(array() as array<double>)")
-    dealt = df.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda c: c < number)), F.lit(0)))
-    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
-    before, total = {}, 0
-    for r in sorted(counts):
-        before[r], total = total, total + counts[r]
-    shift = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_range")] if before else F.lit(0)
-    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long") + shift.cast("long")).drop("_range")
-
-
-def with_offsets(messages: DataFrame, order: list[str], topic: str) -> DataFrame:
+    dealt, _ = ranged(df, order[0], log_scale)
+    out = dealt
+    for name, (by, value) in sums.items():
+        per = dealt.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+        before = F.sum("_sum").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        per = per.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias(f"_before_{name}"))
+        within = F.sum(value).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn(name, within)
+        same = F.col("_range") == F.col("_at")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        out = out.join(per, same).withColumn(name, F.col(name) + F.col(f"_before_{name}")).drop("_at", f"_before_{name}", *(f"_by_{c}" for c in by))
+    return out.drop("_range")
+
+
+def with_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Gap-free numbers from 1 in the given order."""
+    return running(df, order, {name: ([], F.lit(1).cast("long"))})
+
+
+def with_offsets(messages: DataFrame, order: list[str], topic: str, partition: str = "partition") -> DataFrame:
     """Per-partition offsets from 0 and the default message id topic-partition-offset."""
-    at = (F.row_number().over(Window.partitionBy("partition").orderBy(*order)) - 1).cast("long")
-    return messages.withColumn("offset", at).withColumn("msg_id", F.concat_ws("-", F.lit(topic), F.col("partition").cast("string"), F.col("offset").cast("string")))
+    out = running(messages, order, {"offset": ([partition], F.lit(1).cast("long"))}).withColumn("offset", F.col("offset") - 1)
+    return out.withColumn("msg_id", F.concat_ws("-", F.lit(topic), F.col(partition).cast("string"), F.col("offset").cast("string")))
 
 
 def committed(acks: DataFrame, partition: str = "partition") -> DataFrame:
@@ -49,12 +87,26 @@ def attempts(failures: DataFrame, key: list[str], order: list[Column], most: int
     return failures.withColumn("attempt", n).withColumn("dead", F.col("attempt") > most)
 
 
-def out_of_order(arrivals: DataFrame, partition: str, order: Column) -> DataFrame:
-    """Per partition: arrivals beyond the offset expected next, folded in order of arrival."""
-    log = arrivals.groupBy(partition).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("offset").cast("long").alias("offset")))).alias("log"))
-    start = F.struct(F.lit(0).cast("long").alias("expected"), F.lit(0).cast("long").alias("late"))
-    fold = F.aggregate("log", start, lambda a, x: F.struct(F.when(x["offset"] == a["expected"], a["expected"] + 1).otherwise(a["expected"]).alias("expected"), (a["late"] + (x["offset"] > a["expected"]).cast("long")).alias("late")))
-    return log.select(partition, fold.alias("f")).select(partition, "f.expected", "f.late")
+def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFrame:
+    """Per partition: the offset expected next once all has arrived, and how many messages came before an
+    offset that stands before theirs.
+
+    A reader that holds early messages back releases them when the hole fills, so a message is early exactly
+    if some lower offset arrives later: a running maximum of arrivals by offset, per range of offsets and
+    then over the maxima of the ranges. Redelivered offsets count once, by their first arrival.
+    """
+    first = arrivals.groupBy(partition, "offset").agg(F.min(F.struct(*at)).alias("at"))
+    dealt, _ = ranged(first, "offset")
+    order = Window.partitionBy("_range", partition).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_part").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy(F.col(partition).alias("_part"), F.col("_range").alias("_r")).agg(F.max("at").alias("top")).select("_part", "_r", F.max("top").over(ahead).alias("before"))
+    known = dealt.withColumn("top", F.max("at").over(order)).join(per, F.col(partition).eqNullSafe(F.col("_part")) & (F.col("_range") == F.col("_r")))
+    late = F.coalesce((F.col("top") > F.col("at")) | (F.col("before") > F.col("at")), F.col("top") > F.col("at"), F.col("before") > F.col("at"), F.lit(False))
+    counted = known.groupBy(partition).agg(F.count_if(late).alias("late"))
+    # the first offset that is missing: where an offset is no longer the number of those before it
+    holes = running(first.select(partition, "offset"), ["offset"], {"_n": ([partition], F.lit(1).cast("long"))})
+    expected = holes.groupBy(partition).agg(F.count_if(F.col("offset") == F.col("_n") - 1).alias("expected")).withColumnRenamed(partition, "_part")
+    return counted.join(expected, F.col(partition).eqNullSafe(F.col("_part"))).select(partition, "expected", "late")
 
 
 def cooldown(readings: DataFrame, key: list[str], at: Column, value: Column, threshold: float, cooldown_ms: int) -> DataFrame:
@@ -70,15 +122,20 @@ def cooldown(readings: DataFrame, key: list[str], at: Column, value: Column, thr
     return log.select(*key, F.explode(F.aggregate("log", start, step)["fired"]).alias("f")).select(*key, "f.at_ms", "f.value")
 
 
-def newest(df: DataFrame, by: list[Column], capacity: int, key: list[str] | None = None) -> DataFrame:
-    """The newest ``capacity`` rows, per key if given."""
-    if not key:
-        return df.orderBy(*by).limit(capacity)
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col("_rn") <= capacity).drop("_rn")
-
-
 def percentiles(df: DataFrame, key: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Nearest-rank percentiles and the usual summary; an empty group has none."""
+    """Nearest-rank percentiles and the usual summary; an empty group has none. A percentile of 0 or less is
+    the minimum, one of 100 or more the maximum.
+
+    Equal values are counted before anything is dealt, and ranks are running sums of those counts.
+    """
     kind = df.schema[value].dataType.simpleString()
-    exact = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").cast(kind).alias(f"p{p}") for p in ps]
-    return df.groupBy(*key).agg(F.count(value).alias("count"), F.min(value).alias("min"), F.round(F.avg(value), 3).alias("mean"), *exact, F.max(value).alias("max"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    ranked = running(counted, [value], {"_upto": (key, F.col("_n"))}, log_scale=True)
+    total = counted.groupBy(*(F.col(k).alias(f"_key_{k}") for k in key)).agg(F.sum("_n").alias("_total"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    met = ranked.join(total, same)
+    at = lambda p: F.min(F.when(F.col("_upto") >= F.ceil(F.lit(min(100, max(0, p))) * F.col("_total") / 100), F.col(value))).cast(kind)
+    mean = F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 3)
+    return met.groupBy(*key).agg(F.sum("_n").alias("count"), F.min(value).alias("min"), mean.alias("mean"), *(at(p).alias(f"p{p}") for p in ps), F.max(value).alias("max"))

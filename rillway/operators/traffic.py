@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +43,106 @@ def wait_for(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> D
     return waiting.select("resource", F.col("vehicle").alias("waiter")).join(holders.select("resource", F.col("vehicle").alias("holder")), "resource").select("waiter", "holder").distinct()
 
 
+def for_all(log: DataFrame) -> DataFrame:
+    """``log`` with each release_all as one release_resource per resource that its vehicle ever asked for."""
+    asked = log.where("op = 'request'").select(F.col("vehicle").alias("v"), F.col("resource").alias("r")).distinct()
+    every = log.where("op = 'release_all'").join(asked, F.col("vehicle") == F.col("v"))
+    spread = every.withColumn("resource", F.col("r")).withColumn("op", F.lit("release_resource")).drop("v", "r")
+    return log.where("op <> 'release_all'").unionByName(spread)
+
+
+OUTCOME = "resource long, holders array<long>, waiting array<long>, requests long, grants long, blocks long, conflicts long, releases long"
+
+
+def fold_requests(log: DataFrame, resources: DataFrame) -> DataFrame:
+    """State and counters per resource after its log of request, release, release_resource and release_all.
+
+    ``log`` has resource, at_ms, id (which breaks ties), op, vehicle and priority; ``resources`` has resource
+    and capacity. A request of a holder changes nothing, one of a waiter changes its priority; slots go to the
+    highest priority, then the earliest, then the least id. release frees a slot, release_resource leaves the
+    queue as well; either lets the next in. The log streams through in order, one resource after another, and
+    only the holders and the queue of one resource are held, so its length does not matter.
+    """
+    rows = for_all(log).join(resources.select("resource", "capacity"), "resource").select("resource", "at_ms", "id", "op", "vehicle", "priority", "capacity")
+    names = [f.split()[0] for f in OUTCOME.split(", ")]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.int64()] * 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        holders: set[int] = set()
+        queue: list[tuple] = []
+        n = dict.fromkeys(names[3:], 0)
+
+        def close() -> None:
+            if now is not None:
+                out.append((now, sorted(holders), [w[-1] for w in queue], *n.values()))
+
+        def admit(capacity: int) -> None:
+            while queue and len(holders) < capacity:
+                holders.add(queue.pop(0)[-1])
+                n["grants"] += 1
+
+        for batch in batches:
+            for resource, at_ms, ident, op, vehicle, priority, capacity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if resource != now:
+                    close()
+                    now, holders, queue, n = resource, set(), [], dict.fromkeys(names[3:], 0)
+                if op == "request":
+                    n["requests"] += 1
+                    if vehicle in holders:
+                        continue
+                    old = next((w for w in queue if w[-1] == vehicle), None)
+                    if old:
+                        queue.remove(old)
+                    insort(queue, (-priority, *(old[1:3] if old else (at_ms, ident)), vehicle))
+                    admit(capacity)
+                    if vehicle not in holders:
+                        n["blocks"] += 1
+                        n["conflicts"] += bool(holders)
+                    continue
+                held, waited = vehicle in holders, False
+                if held:
+                    holders.remove(vehicle)
+                    n["releases"] += 1
+                if op == "release_resource":
+                    waited = any(w[-1] == vehicle for w in queue)
+                    queue = [w for w in queue if w[-1] != vehicle]
+                if held or waited:
+                    admit(capacity)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return rows.repartition("resource").sortWithinPartitions("resource", "at_ms", "id").mapInArrow(run, OUTCOME)
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without nodes that nobody waits for or that wait for nobody, as long as that removes a tenth."""
+    n = edges.count()
+    while n:
+        ends = edges.select(F.col("waiter").alias("holder")).distinct()
+        starts = edges.select(F.col("holder").alias("waiter")).distinct()
+        edges = cut(edges.join(ends, "holder", "left_semi").join(starts, "waiter", "left_semi").select("waiter", "holder"))
+        was, n = n, edges.count()
+        if 10 * n > 9 * was:
+            break
+    return edges
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
-    Nodes that do not reach themselves are dropped first, by squaring the reachability relation, which takes
-    as many rounds as the longest wait has bits; so long chains cost little. Paths then grow from the least
-    node of a cycle only, until none is left; a path repeats no node, so the nodes bound the rounds.
+    Ends of chains are trimmed off as long as that pays, then nodes that do not reach themselves are dropped
+    by squaring the reachability relation, which takes as many rounds as the longest wait has bits. Paths then
+    grow from the least node of a cycle only, until none is left; a path repeats no node, so the nodes bound
+    the rounds.
     """
-    edges = cut(edges.where("waiter <> holder").distinct())
+    edges = trimmed(cut(edges.where("waiter <> holder").distinct()))
     reach, n = edges, edges.count()
-    while True:
+    while n:
         hop = reach.alias("p").join(reach.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder")
         reach = cut(reach.union(hop).distinct())
         if (m := reach.count()) == n:
@@ -60,8 +154,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     found = None
     while True:
         grown = paths.join(edges, F.col("tip") == F.col("waiter"))
-        closed = grown.where("holder = root").select("path")
-        closed = cut(closed)
+        closed = cut(grown.where("holder = root").select("path"))
         found = closed if found is None else found.unionByName(closed)
         paths = cut(grown.where("holder > root AND NOT array_contains(path, holder)").select("root", F.col("holder").alias("tip"), F.concat("path", F.array("holder")).alias("path")))
         if paths.isEmpty():
@@ -85,7 +178,7 @@ def routes(spark, congestion: DataFrame | None = None) -> DataFrame:
     lanes = roads.join(F.broadcast(h("a")), "a").join(F.broadcast(h("b")), "b")
     lanes = lanes.select("a", "b", F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2).alias("cost"))
     if congestion is not None:
-        lanes = lanes.join(F.broadcast(congestion), ["a", "b"], "left").select("a", "b", (F.col("cost") + S.CONGESTION * F.coalesce("load", F.lit(0))).alias("cost"))
+        lanes = lanes.join(congestion, ["a", "b"], "left").select("a", "b", (F.col("cost") + S.CONGESTION * F.coalesce("load", F.lit(0))).alias("cost"))
     best = hubs.select(F.col("hub").alias("start"), F.col("hub").alias("goal"), F.lit(0.0).alias("cost"), F.col("hub").alias("path"))
     for _ in range(len(S.HUBS) - 1):
         step = best.alias("p").join(F.broadcast(lanes.alias("l")), F.col("p.goal") == F.col("l.a")).select("start", F.col("b").alias("goal"), (F.col("p.cost") + F.col("l.cost")).alias("cost"), F.concat("path", F.lit(">"), F.col("b")).alias("path"))

@@ -38,9 +38,11 @@ def _check(text: str, recursive: bool = False) -> str:
 
 
 def plain(name: str, text: str) -> None:
-    """One text for both engines."""
-    QUERIES[name] = lambda spark, d: spark.sql(render(text, "spark"), **{t: view(spark, d, t) for t in _tables(text)})
+    """One text for both engines. Where it reads no sequence number, Spark's journal makes none."""
     ORACLE_SQL[name] = _check(text)
+    if not re.search(r"\bseq\b", text):
+        text = text.replace("{journal}", "{journal_lean}")
+    QUERIES[name] = lambda spark, d: spark.sql(render(text, "spark"), **{t: view(spark, d, t) for t in _tables(text)})
 
 
 def built(name: str, oracle: str | None = None, recursive: bool = False):
@@ -77,11 +79,40 @@ plain("partitions_used", "select topic, count(distinct partition) as used from {
 plain("committed_prefix_sql", "select partition, B(max(off) + 1) as head, B(coalesce(min(case when failed then off end), max(off) + 1)) as committed from {messages} group by partition")
 plain("group_lag", "select B(sum(greatest(head - committed, 0))) as lag, B(max(head - committed)) as worst from (select partition, max(off) + 1 as head, coalesce(min(case when failed then off end), max(off) + 1) as committed from {messages} group by partition) c")
 plain("lag_by_partition", "select partition, B(greatest(head - committed, 0)) as lag, head > committed as has_gap from (select partition, max(off) + 1 as head, coalesce(min(case when failed then off end), max(off) + 1) as committed from {messages} group by partition) c")
-plain("dlq_attempts", "select msg_id, arrival, B(attempt) as attempt, attempt > 1 as dead from (select msg_id, arrival, count(*) over (partition by key order by arrival, msg_id rows between unbounded preceding and current row) as attempt from {deliveries} where failed) a")
-plain("dlq_records", "select key, max(attempt) as attempts, count(*) as n from (select key, B(count(*) over (partition by key order by arrival, msg_id rows between unbounded preceding and current row)) as attempt from {deliveries} where failed) a where attempt > 3 group by key")
+
+@built("dlq_attempts", "select f.msg_id, f.arrival, (select count(*) from {failures} g where g.msg_id = f.msg_id and g.arrival <= f.arrival) as attempt, (select count(*) from {failures} g where g.msg_id = f.msg_id and g.arrival <= f.arrival) > 3 as dead from {failures} f")
+def _(spark, d):
+    return ordered.attempts(view(spark, d, "failures"), ["msg_id"], [F.col("arrival")]).select("msg_id", "arrival", "attempt", "dead")
+
+
+@built("dlq_records", "select msg_id, min(key) as key, B(4) as attempts from {failures} group by msg_id having count(*) > 3")
+def _(spark, d):
+    """A message is dead at the first attempt beyond the retries; what fails after that is not read again."""
+    tried = ordered.attempts(view(spark, d, "failures"), ["msg_id"], [F.col("arrival")])
+    return tried.where(F.col("dead") & (F.col("attempt") == S.MAX_RETRIES + 1)).select("msg_id", "key", F.col("attempt").alias("attempts"))
+
+
 plain("poll_batch", "select fresh, partition, off from (select case when failed then 0 else 1 end as fresh, partition, off from {messages}) p order by fresh, partition, off limit 64")
-plain("lag_series_peak", "select day, B(max(lag)) as peak from (select IDIV(at_ms, 86400000) as day, sum(case when failed then 1 else 0 end) over (order by seq rows between unbounded preceding and current row) as lag from {messages}) s group by day")
-plain("backpressure", "select partition, B(count_if(lag >= 200)) as refused, count(*) as n from (select partition, sum(case when failed then 1 else 0 end) over (partition by partition order by seq rows between unbounded preceding and current row) as lag from {messages}) s group by partition")
+
+#: A message raises the lag when it is published and lowers it when it is acknowledged, 50 messages later; failed ones never are.
+_LAG = "select partition, at_ms, IDIV(at_ms, 86400000) as day, 2 * seq as place, B(1) as step, true as published from {messages} union all select partition, at_ms, IDIV(at_ms, 86400000), 2 * seq + 101, B(-1), false from {messages} where not failed"
+
+
+def _lag(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(render(_LAG, "spark"), messages=view(spark, d, "messages"))
+
+
+@built("lag_series_peak", f"select day, B(max(lag)) as peak from (select day, (select 1) * sum(step) over (order by place rows unbounded preceding) as lag from ({_LAG}) l) s group by day")
+def _(spark, d):
+    return ordered.running(_lag(spark, d), ["place"], {"lag": ([], F.col("step"))}).groupBy("day").agg(F.max("lag").alias("peak"))
+
+
+@built("backpressure", f"select partition, B(count_if(published and lag >= 20)) as refused, B(count_if(published)) as n from (select partition, published, sum(step) over (partition by partition order by place rows unbounded preceding) as lag from ({_LAG}) l) s group by partition")
+def _(spark, d):
+    lagged = ordered.running(_lag(spark, d), ["place"], {"lag": (["partition"], F.col("step"))})
+    return lagged.groupBy("partition").agg(F.count_if(F.col("published") & (F.col("lag") >= 20)).alias("refused"), F.count_if("published").alias("n"))
+
+
 plain("bus_stats", "select topic, count(*) as messages, count(distinct key) as keys, B(count_if(failed)) as failed, B(sum(size)) as bytes from {messages} where topic not like '__dlq__%' group by topic")
 plain("message_trace", "select msg_id, coalesce(case when event_id % 3 = 0 then substr(md5(STR(event_id)), 1, 8) end, '') as trace_id from {messages}")
 plain("dlq_redrive", "select msg_id, count(*) as tries, B(min(arrival)) as first_try from (select msg_id, arrival from {deliveries} where failed union all select msg_id, arrival + 1000000 as arrival from {deliveries} where failed) r group by msg_id having count(*) > 2")
@@ -97,16 +128,16 @@ def _(spark, d):
     return ordered.committed(view(spark, d, "messages").select("partition", F.col("off").alias("offset"), (~F.col("failed")).alias("acked")))
 
 
-_GAP = """with recursive ev as materialized (select partition, off, row_number() over (partition by partition order by arr, off) as n from (select partition, off, off + case when event_id % 10 = 0 then 4 else 0 end as arr from {messages}) m),
- st(partition, n, expected, late) as (select distinct partition, B(0), B(0), B(0) from ev union all select s.partition, e.n, case when e.off = s.expected then s.expected + 1 else s.expected end, s.late + case when e.off > s.expected then 1 else 0 end from st s join ev e on e.partition = s.partition and e.n = s.n + 1)
- select partition, B(arg_max(expected, n)) as expected, B(arg_max(late, n)) as late from st group by partition"""
+_GAP = """with a as (select partition, off, off + case when event_id % 10 = 0 then 4 else 0 end as arr from {messages}),
+ t as (select partition, off, (arr, off) < max((arr, off)) over (partition by partition order by off rows between unbounded preceding and 1 preceding) as early from a)
+ select partition, B(max(off) + 1) as expected, B(count_if(early)) as late from t group by partition"""
 
 
-@built("gap_detect", _GAP, True)
+@built("gap_detect", _GAP)
 def _(spark, d):
     m = view(spark, d, "messages").withColumnRenamed("off", "offset")
     at = F.col("offset") + F.when(F.col("event_id") % 10 == 0, 4).otherwise(0)
-    return ordered.out_of_order(m.withColumn("at", at), "partition", F.struct("at", "offset"))
+    return ordered.out_of_order(m.select("partition", "offset", at.alias("arr"), F.col("offset").alias("o")), "partition", ["arr", "o"])
 
 
 # state machines -----------------------------------------------------------------------------------------
@@ -132,7 +163,8 @@ _TASKS = "with recursive " + _fold("st", "select subject, seq as ord, at_ms, eve
 
 
 def _folded(spark: SparkSession, d: str, key: list[str] | None = None) -> DataFrame:
-    return fsm.fold_fsm(view(spark, d, "journal"), key or ["subject"], F.col("seq"), F.col("event"), F.col("at_ms"))
+    # a subject's events are those of one user, so the place among the user's orders them
+    return fsm.fold_fsm(view(spark, d, "journal_lean"), key or ["subject"], F.col("rn"), F.col("event"), F.col("at_ms"))
 
 
 @built("fsm_final_state", _TASKS + " select subject, arg_max(state, n) as state, B(arg_max(len(ps), n)) as paused, B(arg_max(len(qs), n)) as queued from st group by subject", True)
@@ -205,7 +237,7 @@ _VEHICLES = _TASKS + ", " + _fold("vs", f"""select concat('V', B(split_part(subs
 
 def _vehicles(spark: SparkSession, d: str) -> DataFrame:
     vehicle = lambda user: F.concat(F.lit("V"), (user % 40).cast("string"))
-    made = fsm.derived_vehicle_events(_folded(spark, d, ["subject", "user_id"]), ["subject", "user_id"], vehicle(F.col("user_id"))).select("vehicle_id", (2 * F.col("order")).alias("o"), "event", "at_ms")
+    made = fsm.derived_vehicle_events(fsm.fold_fsm(view(spark, d, "journal"), ["subject", "user_id"], F.col("seq"), F.col("event"), F.col("at_ms")), ["subject", "user_id"], vehicle(F.col("user_id"))).select("vehicle_id", (2 * F.col("order")).alias("o"), "event", "at_ms")
     live = view(spark, d, "journal").where("kind in ('vehicle_offline', 'task_created')").select(vehicle(F.col("user_id")).alias("vehicle_id"), (2 * F.col("seq") + 1).alias("o"), F.when(F.col("kind") == "vehicle_offline", "HEARTBEAT_TIMEOUT").otherwise("ONLINE").alias("event"), "at_ms")
     return fsm.fold_fsm(made.unionByName(live), ["vehicle_id"], F.col("o"), F.col("event"), F.col("at_ms"), S.VEHICLE_MOVES, "IDLE")
 
@@ -245,7 +277,17 @@ plain("open_tasks", "select state, count(*) as n from {tasks_in} where state not
 plain("overdue_tasks", "select priority, count(*) as n from {tasks_in} where state not in ('COMPLETED', 'FAILED', 'CANCELLED') and 900000000000 > created_ms + 120000 group by priority")
 plain("completion_rate", "select coalesce(avg(case when state = 'COMPLETED' then D(1) else D(0) end), D(0)) as rate, count(*) as n from {tasks_in}")
 plain("gantt_rows", "select task_id, created_ms from {tasks_in} order by created_ms, task_id limit 28")
-plain("pending_order", "select task_id, B(row_number() over (order by priority desc, created_ms, task_id)) as place from {tasks_in} where state = 'PENDING'")
+
+@built("pending_order", "select task_id, B(row_number() over (order by priority desc, created_ms, task_id)) as place from {tasks_in} where state = 'PENDING'")
+def _(spark, d):
+    """Places within each priority, shifted by the tasks of higher ones."""
+    pending = view(spark, d, "tasks_in").where("state = 'PENDING'").select("task_id", "priority", "created_ms")
+    placed = ordered.running(pending, ["created_ms", "task_id"], {"place": (["priority"], F.lit(1).cast("long"))})
+    higher = pending.groupBy("priority").agg(F.count("*").alias("n")).alias("a")
+    before = higher.join(higher.alias("b"), F.expr("b.priority > a.priority"), "left").groupBy("a.priority").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return placed.join(before, "priority").select("task_id", (F.col("place") + F.col("before")).alias("place"))
+
+
 plain("vehicle_projection", "select vehicle_id, D(vx) as vx, D(vy) as vy, battery, online, vstate from {vehicles_in}")
 plain("fleet_stats", "select vstate, count(*) as n, B(count_if(online)) as online, B(count_if(online and vstate = 'IDLE' and battery >= 20)) as dispatchable from {vehicles_in} group by vstate")
 plain("vehicle_candidates", "select vehicle_id, battery from {vehicles_in} where online and vstate = 'IDLE' and battery >= 20")
@@ -261,7 +303,6 @@ plain("live_vs_replay_diff", "select l.subject, l.n as live, r.n as replay from
 plain("snapshot_tasks", "select task_id, cust, priority, created_ms, state from {tasks_in}")
 plain("full_fingerprint", "select hub, SHA(concat('[', LAGG(concat('[', vehicle_id, ',\"', vstate, '\",', case when online then 'true' else 'false' end, ',', B(round(vx * 1000)), ',', B(round(battery * 100)), ']'), ',', vehicle_id), ']')) as fingerprint, count(*) as n from (select *, vehicle_id % 6 as hub from {vehicles_in}) v group by hub")
 plain("hub_vehicle_scores", "select ox, oy, vehicle_id, round(50.0 + 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)), 6) as score from (select distinct ox, oy from {tasks_in}) o cross join {vehicles_in} v where online and vstate = 'IDLE' and battery >= 20")
-plain("preemption_rate", "select round(D(count_if(priority >= 3 and state = 'PENDING')) / D(count(*)), 4) as rate, count(*) as n from {tasks_in}")
 plain("task_of_vehicle", "select v.vehicle_id, min(t.task_id) as task_id from {vehicles_in} v join (select task_id, cust % 97 + 1 as vid from {tasks_in} where state = 'EXECUTING') t on t.vid = v.vehicle_id where v.online group by v.vehicle_id")
 
 
@@ -281,19 +322,32 @@ def _(spark, d):
     return dispatch.victims(tasks.where("state = 'PENDING'").select("task_id", "priority"), running)
 
 
-_PLAN = """with recursive v as materialized (select * from {vehicles_in} where online and vstate = 'IDLE' and battery >= 20),
- q as materialized (select *, row_number() over (order by priority desc, created_ms, task_id) as n from {tasks_in} where state = 'PENDING' qualify n <= (select count(*) from v)),
- c as materialized (select q.n, q.task_id, v.vehicle_id, 1000.0 * q.priority + 50.0 + 0.5 * v.battery - sqrt((v.vx - q.ox) * (v.vx - q.ox) + (v.vy - q.oy) * (v.vy - q.oy)) as score from q cross join v),
- p(n, taken, task_id, vehicle_id, score) as (select B(0), cast([] as bigint[]), B(0), B(0), D(0) union all select n, list_append(taken, vehicle_id), task_id, vehicle_id, score from (select c.n, p.taken, c.task_id, c.vehicle_id, c.score, row_number() over (order by c.score desc, c.vehicle_id) as rn from p join c on c.n = p.n + 1 where not list_contains(p.taken, c.vehicle_id)) z where rn = 1)
- select B(n) as step, task_id, vehicle_id, round(score, 6) as score from p where n > 0"""
+_PLAN = """with recursive w as materialized (select * from {vehicles_in} where online), v as materialized (select * from w where vstate = 'IDLE' and battery >= 20),
+ q as materialized (select *, row_number() over (order by priority desc, created_ms, task_id) as n from {tasks_in} where state = 'PENDING' qualify n <= (select count(*) from {vehicles_in})),
+ r as materialized (select t.task_id as victim, t.priority, t.created_ms as assigned_ms, w.vehicle_id, w.vx, w.vy, w.battery, w.vstate, w.battery >= 20 as fit from {tasks_in} t join w on w.vehicle_id = t.cust % 97 + 1 where t.state = 'EXECUTING'),
+ c as materialized (select q.n, q.task_id, 0 as kind, v.vehicle_id, 1000.0 * q.priority + 50.0 + 0.5 * v.battery - sqrt((v.vx - q.ox) * (v.vx - q.ox) + (v.vy - q.oy) * (v.vy - q.oy)) as score, B(0) as victim, B(0) as a, B(0) as b from q cross join v
+  union all select q.n, q.task_id, 1, r.vehicle_id, 1000.0 * q.priority + case when vstate = 'IDLE' and fit then 50.0 else 0.0 end + 0.5 * r.battery - sqrt((r.vx - q.ox) * (r.vx - q.ox) + (r.vy - q.oy) * (r.vy - q.oy)), r.victim, r.priority, -r.assigned_ms from q join r on r.priority < q.priority and q.priority >= 3),
+ p(n, taken, gone, task_id, vehicle_id, score, victim) as (select B(0), cast([] as bigint[]), cast([] as bigint[]), B(0), B(0), D(0), B(0)
+  union all select n, list_append(taken, vehicle_id), list_append(gone, victim), task_id, vehicle_id, score, victim from (select c.n, p.taken, p.gone, c.task_id, c.vehicle_id, c.score, c.victim,
+   row_number() over (order by c.kind, c.a, c.b, c.victim, c.score desc, c.vehicle_id) as rn from p join c on c.n = p.n + 1 where case c.kind when 0 then not list_contains(p.taken, c.vehicle_id) else not list_contains(p.gone, c.victim) end) z where rn = 1)"""
+
+
+def _running(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "tasks_in").where("state = 'EXECUTING'").select("task_id", "priority", F.col("created_ms").alias("assigned_ms"), F.lit(0).alias("preempted"), (F.col("cust") % 97 + 1).alias("vehicle_id"))
+
 
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return dispatch.plan_greedy(view(spark, d, "tasks_in").where("state = 'PENDING'"), view(spark, d, "vehicles_in"), _running(spark, d))
 
-@built("plan_greedy", _PLAN, True)
+
+@built("plan_greedy", _PLAN + " select B(n) as step, task_id, vehicle_id, round(score, 6) as score, nullif(victim, 0) as victim from p where n > 0", True)
 def _(spark, d):
-    fleet = view(spark, d, "vehicles_in")
-    free = fleet.where(dispatch.dispatchable()).count()  # a round plans at most a task per free vehicle
-    tasks = view(spark, d, "tasks_in").where("state = 'PENDING'").orderBy(*dispatch.pending_order()).limit(free)
-    return dispatch.plan_greedy(tasks, fleet).withColumn("score", F.round("score", 6))
+    return _plan(spark, d).withColumn("score", F.round("score", 6))
+
+
+@built("preemption_rate", _PLAN + " select B(count_if(victim > 0)) as preemptions, count(*) as assigned, D(count_if(victim > 0)) / count(*) as rate from p where n > 0", True)
+def _(spark, d):
+    return _plan(spark, d).agg(F.count("victim").alias("preemptions"), F.count("*").alias("assigned"), (F.count("victim") / F.count("*")).alias("rate"))
 
 
 # traffic ------------------------------------------------------------------------------------------------
@@ -325,12 +379,36 @@ def _(spark, d):
     return traffic.wait_for(*_traffic(spark, d))
 
 
-_EDGES = "select distinct waiter, holder from (select n_nationkey as waiter, (n_nationkey * 7 + 3) % 25 as holder from {nation} union all select n_nationkey, (n_nationkey * 3 + 1) % 25 from {nation} where n_nationkey % 3 = 0) e where waiter <> holder"
-_CYCLES = f"with recursive eg as materialized ({_EDGES}), pt(root, tip, path) as (select waiter, holder, [waiter, holder] from eg where holder > waiter union all select p.root, e.holder, list_append(p.path, e.holder) from pt p join eg e on e.waiter = p.tip where e.holder > p.root and not list_contains(p.path, e.holder)), cy as (select distinct p.path from pt p join eg e on e.waiter = p.tip and e.holder = p.root)"
+_OPS = """ops as materialized (select resource, vehicle, priority, at_ms, id, op from {traffic_log} where op <> 'release_all'
+  union all select a.resource, l.vehicle, l.priority, l.at_ms, l.id, 'release_resource' from {traffic_log} l join (select distinct vehicle, resource from {traffic_log} where op = 'request') a on a.vehicle = l.vehicle where l.op = 'release_all'),
+ ev as materialized (select *, row_number() over (partition by resource order by at_ms, id) as n from ops)"""
+#: Holders, the queue (rank first, vehicle last) and counters, one request after another.
+_REQUESTS = f"""with recursive {_OPS},
+ st(resource, n, h, q, requests, grants, blocks, releases) as (select distinct resource, B(0), cast([] as bigint[]), cast([] as struct(p bigint, a bigint, i bigint, v bigint)[]), B(0), B(0), B(0), B(0) from ev
+ union all select resource, n, case when admitted then list_append(h2, q2[1].v) else h2 end, case when admitted then q2[2:] else q2 end, requests + case when op = 'request' then 1 else 0 end, grants + case when admitted then 1 else 0 end,
+  blocks + case when op = 'request' and not held and not (admitted and q2[1].v = vehicle) then 1 else 0 end, releases + case when op <> 'request' and held then 1 else 0 end
+  from (select *, len(q2) > 0 and len(h2) < 1 + resource % 3 and (op = 'request' and not held or op <> 'request' and (held or len(q2) < len(q))) as admitted
+   from (select s.resource, e.n, e.op, e.vehicle, s.q, s.requests, s.grants, s.blocks, s.releases, list_contains(s.h, e.vehicle) as held,
+     case when e.op = 'request' then s.h else list_filter(s.h, lambda x: x <> e.vehicle) end as h2,
+     case when e.op = 'request' and not list_contains(s.h, e.vehicle) then list_sort(list_append(list_filter(s.q, lambda x: x.v <> e.vehicle), {{'p': B(-e.priority), 'a': coalesce(list_filter(s.q, lambda x: x.v = e.vehicle)[1].a, e.at_ms), 'i': coalesce(list_filter(s.q, lambda x: x.v = e.vehicle)[1].i, e.id), 'v': B(e.vehicle)}}))
+      when e.op = 'release_resource' then list_filter(s.q, lambda x: x.v <> e.vehicle) else s.q end as q2
+     from st s join ev e on e.resource = s.resource and e.n = s.n + 1) y) z)
+ select resource, array_to_string(list_sort(arg_max(h, n)), ',') as holders, array_to_string(list_transform(arg_max(q, n), lambda x: x.v), ',') as waiting, B(max(requests)) as requests, B(max(grants)) as grants, B(max(blocks)) as blocks, B(max(releases)) as releases from st group by resource"""
+
+
+@built("traffic_requests", _REQUESTS, True)
+def _(spark, d):
+    log = view(spark, d, "traffic_log")
+    capacity = log.select("resource").distinct().withColumn("capacity", 1 + F.col("resource") % 3)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return traffic.fold_requests(log, capacity).select("resource", text("holders"), text("waiting"), "requests", "grants", "blocks", "releases")
+
+
+_CYCLES = "with recursive eg as materialized (select distinct waiter, holder from {waits} where waiter <> holder), pt(root, tip, path) as (select waiter, holder, [waiter, holder] from eg where holder > waiter union all select p.root, e.holder, list_append(p.path, e.holder) from pt p join eg e on e.waiter = p.tip where e.holder > p.root and not list_contains(p.path, e.holder)), cy as (select distinct p.path from pt p join eg e on e.waiter = p.tip and e.holder = p.root)"
 
 
 def _cycles(spark: SparkSession, d: str) -> DataFrame:
-    return traffic.cycles(spark.sql(_EDGES, nation=view(spark, d, "nation")))
+    return traffic.cycles(view(spark, d, "waits"))
 
 
 @built("deadlock_cycles", _CYCLES + " select array_to_string(path, '>') as cycle, B(len(path)) as n from cy", True)
@@ -338,7 +416,7 @@ def _(spark, d):
     return _cycles(spark, d).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.size("cycle").cast("long").alias("n"))
 
 
-@built("deadlock_victim", _CYCLES + ", u as (select path, unnest(path) as v from cy) select array_to_string(path, '>') as cycle, B(arg_min(v, v % 5 * 1000 + v)) as victim from u group by path", True)
+@built("deadlock_victim", _CYCLES + ", u as (select path, unnest(path) as v from cy) select array_to_string(path, '>') as cycle, B(arg_min(v, v % 5 * 1000000000 + v)) as victim from u group by path", True)
 def _(spark, d):
     priority = F.map_from_entries(F.transform("cycle", lambda v: F.struct(v, (v % 5).cast("int"))))
     found = _cycles(spark, d).withColumn("victim", traffic.victim(F.col("cycle"), priority).cast("long"))
@@ -355,15 +433,23 @@ def _(spark, d):
 
 
 plain("nearest_hub", f"select vehicle_id, hub from (select v.vehicle_id, h.hub, row_number() over (partition by v.vehicle_id order by (v.vx - h.x) * (v.vx - h.x) + (v.vy - h.y) * (v.vy - h.y), h.hub) as rn from {{vehicles_in}} v cross join {_HUBS}) n where rn = 1")
-plain("contended_union", "select distinct vehicle, resource from (select vehicle, resource from {holders} union select vehicle, resource from {requests}) u where vehicle % 97 = 5 and resource <> 3")
+plain("contended_union", "select distinct vehicle, resource from (select vehicle, resource from {holders} union select vehicle, resource from {requests}) u where resource <> 3")
 plain("blocked_on", "select vehicle, count(*) as n, min(resource) as first from {requests} group by vehicle")
 plain("queue_depth_peak", "select B(max(n)) as deepest, count(*) as contended, B(sum(n)) as waiting from (select resource, count(*) as n from {requests} group by resource) q")
 plain("holder_priority", "select vehicle, max(priority) as priority from (select vehicle, priority from {holders} union all select vehicle, priority from {requests}) p group by vehicle")
 plain("traffic_snapshot", "select resource, LAGG(STR(vehicle), ',', vehicle) as held_by, count(*) as n from {holders} group by resource")
 
 # observability ------------------------------------------------------------------------------------------
-plain("percentiles_nearest_rank", "select rule, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95, percentile_disc(0.99) within group (order by value) as p99, min(value) as p0, max(value) as p100 from {readings} group by rule")
-plain("histogram_summary", "select rule, count(*) as n, min(value) as low, round(avg(value), 3) as mean, percentile_disc(0.95) within group (order by value) as p95, max(value) as high from {readings} group by rule")
+@built("percentiles_nearest_rank", "select rule, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95, percentile_disc(0.99) within group (order by value) as p99, min(value) as p0, max(value) as p100 from {readings} group by rule")
+def _(spark, d):
+    return ordered.percentiles(view(spark, d, "readings"), ["rule"], "value", (0, 50, 95, 99, 100)).select("rule", "p50", "p95", "p99", "p0", "p100")
+
+
+@built("histogram_summary", "select rule, count(*) as n, min(value) as low, round(avg(value), 3) as mean, percentile_disc(0.95) within group (order by value) as p95, max(value) as high from {readings} group by rule")
+def _(spark, d):
+    return ordered.percentiles(view(spark, d, "readings"), ["rule"], "value", (95,)).select("rule", F.col("count").alias("n"), F.col("min").alias("low"), "mean", "p95", F.col("max").alias("high"))
+
+
 plain("histogram_capped", "select rule, count(*) as n, B(min(event_id)) as oldest from (select rule, event_id, row_number() over (partition by rule order by at_ms desc, event_id desc) as rn from {readings}) h where rn <= 200 group by rule")
 plain("counters", "select rule, count(*) as n, round(sum(value), 2) as total from {readings} group by rule")
 plain("gauge_last_and_peak", "select rule, max_by(value, at_ms * 1000000 + event_id) as last, max(value) as peak from {readings} group by rule")
@@ -433,7 +519,7 @@ def _(spark, d):
 
 plain("kv_hash_fields", "select key, field, max_by(STR(event_id), seq) as value, count(*) as sets from {commands} group by key, field")
 plain("cache_projection", "select concat('veh:', vehicle_id) as key, concat(vstate, '|', online) as value from {vehicles_in} union all select concat('task:', task_id) as key, concat(state, '|', priority) as value from {tasks_in}")
-plain("cache_lost_keys", "select key from {commands} where seq <= 5000 except select key from {commands} where op = 'set' and seq > 5000")
+plain("cache_lost_keys", "select key from {commands} where op = 'set' except select key from {commands} where op = 'set' and seq > (select max(seq) - 300 from {commands})")
 plain("command_outcomes", "select key, op, B(min(seq)) as applied, B(count(*) - 1) as duplicates from {commands} group by key, op")
 plain("idempotency_eviction", "select msg_id, arrival from (select msg_id, max(arrival) as arrival, row_number() over (order by max(arrival) desc, msg_id) as rn from {deliveries} where not failed group by msg_id) e where rn <= 500")
 
@@ -445,5 +531,5 @@ plain("event_samples", "select event_type as scenario, LAGG(concat(kind, '=', n)
 
 # streaming ------------------------------------------------------------------------------------------------
 for _name, (_job, _sql) in jobs.JOBS.items():
-    built(_name, _sql)(_job)
+    built(_name, _sql, _sql is not None and "recursive" in _sql)(_job)
 del _name, _job, _sql

@@ -21,11 +21,24 @@ def draw(seed: int, *what: Column | str) -> Column:
 
 
 def fleet(spark: SparkSession, count: int) -> DataFrame:
-    """Vehicles dealt to hubs in turn, 12 metres further out each lap."""
+    """Vehicles dealt to hubs in turn, 12 metres further out in x and y each lap."""
     hubs = F.array(*(F.struct(F.lit(h).alias("hub"), F.lit(x).alias("x"), F.lit(y).alias("y")) for h, x, y in S.HUBS))
     i = F.col("id")
     at = F.get(hubs, (i % len(S.HUBS)).cast("int"))
-    return spark.range(count).select(padded_id("AGV-", i + 1, 2).alias("vehicle_id"), at["hub"].alias("hub"), (at["x"] + 12.0 * F.floor(i / len(S.HUBS))).alias("x"), at["y"].alias("y"), (100.0 - 3.0 * (i % 5)).alias("battery"))
+    return spark.range(count).select(padded_id("AGV-", i + 1, 2).alias("vehicle_id"), at["hub"].alias("hub"), (at["x"] + 12.0 * F.floor(i / len(S.HUBS))).alias("x"), (at["y"] + 12.0 * F.floor(i / len(S.HUBS))).alias("y"), (100.0 - 3.0 * (i % 5)).alias("battery"))
+
+
+def _hops() -> list[tuple[str, str, int]]:
+    """Roads on the way between every two hubs, at least 1: on this grid the shortest way has the fewest."""
+    near = {h: {b for a, b in [*S.ROADS, *[(b, a) for a, b in S.ROADS]] if a == h} for h, _, _ in S.HUBS}
+    out = []
+    for h in near:
+        seen, edge, n = {h}, {h}, 0
+        while edge:
+            edge, n = {b for a in edge for b in near[a]} - seen, n + 1
+            seen |= edge
+            out += [(h, b, n) for b in sorted(edge)]
+    return out
 
 
 def tasks(spark: SparkSession, count: int, seed: int, interval_ms: int = 1000) -> DataFrame:
@@ -39,9 +52,11 @@ def tasks(spark: SparkSession, count: int, seed: int, interval_ms: int = 1000) -
         edge = sum(PRIORITY_SHARES[: i + 1])
         level = F.when(at < edge, F.lit(i + 1)).otherwise(level)
     created = F.col("id") * interval_ms
+    hops = {(a, b): n for a, b, n in _hops()}
+    legs = F.create_map(*(F.lit(v) for (a, b), n in hops.items() for v in (f"{a}>{b}", n)))[F.concat(F.get(names, start), F.lit(">"), F.get(names, goal))]
     return spark.range(count).select(
         padded_id("T", F.col("id") + 1).alias("task_id"), F.get(names, start).alias("origin_hub"), F.get(names, goal).alias("destination_hub"), level.alias("priority"),
-        (50.0 + 1750.0 * draw(seed, "id", F.lit("w"))).alias("payload_kg"), created.alias("created_ms"), (created + ((120_000 + 90_000) * (1.6 + 1.6 * draw(seed, "id", F.lit("t")))).cast("long")).alias("deadline_ms"),
+        (50.0 + 1750.0 * draw(seed, "id", F.lit("w"))).alias("payload_kg"), created.alias("created_ms"), (created + ((120_000 + 90_000 * legs) * (1.6 + 1.6 * draw(seed, "id", F.lit("t")))).cast("long")).alias("deadline_ms"),
     )
 
 

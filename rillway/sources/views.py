@@ -7,23 +7,22 @@ engine read the same definition; only the journal's sequence number is made by a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillway.functions.dialect import render
-from rillway.operators.ordered import with_sequence
+from rillway.operators.ordered import running, with_sequence
 
 _HUB = lambda h: f"D(60 + 240 * ({h} % 3))", lambda h: f"D(case when {h} < 3 then 60 else 340 end)"
 _X, _Y = _HUB
 
 VIEWS = {
-    "journal": """select seq, event_id, user_id, event_type, value, at_ms, concat('S', user_id, '-', IDIV(rn - 1, 8)) as subject,
+    "journal": """select seq, event_id, rn, user_id, event_type, value, at_ms, concat('S', user_id, '-', IDIV(rn - 1, 8)) as subject,
         case event_type when 'signup' then 'task_created' when 'error' then 'vehicle_offline' when 'purchase' then 'task_assigned' else 'task_event' end as kind,
         case when event_id % 12 < 8 then case (rn - 1) % 8 when 0 then 'ASSIGN' when 1 then 'DISPATCH' when 2 then 'ENQUEUE' when 3 then 'PROCEED' when 4 then 'START' when 5 then 'PAUSE' when 6 then 'RESUME' else 'RECOVER' end
              when event_id % 12 = 8 then 'COMPLETE' when event_id % 12 = 9 then 'REQUEUE' when event_id % 12 = 10 then 'PAUSE' else 'FAIL' end as event,
         substr(md5(STR(event_id)), 1, 16) as trace_id
-        from (select *, MS(ts) as at_ms, row_number() over (partition by user_id order by seq) as rn from {events_seq}) e""",
-    "messages": """select seq, event_id, 'fleet.events' as topic, part as partition, cast(row_number() over (partition by part order by seq) - 1 as bigint) as off, k as key,
-        concat('fleet.events-', part, '-', row_number() over (partition by part order by seq) - 1) as msg_id, at_ms, failed, size
-        from (select seq, event_id, STR(user_id) as k, cast(H64(STR(user_id)) % 4 as bigint) as part, MS(ts) as at_ms, event_type = 'error' as failed, length(props) as size from {events_seq}) e""",
+        from (select *, MS(ts) as at_ms, row_number() over (partition by user_id order by ts, event_id) as rn from {events_seq}) e""",
+    "messages": """select seq, event_id, 'fleet.events' as topic, part as partition, off, k as key, concat('fleet.events-', part, '-', off) as msg_id, at_ms, failed, size from {events_off}""",
     "tasks_in": f"""select task_id, cust, priority, created_ms, state, {_X("ho")} as ox, {_Y("ho")} as oy, {_X("hd")} as dx, {_Y("hd")} as dy, price
         from (select o_orderkey as task_id, o_custkey as cust, 6 - cast(substr(o_orderpriority, 1, 1) as int) as priority, MS(o_orderdate) as created_ms,
         case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'PENDING' else 'EXECUTING' end as state, o_custkey % 6 as ho, (o_custkey + 1 + o_orderkey % 5) % 6 as hd, o_totalprice as price from {{orders}}) o""",
@@ -32,17 +31,25 @@ VIEWS = {
         from (select s_suppkey as vehicle_id, s_suppkey % 6 as h, s_acctbal as bal, s_nationkey as nation from {{supplier}}) s""",
     "resources": "select distinct l_suppkey % 26 as resource, 1 + (l_suppkey % 26) % 3 as capacity from {lineitem}",
     "holders": """select resource, vehicle, priority from (select l_suppkey % 26 as resource, l_orderkey as vehicle, max(1 + l_linenumber % 5) as priority, row_number() over (partition by l_suppkey % 26 order by l_orderkey) as rn
-        from {lineitem} where l_linestatus = 'F' group by l_suppkey % 26, l_orderkey) h where rn <= 1 + resource % 3""",
+        from {lineitem} where l_linestatus = 'F' group by l_suppkey % 26, l_orderkey) h where rn <= 1 + resource % 3 - case when resource % 4 = 0 then 1 else 0 end""",
+    "failures": "select msg_id, key, 2 * seq + 20 * k as arrival from {messages} cross join (values (0), (1), (2), (3), (4)) as t(k) where failed and k <= event_id % 5",
     "requests": """select l_suppkey % 26 as resource, l_orderkey as vehicle, max(1 + l_linenumber % 5) as priority, min(MS(l_shipdate)) as requested_ms, min(l_orderkey * 10 + l_linenumber) as seq
         from {lineitem} where l_linestatus = 'O' group by l_suppkey % 26, l_orderkey""",
     "spans": "select conv_id as trace_id, turn as span_id, case when turn > 0 then turn - 1 end as parent_id, role as name, 1000 * turn as start_ms, cast(length(text) as bigint) as duration_ms from {conversations}",
     "readings": "select event_type as rule, user_id as subject, value, MS(ts) as at_ms, event_id from {events}",
+    "traffic_log": """select l_suppkey as resource, l_orderkey % 40 as vehicle, 1 + l_linenumber % 5 as priority, MS(l_shipdate) as at_ms, l_orderkey * 10 + l_linenumber as id,
+        case when l_orderkey % 97 = 0 then 'release_all' else case (l_orderkey + l_linenumber) % 5 when 2 then 'release' when 4 then 'release_resource' else 'request' end end as op from {lineitem}""",
+    "waits": "select c_custkey as waiter, B(H64(STR(c_custkey)) % (select count(*) from {customer})) + 1 as holder from {customer}",
     "deliveries": "select *, 2 * seq as arrival from {messages} union all select *, 2 * seq + 15 as arrival from {messages} where event_id % 7 = 0",
     "commands": """select concat('k', user_id % 60) as key, seq, MS(ts) as at_ms, case event_id % 9 when 0 then 'set' when 1 then 'incr' when 2 then 'get' when 3 then 'expire' when 4 then 'ttl' when 5 then 'exists' when 6 then 'incr' when 7 then 'persist' else case when event_id % 4 = 0 then 'delete' else 'get' end end as op,
         case when event_id % 9 = 0 then STR(event_id % 100) end as value, case when event_id % 9 = 3 or event_id % 18 = 0 then cast((event_id % 5) * 7200000 as bigint) end as ttl_ms, concat('f', event_id % 3) as field, event_id from {events_seq}""",
 }
-NEEDS = {"journal": ["events_seq"], "messages": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "commands": ["events_seq"]}
+NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "commands": ["events_seq"]}
+#: The journal without its sequence numbers, for what does not read them.
+VIEWS["journal_lean"] = VIEWS["journal"].replace("select seq, ", "select ", 1).replace("{events_seq}", "{events}")
 SEQUENCE = "select *, row_number() over (order by ts, event_id) as seq from events"
+_ROUTED = "select ts, event_id, STR(user_id) as k, cast(H64(STR(user_id)) % 4 as bigint) as part, MS(ts) as at_ms, event_type = 'error' as failed, length(props) as size from {events}"
+OFFSETS = f"select *, row_number() over (order by ts, event_id) as seq, row_number() over (partition by part order by ts, event_id) - 1 as off from ({_ROUTED}) r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +59,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "events_seq":
         return with_sequence(table(spark, sf_dir, "events"), ["ts", "event_id"])
+    if name == "events_off":
+        one = F.lit(1).cast("long")
+        routed = spark.sql(render(_ROUTED, "spark"), events=table(spark, sf_dir, "events"))
+        return running(routed, ["ts", "event_id"], {"seq": ([], one), "off": (["part"], one)}).withColumn("off", F.col("off") - 1)
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     return spark.sql(render(VIEWS[name], "spark"), **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
@@ -66,6 +77,8 @@ def with_clause(names: list[str]) -> str:
             return
         if name == "events_seq":
             done[name] = SEQUENCE
+        elif name == "events_off":
+            done[name] = render(OFFSETS, "check")
         elif name in VIEWS:
             for n in NEEDS[name]:
                 add(n)

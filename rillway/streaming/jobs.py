@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.functions.scalars import partition_for_key
 from rillway.streaming.stateful import live_states, ordered_gate
 
 
@@ -62,10 +61,11 @@ def dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets per partition leave the gate in order."""
-    events = source(spark, sf_dir).withColumn("partition", partition_for_key(F.col("user_id").cast("string")))
-    numbered = events.select("partition", F.col("event_id").alias("offset")).withColumn("partition", F.lit(0).cast("long"))
-    return drained(ordered_gate(numbered, 1 << 40), "gate").groupBy("partition").agg(F.count("*").alias("released"), F.max("offset").alias("last"), F.count_if("forced").alias("forced"))
+    """Offsets per partition leave the gate in order; each eleventh is lost, and a tenth arrive late."""
+    events = source(spark, sf_dir)
+    offset = F.col("event_id").cast("long")
+    numbered = events.where("event_id % 11 <> 4").select((F.col("event_id") % 64).alias("partition"), F.floor(offset / 64).alias("offset"), (F.floor(offset / 64) + F.when(offset % 10 == 0, 3).otherwise(0)).alias("arrival"))
+    return drained(ordered_gate(numbered, GATE_WINDOW), "gate").groupBy("partition").agg(F.count("*").alias("released"), F.max("offset").alias("last"), F.count_if("early").alias("early"), F.count_if("forced").alias("forced"))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +81,24 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("hour_ms", "event_type").agg(F.max("n").alias("n"))
 
 
+GATE_WINDOW = 8
+#: The gate as a recursive fold: arrivals in order, the offset expected, those that wait, and what was let out.
+_GATE = """with recursive ev as materialized (select event_id % 64 as partition, event_id // 64 as off, row_number() over (partition by event_id % 64 order by event_id // 64 + case when event_id % 10 = 0 then 3 else 0 end, event_id) as n from {events} where event_id % 11 <> 4),
+ st(partition, n, expected, held, released, last, early, forced) as (select distinct partition, B(0), B(0), cast([] as bigint[]), B(0), B(-1), B(0), B(0) from ev
+ union all select partition, n, B(case when off < expected or off > expected and not full_ then expected when off = expected then off + 1 + run else list_min(grown) + len(grown) end),
+  case when off < expected or (off > expected and not full_) then grown when off = expected then list_filter(held, lambda h: h > off + run) else cast([] as bigint[]) end,
+  released + case when off < expected then 1 when off = expected then 1 + run when full_ then len(grown) else 0 end,
+  greatest(last, case when off < expected then off when off = expected then off + run when full_ then list_max(grown) else -1 end),
+  early + case when off < expected then 0 when off = expected then run when full_ then len(grown) else 0 end, forced + case when off > expected and full_ then len(grown) else 0 end
+  from (select s.partition, e.n, e.off, s.expected, s.held, s.released, s.last, s.early, s.forced, case when e.off > s.expected and not list_contains(s.held, e.off) then list_append(s.held, e.off) else s.held end as grown,
+   e.off > s.expected and not list_contains(s.held, e.off) and len(s.held) + 1 > 8 as full_, len(list_filter(list_sort(s.held), lambda h, i: h = e.off + i)) as run
+   from st s join ev e on e.partition = s.partition and e.n = s.n + 1) z)
+ select B(partition) as partition, B(arg_max(released, n)) as released, B(arg_max(last, n)) as last, B(arg_max(early, n)) as early, B(arg_max(forced, n)) as forced from st group by partition having arg_max(released, n) > 0"""
+
 JOBS = {
     "stream_dedup": (dedup, "select event_id, user_id, event_type from {events}"),
     "stream_dlq_split": (dlq_split, "select case when event_type = 'error' then 'dlq' else 'ok' end as side, event_type, count(*) as n from {events} group by 1, 2"),
-    "stream_ordered_gate": (gate, "select B(0) as partition, count(*) as released, max(event_id) as last, B(0) as forced from {events}"),
+    "stream_ordered_gate": (gate, _GATE),
     "stream_fsm": (states, None),
     "stream_hourly_counts": (windows, "select B(IDIV(MS(ts), 3600000) * 3600000) as hour_ms, event_type, count(*) as n from {events} group by 1, 2"),
 }

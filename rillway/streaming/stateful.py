@@ -14,28 +14,42 @@ TASK_TABLE = {(a, e): t for a, e, t in S.TASK_MOVES}
 
 
 def ordered_gate(messages: DataFrame, window: int = S.REORDER_WINDOW) -> DataFrame:
-    """Per partition releases offsets in order. Later offsets wait in state; beyond ``window`` of them all
-    are released sorted and count as forced. ``messages`` has partition and offset."""
+    """Per partition lets offsets through in order; ``messages`` has partition and offset.
+
+    A later offset waits in state and is marked early. Beyond ``window`` of them the hole is taken for lost:
+    all that wait are released in order, marked forced, and the gate goes on after as many offsets as it let
+    out. What comes after its turn is a redelivery and passes; what already waits is dropped. State never
+    holds more than the window.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected, held = state.get if state.exists else (0, [])
         waiting, out = set(held), []
-        for frame in frames:
-            for offset in frame["offset"].tolist():
-                if offset < expected or offset in waiting:
-                    continue
-                waiting.add(offset)
+        for offset in sorted_arrivals(frames):
+            if offset < expected:
+                out.append((key[0], offset, False, False))
+            elif offset == expected:
+                out.append((key[0], offset, False, False))
+                expected += 1
                 while expected in waiting:
                     waiting.remove(expected)
-                    out.append((key[0], expected, False))
+                    out.append((key[0], expected, True, False))
                     expected += 1
+            elif offset not in waiting:
+                waiting.add(offset)
                 if len(waiting) > window:
-                    out += [(key[0], o, True) for o in sorted(waiting)]
-                    expected, waiting = max(waiting) + 1, set()
+                    out += [(key[0], o, True, True) for o in sorted(waiting)]
+                    expected, waiting = min(waiting) + len(waiting), set()
         state.update((expected, sorted(waiting)))
-        yield pd.DataFrame(out, columns=["partition", "offset", "forced"])
+        yield pd.DataFrame(out, columns=["partition", "offset", "early", "forced"])
+
+    return messages.groupBy("partition").applyInPandasWithState(step, "partition long, offset long, early boolean, forced boolean", "expected long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+
 
-    return messages.groupBy("partition").applyInPandasWithState(step, "partition long, offset long, forced boolean", "expected long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+def sorted_arrivals(frames: Iterator[pd.DataFrame]) -> list[int]:
+    """Offsets of a micro-batch as they came: by arrival where there is such a column."""
+    rows = pd.concat(list(frames))
+    return (rows.sort_values(["arrival", "offset"]) if "arrival" in rows else rows)["offset"].tolist()
 
 
 def move(state: str, pause: list[str], queue: list[str], event: str, table: dict = TASK_TABLE) -> tuple[str, list[str], list[str], bool]:

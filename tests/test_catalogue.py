@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generat
 @pytest.fixture(scope="module")
 def check():
     c = duckdb.connect()
-    for t in ("nation", "orders", "supplier", "lineitem", "events", "conversations"):
+    for t in ("customer", "nation", "orders", "supplier", "lineitem", "events", "conversations"):
         p = f"{SF}/{t}.parquet"
         c.sql(f"create view {t} as select * from '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     return c
