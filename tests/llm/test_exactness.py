@@ -311,3 +311,27 @@ def test_registered_entries_run(spark, tmp_path, name):
     want = {"op3_html_extraction": 2}.get(name, len(rows))
     assert got.count() >= want if name in ("op8_packing",) else got.count() == want if name != "pipeline" else got.count() > 0
     assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
+# the stages ----------------------------------------------------------------------------------------------
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and values, repeated rows and columns named like those that stages make."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, h string, n long, part int, kept string, row string, turn int"
+    text = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randint(0, 5000)}" for i in range(80))
+    rows = [(i, text(i), "en", "s", 1, "x", 1, 2, "no", "r", 3) for i in range(6)]
+    rows += [(None, text(50), None, None, None, None, None, None, None, None, None), (None, text(51), "en", "s", 1, None, None, None, None, None, None)]
+    rows += [rows[0], (9, None, None, None, None, None, None, None, None, None, None), (10, "", "en", "s", 0, "", 0, 0, "", "", 0)]
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame(some, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(4)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        counts = []
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, f"{tmp_path}/{name}")
+            if stage != "pack_sequences":
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            counts.append(docs.count())
+        assert counts == [0] * 5 if not some else counts[:3] == [9, 8, 8] and counts[3] >= 8
