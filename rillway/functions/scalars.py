@@ -54,8 +54,13 @@ def score(priority: Column, idle: Column, battery: Column, dist: Column, wait_s:
     return w["priority"] * priority + w["idle"] * idle.cast("double") + w["battery"] * battery - w["distance"] * dist + w["aging"] * wait_s
 
 
-def score_reasons(priority: Column, battery: Column, dist: Column, wait_s: Column) -> Column:
-    return F.array(F.format_string("priority=%s", priority.cast("string")), F.format_string("battery=%.1f", battery), F.format_string("distance=%.1f", dist), F.format_string("wait=%.1fs", wait_s))
+def score_reasons(priority: Column, battery: Column, dist: Column, wait_s: Column, state: Column, weights: dict[str, float] = S.WEIGHTS) -> Column:
+    """What a score is made of, term by term, with its contribution."""
+    w = {**S.WEIGHTS, **weights}
+    return F.array(
+        F.format_string("priority=%s(+%.1f)", priority_label(priority), w["priority"] * priority.cast("double")), F.format_string("distance=%.1fm(%.1f)", dist, -w["distance"] * dist), F.format_string("battery=%.1f%%(+%.1f)", battery, w["battery"] * battery),
+        F.format_string("state=%s(+%.1f)", state, F.when(state == "IDLE", w["idle"]).otherwise(0.0)), F.format_string("waiting=%.1fs(+%.1f)", wait_s, w["aging"] * wait_s),
+    )
 
 
 def edge_cost(length: Column, occupied: Column, congestion: float = S.CONGESTION) -> Column:
@@ -123,3 +128,12 @@ def prefixed(prefix: str, key: Column) -> Column:
 
 def unprefixed(prefix: str, key: Column) -> Column:
     return F.when(key.startswith(prefix), F.substring(key, len(prefix) + 1, 1 << 30)).otherwise(key)
+
+
+def json_diff(left: Column, right: Column) -> Column:
+    """Array of (path, left, right) where two JSON objects differ, by path; a missing side is null. Nested
+    values are compared as their text."""
+    a, b = (F.coalesce(F.from_json(x, "map<string,string>"), F.expr("cast(map() as map<string,string>)")) for x in (left, right))
+    paths = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    each = F.transform(paths, lambda k: F.struct(k.alias("path"), a[k].alias("left"), b[k].alias("right")))
+    return F.filter(each, lambda x: ~x["left"].eqNullSafe(x["right"]))

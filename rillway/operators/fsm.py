@@ -47,10 +47,16 @@ def steps(folded: DataFrame, key: list[str]) -> DataFrame:
 
 
 def timings(folded: DataFrame, key: list[str]) -> DataFrame:
-    """Last ASSIGN, first START, last end among accepted events; null where unset."""
+    """First event seen, last ASSIGN, first START, last end among accepted events; null where unset."""
     ok = lambda *e: F.filter("steps", lambda x: x["accepted"] & x["event"].isin(*e))
     at = lambda a, i: F.try_element_at(a, F.lit(i))["at_ms"]
-    return folded.select(*key, "state", at(ok("ASSIGN"), -1).alias("assigned_ms"), at(ok("START"), 1).alias("started_ms"), at(ok("COMPLETE", "CANCEL", "FAIL"), -1).alias("finished_ms"))
+    return folded.select(*key, "state", at(F.col("steps"), 1).alias("created_ms"), at(ok("ASSIGN"), -1).alias("assigned_ms"), at(ok("START"), 1).alias("started_ms"), at(ok("COMPLETE", "CANCEL", "FAIL"), -1).alias("finished_ms"))
+
+
+def state_json(folded: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., body): what a subject's lifecycle has come to, as a JSON object."""
+    body = F.to_json(F.struct("state", F.size("pause_stack").alias("paused"), F.size("queue_stack").alias("queued"), F.size(F.filter("steps", lambda x: x["accepted"])).alias("accepted")))
+    return folded.select(*key, body.alias("body"))
 
 
 def derived_vehicle_events(folded: DataFrame, key: list[str], vehicle: Column) -> DataFrame:

@@ -13,7 +13,7 @@ RESULT = "struct<order:bigint,op:string,result:string>"
 def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
     """``log``: key, order, at_ms, op, field, value, ttl_ms. Gives per key the final entry and each result.
 
-    set, get, exists, delete, incr, hset, hget, hdel, hlen, expire, persist, ttl. An entry is gone when
+    set, get, exists, delete, incr, hset, hget, hdel, hlen, hkeys, hgetall, expire, persist, ttl. An entry is gone when
     at_ms reaches its expiry. A string command on a hash, or the reverse, gives WRONGTYPE and changes
     nothing; incr of a value that is no integer gives NOTINT; set drops an old expiry unless it brings one,
     expire of zero or less deletes, and the last hdel deletes the key.
@@ -28,7 +28,7 @@ def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
         kind, value = F.when(alive, a["kind"]), F.when(alive, a["value"])
         fields, expires = F.when(alive, a["fields"]), F.when(alive, a["expires_ms"])
         op = x["op"]
-        wrong = (op.isin("get", "incr") & (kind == "hash")) | (op.isin("hset", "hget", "hdel", "hlen") & (kind == "string"))
+        wrong = (op.isin("get", "incr") & (kind == "hash")) | (op.isin("hset", "hget", "hdel", "hlen", "hkeys", "hgetall") & (kind == "string"))
         wrong = F.coalesce(wrong, F.lit(False))
         number = F.coalesce(value, F.lit("0")).try_cast("long")
         step_by = F.coalesce(x["value"].try_cast("long"), F.lit(1))
@@ -48,7 +48,7 @@ def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
         result = (
             F.when(wrong, "WRONGTYPE").when(bad, "NOTINT").when(op == "set", "OK").when(op == "get", value).when(op == "exists", flag(alive)).when(op.isin("delete", "expire"), flag(alive))
             .when(op == "persist", flag(alive & expires.isNotNull())).when(op == "incr", (number + step_by).cast("string")).when(op == "hset", flag(~has)).when(op == "hget", F.when(has, held[x["field"]]))
-            .when(op == "hdel", flag(has)).when(op == "hlen", F.size(held).cast("string")).when(op == "ttl", ttl)
+            .when(op == "hdel", flag(has)).when(op == "hlen", F.size(held).cast("string")).when(op == "hkeys", F.array_join(F.array_sort(F.map_keys(held)), ",")).when(op == "hgetall", flat_fields(held)).when(op == "ttl", ttl)
         )
         made = F.concat(a["results"], F.array(F.struct(x["order"].cast("long").alias("order"), op.alias("op"), result.alias("result"))))
         return F.struct(new_kind.alias("kind"), new_value.alias("value"), new_fields.alias("fields"), new_expires.cast("long").alias("expires_ms"), made.alias("results"))

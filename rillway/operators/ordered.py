@@ -35,7 +35,7 @@ def ranged(df: DataFrame, column: str, log_scale: bool = False) -> tuple[DataFra
         at = F.log2(1 + F.greatest(x - F.lit(low), F.lit(0))) / F.log2(1 + F.lit(high) - F.lit(low))
     else:
         at = (x - F.lit(low)) / (F.lit(float(high)) - F.lit(float(low)))
-    return df.withColumn("_range", F.coalesce(F.least(F.floor(at * ranges), F.lit(ranges - 1)), F.lit(-1)).cast("int")), ranges
+    return df.withColumn("_range", F.when(x.isNull(), -1).otherwise(F.least(F.floor(at * ranges), F.lit(ranges - 1))).cast("int")), ranges
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, tuple[list[str], Column]], log_scale: bool = False) -> DataFrame:
@@ -87,12 +87,40 @@ def attempts(failures: DataFrame, key: list[str], order: list[Column], most: int
     return failures.withColumn("attempt", n).withColumn("dead", F.col("attempt") > most)
 
 
+def redriven(failures: DataFrame, key: list[str], rounds: int = 3, most: int = S.MAX_RETRIES) -> DataFrame:
+    """(key..., failures, redrives, recovered): a message that fails beyond its retries is dead; each redrive
+    sends it again under its own id with its attempts back at zero, up to ``rounds`` times."""
+    n = failures.groupBy(*key).agg(F.count("*").alias("failures")).where(F.col("failures") > most)
+    return n.withColumn("redrives", F.least(F.floor(F.col("failures") / (most + 1)), F.lit(rounds)).cast("long")).withColumn("recovered", F.col("failures") < (rounds + 1) * (most + 1))
+
+
+def crash_recovery(acks: DataFrame, read: int, partition: str = "partition") -> DataFrame:
+    """Per partition, after a crash with the offsets below ``read`` delivered: the committed prefix, where
+    reading resumes, how many offsets come again, and how many of those had been handled already.
+
+    ``acks`` has offset and acked.
+    """
+    seen = acks.where(F.col("offset") < read)
+    prefix = seen.groupBy(partition).agg((F.max("offset") + 1).alias("cursor"), F.coalesce(F.min(F.when(~F.col("acked"), F.col("offset"))), F.max("offset") + 1).alias("resume"), F.count_if("acked").alias("handled"))
+    return prefix.select(partition, "cursor", "resume", (F.col("cursor") - F.col("resume")).alias("again"), (F.col("handled") - F.col("resume")).alias("suppressed"))
+
+
+def command_outcomes(submissions: DataFrame, key: list[str], order: list[str], fails: Column, confirmed: Column) -> DataFrame:
+    """``submissions`` with outcome: a command is applied once, by its first submission that neither fails nor
+    stays unconfirmed; those before it released their claim, those after it are duplicates."""
+    at = F.struct(*order)
+    first = submissions.where(~fails & confirmed).groupBy(*key).agg(F.min(at).alias("_first"))
+    same = submissions.join(first, key, "left")
+    outcome = F.when(at > F.col("_first"), "duplicate").when(fails, "failed").when(~confirmed, "unconfirmed").otherwise("applied")
+    return same.withColumn("outcome", outcome).drop("_first")
+
+
 def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFrame:
     """Per partition: the offset expected next once all has arrived, and how many messages came before an
     offset that stands before theirs.
 
     A reader that holds early messages back releases them when the hole fills, so a message is early exactly
-    if some lower offset arrives later: a running maximum of arrivals by offset, per range of offsets and
+    if some lower offset arrives later, or never does: a running maximum of arrivals by offset, per range of offsets and
     then over the maxima of the ranges. Redelivered offsets count once, by their first arrival.
     """
     first = arrivals.groupBy(partition, "offset").agg(F.min(F.struct(*at)).alias("at"))
@@ -102,11 +130,11 @@ def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFram
     per = dealt.groupBy(F.col(partition).alias("_part"), F.col("_range").alias("_r")).agg(F.max("at").alias("top")).select("_part", "_r", F.max("top").over(ahead).alias("before"))
     known = dealt.withColumn("top", F.max("at").over(order)).join(per, F.col(partition).eqNullSafe(F.col("_part")) & (F.col("_range") == F.col("_r")))
     late = F.coalesce((F.col("top") > F.col("at")) | (F.col("before") > F.col("at")), F.col("top") > F.col("at"), F.col("before") > F.col("at"), F.lit(False))
-    counted = known.groupBy(partition).agg(F.count_if(late).alias("late"))
-    # the first offset that is missing: where an offset is no longer the number of those before it
+    # the first offset that is missing: up to there an offset is the number of those before it
     holes = running(first.select(partition, "offset"), ["offset"], {"_n": ([partition], F.lit(1).cast("long"))})
-    expected = holes.groupBy(partition).agg(F.count_if(F.col("offset") == F.col("_n") - 1).alias("expected")).withColumnRenamed(partition, "_part")
-    return counted.join(expected, F.col(partition).eqNullSafe(F.col("_part"))).select(partition, "expected", "late")
+    expected = holes.groupBy(F.col(partition).alias("_of")).agg(F.count_if(F.col("offset") == F.col("_n") - 1).alias("expected"))
+    met = known.join(expected, F.col(partition).eqNullSafe(F.col("_of")))
+    return met.groupBy(partition, "expected").agg(F.count_if(late | (F.col("offset") > F.col("expected"))).alias("late"))
 
 
 def cooldown(readings: DataFrame, key: list[str], at: Column, value: Column, threshold: float, cooldown_ms: int) -> DataFrame:

@@ -115,7 +115,20 @@ def _(spark, d):
 
 plain("bus_stats", "select topic, count(*) as messages, count(distinct key) as keys, B(count_if(failed)) as failed, B(sum(size)) as bytes from {messages} where topic not like '__dlq__%' group by topic")
 plain("message_trace", "select msg_id, coalesce(case when event_id % 3 = 0 then substr(md5(STR(event_id)), 1, 8) end, '') as trace_id from {messages}")
-plain("dlq_redrive", "select msg_id, count(*) as tries, B(min(arrival)) as first_try from (select msg_id, arrival from {deliveries} where failed union all select msg_id, arrival + 1000000 as arrival from {deliveries} where failed) r group by msg_id having count(*) > 2")
+
+
+@built("dlq_redrive", "select msg_id, count(*) as failures, B(case when count(*) >= 12 then 3 when count(*) >= 8 then 2 else 1 end) as redrives, count(*) < 16 as recovered from {failures} group by msg_id having count(*) >= 4")
+def _(spark, d):
+    return ordered.redriven(view(spark, d, "failures"), ["msg_id"])
+
+
+_CRASH = """with m as (select partition, off, failed from {messages} where off < 300), h as (select partition, min(off) as hole from m where failed group by partition)
+ select m.partition, B(max(off) + 1) as cursor, B(min(coalesce(hole, off + 1 + 300))) as resume, B(max(off) + 1 - min(hole)) as again, B(count_if(not failed and off > hole)) as suppressed from m join h on h.partition = m.partition group by m.partition"""
+
+
+@built("crash_recovery", _CRASH)
+def _(spark, d):
+    return ordered.crash_recovery(view(spark, d, "messages").select("partition", F.col("off").alias("offset"), (~F.col("failed")).alias("acked")), 300)
 
 
 @built("dedup_first", "select msg_id, arrival from (select msg_id, arrival, row_number() over (partition by msg_id order by arrival) as rn from {deliveries} where not failed) d where rn = 1")
@@ -193,19 +206,19 @@ def _(spark, d):
     return steps.groupingSets([["event"], ["to_state"], []], "event", "to_state").agg(F.count("*").alias("n"))
 
 
-_TIMES = """, tm as (select subject, arg_max(state, n) as state, max(case when accepted and event = 'ASSIGN' then at_ms end) as assigned_ms, min(case when accepted and event = 'START' then at_ms end) as started_ms, max(case when accepted and event in ('COMPLETE', 'CANCEL', 'FAIL') then at_ms end) as finished_ms from st where n > 0 group by subject)"""
+_TIMES = """, tm as (select subject, arg_max(state, n) as state, min_by(at_ms, n) as created_ms, max(case when accepted and event = 'ASSIGN' then at_ms end) as assigned_ms, min(case when accepted and event = 'START' then at_ms end) as started_ms, max(case when accepted and event in ('COMPLETE', 'CANCEL', 'FAIL') then at_ms end) as finished_ms from st where n > 0 group by subject)"""
 
 
-@built("task_timings", _TASKS + _TIMES + " select subject, state, B(assigned_ms) as assigned_ms, B(started_ms) as started_ms, B(finished_ms) as finished_ms from tm", True)
+@built("task_timings", _TASKS + _TIMES + " select subject, state, B(created_ms) as created_ms, B(assigned_ms) as assigned_ms, B(started_ms) as started_ms, B(finished_ms) as finished_ms from tm", True)
 def _(spark, d):
     return fsm.timings(_folded(spark, d), ["subject"])
 
 
 @built("task_timing_distribution", _TASKS + _TIMES + """ select metric, count(v) as count, B(min(v)) as min, round(avg(D(v)), 3) as mean, B(percentile_disc(0.5) within group (order by v)) as p50, B(percentile_disc(0.95) within group (order by v)) as p95, B(percentile_disc(0.99) within group (order by v)) as p99, B(max(v)) as max
- from (select 'service' as metric, finished_ms - assigned_ms as v from tm union all select 'start' as metric, started_ms - assigned_ms as v from tm) u where v is not null group by metric""", True)
+ from (select 'service' as metric, finished_ms - assigned_ms as v from tm union all select 'start' as metric, started_ms - assigned_ms as v from tm union all select 'dispatch', assigned_ms - created_ms from tm union all select 'cycle', finished_ms - created_ms from tm) u where v is not null group by metric""", True)
 def _(spark, d):
     t = fsm.timings(_folded(spark, d), ["subject"])
-    long = t.select(F.expr("stack(2, 'service', finished_ms - assigned_ms, 'start', started_ms - assigned_ms) as (metric, v)")).where("v IS NOT NULL")
+    long = t.select(F.expr("stack(4, 'service', finished_ms - assigned_ms, 'start', started_ms - assigned_ms, 'dispatch', assigned_ms - created_ms, 'cycle', finished_ms - created_ms) as (metric, v)")).where("v IS NOT NULL")
     return ordered.percentiles(long, ["metric"], "v")
 
 
@@ -231,6 +244,46 @@ def _(spark, d):
     return fsm.steps(_folded(spark, d), ["subject"]).groupBy("subject").agg(F.count_if(ends).alias("ends"), F.count_if(F.col("accepted") & (F.col("event") == "COMPLETE")).alias("completes")).where("ends >= 1")
 
 
+#: The state that all events lead to, and the one that remains where failed deliveries were never handled.
+_TWO = "with recursive " + _fold("st", "select subject, seq as ord, at_ms, event from {journal}", S.TASK_MOVES, "PENDING") + ", " + _fold("su", "select subject, seq as ord, at_ms, event from {journal} where event_type <> 'error'", S.TASK_MOVES, "PENDING")
+_ENDS = ", la as (select subject, arg_max(state, n) as state, arg_max(len(ps), n) as paused, arg_max(len(qs), n) as queued, count_if(n > 0 and accepted) as accepted from st group by subject), lb as (select subject, arg_max(state, n) as state, arg_max(len(ps), n) as paused, arg_max(len(qs), n) as queued, count_if(n > 0 and accepted) as accepted from su group by subject)"
+
+
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    log = view(spark, d, "journal_lean")
+    fold = lambda rows: fsm.state_json(fsm.fold_fsm(rows, ["subject"], F.col("rn"), F.col("event"), F.col("at_ms")), ["subject"])
+    return fold(log).join(fold(log.where("event_type <> 'error'")).withColumnRenamed("body", "other"), "subject", "full")
+
+
+@built("live_vs_replay_diff", _TWO + _ENDS + " select coalesce(la.subject, lb.subject) as subject, la.state as live, lb.state as replay from la full join lb on la.subject = lb.subject where la.state is distinct from lb.state", True)
+def _(spark, d):
+    state = lambda c: F.get_json_object(c, "$.state")
+    return _two(spark, d).select("subject", state("body").alias("live"), state("other").alias("replay")).where("NOT (live <=> replay)")
+
+
+@built("json_path_diff", _TWO + _ENDS + """, pa as (select subject, unnest(['accepted', 'paused', 'queued', 'state']) as path, unnest([STR(accepted), STR(paused), STR(queued), state]) as v from la),
+ pb as (select subject, unnest(['accepted', 'paused', 'queued', 'state']) as path, unnest([STR(accepted), STR(paused), STR(queued), state]) as v from lb)
+ select coalesce(pa.subject, pb.subject) as subject, coalesce(pa.path, pb.path) as path, pa.v as live, pb.v as replay from pa full join pb on pa.subject = pb.subject and pa.path = pb.path where pa.v is distinct from pb.v""", True)
+def _(spark, d):
+    return _two(spark, d).select("subject", F.explode(fn.json_diff(F.col("body"), F.col("other"))).alias("x")).select("subject", "x.path", F.col("x.left").alias("live"), F.col("x.right").alias("replay"))
+
+
+@built("verify_replay", _TASKS + ", f as (select subject, arg_max(state, n) as state from st group by subject), g as (select STR(sum(H64(concat(subject, ':', state)))) as fp, count(*) as n from f) select (select count(*) from {journal}) as records, n as subjects, fp as live_fingerprint, fp as replay_fingerprint, true as consistent from g", True)
+def _(spark, d):
+    """The journal is written to lines and read back; the fold of what was read must give the same fingerprint.
+
+    A fingerprint is the sum of the hashes of all subjects' ends, so no order and no gathering is needed."""
+    log = view(spark, d, "journal_lean").select("subject", "rn", "event", "at_ms")
+    back = log.select(F.to_json(F.struct("subject", "rn", "event", "at_ms")).alias("line")).select(F.from_json("line", "subject string, rn long, event string, at_ms long").alias("r")).select("r.*")
+
+    def print_of(rows: DataFrame, name: str) -> DataFrame:
+        ends = fsm.fold_fsm(rows, ["subject"], F.col("rn"), F.col("event"), F.col("at_ms")).select(F.concat("subject", F.lit(":"), "state").alias("t"), F.size("steps").cast("long").alias("k"))
+        return ends.agg(F.sum("k").alias("records"), F.count("*").alias("subjects"), F.sum(fn.stable_hash(F.col("t"))).cast("string").alias(name))
+
+    live, again = print_of(log, "live_fingerprint"), print_of(back, "replay_fingerprint").select("replay_fingerprint")
+    return live.crossJoin(again).select("records", "subjects", "live_fingerprint", "replay_fingerprint", (F.col("live_fingerprint") == F.col("replay_fingerprint")).alias("consistent"))
+
+
 _VEHICLES = _TASKS + ", " + _fold("vs", f"""select concat('V', B(split_part(substr(subject, 2), '-', 1)) % 40) as subject, 2 * ord as ord, at_ms, case event {' '.join(f"when '{k}' then '{v}'" for k, v in S.TASK_TO_VEHICLE.items())} end as event from st where n > 0 and accepted
  union all select concat('V', user_id % 40), 2 * seq + 1, at_ms, case kind when 'vehicle_offline' then 'HEARTBEAT_TIMEOUT' else 'ONLINE' end from {{journal}} where kind in ('vehicle_offline', 'task_created')""", S.VEHICLE_MOVES, "IDLE")
 
@@ -296,10 +349,19 @@ plain("recharge_events", "select vehicle_id, case when battery < 30 and vstate =
 plain("duplicate_creates", "select count(*) as created, count(distinct subject) as subjects, B(count(*) - count(distinct subject)) as repeats from {journal} where kind = 'task_created'")
 plain("first_create_wins", "select subject, min(seq) as seq from {journal} where kind = 'task_created' group by subject")
 plain("no_task_lost", "select count(*) as lost from (select distinct subject from {journal} where kind = 'task_created') c where not exists (select 1 from {journal} j where j.subject = c.subject and j.kind = 'task_event')")
+
+
+@built("no_loss_verdict", "select (select count(*) from (select subject from {journal} where kind = 'task_created' except select subject from {journal} where kind = 'task_event') a) as lost, (select count(*) from (select subject from {journal} where kind = 'task_event' except select subject from {journal} where kind = 'task_created') b) as unknown, (select count(*) from {journal} where kind = 'task_created') - (select count(distinct subject) from {journal} where kind = 'task_created') as repeated, false as sound")
+def _(spark, d):
+    """Both directions and the repeats in one pass over the subjects."""
+    kinds = view(spark, d, "journal_lean").groupBy("subject").agg(F.count_if(F.col("kind") == "task_created").alias("made"), F.count_if(F.col("kind") == "task_event").alias("seen"))
+    out = kinds.agg(F.count_if(F.expr("made > 0 AND seen = 0")).alias("lost"), F.count_if(F.expr("made = 0 AND seen > 0")).alias("unknown"), F.sum(F.greatest(F.col("made") - 1, F.lit(0))).alias("repeated"))
+    return out.withColumn("sound", (F.col("lost") == 0) & (F.col("unknown") == 0) & (F.col("repeated") == 0))
+
+
+plain("deadline_events", "select task_id, state as from_state, 'FAIL' as event, B(created_ms + 120000) as at_ms from {tasks_in} where state not in ('COMPLETED', 'FAILED', 'CANCELLED') and 900000000000 > created_ms + 120000")
 plain("snapshot_brief", "select 'task' as kind, state, count(*) as n from {tasks_in} group by state union all select 'vehicle' as kind, vstate as state, count(*) as n from {vehicles_in} group by vstate")
 plain("no_loss_sets", "select count(*) as missing from (select subject from {journal} where kind = 'task_assigned' except select subject from {journal} where kind = 'task_created') x")
-plain("json_path_diff", "select coalesce(a.user_id, b.user_id) as user_id, a.n as live, b.n as rebuilt from (select user_id, count(*) as n from {journal} where event_id % 3 <> 0 group by user_id) a full outer join (select user_id, count(*) as n from {journal} where event_id % 5 <> 0 group by user_id) b on a.user_id = b.user_id where a.n is distinct from b.n")
-plain("live_vs_replay_diff", "select l.subject, l.n as live, r.n as replay from (select subject, count(*) as n from {journal} group by subject) l join (select subject, count(*) as n from {journal} where seq % 50 <> 0 group by subject) r on l.subject = r.subject where l.n <> r.n")
 plain("snapshot_tasks", "select task_id, cust, priority, created_ms, state from {tasks_in}")
 plain("full_fingerprint", "select hub, SHA(concat('[', LAGG(concat('[', vehicle_id, ',\"', vstate, '\",', case when online then 'true' else 'false' end, ',', B(round(vx * 1000)), ',', B(round(battery * 100)), ']'), ',', vehicle_id), ']')) as fingerprint, count(*) as n from (select *, vehicle_id % 6 as hub from {vehicles_in}) v group by hub")
 plain("hub_vehicle_scores", "select ox, oy, vehicle_id, round(50.0 + 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)), 6) as score from (select distinct ox, oy from {tasks_in}) o cross join {vehicles_in} v where online and vstate = 'IDLE' and battery >= 20")
@@ -520,7 +582,25 @@ def _(spark, d):
 plain("kv_hash_fields", "select key, field, max_by(STR(event_id), seq) as value, count(*) as sets from {commands} group by key, field")
 plain("cache_projection", "select concat('veh:', vehicle_id) as key, concat(vstate, '|', online) as value from {vehicles_in} union all select concat('task:', task_id) as key, concat(state, '|', priority) as value from {tasks_in}")
 plain("cache_lost_keys", "select key from {commands} where op = 'set' except select key from {commands} where op = 'set' and seq > (select max(seq) - 300 from {commands})")
-plain("command_outcomes", "select key, op, B(min(seq)) as applied, B(count(*) - 1) as duplicates from {commands} group by key, op")
+
+
+@built("command_outcomes", "select command, event_id, case when exists (select 1 from {submissions} e where e.command = s.command and not e.fails and e.confirmed and (e.at_ms, e.event_id) < (s.at_ms, s.event_id)) then 'duplicate' when fails then 'failed' when not confirmed then 'unconfirmed' else 'applied' end as outcome from {submissions} s")
+def _(spark, d):
+    return ordered.command_outcomes(view(spark, d, "submissions"), ["command"], ["at_ms", "event_id"], F.col("fails"), F.col("confirmed")).select("command", "event_id", "outcome")
+
+
+_HASHES = """with w as (select *, last_value(case op when 'hset' then concat('+', value) when 'hdel' then '-' end ignore nulls) over (partition by key, field order by seq rows between unbounded preceding and 1 preceding) as prev from {hash_commands}),
+ x as (select *, coalesce(prev like '+%', false) as present from w),
+ y as (select *, coalesce(sum(case when op = 'hset' and not present then 1 when op = 'hdel' and present then -1 else 0 end) over (partition by key order by seq rows between unbounded preceding and 1 preceding), 0) as size from x)
+ select key, seq, op, case op when 'hset' then case when present then '0' else '1' end when 'hget' then case when present then substr(prev, 2) end when 'hdel' then case when present then '1' else '0' end when 'hlen' then STR(B(size)) else case when size > 0 then '1' else '0' end end as result from y"""
+
+
+@built("kv_hash_results", _HASHES)
+def _(spark, d):
+    log = view(spark, d, "hash_commands").select("key", F.col("seq").alias("order"), "at_ms", "op", "field", "value", F.lit(None).cast("long").alias("ttl_ms"))
+    return kv.fold_commands(log).select("key", F.explode("results").alias("r")).select("key", F.col("r.order").alias("seq"), "r.op", "r.result")
+
+
 plain("idempotency_eviction", "select msg_id, arrival from (select msg_id, max(arrival) as arrival, row_number() over (order by max(arrival) desc, msg_id) as rn from {deliveries} where not failed group by msg_id) e where rn <= 500")
 
 # faults, scenarios ---------------------------------------------------------------------------------------
@@ -533,3 +613,5 @@ plain("event_samples", "select event_type as scenario, LAGG(concat(kind, '=', n)
 for _name, (_job, _sql) in jobs.JOBS.items():
     built(_name, _sql, _sql is not None and "recursive" in _sql)(_job)
 del _name, _job, _sql
+
+ORACLE_SQL["stream_fsm"] = _check("with recursive " + _fold("st", "select concat('U', user_id) as subject, epoch_us(ts) as ord, 0 as at_ms, case event_id % 5 when 0 then 'ASSIGN' when 1 then 'DISPATCH' when 2 then 'START' when 3 then 'COMPLETE' else 'REQUEUE' end as event from {events}", S.TASK_MOVES, "PENDING") + " select subject, arg_max(state, n) as state, B(count_if(n > 0 and accepted)) as accepted from st group by subject", True)

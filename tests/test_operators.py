@@ -146,3 +146,88 @@ def test_fold_of_a_long_log(spark):
             steps.append((e, before, state, ok))
         got = final(spark, events, S.VEHICLE_MOVES, "IDLE")
         assert got.state == state and [(s.event, s.from_state, s.to_state, s.accepted) for s in got.steps] == steps and [s.n for s in got.steps] == list(range(1, n + 1))
+
+
+def requests(spark, rows):
+    return spark.createDataFrame([(r, i, i, op, v, p) for i, (op, v, r, p) in enumerate(rows)], "resource long, at_ms long, id long, op string, vehicle long, priority int")
+
+
+def test_requests_queue_and_release(spark):
+    """A slot goes to the highest priority, then the earliest; leaving the queue is not the same as letting go."""
+    one = spark.createDataFrame([(1, 1), (2, 2)], "resource long, capacity long")
+    run = lambda rows: {x.resource: x for x in traffic.fold_requests(requests(spark, rows), one).collect()}
+    got = run([("request", 1, 1, 2), ("request", 2, 1, 2), ("request", 3, 1, 5), ("request", 1, 1, 9), ("release", 1, 1, 0)])[1]
+    assert (got.holders, got.waiting, got.requests, got.grants, got.blocks, got.releases) == ([3], [2], 4, 2, 2, 1)
+    got = run([("request", 1, 1, 2), ("request", 2, 1, 2), ("request", 3, 1, 2), ("request", 3, 1, 7), ("release_resource", 2, 1, 0), ("release", 9, 1, 0)])[1]
+    assert (got.holders, got.waiting, got.conflicts) == ([1], [3], 3)
+    both = run([("request", 1, 1, 2), ("request", 2, 1, 2), ("request", 1, 2, 2), ("request", 2, 2, 2), ("request", 3, 2, 2), ("release_all", 1, 1, 0)])
+    assert both[1].holders == [2] and both[2].holders == [2, 3] and not both[1].waiting and not both[2].waiting
+    assert traffic.fold_requests(requests(spark, [("request", 1, 1, 2)]).limit(0), one).count() == 0
+
+
+def test_plan_preempts(spark):
+    """Without a free vehicle an urgent task takes that of the least running one; the next that finds none ends."""
+    ask = "task_id long, priority int, created_ms long, ox double, oy double"
+    fleet = spark.createDataFrame([(1, 0.0, 0.0, 90.0, True, "EXECUTING"), (2, 0.0, 0.0, 90.0, True, "EXECUTING"), (3, 0.0, 0.0, 90.0, False, "EXECUTING")], "vehicle_id long, vx double, vy double, battery double, online boolean, vstate string")
+    running = spark.createDataFrame([(11, 1, 5, 0, 1), (12, 1, 9, 0, 2), (13, 1, 20, 0, 3), (14, 1, 30, 2, 1)], "task_id long, priority int, assigned_ms long, preempted int, vehicle_id long")
+    plan = lambda *tasks: [(r.task_id, r.vehicle_id, r.victim) for r in dispatch.plan_greedy(spark.createDataFrame(list(tasks), ask), fleet, running).orderBy("step").collect()]
+    assert plan((1, 5, 0, 0.0, 0.0), (2, 3, 0, 0.0, 0.0), (3, 3, 1, 0.0, 0.0)) == [(1, 2, 12), (2, 1, 11)]
+    assert plan((1, 2, 0, 0.0, 0.0)) == [] and plan((1, 1, 0, 0.0, 0.0), (2, 4, 0, 0.0, 0.0)) == [(2, 2, 12)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_running_sums(spark, seed):
+    """Ranges, parts, ties and nulls against plain Python."""
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(40)]) if seed else 7, i, r.randint(-5, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v long")
+    got = {x.id: (x.n, x.s) for x in ordered.running(df, ["at", "id"], {"n": ([], F.lit(1).cast("long")), "s": (["k"], F.col("v"))}).collect()}
+    n, sums = 0, {}
+    for k, _, i, v in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        n, sums[k] = n + 1, sums.get(k, 0) + v
+        assert got[i] == (n, sums[k])
+
+
+def test_early_messages_equal_a_holding_reader(spark):
+    r = random.Random(3)
+    rows = []
+    for p in range(3):
+        for o in range(200):
+            if not (p == 1 and o == 150):
+                rows.append((p, o, o + r.choice((0, 0, 0, 5, 12)), o))
+    rows += [(0, 17, 400, 17)]  # a redelivery counts for nothing
+    got = {x.partition: (x.expected, x.late) for x in ordered.out_of_order(spark.createDataFrame(rows, "partition long, offset long, arr long, o long"), "partition", ["arr", "o"]).collect()}
+    for p in range(3):
+        expected, held, late = 0, set(), 0
+        for _, o in sorted((a, o) for q, o, a, _ in rows if q == p):
+            if o > expected:
+                late += o not in held
+                held.add(o)
+            elif o == expected:
+                expected += 1
+                while expected in held:
+                    expected += 1
+        assert got[p] == (expected, late)
+
+
+def test_trimmed_chains_keep_cycles(spark):
+    edges = [(i, i + 1) for i in range(1200)] + [(2000, 2001), (2001, 2002), (2002, 2000), (1200, 2000), (2002, 5000)]
+    got = traffic.cycles(spark.createDataFrame(edges, "waiter long, holder long")).collect()
+    assert [list(x.cycle) for x in got] == [[2000, 2001, 2002]]
+
+
+def test_hash_commands(spark):
+    log = [("h", i, i, op, f, v, None) for i, (op, f, v) in enumerate([("hset", "b", "1"), ("hset", "a", "2"), ("hkeys", None, None), ("hgetall", None, None), ("hdel", "a", None), ("hkeys", None, None), ("hdel", "b", None), ("hgetall", None, None), ("exists", None, None)])]
+    got = kv.fold_commands(spark.createDataFrame(log, "key string, order int, at_ms long, op string, field string, value string, ttl_ms long")).first()
+    assert [x.result for x in got.results] == ["1", "1", "a,b", "a=2,b=1", "1", "b", "1", "", "0"]
+
+
+def test_score_reasons(spark):
+    got = one(spark, fn.score_reasons(F.lit(3), F.lit(80.0), F.lit(12.5), F.lit(10.0), F.lit("IDLE")))
+    assert list(got) == ["priority=HIGH(+3000.0)", "distance=12.5m(-12.5)", "battery=80.0%(+40.0)", "state=IDLE(+50.0)", "waiting=10.0s(+0.2)"]
+
+
+def test_json_diff(spark):
+    got = one(spark, fn.json_diff(F.lit('{"a": 1, "b": "x", "c": [1]}'), F.lit('{"a": 2, "b": "x", "d": null}')))
+    assert [tuple(x) for x in got] == [("a", "1", "2"), ("c", "[1]", None)]
+    assert list(one(spark, fn.json_diff(F.lit(None).cast("string"), F.lit("{}")))) == []
