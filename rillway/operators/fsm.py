@@ -2,11 +2,14 @@
 
 One subject's events are gathered, sorted and folded by ``aggregate``; no Python runs. The fold keeps the
 state, both stacks and one step per event, accepted or not, so histories, rejections and counts are all
-read from the same pass.
+read from the same pass. Subjects whose logs do not fit a row go through ``fold_long``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,49 @@ def fold_fsm(events: DataFrame, key: list[str], order: Column, event: Column, at
     return folded.select(*key, F.col("s.state").alias("state"), F.col("s.pause").alias("pause_stack"), F.col("s.queue").alias("queue_stack"), F.col("s.steps").alias("steps"))
 
 
+def fold_long(events: DataFrame, key: str, order: Column, event: Column, moves: list[tuple[str, str, str]] = S.TASK_MOVES, initial: str = "PENDING") -> DataFrame:
+    """(key, state, accepted, rejected) for subjects of any number of events, with the moves of ``fold_fsm``.
+
+    Logs stream through in order, one subject after another; only a state and its two stacks are held.
+    """
+    table = {(a, e): t for a, e, t in moves}
+    rows = events.select(F.col(key).cast("string").alias("key"), order.cast("long").alias("order"), event.alias("event"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, pause, queue, n = None, initial, [], [], [0, 0]
+        for batch in batches:
+            out = []
+            for subject, e in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (subject,) != now:
+                    if now is not None:
+                        out.append((now[0], state, *n))
+                    now, state, pause, queue, n = (subject,), initial, [], [], [0, 0]
+                state, pause, queue, ok = move(state, pause, queue, e, table)
+                n[not ok] += 1
+            yield _ends(out)
+        if now is not None:
+            yield _ends([(now[0], state, *n)])
+
+    done = rows.repartition("key").sortWithinPartitions("key", "order", "event").mapInArrow(run, "key string, state string, accepted long, rejected long")
+    return done.withColumnRenamed("key", key)
+
+
+def _ends(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "state", "accepted", "rejected"])
+
+
+def move(state: str, pause: list[str], queue: list[str], event: str, table: dict) -> tuple[str, list[str], list[str], bool]:
+    """One step: (state, pause stack, queue stack, was the event accepted)."""
+    to = table.get((state, event))
+    to = (pause[-1] if pause else None) if to == S.RESUME else (queue[-1] if queue else None) if to == S.QUEUE else to
+    if to is None:
+        return state, pause, queue, False
+    pause = [*pause, state] if event == "PAUSE" else pause[:-1] if event == "RECOVER" else [] if event == "REQUEUE" else pause
+    queue = [*queue, state] if event == "ENQUEUE" else queue[:-1] if event == "PROCEED" else [] if event == "REQUEUE" else queue
+    return to, pause, queue, True
+
+
 def steps(folded: DataFrame, key: list[str]) -> DataFrame:
     return folded.select(*key, F.explode("steps").alias("x")).select(*key, "x.*")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,19 @@ def running(df: DataFrame, order: list[str], sums: dict[str, tuple[list[str], Co
     return out.drop("_range")
 
 
+def placed(df: DataFrame, by: list[str], high: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with places from 1 within ``by``: greater values of ``high`` first, then in order. Places within
+    one value are running counts; the rows of the greater values, few as those are, come before."""
+    out = running(df, order, {name: ([*by, high], F.lit(1).cast("long"))})
+    n = df.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col(high).alias("_high")).agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(*(f"_{c}" for c in by) if by else [F.lit(0)]).orderBy(F.col("_high").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
+    same = F.col(high).eqNullSafe(F.col("_high"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out.join(before, same).withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_high", *(f"_{c}" for c in by))
+
+
 def with_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Gap-free numbers from 1 in the given order."""
     return running(df, order, {name: ([], F.lit(1).cast("long"))})
@@ -138,16 +154,26 @@ def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFram
 
 
 def cooldown(readings: DataFrame, key: list[str], at: Column, value: Column, threshold: float, cooldown_ms: int) -> DataFrame:
-    """Alerts that fire: breached, and at least the cooldown after the last that fired for the key."""
-    log = readings.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(at.cast("long").alias("at_ms"), value.alias("value")))).alias("log"))
-    kind = "array<struct<at_ms:bigint,value:double>>"
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr(f"cast(array() as {kind})").alias("fired"))
+    """Alerts that fire: breached, and at least the cooldown after the last that fired for the key.
 
-    def step(a: Column, x: Column) -> Column:
-        fires = (x["value"] > threshold) & (a["last"].isNull() | (x["at_ms"] - a["last"] >= cooldown_ms))
-        return F.struct(F.when(fires, x["at_ms"]).otherwise(a["last"]).alias("last"), F.when(fires, F.concat(a["fired"], F.array(F.struct(x["at_ms"].alias("at_ms"), x["value"].cast("double").alias("value"))))).otherwise(a["fired"]).alias("fired"))
-
-    return log.select(*key, F.explode(F.aggregate("log", start, step)["fired"]).alias("f")).select(*key, "f.at_ms", "f.value")
+    Only breaches are dealt. They stream through in order, one key after another, and nothing but the last
+    alert is held; equal times fire once, with the least value.
+    """
+    breaches = readings.select(*key, at.cast("long").alias("at_ms"), value.cast("double").alias("value")).where(F.col("value") > threshold)
+    sorted_ = breaches.repartition(*key).sortWithinPartitions(*key, "at_ms", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for *k, t in zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True):
+                if k != now:
+                    now, last = k, None
+                keep.append(last is None or t - last >= cooldown_ms)
+                last = t if keep[-1] else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return sorted_.mapInArrow(run, sorted_.schema)
 
 
 def percentiles(df: DataFrame, key: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:

@@ -6,17 +6,18 @@ from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
 from rillway.functions.scalars import rotated
 from rillway.operators.cut import cut
+from rillway.operators.ordered import placed
 
 
 def ranked(requests: DataFrame) -> DataFrame:
-    order = [F.col("priority").desc(), F.col("requested_ms").asc(), F.col("seq").asc(), F.col("vehicle").asc()]
-    return requests.withColumn("rank", F.row_number().over(Window.partitionBy("resource").orderBy(*order)).cast("long"))
+    """Requests with their rank at their resource: priority, then time, then order of asking, then vehicle."""
+    return placed(requests, ["resource"], "priority", ["requested_ms", "seq", "vehicle"], "rank")
 
 
 def free_slots(resources: DataFrame, holders: DataFrame) -> DataFrame:
@@ -29,11 +30,10 @@ def grants(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> Dat
 
 
 def conflicts(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> DataFrame:
-    """Per full resource with waiters: the winner is the least holder, losers stand in rank order."""
-    full = free_slots(resources, holders).where("free = 0")
+    """(resource, winner, loser, rank) of full resources with waiters: the winner is the least holder."""
+    full = free_slots(resources, holders).where("free = 0").select("resource")
     winner = holders.groupBy("resource").agg(F.min("vehicle").alias("winner"))
-    waiting = ranked(requests).groupBy("resource").agg(F.array_sort(F.collect_list(F.struct("rank", "vehicle"))).alias("w"))
-    return full.join(winner, "resource").join(waiting, "resource").select("resource", "winner", F.transform("w", lambda x: x["vehicle"]).alias("losers"))
+    return ranked(requests).join(full.join(winner, "resource"), "resource").select("resource", "winner", F.col("vehicle").alias("loser"), "rank")
 
 
 def wait_for(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> DataFrame:

@@ -289,15 +289,18 @@ _VEHICLES = _TASKS + ", " + _fold("vs", f"""select concat('V', B(split_part(subs
 
 
 def _vehicles(spark: SparkSession, d: str) -> DataFrame:
+    """Vehicles are few and their logs long, so they are folded as streams of sorted rows."""
     vehicle = lambda user: F.concat(F.lit("V"), (user % 40).cast("string"))
-    made = fsm.derived_vehicle_events(fsm.fold_fsm(view(spark, d, "journal"), ["subject", "user_id"], F.col("seq"), F.col("event"), F.col("at_ms")), ["subject", "user_id"], vehicle(F.col("user_id"))).select("vehicle_id", (2 * F.col("order")).alias("o"), "event", "at_ms")
-    live = view(spark, d, "journal").where("kind in ('vehicle_offline', 'task_created')").select(vehicle(F.col("user_id")).alias("vehicle_id"), (2 * F.col("seq") + 1).alias("o"), F.when(F.col("kind") == "vehicle_offline", "HEARTBEAT_TIMEOUT").otherwise("ONLINE").alias("event"), "at_ms")
-    return fsm.fold_fsm(made.unionByName(live), ["vehicle_id"], F.col("o"), F.col("event"), F.col("at_ms"), S.VEHICLE_MOVES, "IDLE")
+    log = view(spark, d, "journal")
+    folded = fsm.fold_fsm(log, ["subject", "user_id"], F.col("seq"), F.col("event"), F.col("at_ms"))
+    made = fsm.derived_vehicle_events(folded, ["subject", "user_id"], vehicle(F.col("user_id"))).select("vehicle_id", (2 * F.col("order")).alias("o"), "event")
+    live = log.where("kind in ('vehicle_offline', 'task_created')").select(vehicle(F.col("user_id")).alias("vehicle_id"), (2 * F.col("seq") + 1).alias("o"), F.when(F.col("kind") == "vehicle_offline", "HEARTBEAT_TIMEOUT").otherwise("ONLINE").alias("event"))
+    return fsm.fold_long(made.unionByName(live), "vehicle_id", F.col("o"), F.col("event"), S.VEHICLE_MOVES, "IDLE")
 
 
 @built("replay_vehicles", _VEHICLES + " select subject as vehicle_id, arg_max(state, n) as state, B(count_if(n > 0 and accepted)) as accepted, B(count_if(not accepted)) as rejected from vs group by subject", True)
 def _(spark, d):
-    return _vehicles(spark, d).select("vehicle_id", "state", F.size(F.filter("steps", lambda x: x["accepted"])).cast("long").alias("accepted"), F.size(F.filter("steps", lambda x: ~x["accepted"])).cast("long").alias("rejected"))
+    return _vehicles(spark, d)
 
 
 @built("vehicle_state_counts", _VEHICLES + " select state, count(*) as n from (select subject, arg_max(state, n) as state from vs group by subject) f group by state", True)
@@ -335,10 +338,7 @@ plain("gantt_rows", "select task_id, created_ms from {tasks_in} order by created
 def _(spark, d):
     """Places within each priority, shifted by the tasks of higher ones."""
     pending = view(spark, d, "tasks_in").where("state = 'PENDING'").select("task_id", "priority", "created_ms")
-    placed = ordered.running(pending, ["created_ms", "task_id"], {"place": (["priority"], F.lit(1).cast("long"))})
-    higher = pending.groupBy("priority").agg(F.count("*").alias("n")).alias("a")
-    before = higher.join(higher.alias("b"), F.expr("b.priority > a.priority"), "left").groupBy("a.priority").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return placed.join(before, "priority").select("task_id", (F.col("place") + F.col("before")).alias("place"))
+    return ordered.placed(pending, [], "priority", ["created_ms", "task_id"], "place").select("task_id", "place")
 
 
 plain("vehicle_projection", "select vehicle_id, D(vx) as vx, D(vy) as vy, battery, online, vstate from {vehicles_in}")
@@ -431,9 +431,9 @@ def _(spark, d):
     return traffic.grants(*_traffic(spark, d)).select("resource", "vehicle", "rank")
 
 
-@built("conflicts", f"with {_FREE} select fs.resource, (select min(vehicle) from {{holders}} h where h.resource = fs.resource) as winner, string_agg(STR(rk.vehicle), ',' order by rk.rank) as losers from fs join rk on rk.resource = fs.resource where fs.free = 0 group by fs.resource")
+@built("conflicts", f"with {_FREE} select fs.resource, (select min(vehicle) from {{holders}} h where h.resource = fs.resource) as winner, rk.vehicle as loser, rk.rank from fs join rk on rk.resource = fs.resource where fs.free = 0")
 def _(spark, d):
-    return traffic.conflicts(*_traffic(spark, d)).withColumn("losers", F.array_join(F.col("losers").cast("array<string>"), ","))
+    return traffic.conflicts(*_traffic(spark, d))
 
 
 @built("wait_for_graph", f"with {_FREE} select distinct q.vehicle as waiter, h.vehicle as holder from {{requests}} q join fs on fs.resource = q.resource and fs.free = 0 join {{holders}} h on h.resource = q.resource where not exists (select 1 from {{holders}} x where x.resource = q.resource and x.vehicle = q.vehicle)")

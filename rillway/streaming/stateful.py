@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillway import schemas as S
+from rillway.operators.fsm import move
 
 TASK_TABLE = {(a, e): t for a, e, t in S.TASK_MOVES}
 
@@ -52,16 +53,6 @@ def sorted_arrivals(frames: Iterator[pd.DataFrame]) -> list[int]:
     return (rows.sort_values(["arrival", "offset"]) if "arrival" in rows else rows)["offset"].tolist()
 
 
-def move(state: str, pause: list[str], queue: list[str], event: str, table: dict = TASK_TABLE) -> tuple[str, list[str], list[str], bool]:
-    to = table.get((state, event))
-    to = (pause[-1] if pause else None) if to == S.RESUME else (queue[-1] if queue else None) if to == S.QUEUE else to
-    if to is None:
-        return state, pause, queue, False
-    pause = [*pause, state] if event == "PAUSE" else pause[:-1] if event == "RECOVER" else [] if event == "REQUEUE" else pause
-    queue = [*queue, state] if event == "ENQUEUE" else queue[:-1] if event == "PROCEED" else [] if event == "REQUEUE" else queue
-    return to, pause, queue, True
-
-
 def live_states(events: DataFrame) -> DataFrame:
     """Running state per subject, one row per micro-batch and subject. ``events``: subject, seq, event."""
 
@@ -69,7 +60,7 @@ def live_states(events: DataFrame) -> DataFrame:
         now, pause, queue, done = state.get if state.exists else ("PENDING", [], [], 0)
         pause, queue = list(pause), list(queue)
         for event in pd.concat(list(frames)).sort_values("seq")["event"]:
-            now, pause, queue, ok = move(now, pause, queue, event)
+            now, pause, queue, ok = move(now, pause, queue, event, TASK_TABLE)
             done += ok
         state.update((now, pause, queue, int(done)))
         yield pd.DataFrame([(key[0], now, int(done))], columns=["subject", "state", "accepted"])

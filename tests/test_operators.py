@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillway import schemas as S
 from rillway.functions import scalars as fn
 from rillway.operators import dispatch, fsm, kv, ordered, traffic
-from rillway.streaming.stateful import move
+from rillway.operators.fsm import move
 
 
 def one(spark, column):
@@ -65,7 +65,7 @@ def test_fold_equals_stream_step(spark):
     for k, events in logs.items():
         state, pause, queue, n = "PENDING", [], [], 0
         for e in events:
-            state, pause, queue, ok = move(state, pause, queue, e)
+            state, pause, queue, ok = move(state, pause, queue, e, {(a, x): t for a, x, t in S.TASK_MOVES})
             n += ok
         assert got[k] == (state, pause, queue, n)
 
@@ -231,3 +231,29 @@ def test_json_diff(spark):
     got = one(spark, fn.json_diff(F.lit('{"a": 1, "b": "x", "c": [1]}'), F.lit('{"a": 2, "b": "x", "d": null}')))
     assert [tuple(x) for x in got] == [("a", "1", "2"), ("c", "[1]", None)]
     assert list(one(spark, fn.json_diff(F.lit(None).cast("string"), F.lit("{}")))) == []
+
+
+def test_fold_of_sorted_rows_equals_the_gathered_one(spark):
+    r = random.Random(7)
+    names = sorted({e for _, e, _ in S.VEHICLE_MOVES})
+    rows = [(k, i, r.choice(names)) for k in ("a", "b", None, "c") for i in range(r.randint(1, 300))]
+    df = journal(spark, rows)
+    long = {x.subject: (x.state, x.accepted, x.rejected) for x in fsm.fold_long(df, "subject", F.col("seq"), F.col("event"), S.VEHICLE_MOVES, "IDLE").collect()}
+    for x in fsm.fold_fsm(df, ["subject"], F.col("seq"), F.col("event"), F.col("seq"), S.VEHICLE_MOVES, "IDLE").collect():
+        n = sum(s.accepted for s in x.steps)
+        assert long[x.subject] == (x.state, n, len(x.steps) - n)
+    assert len(long) == 4 and fsm.fold_long(df.limit(0), "subject", F.col("seq"), F.col("event")).count() == 0
+
+
+def test_cooldown_of_many_keys(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.randint(0, 5000), float(r.randint(0, 20))) for _ in range(800)]
+    want = []
+    for k in ("a", "b", None):
+        last = None
+        for _, t, v in sorted((x for x in rows if x[0] == k), key=lambda x: x[1:]):
+            if v > 10 and (last is None or t - last >= 300):
+                last = t
+                want.append((k or "", t, v))
+    got = ordered.cooldown(spark.createDataFrame(rows, "rule string, at long, v double"), ["rule"], F.col("at"), F.col("v"), 10.0, 300)
+    assert sorted((x.rule or "", x.at_ms, x.value) for x in got.collect()) == sorted(want)

@@ -49,3 +49,16 @@ def test_generators(spark):
     n = generate.perturbed(log, 3, duplicate=0.5, drop=0.2, window=3).count()
     assert 1100 < n < 1300
     assert generate.scenarios(spark).count() == 6
+
+
+def test_fleet_and_deadlines(spark):
+    """Each lap stands 12 metres further out both ways; a deadline allows for every road on the way."""
+    from rillway.sources import generate as g
+
+    got = {r.vehicle_id: (r.x, r.y) for r in g.fleet(spark, 13).collect()}
+    assert got["AGV-01"] == (60.0, 60.0) and got["AGV-07"] == (72.0, 72.0) and got["AGV-13"] == (84.0, 84.0)
+    hops = {(a, b): n for a, b, n in g._hops()}
+    assert hops["A", "B"] == 1 and hops["A", "F"] == 3 and hops["A", "E"] == 2 and len(hops) == 30
+    for r in g.tasks(spark, 300, 5).collect():
+        allowance = 120_000 + 90_000 * hops[r.origin_hub, r.destination_hub]
+        assert 1.6 * allowance - 1 <= r.deadline_ms - r.created_ms <= 3.2 * allowance
