@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
+from rillway.llm.mixing import apart
 from rillway.llm.store import bounded, settle
 
 END_ID = 1
@@ -188,9 +189,10 @@ def pack(cut_pieces: DataFrame, window: int = 2048, group_pieces: int = 8192) ->
         where, offset = best_fit(table.column("length").to_pylist(), window)
         return table.select(names).append_column("sequence_id", pa.array([group + groups * w for w in where], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = cut_pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = apart(cut_pieces.select(*names)).withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "turn"), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
+    """Pieces of all documents with their places; see ``pieces`` for null texts and ids, ``pack`` for repeated rows."""
     return pack(settle(pieces(docs, tokenizer, window)), window)

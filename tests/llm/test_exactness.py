@@ -335,3 +335,12 @@ def test_stages_on_odd_tables(spark, tmp_path):
             docs = spark.createDataFrame(out.collect(), out.schema)
             counts.append(docs.count())
         assert counts == [0] * 5 if not some else counts[:3] == [9, 8, 8] and counts[3] >= 8
+
+
+def test_repeated_pieces_fill_many_groups(spark):
+    """One document a thousand times over is dealt to all groups; every row gets a place of its own."""
+    rows = spark.createDataFrame([(7, 0, 300, 5, 300)] * 1000, packing.PIECES)
+    got = packing.pack(rows, 2048, group_pieces=50).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(got) == len(places) == 1000 and len({r.sequence_id % 20 for r in got}) == 20
+    assert all(r.offset % 300 == 0 and r.offset + 300 <= 2048 for r in got)
