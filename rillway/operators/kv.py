@@ -2,60 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.functions.folds import gathering_fold
+COMMAND = ["order", "at_ms", "op", "field", "value", "ttl_ms"]
+STRINGS, HASHES = ("get", "incr"), ("hset", "hget", "hdel", "hlen", "hkeys", "hgetall")
+
+
+class Entry(NamedTuple):
+    kind: str | None = None
+    value: str | None = None
+    fields: dict | None = None
+    expires_ms: int | None = None
+
 
-RESULT = "struct<order:bigint,op:string,result:string>"
+GONE = Entry()
 
 
-def fold_commands(log: DataFrame, key: str = "key") -> DataFrame:
-    """``log``: key, order, at_ms, op, field, value, ttl_ms. Gives per key the final entry and each result.
+def run_commands(log: DataFrame, key: str = "key") -> DataFrame:
+    """One row per command: (key, order, op, result, last, kind, value, fields, expires_ms).
 
-    set, get, exists, delete, incr, hset, hget, hdel, hlen, hkeys, hgetall, expire, persist, ttl. An entry is gone when
-    at_ms reaches its expiry. A string command on a hash, or the reverse, gives WRONGTYPE and changes
+    ``log``: key, order, at_ms, op, field, value, ttl_ms; op is one of set, get, exists, delete, incr, hset, hget,
+    hdel, hlen, hkeys, hgetall, expire, persist, ttl, and any other changes nothing and gives null. An entry is
+    gone when at_ms reaches its expiry. A string command on a hash, or the reverse, gives WRONGTYPE and changes
     nothing; incr of a value that is no integer gives NOTINT; set drops an old expiry unless it brings one,
-    expire of zero or less deletes, and the last hdel deletes the key.
+    expire of zero or less deletes, and the last hdel deletes the key. A null field is the empty one.
+
+    The last command of a key has last = true and the key's entry after it; kind is null if there is none. Logs
+    stream through in order, one key after another, and only the entry of one key is held, so a log may be of any
+    length; one key's commands run one after another by meaning.
     """
-    rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("order", "at_ms", "op", "field", "value", "ttl_ms"))).alias("log"))
-    none_s, none_l, none_m = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("map<string,string>")
-
-    start = {"kind": none_s, "value": none_s, "fields": none_m, "expires_ms": none_l}
-
-    def step(a: Column, x: Column) -> Column:
-        alive = a["kind"].isNotNull() & (a["expires_ms"].isNull() | (a["expires_ms"] > x["at_ms"]))
-        kind, value = F.when(alive, a["kind"]), F.when(alive, a["value"])
-        fields, expires = F.when(alive, a["fields"]), F.when(alive, a["expires_ms"])
-        op = x["op"]
-        wrong = (op.isin("get", "incr") & (kind == "hash")) | (op.isin("hset", "hget", "hdel", "hlen", "hkeys", "hgetall") & (kind == "string"))
-        wrong = F.coalesce(wrong, F.lit(False))
-        number = F.coalesce(value, F.lit("0")).try_cast("long")
-        step_by = F.coalesce(x["value"].try_cast("long"), F.lit(1))
-        bad = (op == "incr") & number.isNull()
-        held = F.coalesce(fields, F.expr("cast(map() as map<string,string>)"))
-        has = F.coalesce(F.map_contains_key(held, x["field"]), F.lit(False))
-        added = F.map_concat(F.map_filter(held, lambda k, v: k != x["field"]), F.map_from_arrays(F.array(x["field"]), F.array(x["value"])))
-        less = F.map_filter(held, lambda k, v: k != x["field"])
-        gone = (op == "delete") | ((op == "expire") & (F.coalesce(x["ttl_ms"], F.lit(0)) <= 0)) | ((op == "hdel") & (F.size(less) == 0))
-        stay = wrong | bad
-        new_kind = F.when(stay, kind).when(op == "set", "string").when(op == "incr", F.coalesce(kind, F.lit("string"))).when(op == "hset", "hash").when(gone, none_s).otherwise(kind)
-        new_value = F.when(stay, value).when(op == "set", x["value"]).when(op == "incr", (number + step_by).cast("string")).when(gone | (op == "hset"), none_s).otherwise(value)
-        new_fields = F.when(stay, fields).when((op == "set") | gone, none_m).when(op == "hset", added).when((op == "hdel") & has, less).otherwise(fields)
-        new_expires = F.when(stay, expires).when((op == "set") & x["ttl_ms"].isNull(), none_l).when((op == "set") | ((op == "expire") & alive & ~gone), x["at_ms"] + x["ttl_ms"]).when(gone | (op == "persist"), none_l).otherwise(expires)
-        flag = lambda c: F.when(c, "1").otherwise("0")
-        ttl = F.when(~alive, "-2").when(expires.isNull(), "-1").otherwise(F.ceil((expires - x["at_ms"]) / 1000.0).cast("string"))
-        result = (
-            F.when(wrong, "WRONGTYPE").when(bad, "NOTINT").when(op == "set", "OK").when(op == "get", value).when(op == "exists", flag(alive)).when(op.isin("delete", "expire"), flag(alive))
-            .when(op == "persist", flag(alive & expires.isNotNull())).when(op == "incr", (number + step_by).cast("string")).when(op == "hset", flag(~has)).when(op == "hget", F.when(has, held[x["field"]]))
-            .when(op == "hdel", flag(has)).when(op == "hlen", F.size(held).cast("string")).when(op == "hkeys", F.array_join(F.array_sort(F.map_keys(held)), ",")).when(op == "hgetall", flat_fields(held)).when(op == "ttl", ttl)
-        )
-        made = F.concat(a["results"], F.array(F.struct(x["order"].cast("long").alias("order"), op.alias("op"), result.alias("result"))))
-        return F.struct(new_kind.alias("kind"), new_value.alias("value"), new_fields.alias("fields"), new_expires.cast("long").alias("expires_ms"), made.alias("results"))
-
-    return rows.select(key, gathering_fold(F.col("log"), start, "results", RESULT, step).alias("s")).select(key, "s.*")
-
-
-def flat_fields(fields: Column) -> Column:
-    """A hash as sorted field=value text."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    rows = log.select(F.col(key).alias("key"), F.col("order").cast("long").alias("order"), F.col("at_ms").cast("long").alias("at_ms"), "op", "field", F.col("value").cast("string").alias("value"), F.col("ttl_ms").cast("long").alias("ttl_ms"))
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, order long, op string, result string, last boolean, kind string, value string, fields map<string,string>, expires_ms long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entry, kind = None, GONE, None
+        for batch in batches:
+            kind, out = batch.column(0).type, []
+            for k, order, *command in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None:
+                    last = held[0] != k
+                    out.append((*held, last, *(entry if last else GONE)))
+                    entry = GONE if last else entry
+                entry, result = apply(entry, *command)
+                held = (k, order, command[1], result)
+            yield _rows(out, kind)
+        if held is not None:
+            yield _rows([(*held, True, *entry)], kind)
+
+    return rows.repartition("key").sortWithinPartitions("key", *COMMAND).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def final_entries(commands: DataFrame, key: str = "key") -> DataFrame:
+    """(key, kind, value, fields, expires_ms) after the last command of each key."""
+    return commands.where("last").select(key, "kind", "value", "fields", "expires_ms")
+
+
+def _rows(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    text, whole = pa.string(), pa.int64()
+    types = [kind, whole, text, text, pa.bool_(), text, text, pa.map_(text, text), whole]
+    cols = list(zip(*out, strict=True)) or [()] * len(types)
+    cols[7] = [None if f is None else list(f.items()) for f in cols[7]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "order", "op", "result", "last", "kind", "value", "fields", "expires_ms"])
+
+
+def integer(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"\s*[+-]?[0-9]+\s*", text) else None
+
+
+def apply(entry: Entry, at_ms: int, op: str, field: str | None, value: str | None, ttl_ms: int | None) -> tuple[Entry, str | None]:
+    """One command: (the entry after it, its result)."""
+    alive = entry.kind is not None and (entry.expires_ms is None or entry.expires_ms > at_ms)
+    now = entry if alive else GONE
+    flag = lambda c: "1" if c else "0"
+    if (op in STRINGS and now.kind == "hash") or (op in HASHES and now.kind == "string"):
+        return now, "WRONGTYPE"
+    held, field = now.fields or {}, field or ""
+    match op:
+        case "set":
+            return Entry("string", value, None, None if ttl_ms is None else at_ms + ttl_ms), "OK"
+        case "get":
+            return now, now.value
+        case "exists":
+            return now, flag(alive)
+        case "delete":
+            return GONE, flag(alive)
+        case "incr":
+            number = 0 if now.value is None else integer(now.value)
+            if number is None:
+                return now, "NOTINT"
+            by = integer(value)
+            total = str(number + (1 if by is None else by))
+            return now._replace(kind="string", value=total), total
+        case "expire":
+            return (now._replace(expires_ms=at_ms + ttl_ms) if alive else GONE) if (ttl_ms or 0) > 0 else GONE, flag(alive)
+        case "persist":
+            return now._replace(expires_ms=None), flag(now.expires_ms is not None)
+        case "ttl":
+            return now, "-2" if not alive else "-1" if now.expires_ms is None else str(-((at_ms - now.expires_ms) // 1000))
+        case "hset":
+            return now._replace(kind="hash", fields=held | {field: value}), flag(field not in held)
+        case "hget":
+            return now, held.get(field)
+        case "hdel":
+            less = {f: v for f, v in held.items() if f != field}
+            return now._replace(fields=less) if less else GONE, flag(field in held)
+        case "hlen":
+            return now, str(len(held))
+        case "hkeys":
+            return now, ",".join(sorted(held))
+        case "hgetall":
+            return now, ",".join(f"{f}={v}" for f, v in sorted(held.items()) if v is not None)
+    return now, None

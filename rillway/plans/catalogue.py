@@ -555,23 +555,23 @@ _KV = """with recursive ev as materialized (select *, row_number() over (partiti
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
     log = view(spark, d, "commands").select("key", F.col("seq").alias("order"), "at_ms", "op", "field", "value", "ttl_ms")
-    return kv.fold_commands(log)
+    return kv.run_commands(log)
 
 
 @built("kv_results", _KV + " select key, seq, op, result from st where n > 0", True)
 def _(spark, d):
-    return _store(spark, d).select("key", F.explode("results").alias("r")).select("key", F.col("r.order").alias("seq"), "r.op", "r.result")
+    return _store(spark, d).select("key", F.col("order").alias("seq"), "op", "result")
 
 
 @built("kv_live_snapshot", _KV + ", f as (select key, arg_max(present, n) as present, arg_max(coalesce(val, ''), n) as val, arg_max(coalesce(exp, -1), n) as exp from st group by key) select key, val as value, B(exp) as expires_ms from f where present and (exp = -1 or exp > 1706000000000)", True)
 def _(spark, d):
     now = F.lit(1706000000000)
-    return _store(spark, d).where(F.col("kind").isNotNull() & fn.live(F.col("expires_ms"), now)).select("key", "value", F.coalesce("expires_ms", F.lit(-1)).cast("long").alias("expires_ms"))
+    return kv.final_entries(_store(spark, d)).where(F.col("kind").isNotNull() & fn.live(F.col("expires_ms"), now)).select("key", "value", F.coalesce("expires_ms", F.lit(-1)).cast("long").alias("expires_ms"))
 
 
 @built("kv_ttl", _KV + ", f as (select key, arg_max(present, n) as present, arg_max(coalesce(exp, -1), n) as exp from st group by key) select key, B(case when not present or (exp >= 0 and exp <= 1706000000000) then -2 when exp = -1 then -1 else ceil((exp - 1706000000000) / 1000.0) end) as ttl from f", True)
 def _(spark, d):
-    return _store(spark, d).select("key", fn.ttl_seconds(F.col("kind").isNotNull(), F.col("expires_ms"), F.lit(1706000000000)).alias("ttl"))
+    return kv.final_entries(_store(spark, d)).select("key", fn.ttl_seconds(F.col("kind").isNotNull(), F.col("expires_ms"), F.lit(1706000000000)).alias("ttl"))
 
 
 @built("kv_keys_glob", "select distinct key from {commands} where key like 'k1_'")
@@ -598,7 +598,7 @@ _HASHES = """with w as (select *, last_value(case op when 'hset' then concat('+'
 @built("kv_hash_results", _HASHES)
 def _(spark, d):
     log = view(spark, d, "hash_commands").select("key", F.col("seq").alias("order"), "at_ms", "op", "field", "value", F.lit(None).cast("long").alias("ttl_ms"))
-    return kv.fold_commands(log).select("key", F.explode("results").alias("r")).select("key", F.col("r.order").alias("seq"), "r.op", "r.result")
+    return kv.run_commands(log).select("key", F.col("order").alias("seq"), "op", "result")
 
 
 plain("idempotency_eviction", "select msg_id, arrival from (select msg_id, max(arrival) as arrival, row_number() over (order by max(arrival) desc, msg_id) as rn from {deliveries} where not failed group by msg_id) e where rn <= 500")

@@ -124,10 +124,15 @@ def test_greedy_plan(spark):
     assert [(r.task_id, r.vehicle_id, r.victim) for r in dispatch.plan_greedy(tasks, fleet).orderBy("step").collect()] == [(3, 1, None), (2, 2, None)]
 
 
+def results(spark, log):
+    ran = kv.run_commands(spark.createDataFrame(log, "key string, order int, at_ms long, op string, field string, value string, ttl_ms long")).collect()
+    return {k: [r.result for r in sorted(ran, key=lambda r: r.order) if r.key == k] for k in {r.key for r in ran}}
+
+
 def test_store(spark):
     log = [("a", 1, 0, "set", None, "5", 1000), ("a", 2, 999, "ttl", None, None, None), ("a", 3, 1000, "get", None, None, None), ("a", 4, 1001, "incr", None, None, None), ("a", 5, 1002, "hset", "f", "1", None),
            ("h", 1, 0, "hset", "f", "1", None), ("h", 2, 1, "hset", "f", "2", None), ("h", 3, 2, "hget", "f", None, None), ("h", 4, 3, "hdel", "f", None, None), ("h", 5, 4, "exists", None, None, None), ("h", 6, 5, "set", None, "x", None), ("h", 7, 6, "incr", None, None, None)]
-    got = {r.key: [x.result for x in r.results] for r in kv.fold_commands(spark.createDataFrame(log, "key string, order int, at_ms long, op string, field string, value string, ttl_ms long")).collect()}
+    got = results(spark, log)
     assert got["a"] == ["OK", "1", None, "1", "WRONGTYPE"]
     assert got["h"] == ["1", "0", "2", "1", "0", "OK", "NOTINT"]
 
@@ -218,8 +223,7 @@ def test_trimmed_chains_keep_cycles(spark):
 
 def test_hash_commands(spark):
     log = [("h", i, i, op, f, v, None) for i, (op, f, v) in enumerate([("hset", "b", "1"), ("hset", "a", "2"), ("hkeys", None, None), ("hgetall", None, None), ("hdel", "a", None), ("hkeys", None, None), ("hdel", "b", None), ("hgetall", None, None), ("exists", None, None)])]
-    got = kv.fold_commands(spark.createDataFrame(log, "key string, order int, at_ms long, op string, field string, value string, ttl_ms long")).first()
-    assert [x.result for x in got.results] == ["1", "1", "a,b", "a=2,b=1", "1", "b", "1", "", "0"]
+    assert results(spark, log)["h"] == ["1", "1", "a,b", "a=2,b=1", "1", "b", "1", "", "0"]
 
 
 def test_score_reasons(spark):
@@ -257,3 +261,20 @@ def test_cooldown_of_many_keys(spark):
                 want.append((k or "", t, v))
     got = ordered.cooldown(spark.createDataFrame(rows, "rule string, at long, v double"), ["rule"], F.col("at"), F.col("v"), 10.0, 300)
     assert sorted((x.rule or "", x.at_ms, x.value) for x in got.collect()) == sorted(want)
+
+
+def test_final_entries(spark):
+    log = [("a", 1, 0, "set", None, "5", 1000), ("b", 1, 0, "hset", "f", "1", None), ("b", 2, 0, "hset", "g", "2", None), ("c", 1, 0, "set", None, "1", None), ("c", 2, 0, "delete", None, None, None),
+           (None, 1, 0, "incr", None, None, None), ("d", 1, 0, "set", None, "1", None), ("d", 2, 5, "expire", None, None, 0), ("e", 1, 0, "unheard", None, None, None), ("f", 1, 0, "hset", None, "1", None)]
+    schema = "key string, order int, at_ms long, op string, field string, value string, ttl_ms long"
+    got = {r.key: tuple(r)[1:] for r in kv.final_entries(kv.run_commands(spark.createDataFrame(log, schema))).collect()}
+    none = (None, None, None, None)
+    assert got == {"a": ("string", "5", None, 1000), "b": ("hash", None, {"f": "1", "g": "2"}, None), "c": none, None: ("string", "1", None, None), "d": none, "e": none, "f": ("hash", None, {"": "1"}, None)}
+    assert kv.run_commands(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_key_over_many_batches(spark):
+    log = spark.range(30_000).select(F.lit("k").alias("key"), F.col("id").alias("order"), F.col("id").alias("at_ms"), F.lit("incr").alias("op"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("ttl_ms"))
+    ran = kv.run_commands(log)
+    assert ran.where("result = order + 1").count() == 30_000
+    assert [r.value for r in kv.final_entries(ran).collect()] == ["30000"]
