@@ -153,6 +153,17 @@ def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFram
     return met.groupBy(partition, "expected").agg(F.count_if(late | (F.col("offset") > F.col("expected"))).alias("late"))
 
 
+def flush(waiting: DataFrame, subject: list[str], order: Column, refused: Column) -> DataFrame:
+    """``waiting`` with published: a subject's rows go out in order until one is refused, which holds back the rest.
+    A null refusal is none; rows that tie with a refused one are held back."""
+    stop = waiting.where(refused).groupBy(*(F.col(s).alias(f"_of_{s}") for s in subject)).agg(F.min(order).alias("_stop"))
+    same = F.lit(True)
+    for s in subject:
+        same = same & F.col(s).eqNullSafe(F.col(f"_of_{s}"))
+    met = waiting.withColumn("_order", order).join(stop, same, "left")
+    return met.select(*waiting.columns, F.coalesce(F.col("_order") < F.col("_stop"), F.col("_stop").isNull()).alias("published"))
+
+
 def cooldown(readings: DataFrame, key: list[str], at: Column, value: Column, threshold: float, cooldown_ms: int) -> DataFrame:
     """Alerts that fire: breached, and at least the cooldown after the last that fired for the key.
 

@@ -184,3 +184,41 @@ def routes(spark, congestion: DataFrame | None = None) -> DataFrame:
         step = best.alias("p").join(F.broadcast(lanes.alias("l")), F.col("p.goal") == F.col("l.a")).select("start", F.col("b").alias("goal"), (F.col("p.cost") + F.col("l.cost")).alias("cost"), F.concat("path", F.lit(">"), F.col("b")).alias("path"))
         best = best.unionByName(step).groupBy("start", "goal").agg(F.min(F.struct("cost", "path")).alias("m")).select("start", "goal", "m.cost", "m.path")
     return best
+
+
+def breaks(found: DataFrame, priority: DataFrame) -> DataFrame:
+    """(cycle, victim, victim_priority) of the cycles that are broken, one after another, until none is left.
+
+    ``found`` has cycle, an array turned to start at its least vehicle; ``priority`` has vehicle and priority,
+    and who has none counts as 0. The least cycle goes first: its vehicle of least priority, then least id, gives
+    way, and with it goes each cycle that holds it. Cycles without a common vehicle do not touch each other, so a
+    round breaks every cycle that is the least of all those it meets, and gives what one at a time would.
+    """
+    members = found.select("cycle", F.explode("cycle").alias("vehicle")).join(priority.select("vehicle", "priority"), "vehicle", "left").select("cycle", "vehicle", F.coalesce("priority", F.lit(0)).cast("long").alias("priority"))
+    left, out = cut(members.distinct()), None
+    while not left.isEmpty():
+        least = left.groupBy("vehicle").agg(F.min("cycle").alias("first"))
+        firsts = left.join(least, "vehicle").groupBy("cycle").agg(F.bool_and(F.col("cycle") == F.col("first")).alias("first"), F.min(F.struct("priority", "vehicle")).alias("v"))
+        broken = cut(firsts.where("first").select("cycle", F.col("v.vehicle").alias("victim"), F.col("v.priority").alias("victim_priority")))
+        out = broken if out is None else out.unionByName(broken)
+        gone = left.join(broken.select(F.col("victim").alias("vehicle")).distinct(), "vehicle", "left_semi").select("cycle").distinct()
+        left = cut(left.join(gone, "cycle", "left_anti"))
+    return out if out is not None else left.select("cycle", F.col("vehicle").alias("victim"), F.col("priority").alias("victim_priority"))
+
+
+def nearest_hub(x: Column, y: Column) -> Column:
+    """The hub at the least distance, then the least name."""
+    return F.array_min(F.array(*(F.struct(((x - hx) * (x - hx) + (y - hy) * (y - hy)).alias("d"), F.lit(h).alias("hub")) for h, hx, hy in S.HUBS)))["hub"]
+
+
+def trips(driven: DataFrame, lanes: DataFrame) -> DataFrame:
+    """``driven`` (vx, vy, ox, oy, dx, dy: vehicle, origin and destination) with ``route``, the hubs from the
+    vehicle's hub by way of the origin's to the destination's, and its cost.
+
+    ``lanes`` is ``routes``: 36 rows whatever the number of tasks, so both looks at it are broadcast.
+    """
+    at = driven.withColumns({"_s": nearest_hub(F.col("vx"), F.col("vy")), "_o": nearest_hub(F.col("ox"), F.col("oy")), "_d": nearest_hub(F.col("dx"), F.col("dy"))})
+    leg = lambda a, b, n: F.broadcast(lanes.select(F.col("start").alias(a), F.col("goal").alias(b), F.split("path", ">").alias(f"_p{n}"), F.col("cost").alias(f"_c{n}")))
+    met = at.join(leg("_s", "_o", 1), ["_s", "_o"]).join(leg("_o", "_d", 2), ["_o", "_d"])
+    whole = F.concat("_p1", F.slice("_p2", F.lit(2), F.size("_p2")))
+    return met.select(*driven.columns, whole.alias("route"), (F.col("_c1") + F.col("_c2")).alias("cost"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rillway import schemas as S
 from rillway.functions import scalars as fn
 from rillway.functions.dialect import render
-from rillway.operators import dispatch, fsm, kv, ordered, traffic
+from rillway.operators import dispatch, fsm, kv, liveness, ordered, traffic
 from rillway.sources.views import view, with_clause
 from rillway.streaming import jobs
 
@@ -485,6 +485,20 @@ def _(spark, d):
     return found.withColumn("cycle", F.array_join(F.col("cycle").cast("array<string>"), ">"))
 
 
+#: Cycles of groups that wait for one another, broken one by one in their order.
+_BREAKS = _CYCLES.replace("{waits}", "{yard_waits}") + """, on_ as materialized (select path, row_number() over (order by path) as n from cy),
+ br(n, gone, broken, victim) as (select B(0), cast([] as bigint[]), false, B(0) union all
+  select n, case when meets then gone else list_append(gone, v) end, not meets, v from (select o.n, b.gone, list_has_any(o.path, b.gone) as meets, B(list_sort(list_transform(o.path, lambda x: {{'p': x % 5, 'v': x}}))[1].v) as v from br b join on_ o on o.n = b.n + 1) z)
+ select array_to_string(o.path, '>') as cycle, b.victim, B(b.victim % 5) as victim_priority from br b join on_ o on o.n = b.n where b.broken""".replace("{{", "{").replace("}}", "}")
+
+
+@built("deadlock_breaks", _BREAKS, True)
+def _(spark, d):
+    found = traffic.cycles(view(spark, d, "yard_waits"))
+    priority = view(spark, d, "customer").select(F.col("c_custkey").alias("vehicle"), (F.col("c_custkey") % 5).alias("priority"))
+    return traffic.breaks(found, priority).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("victim").cast("long").alias("victim"), "victim_priority")
+
+
 _HUBS = "(values " + ", ".join(f"('{h}', {x}, {y})" for h, x, y in S.HUBS) + ") as h(hub, x, y)"
 _LANES = "(values " + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in S.ROADS) + ") as l(a, b)"
 
@@ -494,6 +508,18 @@ def _(spark, d):
     return traffic.routes(spark)
 
 
+_RT = ORACLE_SQL["route_shortest"].removeprefix("with recursive ").split(" select s as start")[0]
+_AT = lambda x, y: f"(select hub from {_HUBS} order by ({x} - x) * ({x} - x) + ({y} - y) * ({y} - y), hub limit 1)"
+
+
+@built("task_trips", f"with recursive {_RT}, best as materialized (select s, g, min(cost) as cost, arg_min(path, (cost, path)) as path from rt group by s, g), go as (select t.task_id, v.vehicle_id, {_AT('v.vx', 'v.vy')} as a, {_AT('t.ox', 't.oy')} as b, {_AT('t.dx', 't.dy')} as c from {{tasks_in}} t join {{vehicles_in}} v on v.vehicle_id = t.cust % 97 + 1 where t.state = 'EXECUTING' and v.online and v.vstate not in ('PAUSED', 'RECOVERING')) select task_id, vehicle_id, case when b = c then p.path else concat(p.path, substr(q.path, 2)) end as route, round(p.cost + q.cost, 6) as cost from go join best p on p.s = a and p.g = b join best q on q.s = b and q.g = c", True)
+def _(spark, d):
+    active = view(spark, d, "tasks_in").where("state = 'EXECUTING'").withColumn("vehicle_id", F.col("cust") % 97 + 1)
+    moving = view(spark, d, "vehicles_in").where("online AND vstate NOT IN ('PAUSED', 'RECOVERING')").select("vehicle_id", "vx", "vy")
+    driven = active.join(moving, "vehicle_id").select("task_id", "vehicle_id", "vx", "vy", "ox", "oy", "dx", "dy")
+    return traffic.trips(driven, traffic.routes(spark)).select("task_id", "vehicle_id", F.array_join("route", ">").alias("route"), F.round("cost", 6).alias("cost"))
+
+
 plain("nearest_hub", f"select vehicle_id, hub from (select v.vehicle_id, h.hub, row_number() over (partition by v.vehicle_id order by (v.vx - h.x) * (v.vx - h.x) + (v.vy - h.y) * (v.vy - h.y), h.hub) as rn from {{vehicles_in}} v cross join {_HUBS}) n where rn = 1")
 plain("contended_union", "select distinct vehicle, resource from (select vehicle, resource from {holders} union select vehicle, resource from {requests}) u where resource <> 3")
 plain("blocked_on", "select vehicle, count(*) as n, min(resource) as first from {requests} group by vehicle")
@@ -540,7 +566,33 @@ def _(spark, d):
 plain("stale_vehicles", "select subject, B(1706745600000 - max(at_ms)) as silent_ms from {readings} where at_ms <= 1706745600000 group by subject having 1706745600000 - max(at_ms) > 5000")
 plain("offline_intervals", "select subject, at_ms + 5000 as offline_ms, nxt as online_ms from (select subject, at_ms, lead(at_ms) over (partition by subject order by at_ms, event_id) as nxt from {readings}) g where nxt - at_ms > 86400000")
 plain("heartbeat_asof", "select subject, max_by(rule, at_ms * 1000000 + event_id) as rule, B(max(at_ms)) as at_ms from {readings} where at_ms <= 1705300000000 group by subject")
-plain("silence_windows", "select subject, B(count_if(at_ms % 86400000 between 0 and 3600000)) as muted, count(*) as n from {readings} group by subject")
+#: What a vehicle's plan does at each line, with the tick at which its silence ends.
+_SILENCE = """with recursive w as materialized (select vehicle, start, duration, line, row_number() over (partition by vehicle order by start, line) as n, line = min(line) over (partition by vehicle) as first, lead(line) over (partition by vehicle order by line) as following from {silence_plan}),
+ st(vehicle, n, start, until, lost, ended, opened, shut) as (select distinct vehicle, B(0), B(0), cast(null as bigint), B(-1), cast(null as bigint), false, false from w union all
+ select vehicle, n, start, case when opens then case when at_once then null else start + greatest(duration, 1) end when passed then until else null end, case when opens and at_once then following else lost_now end,
+  case when not passed then until end, opens, opens and at_once
+  from (select *, not passed and not (coalesce(until = start, false) and first) as opens, duration <= 0 and following is not null as at_once
+   from (select s.vehicle, e.n, e.start, e.duration, e.first, e.following, s.until, case when s.start = e.start then s.lost else -1 end as lost_now, coalesce(e.start < s.until, false) or (s.start = e.start and e.line = s.lost) as passed from st s join w e on e.vehicle = s.vehicle and e.n = s.n + 1) y) z)
+ select vehicle, B(start) as tick, 'silent' as phase from st where opened union all select vehicle, B(start), 'resume' from st where shut union all select vehicle, B(ended), 'resume' from st where ended is not null
+ union all select vehicle, B(arg_max(coalesce(until, -1), n)), 'resume' from st group by vehicle having arg_max(coalesce(until, -1), n) >= 0"""
+
+
+@built("silence_windows", _SILENCE, True)
+def _(spark, d):
+    return liveness.silence(view(spark, d, "silence_plan"))
+
+
+#: Rules of the query: name, metric, threshold, severity, comparison, cooldown ms.
+_RULES = [("big_purchase", "purchase", 70.0, "ERROR", ">", 3_600_000), ("any_purchase", "purchase", 30.0, "WARNING", ">", 86_400_000), ("idle_click", "click", 5.0, "INFO", "<", 0), ("no_metric", "unheard", 0.0, "INFO", ">", 0)]
+_RULED = f"""with recursive ru(rule, metric, threshold, severity, comparison, cooldown_ms) as (values {", ".join(map(str, _RULES))}),
+ ev as materialized (select u.rule, u.severity, r.subject, r.value, D(u.threshold) as threshold, r.at_ms, B(u.cooldown_ms) as cooldown_ms, row_number() over (partition by u.rule, r.subject order by r.at_ms, r.value) as n from {{readings}} r join ru u on u.metric = r.rule where case when u.comparison = '<' then r.value < u.threshold else r.value > u.threshold end),
+ st(rule, subject, n, last, fired) as (select rule, subject, n, at_ms, true from ev where n = 1 union all select s.rule, s.subject, e.n, case when e.at_ms - s.last >= e.cooldown_ms then e.at_ms else s.last end, e.at_ms - s.last >= e.cooldown_ms from st s join ev e on e.rule = s.rule and e.subject = s.subject and e.n = s.n + 1)
+ select e.rule, e.severity, e.subject, e.value, e.threshold, e.at_ms from st s join ev e on e.rule = s.rule and e.subject = s.subject and e.n = s.n where s.fired"""
+
+
+@built("alerts_by_rules", _RULED, True)
+def _(spark, d):
+    return liveness.alerts(view(spark, d, "readings").withColumnRenamed("rule", "metric"), spark.createDataFrame(_RULES, liveness.RULES))
 
 # key-value store ----------------------------------------------------------------------------------------
 _KV = """with recursive ev as materialized (select *, row_number() over (partition by key order by seq) as n from {commands}),
@@ -579,6 +631,12 @@ def _(spark, d):
     return view(spark, d, "commands").where(fn.glob(F.col("key"), "k1?")).select("key").distinct()
 
 
+# publishing in order: what is refused holds back all that follows in its subject; the oracle counts from the first refusal
+@built("flush_subject", "select subject, B(count_if(seq < stop)) as published, B(count_if(seq >= stop)) as held_back from (select subject, seq, coalesce(min(case when event_id % 13 = 0 then seq end) over (partition by subject), 9000000000000000000) as stop from {journal}) f group by subject")
+def _(spark, d):
+    return ordered.flush(view(spark, d, "journal"), ["subject"], F.col("seq"), F.col("event_id") % 13 == 0).groupBy("subject").agg(F.count_if("published").alias("published"), F.count_if(~F.col("published")).alias("held_back"))
+
+
 plain("kv_hash_fields", "select key, field, max_by(STR(event_id), seq) as value, count(*) as sets from {commands} group by key, field")
 plain("cache_projection", "select concat('veh:', vehicle_id) as key, concat(vstate, '|', online) as value from {vehicles_in} union all select concat('task:', task_id) as key, concat(state, '|', priority) as value from {tasks_in}")
 plain("cache_lost_keys", "select key from {commands} where op = 'set' except select key from {commands} where op = 'set' and seq > (select max(seq) - 300 from {commands})")

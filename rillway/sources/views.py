@@ -40,6 +40,8 @@ VIEWS = {
     "traffic_log": """select l_suppkey as resource, l_orderkey % 40 as vehicle, 1 + l_linenumber % 5 as priority, MS(l_shipdate) as at_ms, l_orderkey * 10 + l_linenumber as id,
         case when l_orderkey % 97 = 0 then 'release_all' else case (l_orderkey + l_linenumber) % 5 when 2 then 'release' when 4 then 'release_resource' else 'request' end end as op from {lineitem}""",
     "waits": "select c_custkey as waiter, B(H64(STR(c_custkey)) % (select count(*) from {customer})) + 1 as holder from {customer}",
+    "yard_waits": "select c_custkey as waiter, IDIV(c_custkey, 6) * 6 + (c_custkey * k + k) % 6 as holder from {customer} cross join (values (5), (7)) as t(k) where c_custkey % 4 <> 3 or k = 5",
+    "silence_plan": "select user_id % 40 as vehicle, IDIV(MS(ts), 60000) as start, event_id % 900 as duration, event_id as line from {events} where event_type = 'error'",
     "submissions": "select concat(user_id, ':', event_type) as command, MS(ts) as at_ms, event_id, event_id % 5 = 0 as fails, event_id % 5 <> 1 as confirmed from {events}",
     "hash_commands": """select concat('h', user_id % 50) as key, seq, MS(ts) as at_ms, case event_id % 6 when 0 then 'hset' when 1 then 'hget' when 2 then 'hset' when 3 then 'hlen' when 4 then 'exists' else 'hdel' end as op,
         concat('f', IDIV(event_id, 6) % 5) as field, case when event_id % 6 in (0, 2) then STR(event_id % 100) end as value from {events_seq}""",
@@ -47,7 +49,7 @@ VIEWS = {
     "commands": """select concat('k', user_id % 60) as key, seq, MS(ts) as at_ms, case event_id % 9 when 0 then 'set' when 1 then 'incr' when 2 then 'get' when 3 then 'expire' when 4 then 'ttl' when 5 then 'exists' when 6 then 'incr' when 7 then 'persist' else case when event_id % 4 = 0 then 'delete' else 'get' end end as op,
         case when event_id % 9 = 0 then STR(event_id % 100) end as value, case when event_id % 9 = 3 or event_id % 18 = 0 then cast((event_id % 5) * 7200000 as bigint) end as ttl_ms, concat('f', event_id % 3) as field, event_id from {events_seq}""",
 }
-NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "commands": ["events_seq"]}
+NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "yard_waits": ["customer"], "silence_plan": ["events"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "commands": ["events_seq"]}
 #: The journal without its sequence numbers, for what does not read them.
 VIEWS["journal_lean"] = VIEWS["journal"].replace("select seq, ", "select ", 1).replace("{events_seq}", "{events}")
 SEQUENCE = "select *, row_number() over (order by ts, event_id) as seq from events"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillway import schemas as S
 from rillway.functions import scalars as fn
-from rillway.operators import dispatch, fsm, kv, ordered, traffic
+from rillway.operators import dispatch, fsm, kv, liveness, ordered, traffic
 from rillway.operators.fsm import move
 
 
@@ -278,3 +278,64 @@ def test_one_key_over_many_batches(spark):
     ran = kv.run_commands(log)
     assert ran.where("result = order + 1").count() == 30_000
     assert [r.value for r in kv.final_entries(ran).collect()] == ["30000"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_breaks_equal_one_at_a_time(spark, seed):
+    draw = random.Random(seed)
+    n = 9
+    edges = sorted({(a, draw.randrange(n)) for a in range(n) for _ in range(2)})
+    found = traffic.cycles(spark.createDataFrame(edges, "waiter long, holder long"))
+    priority = {v: draw.randrange(3) for v in range(n - 1)}
+    left, want = sorted(list(r.cycle) for r in found.collect()), []
+    while left:
+        victim = min(left[0], key=lambda v: (priority.get(v, 0), v))
+        want.append((left[0], victim, priority.get(victim, 0)))
+        left = [c for c in left if victim not in c]
+    got = traffic.breaks(found, spark.createDataFrame(list(priority.items()), "vehicle long, priority int")).collect()
+    assert want and sorted((list(r.cycle), r.victim, r.victim_priority) for r in got) == want
+
+
+def test_no_cycle_no_break(spark):
+    none = spark.createDataFrame([], "cycle array<long>")
+    assert traffic.breaks(none, spark.createDataFrame([], "vehicle long, priority int")).count() == 0
+
+
+def ticked(plan, last):
+    silent, out = {}, []
+    for tick in range(last):
+        for vehicle, start, duration in plan:
+            if tick == start and vehicle not in silent:
+                silent[vehicle] = start + duration
+                out.append((vehicle, tick, "silent"))
+            elif vehicle in silent and tick >= silent[vehicle]:
+                del silent[vehicle]
+                out.append((vehicle, tick, "resume"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_silence_equals_ticks(spark, seed):
+    draw = random.Random(seed)
+    plan = [(draw.randrange(4), draw.randrange(14), draw.randrange(5)) for _ in range(40)]
+    df = spark.createDataFrame([(*p, i) for i, p in enumerate(plan)] + [(9, None, 3, 90), (9, 2, None, 91)], "vehicle long, start long, duration long, line long")
+    assert sorted(map(tuple, liveness.silence(df).collect())) == ticked(plan, 40)
+
+
+def test_alerts_by_rules(spark):
+    readings = spark.createDataFrame([("m", "a", 5.0, 0), ("m", "a", 6.0, 5), ("m", "a", 7.0, 10), ("m", "b", 1.0, 3), ("m", None, 9.0, 4), ("m", "a", None, 50), ("other", "a", 9.0, 1)], "metric string, subject string, value double, at_ms long")
+    rules = spark.createDataFrame([("high", "m", 4.0, "ERROR", ">", 10), ("low", "m", 2.0, "INFO", "<", 0)], liveness.RULES)
+    got = {(r.rule, r.severity, r.subject, r.at_ms) for r in liveness.alerts(readings, rules).collect()}
+    assert got == {("high", "ERROR", "a", 0), ("high", "ERROR", "a", 10), ("high", "ERROR", None, 4), ("low", "INFO", "b", 3)}
+
+
+def test_flush_holds_back_the_rest(spark):
+    rows = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 1, None), (None, 1, True), (None, 2, False)], "subject string, seq long, no boolean")
+    got = {(r.subject, r.seq): r.published for r in ordered.flush(rows, ["subject"], F.col("seq"), F.col("no")).collect()}
+    assert got == {("a", 1): True, ("a", 2): False, ("a", 3): False, ("b", 1): True, (None, 1): False, (None, 2): False}
+
+
+def test_trip_goes_by_way_of_the_origin(spark):
+    driven = spark.createDataFrame([(1, 60.0, 60.0, 540.0, 60.0, 540.0, 340.0), (2, 0.0, 0.0, 60.0, 61.0, 61.0, 60.0)], "task_id long, vx double, vy double, ox double, oy double, dx double, dy double")
+    got = {r.task_id: (list(r.route), r.cost) for r in traffic.trips(driven, traffic.routes(spark)).collect()}
+    assert got == {1: (["A", "B", "C", "F"], 760.0), 2: (["A"], 0.0)}
