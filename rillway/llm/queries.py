@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillway.llm import fingerprints, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
+from rillway.llm import conversations, divergence, fingerprints, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
 from rillway.llm.store import settle, tables
 
 
@@ -74,10 +74,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(tables(spark, sf_dir, "documents"), pii_key())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of what they make of every damaged conversation."""
+    return conversations.repair_report(tables(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source lies from the others of its language, and the words that set it apart."""
+    return divergence.audit(tables(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage of corpus_pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii, op11_conversation_repair, op12_source_divergence, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": conversations.CHECK, "op12_source_divergence": divergence.CHECK}
