@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillway.llm import conversations, divergence, fingerprints, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
+from rillway.llm import conversations, divergence, fingerprints, jaccard, mixing, neardup, packing, pages, pii, quality, secrets, substrings, suffixes
 from rillway.llm.store import settle, tables
 
 
@@ -84,10 +84,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(tables(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts linked by four-word shingles, a likeness of 0.85 or more."""
+    return jaccard.jaccard_components(tables(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage of corpus_pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii, op11_conversation_repair, op12_source_divergence, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": conversations.CHECK, "op12_source_divergence": divergence.CHECK}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_near_dedup, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_secret_scans, op8_packing, op9_mixing, op10_pii, op11_conversation_repair, op12_source_divergence, op13_jaccard_join, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": conversations.CHECK, "op12_source_divergence": divergence.CHECK, "op13_jaccard_join": jaccard.CHECK}
