@@ -300,6 +300,6 @@ CHECK = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coa
  n as (select doc_id, count(*) as n from s group by doc_id),
  met as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on b.g = a.g and b.doc_id <> a.doc_id group by all),
  link as materialized (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
- reach(doc_id, at) as (select a, b from link union select reach.doc_id, link.b from reach join link on link.a = reach.at)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id))::bigint as component_id
-from documents d left join n using (doc_id) left join (select doc_id, min(at) as least from reach group by doc_id) r using (doc_id)"""
+ reach(doc_id, other) as (select a, b from link union select reach.doc_id, link.b from reach join link on link.a = reach.other)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.first, d.doc_id))::bigint as component_id
+from documents d left join n using (doc_id) left join (select doc_id, min(other) as first from reach group by doc_id) r using (doc_id)"""
