@@ -45,11 +45,22 @@ VIEWS = {
     "submissions": "select concat(user_id, ':', event_type) as command, MS(ts) as at_ms, event_id, event_id % 5 = 0 as fails, event_id % 5 <> 1 as confirmed from {events}",
     "hash_commands": """select concat('h', user_id % 50) as key, seq, MS(ts) as at_ms, case event_id % 6 when 0 then 'hset' when 1 then 'hget' when 2 then 'hset' when 3 then 'hlen' when 4 then 'exists' else 'hdel' end as op,
         concat('f', IDIV(event_id, 6) % 5) as field, case when event_id % 6 in (0, 2) then STR(event_id % 100) end as value from {events_seq}""",
+    "dedup_ops": """select concat('g', user_id % 16) as store, event_id as ord, MS(ts) as at_ms, concat('m', IDIV(event_id, 16) % 23) as key,
+        case event_id % 7 when 0 then 'claim' when 1 then 'mark' when 2 then 'release' when 3 then 'check_and_set' when 4 then 'seen' when 5 then 'claim' else case when event_id % 3 = 0 then 'forget' else 'mark' end end as op from {events}""",
+    "records": """select seq, event_id, user_id, at_ms, concat('T', user_id, '-', IDIV(rn - 1, 8)) as task_id, kind,
+        case when kind in ('task_assigned', 'vehicle_event', 'vehicle_offline', 'vehicle_online') then concat('V', user_id + event_id % 3) when kind = 'task_requeued' and event_id % 4 = 0 then concat('V', user_id) else '' end as vehicle_id,
+        case when kind = 'vehicle_event' then case event_id % 7 when 0 then 'CHARGE' when 1 then 'CHARGE_DONE' when 2 then 'FAULT' when 3 then 'REPAIR' when 4 then 'REPAIR_DONE' when 5 then 'RECOVER' else 'MAINTAIN' end
+             when kind <> 'task_event' then null when event_id % 3 < 2 then case (rn - 1) % 8 when 2 then 'DISPATCH' when 3 then 'ENQUEUE' when 4 then 'PROCEED' when 5 then 'START' when 6 then 'PAUSE' else 'RESUME' end
+             else case event_id % 11 when 0 then 'START' when 1 then 'PAUSE' when 2 then 'RESUME' when 3 then 'RECOVER' when 4 then 'COMPLETE' when 5 then 'CANCEL' when 6 then 'FAIL' when 7 then 'REQUEUE' when 8 then 'COMPLETE' when 9 then 'ENQUEUE' else 'PROCEED' end end as event
+        from (select *, MS(ts) as at_ms, case when rn % 8 = 1 and event_id % 9 > 0 then 'task_created' when rn % 8 = 2 then 'task_assigned' when event_id % 10 < 6 then 'task_event' when event_id % 10 = 6 then 'task_requeued' when event_id % 10 = 7 then 'task_assigned'
+              when event_id % 10 = 8 then 'vehicle_event' when event_id % 20 = 9 then 'vehicle_offline' else 'vehicle_online' end as kind from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from {events_seq}) e) k""",
+    "task_commands": """select 8 * seq + 1 + k as ord, task_id, case event_id % 3 when 0 then 'PAUSE' when 1 then 'RESUME' else 'CANCEL' end as event, concat('C', IDIV(event_id, 3) % 2) as command, at_ms
+        from {records} cross join (values (0), (1), (2)) as t(k) where event_id % 5 = 1 and k <= event_id % 4""",
     "deliveries": "select *, 2 * seq as arrival from {messages} union all select *, 2 * seq + 15 as arrival from {messages} where event_id % 7 = 0",
     "commands": """select concat('k', user_id % 60) as key, seq, MS(ts) as at_ms, case event_id % 9 when 0 then 'set' when 1 then 'incr' when 2 then 'get' when 3 then 'expire' when 4 then 'ttl' when 5 then 'exists' when 6 then 'incr' when 7 then 'persist' else case when event_id % 4 = 0 then 'delete' else 'get' end end as op,
         case when event_id % 9 = 0 then STR(event_id % 100) end as value, case when event_id % 9 = 3 or event_id % 18 = 0 then cast((event_id % 5) * 7200000 as bigint) end as ttl_ms, concat('f', event_id % 3) as field, event_id from {events_seq}""",
 }
-NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "yard_waits": ["customer"], "silence_plan": ["events"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "commands": ["events_seq"]}
+NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "yard_waits": ["customer"], "silence_plan": ["events"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "records": ["events_seq"], "dedup_ops": ["events"], "task_commands": ["records"], "commands": ["events_seq"]}
 #: The journal without its sequence numbers, for what does not read them.
 VIEWS["journal_lean"] = VIEWS["journal"].replace("select seq, ", "select ", 1).replace("{events_seq}", "{events}")
 SEQUENCE = "select *, row_number() over (order by ts, event_id) as seq from events"

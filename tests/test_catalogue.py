@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from rillway.plans import catalogue
+from rillway.plans import registry as catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
