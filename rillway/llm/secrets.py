@@ -29,11 +29,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts of the method: a credential's name, then a separator, then one value without blanks or quotes.
+#: One value: no blank and no quote; the next of several named values, as in a query string, ends it.
+_VALUE = r"""(?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]*[=:])[^\s'])"""
+#: Contexts of the method: a credential's name, then a separator, then one value.
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:(?P<sep>\x20*(?:[:=]+|=>|->)\x20*)|\x20+is\x20+|\x20+)["']?(?P<value>[!-&(-~]{6,})"""
-)
+    r"""(?i)(?a:\b)(?:pwd|pass|passphrase|passcode|passkey|passwort|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session[_-]?key|db[_-]?pass|login|password|passwd|secret|token|api[_-]?key)["']?(?:(?P<sep>\x20*(?:[:=]+|=>|->)\x20*)|\x20+is\x20+|\x20+)["']?(?P<value>"""
+    + _VALUE + "{6,})"
+)
 USERINFO = re.compile(r"(?a)://[^\s:@/]+:(?P<value>[^\s:@/]{6,})@")
+#: A phrase of words is a secret as a whole: four or more, alone to the end of their line or quote.
+PHRASE = re.compile(r"""(?i)\b(?:pass|seed|recovery)[\x20_-]?phrase["']?\x20*[:=]\x20*(?P<quote>["']?)(?P<value>[^\W\d_]+(?:[\x20-][^\W\d_]+){3,23})(?=(?P=quote)[\x20\t]*(?:$|[\r\n]))""")
+_WHOLE = re.compile(_VALUE + "+")
+_END = "\"'.,;:)]}>"
 THRESHOLD = 9.0
 CACHED = 256
 _LONGEST_NAME = 64
@@ -78,7 +85,7 @@ def ranked(path: str | None) -> dict[str, int]:
 def _alphabet(text: str) -> int:
     kinds = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
     size = sum(n for f, n in kinds if any(map(f, text)))
-    return size + 33 * any(not c.isalnum() for c in text)
+    return size + 33 * any(not c.isalnum() for c in text) + 100 * any(c.isalnum() and not c.isascii() for c in text)
 
 
 def guess_cost(value: str, words: str | None = None) -> float:
@@ -161,31 +168,37 @@ _ADDRESS = re.compile(r"(?a)[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
 def plain_words(value: str, words: str | None) -> bool:
-    """Letters, capital at most at the start of a part, all parts of a compound being known words."""
+    """Letters, capital at most at the start of a part, all parts of a compound being known words. The vocabulary
+    has ASCII words alone, so a part with other letters is taken for a word."""
     known = ranked(words)
     parts = re.split(r"['’/-]", value)
-    return _PROSE.fullmatch(value) is not None and all(p[1:] == p[1:].lower() and (p.lower() in known or len(p) < 3) for p in parts)
+    return _PROSE.fullmatch(value) is not None and all(p[1:] == p[1:].lower() and (p.lower() in known or len(p) < 3 or not p.isascii()) for p in parts)
 
 
 def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: float = THRESHOLD, words: str | None = None) -> list[tuple[int, int, int, int]]:
-    """Values in credential contexts that start in no base span and cost at least the threshold, whole.
+    """Values in credential contexts that no base span covers whole and that cost at least the threshold.
 
-    A value of known words alone is running text, and so is one of small letters where no separator stands
-    before it; an e-mail address names an account. Those are no secrets.
+    A value that goes on where its base span stops, at a character that the base pattern has not, is scored and
+    spanned whole. A value of known words alone is running text, and so is one of small letters where no separator
+    stands before it; an e-mail address names an account. Those are no secrets, but phrases after their own names are.
     """
     found = []
+    for v, e in {(v, e) for _, kind, e, v in base if kind == 0}:
+        whole = v + len(_WHOLE.match(text, v)[0].rstrip(_END))
+        if whole > e and dear(text[v:whole], threshold, words):
+            found.append((v, 3, whole, v))
     for p in (CONTEXT, USERINFO) if "://" in text else (CONTEXT,):
         at, k = 0, 0
         while m := p.search(text, at):
             at = s = m.start("value")  # a dropped value may itself be the name before the real one
-            value = m["value"].rstrip("\"'.,;:)]}>")
+            value = m["value"].rstrip(_END)
             e = s + len(value)
             while k < len(base) and base[k][2] <= s:  # both run by start: base spans behind are done with
                 k += 1
             within, j = 0, k
             while j < len(base) and base[j][0] <= s:
                 within, j = max(within, base[j][2] if s < base[j][2] else 0), j + 1
-            if within or len(value) < 6:
+            if e <= within or len(value) < 6:
                 at = max(s, within - _LONGEST_NAME)
                 continue
             if p is CONTEXT and (m["sep"] is None and value.isalpha() and value[1:] == value[1:].lower() or plain_words(value, words) or _ADDRESS.fullmatch(value)):
@@ -193,8 +206,9 @@ def method_spans(text: str, base: list[tuple[int, int, int, int]], threshold: fl
             if dear(value, threshold, words):
                 found.append((s, 3, e, s))
                 at = e
+    found += [(m.start("value"), 3, m.end("value"), m.start("value")) for m in PHRASE.finditer(text) if dear(m["value"], threshold, words)]
     out, last = [], -1
-    for span in sorted(found):
+    for span in sorted(found, key=lambda x: (x[0], -x[2])):
         if span[0] >= last:
             out.append(span)
             last = span[2]
