@@ -291,6 +291,52 @@ def test_pseudonyms_need_a_key(spark, monkeypatch):
     assert queries.pii_key() == b"k"
 
 
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+4915112345678", "+49 151 12345678", "(555) 123-4567", "555-234-5678", "030 1234567", "06 12 34 56 78", "020 7946 0958", "+44 20 7946 0958"])
+def test_phones_of_a_plan_are_found_and_stay_of_it(text):
+    new, found = pii.replaced(f"so {text}, or", b"key")
+    assert found == [(3, 3 + len(text), "phone")]
+    again, back = pii.replaced(new, b"key")
+    assert back == found and pii.pseudonym("phone", new[3 : 3 + len(text)], b"key", back=True) == text
+
+
+@pytest.mark.parametrize("text", ["call me at 5551234567 now", "phone: 555-1234, then", "Tel. 612 345 678", "fax 2345678"])
+def test_digits_that_are_called_a_phone(text):
+    assert [k for *_, k in pii.replaced(text, b"key")[1]] == ["phone"]
+
+
+@pytest.mark.parametrize("text", ["2019 2020 2021", "100 200 300 400", "3.14159 2.71828 1.41421", "1706745600", "4839201745", "page 123-456", "007 123 456 789", "+999 12345678", "+1 555", "612 345 678", "12 34 56 78 90", "ISBN 978-3-16-148410", "score 21-19 21-17", "v1.2.3.4-5"])
+def test_plain_numbers_stay(text):
+    assert pii.replaced(text, b"key") == (text, [])
+
+
+def test_a_phone_before_a_card():
+    assert [k for *_, k in pii.replaced("at +1 (269) 555-3296 4111111111111111 and", b"key")[1]] == ["phone", "card"]
+
+
+def test_number_tables_stay():
+    """Rows of random numbers, in columns or sums with blanks between thousands: hardly one is taken for a value."""
+    r = random.Random(5)
+    rows = [r.choice((" ", "  ", "\t", ", ", "; ")).join(str(r.randrange(10 ** r.randrange(1, 8))) for _ in range(8)) for _ in range(2000)]
+    rows += [f"{r.randrange(1, 999)} {r.randrange(1000):03d} {r.randrange(1000):03d}" for _ in range(1000)]
+    assert sum(bool(pii.replaced(t, b"key")[1]) for t in rows) <= 3
+
+
+def test_letters_of_an_address_beyond_ascii():
+    new, found = pii.replaced("jörg.müller@mail.de", b"key")
+    assert found == [(0, 19, "email")] and new.endswith("@mail.de") and all(a != b for a, b in ((new, "jörg.müller@mail.de"),))
+    assert not new.startswith("jö") and pii.pseudonym("email", new, b"key", back=True) == "jörg.müller@mail.de" and not new[1].isascii()
+
+
+def test_long_texts_of_values_take_linear_time():
+    import time
+
+    days = [f"{1900 + i % 100}-{i % 12 + 1:02d}-{i % 28 + 1:02d}" for i in range(100_000)]
+    for text, n in (("a" * 1_000_000 + " x@", 0), ("ab." * 300_000 + "@", 0), (" ".join(days), 100_000), ("+" + "1" * 200_000, 0), ("1 " * 200_000, None), ("(555) " * 50_000, 0)):
+        began = time.process_time()
+        found = pii.replaced(text, b"key")[1]
+        assert time.process_time() - began < 4 and n in (None, len(found))
+
+
 def test_one_letter_is_no_shift():
     got = [pii.permute([v], [26], b"key", "t")[0] for v in range(26)]
     assert sorted(got) == list(range(26)) and len({(b - a) % 26 for a, b in enumerate(got)}) > 3
@@ -344,3 +390,47 @@ def test_repeated_pieces_fill_many_groups(spark):
     places = {(r.sequence_id, r.offset) for r in got}
     assert len(got) == len(places) == 1000 and len({r.sequence_id % 20 for r in got}) == 20
     assert all(r.offset % 300 == 0 and r.offset + 300 <= 2048 for r in got)
+
+
+WHOLE = ["password: Tr0ub4dor&3xyz!Kq9vLm", "secret=abcDEF123~zzQQ99!!kk", "my pwd: Xk9§Lm2Qz8Rt7Wp", "passphrase: correct horse battery staple", 'api_key = "Zt7$mQ2!pLx9~Rb4"', "token: Qw8^Zp3*Lm6%Rt1"]
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_no_tail_of_a_secret_stays(spark, text):
+    words = secrets.dictionary_path()
+    value = text.split("=" if "=" in text else ":", 1)[1].strip(' "')
+    got = secrets.redacted(f"see {text}\nand go on", words=words)
+    assert got == f"see {text}\nand go on".replace(value, "<secret>")
+    base = secrets.base_spans(text)
+    assert {s[:3] for s in base} <= {s[:3] for s in base + secrets.method_spans(text, base, words=words)}
+
+
+def test_values_of_special_characters_are_masked_whole():
+    """Random values over letters, digits and signs that the base pattern stops at, after base and other names."""
+    words, r = secrets.dictionary_path(), random.Random(11)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789&!~§%$#*^é"
+    left = 0
+    for _ in range(400):
+        value = "".join(r.choice(signs) for _ in range(r.randrange(14, 30))) + r.choice("aZ7é")
+        name = r.choice(["password: ", "secret=", "token = ", "pwd: ", "client_secret=", "api_key: "])
+        text = f"set {name}{value} then\n"
+        got = secrets.redacted(text, words=words)
+        base = secrets.base_spans(text)
+        for s, k, e, v in secrets.method_spans(text, base, words=words):
+            assert secrets.guess_cost(text[s:e], words) >= secrets.THRESHOLD and k == 3 and s == v
+        # a sign that begins the next named value ends this one, so the rest is no part of it
+        left += got != f"set {name}<secret> then\n"
+    assert left <= 4
+
+
+@pytest.mark.parametrize("text", ["token=abcdef123456&user=bob&page=2", "password=hunter2x;Server=db.example;Port=5432", "secret: the, and so on"])
+def test_the_next_named_value_is_left_alone(text):
+    got = secrets.redacted(text, words=secrets.dictionary_path())
+    rest = text[text.index(next(c for c in "&;," if c in text)) :]
+    assert got.endswith(rest)
+
+
+def test_prose_of_other_letters_is_no_secret():
+    words = secrets.dictionary_path()
+    for text in ("Passwort: müssen geändert werden", "secret : précieux", "token: überzeugend", "the passphrase: keep it, and never tell anyone of it."):
+        assert secrets.redacted(text, words=words) == text
