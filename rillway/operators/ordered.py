@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
+from rillway.operators.cut import cut
 
 
-#: Rows that one range of an order holds, about.
+#: Rows that one range of an order holds, about; quantiles that bound ranges; most ranges between two quantiles.
 RANGE_ROWS = 200_000
-MOST_RANGES = 1 << 16
+QUANTILES, MOST_BETWEEN = 64, 1 << 10
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -21,34 +22,56 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column)
 
 
-def ranged(df: DataFrame, column: str, log_scale: bool = False) -> tuple[DataFrame, int]:
-    """``df`` with _range, which rises with the column, and the number of ranges.
+def _place(x: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted ``bounds`` lie below x, by halving."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(x <= F.lit(bounds[m]), _place(x, bounds[:m], first)).otherwise(_place(x, bounds[m + 1 :], first + m + 1))
 
-    Ranges are of equal width between the least and the greatest value, as many as the rows ask for; where
-    values have a long tail, of equal width in their logarithm. One aggregate gives all that is needed, and
-    finding a row's range takes the same time however many there are. Nulls come first.
+
+def ranged(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``df`` with _range, which rises with the order, and the number of ranges, about.
+
+    Ranges are bounded by quantiles of the first column, so that far-off values do not crowd the others; where
+    more ranges are asked for than QUANTILES, those between two quantiles are of equal width. A value that holds
+    several quantiles is cut by quantiles of the next column. One aggregate is read at build time, and a second
+    where there is such a value. Nulls come first.
     """
-    x = _position(df, column)
-    low, high, rows = df.agg(F.min(x), F.max(x), F.count("*")).first()
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(MOST_RANGES, max(least, 4 * rows // RANGE_ROWS))
-    if low is None or low == high:
-        return df.withColumn("_range", F.when(x.isNull(), -1).otherwise(0)), ranges
-    if log_scale:
-        at = F.log2(1 + F.greatest(x - F.lit(low), F.lit(0))) / F.log2(1 + F.lit(high) - F.lit(low))
-    else:
-        at = (x - F.lit(low)) / (F.lit(float(high)) - F.lit(float(low)))
-    return df.withColumn("_range", F.when(x.isNull(), -1).otherwise(F.least(F.floor(at * ranges), F.lit(ranges - 1))).cast("int")), ranges
-
-
-def running(df: DataFrame, order: list[str], sums: dict[str, tuple[list[str], Column]], log_scale: bool = False) -> DataFrame:
+    x = _position(df, order[0])
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    rows, cuts, low, high = df.agg(F.count("*"), F.percentile_approx(x, shares, 100 * QUANTILES), F.min(x), F.max(x)).first()
+    if not cuts:
+        return df.withColumn("_range", F.lit(-1)), 1
+    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows // RANGE_ROWS)
+    step = max(1, QUANTILES // wanted)
+    bounds = sorted(set(cuts[step - 1 :: step]))
+    between = min(MOST_BETWEEN, -(-wanted // QUANTILES))
+    at, inner = _place(x, bounds), F.lit(0)
+    if between > 1:
+        edges = F.array(*(F.lit(float(b)) for b in (low, *bounds, high)))
+        left, right = (F.element_at(edges, (at + i).cast("int")) for i in (1, 2))
+        inner = F.when(right <= left, 0).otherwise(F.least(F.floor((x - left) / (right - left) * between), F.lit(between - 1)))
+    slots = between
+    heavy = sorted({c for c in bounds if cuts.count(c) > step})
+    if heavy and len(order) > 1:
+        # a value that holds several quantiles comes last among those up to it, and is cut by the next column
+        y = _position(df, order[1])
+        inside = df.where(x.isin(heavy)).groupBy(x.alias("_x")).agg(F.percentile_approx(y, shares, 100 * QUANTILES).alias("c")).collect()
+        for value, some in inside:
+            inner = F.when(x == F.lit(value), _place(y, sorted(set(some or [])), between)).otherwise(inner)
+        slots = between + QUANTILES
+    return df.withColumn("_range", F.when(x.isNull(), -1).otherwise(at * slots + inner).cast("int")), (len(bounds) + 1) * slots
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, tuple[list[str], Column]]) -> DataFrame:
     """``df`` with running sums in the given order: name -> (columns that part the rows, value), each row's own
     value included.
 
-    Rows are dealt to ranges of the first order column and summed within them; what the ranges before hold
+    Rows are dealt to ranges of the order and summed within them; what the ranges before hold
     is a table of one row per range and part. No task holds a whole part, and all sums share one shuffle.
     """
-    dealt, _ = ranged(df, order[0], log_scale)
+    dealt, _ = ranged(df, order)
     out = dealt
     for name, (by, value) in sums.items():
         per = dealt.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
@@ -140,7 +163,7 @@ def out_of_order(arrivals: DataFrame, partition: str, at: list[str]) -> DataFram
     then over the maxima of the ranges. Redelivered offsets count once, by their first arrival.
     """
     first = arrivals.groupBy(partition, "offset").agg(F.min(F.struct(*at)).alias("at"))
-    dealt, _ = ranged(first, "offset")
+    dealt, _ = ranged(first, ["offset"])
     order = Window.partitionBy("_range", partition).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("_part").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     per = dealt.groupBy(F.col(partition).alias("_part"), F.col("_range").alias("_r")).agg(F.max("at").alias("top")).select("_part", "_r", F.max("top").over(ahead).alias("before"))
@@ -191,11 +214,11 @@ def percentiles(df: DataFrame, key: list[str], value: str, ps: tuple[int, ...] =
     """Nearest-rank percentiles and the usual summary; an empty group has none. A percentile of 0 or less is
     the minimum, one of 100 or more the maximum.
 
-    Equal values are counted before anything is dealt, and ranks are running sums of those counts.
+    Equal values are counted once, before anything is dealt, and ranks are running sums of those counts.
     """
     kind = df.schema[value].dataType.simpleString()
-    counted = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
-    ranked = running(counted, [value], {"_upto": (key, F.col("_n"))}, log_scale=True)
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n")))
+    ranked = running(counted, [value], {"_upto": (key, F.col("_n"))})
     total = counted.groupBy(*(F.col(k).alias(f"_key_{k}") for k in key)).agg(F.sum("_n").alias("_total"))
     same = F.lit(True)
     for k in key:

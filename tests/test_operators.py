@@ -339,3 +339,24 @@ def test_trip_goes_by_way_of_the_origin(spark):
     driven = spark.createDataFrame([(1, 60.0, 60.0, 540.0, 60.0, 540.0, 340.0), (2, 0.0, 0.0, 60.0, 61.0, 61.0, 60.0)], "task_id long, vx double, vy double, ox double, oy double, dx double, dy double")
     got = {r.task_id: (list(r.route), r.cost) for r in traffic.trips(driven, traffic.routes(spark)).collect()}
     assert got == {1: (["A", "B", "C", "F"], 760.0), 2: (["A"], 0.0)}
+
+
+@pytest.mark.parametrize("times", ["outlier", "tied", "even", "nulls"])
+def test_ranges_hold_about_as_much(spark, monkeypatch, times):
+    """One far-off value, or one value that half of the rows have, does not crowd the rows into one range."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 400)
+    at = {"outlier": F.when(F.col("id") == 0, 0).otherwise(10**12 + F.col("id")), "tied": F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")), "even": F.col("id"), "nulls": F.when(F.col("id") % 3 > 0, F.col("id"))}[times]
+    df = spark.range(20_000).select("id", at.cast("long").alias("at")).withColumn("v", F.col("id") % 5)
+    dealt, _ = ordered.ranged(df, ["at", "id"])
+    sizes = [r["count"] for r in dealt.where("at IS NOT NULL").groupBy("_range").count().collect()]
+    assert max(sizes) <= 2.5 * 20_000 / 64
+    got = {r.id: r.s for r in ordered.running(df, ["at", "id"], {"s": ([], F.col("v"))}).collect()}
+    total, rows = 0, sorted(map(tuple, df.select("at", "id", "v").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for _, i, v in rows:
+        total += v
+        assert got[i] == total
+
+
+def test_no_rows_to_range(spark):
+    df = spark.createDataFrame([], "at long, id long")
+    assert ordered.with_sequence(df, ["at", "id"]).count() == 0
