@@ -11,8 +11,8 @@ differ are at most the shingles in which the sets differ, which bounds the overl
 leaves is decided by intersecting the sorted arrays of shingle hashes. Nothing is left to chance but equal
 64-bit hashes of different shingles.
 
-First, in each part of a tile only neighbours in size are compared, and components are formed; then tiles are
-compared whole, but for classes that one component holds already. ``linked_pairs`` compares all of them instead.
+First, each class is paired with the nearest in its block of a few tiles, and components are formed; then all tiles
+are compared whole, but for classes that one component holds already. ``linked_pairs`` compares all of them instead.
 
 Null and blank texts have no shingles and are linked with nothing; a text with fewer words than the width has
 its whole sequence as its one shingle. Rows that repeat an id are judged each by its own text; a row without an
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm import textbytes as tb
@@ -39,9 +39,9 @@ from rillway.llm.store import bounded, settle
 HOT, HOT_MOST = 128, 1 << 18
 #: Classes of a block, fewer where their bitmaps take more than BLOCK_BYTES.
 BLOCK, LEAST_BLOCK, BLOCK_BYTES = 512, 16, 8 << 20
-#: Classes of a tile among which the next in size is compared first.
-PART = 2048
 LEAST_BITS, MOST_BITS = 256, 1 << 20
+#: Tiles in which a class is looked at first, about.
+LOOKS = 4
 
 
 def first_ones(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -154,15 +154,6 @@ def seats(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col:
     return settle(both.select("token", "s.band", "id", "n", "s.guest"))
 
 
-def next_in_size(seated: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each class and the next greater one of its part of a tile."""
-    order = Window.partitionBy("token", "band", "part").orderBy("n", "id")
-    sizes = seated.groupBy("token", "band").agg(F.count("*").alias("all"), F.count_if(~F.col("guest")).alias("own")).where("own > 0 AND all > 1")
-    dealt = seated.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("token", "id"), F.ceil(F.col("all") / PART)))
-    met = dealt.select("id", F.lead("id").over(order).alias("o")).where("o IS NOT NULL AND o <> id")
-    return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-
-
 def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m shingles whose bitmaps differ in so many bits may be linked: they have at most
     (n + m - differ) / 2 shingles in common."""
@@ -177,40 +168,45 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return words
 
 
-def bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bound does not rule out."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+def _block_size(most: Column) -> Column:
+    """How many classes a block may hold, by the size of its greatest set, which bounds that of its bitmap."""
+    return F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.floor(F.lit(4 * BLOCK_BYTES) / F.least(F.greatest(most, F.lit(1)), F.lit(MOST_BITS)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            differ = np.zeros(batch.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                differ[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
-            keep = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ, percent)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+def _mixed(told: DataFrame) -> DataFrame:
+    """(token, band, blocks) of the tiles that hold more than one label."""
+    mixed = told.groupBy("token", "band").agg(F.count("*").alias("all"), F.count_if(~F.col("guest")).alias("own"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("most")).where("own > 0 AND low <> high")
+    return mixed.select("token", "band", F.ceil(F.col("all") / _block_size(F.col("most"))).cast("long").alias("blocks"))
 
 
 def jobs(seated: DataFrame, classes: DataFrame, label: Column) -> DataFrame:
     """(token, band, x, y, block, id, n, guest, label, bits): the seats of every two blocks of every tile that
     holds more than one label. ``seated`` has what ``label`` reads."""
     told = seated.withColumn("label", label)
-    mixed = told.groupBy("token", "band").agg(F.count("*").alias("all"), F.count_if(~F.col("guest")).alias("own"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("most")).where("own > 0 AND low <> high")
-    # the bitmap of the greatest set tells how many classes a block may hold
-    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.floor(F.lit(4 * BLOCK_BYTES) / F.least(F.greatest("most", F.lit(1)), F.lit(MOST_BITS)))))
-    sizes = mixed.select("token", "band", F.ceil(F.col("all") / block).cast("long").alias("blocks"))
-    dealt = told.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = told.join(_mixed(told), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "guest", "label")
+    return _with_bits(dealt, classes)
+
+
+def first_jobs(seated: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """A first look, to form components: a share of the tiles of each band, so that a class has about LOOKS of its
+    own, in blocks that are dealt anew in every tile and stand alone."""
+    firsts = F.exp((F.col("band") + 1) * math.log(100 / percent)) * ((100 - percent) / 100)
+    some = seated.where(~F.col("guest") & (F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), F.floor(firsts / LOOKS))) == 0))
+    told = some.withColumn("label", F.col("id"))
+    dealt = told.join(_mixed(told), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("token", "id"), "blocks"))
+    return _with_bits(dealt.select("token", "band", F.col("block").alias("x"), F.col("block").alias("y"), "block", "id", "n", "guest", "label"), classes)
+
+
+def _with_bits(dealt: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.join(classes.select("id", "n", "bits"), ["id", "n"]).select("token", "band", "x", "y", "block", "id", "n", "guest", "label", "bits")
 
 
-def compared(met: DataFrame, percent: int) -> DataFrame:
+def compared(met: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """(a, b) with a < b: what the bound leaves of the pairs of each job that have different labels and are not
-    both guests. Jobs stream through a task in order, and one is held at a time."""
+    both guests; with ``nearest``, of each class only the pair whose bitmaps differ least. Jobs stream through a
+    task in order, and one is held at a time."""
     key = ["token", "band", "x", "y"]
 
     def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +220,9 @@ def compared(met: DataFrame, percent: int) -> DataFrame:
         for i in left:
             other = right[right > i] if x == y else right
             other = other[(label[other] != label[i]) & ~(guest[other] & guest[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-            near = ids[other[may_link(n[other], n[i], np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64), percent)]]
+            differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            may = np.flatnonzero(may_link(n[other], n[i], differ, percent))
+            near = ids[other[may[[differ[may].argmin()]] if nearest and len(may) else may]]
             a.append(np.minimum(near, ids[i]))
             b.append(np.maximum(near, ids[i]))
         return np.concatenate(a), np.concatenate(b)
@@ -283,7 +281,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         sets = settle(sorted_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, id_col, text_col))
         return settle(confirmed(pairs, sets, percent))
 
-    near = links(settle(bounded_pairs(next_in_size(seated), classes, percent)))
+    near = links(settle(compared(first_jobs(seated, classes, percent), percent, nearest=True)))
     label = components(near)
     told = seated.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id").withColumnRenamed("label", "known")
     left = settle(compared(jobs(settle(told), classes, F.coalesce("known", "id")), percent))
