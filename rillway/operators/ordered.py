@@ -128,9 +128,10 @@ def attempts(failures: DataFrame, key: list[str], order: list[Column], most: int
 
 def redriven(failures: DataFrame, key: list[str], rounds: int = 3, most: int = S.MAX_RETRIES) -> DataFrame:
     """(key..., failures, redrives, recovered): a message that fails beyond its retries is dead; each redrive
-    sends it again under its own id with its attempts back at zero, up to ``rounds`` times."""
+    sends it again under its own id, whose attempts are kept, so that one more failure kills it again, up to
+    ``rounds`` times."""
     n = failures.groupBy(*key).agg(F.count("*").alias("failures")).where(F.col("failures") > most)
-    return n.withColumn("redrives", F.least(F.floor(F.col("failures") / (most + 1)), F.lit(rounds)).cast("long")).withColumn("recovered", F.col("failures") < (rounds + 1) * (most + 1))
+    return n.withColumn("redrives", F.least(F.col("failures") - most, F.lit(rounds)).cast("long")).withColumn("recovered", F.col("failures") <= most + rounds)
 
 
 def crash_recovery(acks: DataFrame, read: int, partition: str = "partition") -> DataFrame:

@@ -16,6 +16,7 @@ from rillway import schemas as S
 from rillway.functions import scalars as fn
 from rillway.functions.dialect import render
 from rillway.operators import dispatch, fsm, kv, liveness, ordered, traffic
+from rillway.sources import io
 from rillway.sources.views import view, with_clause
 from rillway.streaming import jobs
 
@@ -117,7 +118,13 @@ plain("bus_stats", "select topic, count(*) as messages, count(distinct key) as k
 plain("message_trace", "select msg_id, coalesce(case when event_id % 3 = 0 then substr(md5(STR(event_id)), 1, 8) end, '') as trace_id from {messages}")
 
 
-@built("dlq_redrive", "select msg_id, count(*) as failures, B(case when count(*) >= 12 then 3 when count(*) >= 8 then 2 else 1 end) as redrives, count(*) < 16 as recovered from {failures} group by msg_id having count(*) >= 4")
+#: A message is sent again while it is dead, three times at most; its attempts stand at four then, so one failure kills it.
+_REDRIVE = """with recursive f as (select msg_id, count(*) as n from {failures} group by msg_id having count(*) > 3),
+ st(msg_id, round, rest, dead) as (select msg_id, B(0), n - 4, true from f union all select msg_id, round + 1, greatest(rest - 1, 0), rest > 0 from st where dead and round < 3)
+ select f.msg_id, n as failures, max(round) as redrives, not arg_max(dead, round) as recovered from st join f on f.msg_id = st.msg_id group by f.msg_id, n"""
+
+
+@built("dlq_redrive", _REDRIVE, True)
 def _(spark, d):
     return ordered.redriven(view(spark, d, "failures"), ["msg_id"])
 
@@ -270,14 +277,16 @@ def _(spark, d):
 
 @built("verify_replay", _TASKS + ", f as (select subject, arg_max(state, n) as state from st group by subject), g as (select STR(sum(H64(concat(subject, ':', state)))) as fp, count(*) as n from f) select (select count(*) from {journal}) as records, n as subjects, fp as live_fingerprint, fp as replay_fingerprint, true as consistent from g", True)
 def _(spark, d):
-    """The journal is written to lines and read back; the fold of what was read must give the same fingerprint.
-
-    A fingerprint is the sum of the hashes of all subjects' ends, so no order and no gathering is needed."""
-    log = view(spark, d, "journal_lean").select("subject", "rn", "event", "at_ms")
-    back = log.select(F.to_json(F.struct("subject", "rn", "event", "at_ms")).alias("line")).select(F.from_json("line", "subject string, rn long, event string, at_ms long").alias("r")).select("r.*")
+    """The journal is appended to a file of lines and read back from there; the fold of what was read must give the
+    same fingerprint. A fingerprint is the sum of the hashes of all subjects' ends, so no order and no gathering is needed."""
+    log = view(spark, d, "journal")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.PAYLOAD if f.name != "event"]
+    path = jobs.shared(spark, "journal")
+    io.append_journal(log.select("seq", "kind", "subject", "at_ms", F.struct(F.col("event"), *empty).alias("payload"), "trace_id"), path)
+    back = io.read_journal(spark, path).withColumn("event", F.col("payload.event"))
 
     def print_of(rows: DataFrame, name: str) -> DataFrame:
-        ends = fsm.fold_fsm(rows, ["subject"], F.col("rn"), F.col("event"), F.col("at_ms")).select(F.concat("subject", F.lit(":"), "state").alias("t"), F.size("steps").cast("long").alias("k"))
+        ends = fsm.fold_fsm(rows, ["subject"], F.col("seq"), F.col("event"), F.col("at_ms")).select(F.concat("subject", F.lit(":"), "state").alias("t"), F.size("steps").cast("long").alias("k"))
         return ends.agg(F.sum("k").alias("records"), F.count("*").alias("subjects"), F.sum(fn.stable_hash(F.col("t"))).cast("string").alias(name))
 
     live, again = print_of(log, "live_fingerprint"), print_of(back, "replay_fingerprint").select("replay_fingerprint")
@@ -359,7 +368,10 @@ def _(spark, d):
     return out.withColumn("sound", (F.col("lost") == 0) & (F.col("unknown") == 0) & (F.col("repeated") == 0))
 
 
-plain("deadline_events", "select task_id, state as from_state, 'FAIL' as event, B(created_ms + 120000) as at_ms from {tasks_in} where state not in ('COMPLETED', 'FAILED', 'CANCELLED') and 900000000000 > created_ms + 120000")
+#: An overdue task fails now, whatever its deadline was, and its vehicle gives up what it holds and waits for.
+plain("deadline_events", """select t.task_id, t.state as from_state, 'FAIL' as event, B(900000000000) as at_ms, B(t.deadline_ms) as deadline_ms, B(900000000000 - t.deadline_ms) as overdue_ms, coalesce(h.n, 0) + coalesce(r.n, 0) as released
+ from (select *, created_ms + 120000 + 90000 * (1 + task_id % 3) as deadline_ms from {tasks_in}) t left join (select vehicle, count(*) as n from {holders} group by vehicle) h on h.vehicle = t.task_id left join (select vehicle, count(*) as n from {requests} group by vehicle) r on r.vehicle = t.task_id
+ where t.state not in ('COMPLETED', 'FAILED', 'CANCELLED') and 900000000000 > t.deadline_ms""")
 plain("snapshot_brief", "select 'task' as kind, state, count(*) as n from {tasks_in} group by state union all select 'vehicle' as kind, vstate as state, count(*) as n from {vehicles_in} group by vstate")
 plain("no_loss_sets", "select count(*) as missing from (select subject from {journal} where kind = 'task_assigned' except select subject from {journal} where kind = 'task_created') x")
 plain("snapshot_tasks", "select task_id, cust, priority, created_ms, state from {tasks_in}")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.operators import applier, idempotency
-from rillway.plans.catalogue import _KV, _moves, built
+from rillway.operators import admission, applier, compare, fsm, idempotency, yard
+from rillway.plans.catalogue import _KV, _TWO, _moves, built
+from rillway.sources import io
 from rillway.sources.views import VIEWS, view
 from rillway.streaming import jobs, stores
 
@@ -158,3 +159,89 @@ def _(spark, d):
     log = _stream(spark, d, "commands").select("ts", "key", F.col("event_id").alias("order"), "at_ms", "op", "field", "value", "ttl_ms")
     with stores.rocksdb(spark):
         return jobs.drained(stores.expiries(log, SWEEP_MS), "sweep")
+
+
+# admission ----------------------------------------------------------------------------------------------
+LIMIT = 20
+_ADMITTED = f"""with recursive ev as materialized (select *, row_number() over (partition by partition order by seq) as n from {{admission_log}}),
+ st(partition, n, seq, op, level, after) as (select distinct partition, B(0), B(0), '', B(0), B(0) from ev union all
+ select e.partition, e.n, e.seq, e.op, s.after, B(case when e.op = 'publish' then case when s.after >= {LIMIT} then s.after else s.after + 1 end else greatest(s.after - coalesce(e.budget, s.after), 0) end) from st s join ev e on e.partition = s.partition and e.n = s.n + 1)
+ select partition, seq, op, level, op = 'publish' and after = level as refused, after - level as moved from st where n > 0"""
+
+
+@built("admission", _ADMITTED, True)
+def _(spark, d):
+    """A message is refused where the lag has reached the limit; drains have a budget or take all."""
+    out = admission.admitted(view(spark, d, "admission_log"), ["partition"], ["seq"], LIMIT)
+    return out.select("partition", "seq", "op", "level", "refused", "moved")
+
+
+# comparison of journals ---------------------------------------------------------------------------------
+_LINE = """concat('{"seq":', seq, ',"kind":"', kind, '","subject":"', subject, '","at_ms":', at_ms, '}')"""
+
+
+def _tree_sql(journal: str, name: str) -> str:
+    """Two levels, which is what up to 262,144 records need."""
+    return f"""{name}0 as (select B(seq // {compare.LEAF}) as node, min(seq) as low, max(seq) as high, count(*) as records, sha256(string_agg({_LINE}, chr(10) order by seq)) as digest from ({journal}) j group by 1),
+ {name} as (select B(0) as level, * from {name}0 union all select 1, B(node // {compare.FAN}), min(low), max(high), B(sum(records)), sha256(string_agg(concat(node, ':', digest), ',' order by node)) from {name}0 group by 2)"""
+
+
+_COLUMNS = ["seq", "kind", "subject", "at_ms"]
+
+
+@built("journal_merkle", "with " + _tree_sql("select * from {journal}", "t") + " select * from t")
+def _(spark, d):
+    return compare.merkle(view(spark, d, "journal"), _COLUMNS).withColumn("level", F.col("level").cast("long"))
+
+
+#: A copy of the journal in which one record has another time and the last hundred are missing.
+_COPY = "select * replace (case when seq = 700 then at_ms + 1 else at_ms end as at_ms) from {journal} where seq <= (select max(seq) from {journal}) - 100"
+
+
+@built("journal_parting", "with " + _tree_sql("select * from {journal}", "a") + ", " + _tree_sql(_COPY, "b") + """ select level, node, case when a.digest is null then 'right' when b.digest is null then 'left' else 'both' end as side, least(a.low, b.low) as low, greatest(a.high, b.high) as high
+ from a full join b using (level, node) where a.digest is distinct from b.digest""")
+def _(spark, d):
+    """Both journals are stored as lines and read back from there."""
+    log = view(spark, d, "journal").select(*_COLUMNS)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    copy = log.where(F.col("seq") <= last - 100).withColumn("at_ms", F.when(F.col("seq") == 700, F.col("at_ms") + 1).otherwise(F.col("at_ms")))
+    trees = []
+    for name, rows in (("live", log), ("copy", copy)):
+        path = jobs.shared(spark, name)
+        io.append_journal(rows, path)
+        trees.append(compare.merkle(io.read_journal(spark, path), _COLUMNS))
+    return compare.parting(*trees).withColumn("level", F.col("level").cast("long"))
+
+
+def _bodies(spark: SparkSession, d: str) -> list[DataFrame]:
+    """What each subject's life has come to as a tree, from all records and without the failed ones."""
+    log = view(spark, d, "journal_lean")
+    out = []
+    for rows in (log, log.where("event_type <> 'error'")):
+        f = fsm.fold_fsm(rows, ["subject"], F.col("rn"), F.col("event"), F.col("at_ms"))
+        taken = F.filter("steps", lambda x: x["accepted"])
+        tree = F.struct("state", F.struct(F.col("pause_stack").alias("pause"), F.col("queue_stack").alias("queue")).alias("stacks"), F.transform(F.slice(taken, 1, 2), lambda x: F.struct(x["event"].alias("event"), F.array(x["from_state"], x["to_state"]).alias("move"))).alias("first"))
+        out.append(f.select("subject", F.to_json(tree).alias("body")))
+    return out
+
+
+_TREES = ", ".join(f"""{n} as (select s.subject, to_json({{'state': arg_max(state, n), 'stacks': {{'pause': arg_max(ps, n), 'queue': arg_max(qs, n)}}, 'first': coalesce((list({{'event': event, 'move': [from_state, state]}} order by n) filter (n > 0 and accepted))[1:2], [])}}) as body from {st} s group by s.subject)""" for n, st in (("ta", "st"), ("tb", "su")))
+_LEAVES = ", ".join(f"""{n} as (select {b}.subject, replace(j.fullkey, '"', '') as path, case j.type when 'OBJECT' then '{{}}' when 'ARRAY' then '[]' else j.value::varchar end as v from {b}, json_tree({b}.body) j where j.type not in ('OBJECT', 'ARRAY') or j.value::varchar in ('[]', '{{}}'))""" for n, b in (("pa", "ta"), ("pb", "tb")))
+
+
+@built("state_tree_diff", _TWO + ", " + _TREES + ", " + _LEAVES + """ select coalesce(pa.subject, pb.subject) as subject, coalesce(pa.path, pb.path) as path, pa.v as live, pb.v as replay from pa full join pb on pa.subject = pb.subject and pa.path = pb.path where pa.v is distinct from pb.v""", True)
+def _(spark, d):
+    """Leaves of any depth in which the two trees of a subject differ."""
+    diff = compare.tree_diff(*_bodies(spark, d), ["subject"], "body")
+    return diff.select("subject", "path", F.col("left").alias("live"), F.col("right").alias("replay"))
+
+
+# deadlocks ----------------------------------------------------------------------------------------------
+@built("deadlock_regrants")
+def _(spark, d):
+    """Six vehicles to a yard: each holds a place and asks for one or two others; what is freed is granted again."""
+    places = view(spark, d, "customer").select(F.col("c_custkey").alias("resource"), F.lit(1).alias("capacity"))
+    holders = view(spark, d, "customer").select(F.col("c_custkey").alias("resource"), F.col("c_custkey").alias("vehicle"), (1 + F.col("c_custkey") * 7 % 5).alias("priority"))
+    waits = view(spark, d, "yard_waits").where("waiter <> holder")
+    requests = waits.select(F.col("holder").alias("resource"), F.col("waiter").alias("vehicle"), (1 + F.col("waiter") % 5).alias("priority"), (F.col("waiter") % 7).alias("requested_ms"), (F.col("waiter") * 100 + F.col("holder") % 100).alias("seq"))
+    return yard.broken(places, holders, requests)
