@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.operators import applier, idempotency
+from rillway import schemas as S
+from rillway.operators import admission, applier, compare, fsm, idempotency, ordered, yard
 from rillway.operators.kv import apply as kv_apply
 from rillway.operators.kv import GONE
+from rillway.sources import io
 from rillway.streaming import stores
 
 RECORD = "seq long, kind string, task_id string, vehicle_id string, event string, command string, at_ms long"
@@ -125,3 +127,130 @@ def test_idempotency_state_survives_batches(spark, tmp_path):
         got = drained(stores.idempotency(read, 3, 300), tmp_path)
     want = idempotency.run_store(spark.createDataFrame(log, schema), 3, 300).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_admission_equals_a_walk(spark, monkeypatch, seed):
+    """Refusals feed back on the level; many small ranges are composed and walked."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, "a", "b"]), rng.choice(["publish"] * 3 + ["drain"]), rng.choice([0, 1, 2, 9, None])) for i in range(3000)]
+    got = {r.i: (r.level, r.moved, r.refused) for r in admission.admitted(spark.createDataFrame(rows, "i long, p string, op string, budget long"), ["p"], ["i"], 15).collect()}
+    level = {}
+    for i, p, op, budget in rows:
+        x = level.get(p, 0)
+        y = (x if x >= 15 else x + 1) if op == "publish" else max(0, x - (x if budget is None else budget))
+        assert got[i] == (x, y - x, op == "publish" and x >= 15)
+        level[p] = y
+
+
+def test_clamps_compose():
+    rng = random.Random(4)
+    for _ in range(500):
+        steps = [(rng.randrange(-9, 9), *sorted((rng.randrange(-5, 20), rng.randrange(-5, 20)))) for _ in range(6)]
+        whole = steps[0]
+        for s in steps[1:]:
+            whole = admission.composed(whole, s)
+        for x in range(-3, 25):
+            y = x
+            for a, b, c in steps:
+                y = min(max(y + a, b), c)
+            assert y == min(max(x + whole[0], whole[1]), whole[2])
+
+
+def simple_cycles(waits):
+    """All simple cycles of more than one vehicle, by plain search."""
+    out = set()
+
+    def walk(path):
+        for w in waits.get(path[-1], ()):
+            if w == path[0] and len(path) > 1:
+                at = path.index(min(path))
+                out.add(tuple(path[at:] + path[:at]))
+            elif w not in path:
+                walk([*path, w])
+
+    for v in waits:
+        walk([v])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_breaks_with_regrant_equal_one_at_a_time(spark, seed):
+    """Random yards against a walk that recomputes waits, cycles and grants after each break."""
+    rng = random.Random(seed)
+    capacity, holds, asks = {}, [], []
+    for y in range(12):
+        for k in range(5):
+            r = f"{y:02d}-{k}"
+            capacity[r] = rng.choice([1, 1, 2])
+            vs = rng.sample(range(y * 10, y * 10 + 6), 4)
+            n = rng.randint(1, capacity[r])
+            holds += [(r, v, rng.randint(1, 3)) for v in vs[:n]]
+            asks += [(r, v, rng.randint(1, 3), rng.randrange(3), len(asks) + i) for i, v in enumerate(vs[n:])]
+    want = []
+    held, queue = {r: {} for r in capacity}, {r: [] for r in capacity}
+    for r, v, p in holds:
+        held[r][v] = p
+    for r, v, p, at, seq in asks:
+        queue[r].append((v, p, at, seq))
+    while True:
+        waits = {}
+        for r in capacity:
+            if len(held[r]) >= capacity[r]:
+                for v, *_ in queue[r]:
+                    waits.setdefault(v, set()).update(held[r])
+        cycles = simple_cycles(waits)
+        if not cycles:
+            break
+        rank = {v: max([h[v] for h in held.values() if v in h] + [p for q in queue.values() for w, p, *_ in q if w == v] + [0]) for v in cycles[0]}
+        victim = min(cycles[0], key=lambda v: (rank[v], v))
+        want.append((">".join(map(str, cycles[0])), victim, rank[victim]))
+        for r in sorted(capacity):
+            if held[r].pop(victim, None) is not None:
+                queue[r].sort(key=lambda x: (-x[1], x[2], x[3], x[0]))
+                while queue[r] and len(held[r]) < capacity[r]:
+                    v, p, *_ = queue[r].pop(0)
+                    held[r][v] = p
+        for r in capacity:
+            queue[r] = [x for x in queue[r] if x[0] != victim]
+    got = yard.broken(
+        spark.createDataFrame(list(capacity.items()), "resource string, capacity long"), spark.createDataFrame(holds, "resource string, vehicle long, priority long"),
+        spark.createDataFrame(asks, "resource string, vehicle long, priority long, requested_ms long, seq long"),
+    ).collect()
+    assert sorted((r.cycle, r.victim, r.victim_priority) for r in got) == sorted(want) and want
+    tasks = spark.createDataFrame([(v, f"T{v}", v % 2 == 0) for v in range(200)], "vehicle_id long, task_id string, open boolean")
+    breaks = spark.createDataFrame(got)
+    assert {r.task_id for r in yard.requeued(breaks, tasks).collect()} == {f"T{w[1]}" for w in want if w[1] % 2 == 0}
+
+
+def test_merkle_finds_where_journals_part(spark):
+    rows = [(i, f"k{i % 3}", None if i % 5 == 0 else i) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "seq long, kind string, at_ms long")
+    tree = lambda d: compare.merkle(d, ["seq", "kind", "at_ms"], leaf=16, fan=4)
+    shuffled = df.orderBy(F.rand(3)).repartition(7)
+    assert compare.parting(tree(df), tree(shuffled)).count() == 0
+    other = df.where("seq <> 100").withColumn("kind", F.when(F.col("seq") == 300, "z").otherwise(F.col("kind")))
+    got = compare.parting(tree(df), tree(other)).collect()
+    assert {r.node for r in got if r.level == 0} == {100 // 16, 300 // 16} and max(r.level for r in got) == 3 and all(r.side == "both" for r in got)
+    assert tree(df.limit(0)).count() == 0
+    (root,) = tree(df).where("level = 3").collect()
+    assert (root.low, root.high, root.records) == (1, 399, 399)
+
+
+def test_tree_diff_goes_to_the_leaves(spark):
+    left = [(1, '{"a":{"b":[1,{"c":null}]},"d":"x"}'), (2, "[1]"), (3, None), (4, "no json"), (5, "7")]
+    right = [(1, '{"a":{"b":[1,{"c":2}],"n":[]}}'), (2, '{"0":1}'), (3, None), (4, "no json"), (6, "8")]
+    frames = [spark.createDataFrame(x, "id long, j string") for x in (left, right)]
+    got = {(r.id, r.path): (r["left"], r["right"]) for r in compare.tree_diff(*frames, ["id"], "j").collect()}
+    assert got == {(1, "$.a.b[1].c"): ("null", "2"), (1, "$.a.n"): (None, "[]"), (1, "$.d"): ('"x"', None), (2, "$[0]"): ("1", None), (2, "$.0"): (None, "1"), (5, "$"): ("7", None), (6, "$"): (None, "8")}
+
+
+def test_a_changed_record_breaks_the_replay(spark, tmp_path):
+    """What is read back gives the state that was written, and another one once a record differs."""
+    empty = ", ".join(f"null as {f.name}" for f in S.PAYLOAD if f.name != "event")
+    log = spark.createDataFrame([(i, "T1", e) for i, e in enumerate(["ASSIGN", "DISPATCH", "START", "COMPLETE"], 1)], "seq long, subject string, event string")
+    io.append_journal(log.selectExpr("seq", "'task_event' as kind", "subject", "seq as at_ms", f"struct(event, {empty}) as payload", "'' as trace_id"), str(tmp_path / "j"))
+    back = io.read_journal(spark, str(tmp_path / "j")).withColumn("event", F.col("payload.event"))
+    state = lambda d: fsm.fold_fsm(d, ["subject"], F.col("seq"), F.col("event"), F.col("at_ms")).first().state
+    assert state(back) == "COMPLETED" and state(back.withColumn("event", F.when(F.col("seq") == 3, "FAIL").otherwise(F.col("event")))) == "FAILED"
