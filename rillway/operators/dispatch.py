@@ -57,7 +57,8 @@ def plan_greedy(tasks: DataFrame, vehicles: DataFrame, running: DataFrame | None
     assigned, then least id. The first task that finds neither ends the round.
 
     ``running`` has task_id, priority, assigned_ms, preempted, vehicle_id. Sequential by meaning: a round plans
-    at most one task per vehicle, so one task reads the first of these and the fleet. Vehicles are put in order
+    at most one task per vehicle, so one task reads the first of these, the fleet, and of the running tasks, as many
+    as there are vehicles at most, those that would give way first. Vehicles are put in order
     once per place of origin, and a pointer per place skips those taken; no task is paired with all vehicles.
     """
     fleet = vehicles.count()
@@ -67,10 +68,12 @@ def plan_greedy(tasks: DataFrame, vehicles: DataFrame, running: DataFrame | None
     own = vehicles.select(F.when(dispatchable(), "free").when(F.col("online"), "busy").alias("kind"), F.col("vehicle_id").cast("long").alias("id"), none("long"), none("long"), F.col("vx").cast("double"), F.col("vy").cast("double"), F.col("battery").cast("double"), none("long")).where("kind IS NOT NULL")
     every = asks.union(own)
     if running is not None:
-        every = every.union(running.where(F.col("preempted") < most).select(F.lit("running"), F.col("task_id").cast("long"), F.col("priority").cast("long"), F.col("assigned_ms").cast("long"), none("double"), none("double"), none("double"), F.col("vehicle_id").cast("long")))
+        online = vehicles.where("online").select("vehicle_id")
+        able = running.where(F.col("preempted") < most).join(online, "vehicle_id", "left_semi")
+        every = every.union(able.orderBy("priority", F.desc("assigned_ms"), "task_id").limit(fleet).select(F.lit("running"), F.col("task_id").cast("long"), F.col("priority").cast("long"), F.col("assigned_ms").cast("long"), none("double"), none("double"), none("double"), F.col("vehicle_id").cast("long")))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("task", "free", "busy", "running")}
+        rows: dict[str, list] = {k: [] for k in ("task", "free", "busy", "running")}
         for r in table.to_pylist():
             rows[r["kind"]].append(r)
         at = {v["id"]: v for v in (*rows["free"], *rows["busy"])}
@@ -86,7 +89,7 @@ def plan_greedy(tasks: DataFrame, vehicles: DataFrame, running: DataFrame | None
             if vehicle is None and t["priority"] >= S.PREEMPT_FROM and left and left[0]["priority"] < t["priority"]:
                 victim, idle = left.pop(0), 0.0
                 vehicle = at[victim["vehicle"]]
-                idle = S.WEIGHTS["idle"] if vehicle in rows["free"] else 0.0
+                idle = S.WEIGHTS["idle"] if vehicle["kind"] == "free" else 0.0
             if vehicle is None:
                 break
             taken.add(vehicle["id"])

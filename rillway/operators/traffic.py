@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rillway import schemas as S
 from rillway.functions.scalars import rotated
 from rillway.operators.cut import cut
-from rillway.operators.ordered import placed
+from rillway.operators.ordered import placed, running
 
 
 def ranked(requests: DataFrame) -> DataFrame:
@@ -63,60 +63,104 @@ def fold_requests(log: DataFrame, resources: DataFrame) -> DataFrame:
     queue as well; either lets the next in. The log streams through in order, one resource after another, and
     only the holders and the queue of one resource are held, so its length does not matter.
     """
-    rows = for_all(log).join(resources.select("resource", "capacity"), "resource").select("resource", "at_ms", "id", "op", "vehicle", "priority", "capacity")
     names = [f.split()[0] for f in OUTCOME.split(", ")]
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.int64()] * 5
 
+    def ends(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
-        holders: set[int] = set()
-        queue: list[tuple] = []
-        n = dict.fromkeys(names[3:], 0)
+        now, place = None, _Place()
+        for batch in batches:
+            out = []
+            for resource, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if resource != now:
+                    if now is not None:
+                        out.append((now, *place.row()))
+                    now, place = resource, _Place()
+                place.apply(*event)
+            yield ends(out)
+        if now is not None:
+            yield ends([(now, *place.row())])
+
+    return _by_resource(log, resources).mapInArrow(run, OUTCOME)
+
+
+class _Place:
+    """Holders and queue of one resource; a queue's entries sort by rank, the vehicle last."""
+
+    def __init__(self) -> None:
+        self.holders, self.queue = set(), []
+        self.n = dict.fromkeys(("requests", "grants", "blocks", "conflicts", "releases"), 0)
+
+    def admit(self, capacity: int) -> None:
+        while self.queue and len(self.holders) < capacity:
+            self.holders.add(self.queue.pop(0)[-1])
+            self.n["grants"] += 1
+
+    def apply(self, at_ms: int, ident: int, op: str, vehicle: int, priority: int, capacity: int) -> bool:
+        """Handles one event; was it a request that is blocked?"""
+        if op == "request":
+            self.n["requests"] += 1
+            if vehicle in self.holders:
+                return False
+            old = next((w for w in self.queue if w[-1] == vehicle), None)
+            if old:
+                self.queue.remove(old)
+            insort(self.queue, (-priority, *(old[1:3] if old else (at_ms, ident)), vehicle))
+            self.admit(capacity)
+            if vehicle in self.holders:
+                return False
+            self.n["blocks"] += 1
+            self.n["conflicts"] += bool(self.holders)
+            return True
+        held, waited = vehicle in self.holders, False
+        if held:
+            self.holders.remove(vehicle)
+            self.n["releases"] += 1
+        if op == "release_resource":
+            waited = any(w[-1] == vehicle for w in self.queue)
+            self.queue = [w for w in self.queue if w[-1] != vehicle]
+        if held or waited:
+            self.admit(capacity)
+        return False
+
+    def row(self) -> tuple:
+        return (sorted(self.holders), [w[-1] for w in self.queue], *self.n.values())
+
+
+def _by_resource(log: DataFrame, resources: DataFrame) -> DataFrame:
+    rows = for_all(log).join(resources.select("resource", "capacity"), "resource").select("resource", "at_ms", "id", "op", "vehicle", "priority", "capacity")
+    return rows.repartition("resource").sortWithinPartitions("resource", "at_ms", "id")
 
-        def close() -> None:
-            if now is not None:
-                out.append((now, sorted(holders), [w[-1] for w in queue], *n.values()))
 
-        def admit(capacity: int) -> None:
-            while queue and len(holders) < capacity:
-                holders.add(queue.pop(0)[-1])
-                n["grants"] += 1
+def queue_changes(log: DataFrame, resources: DataFrame) -> DataFrame:
+    """(resource, at_ms, id, depth, change, blocked) per event of ``fold_requests`` that changes its queue or blocks:
+    the depth of the queue after it, by how much it changed, and whether the event is a request that is blocked."""
+    names = ["resource", "at_ms", "id", "depth", "change", "blocked"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place = None, _Place()
         for batch in batches:
-            for resource, at_ms, ident, op, vehicle, priority, capacity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = []
+            for resource, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if resource != now:
-                    close()
-                    now, holders, queue, n = resource, set(), [], dict.fromkeys(names[3:], 0)
-                if op == "request":
-                    n["requests"] += 1
-                    if vehicle in holders:
-                        continue
-                    old = next((w for w in queue if w[-1] == vehicle), None)
-                    if old:
-                        queue.remove(old)
-                    insort(queue, (-priority, *(old[1:3] if old else (at_ms, ident)), vehicle))
-                    admit(capacity)
-                    if vehicle not in holders:
-                        n["blocks"] += 1
-                        n["conflicts"] += bool(holders)
-                    continue
-                held, waited = vehicle in holders, False
-                if held:
-                    holders.remove(vehicle)
-                    n["releases"] += 1
-                if op == "release_resource":
-                    waited = any(w[-1] == vehicle for w in queue)
-                    queue = [w for w in queue if w[-1] != vehicle]
-                if held or waited:
-                    admit(capacity)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    return rows.repartition("resource").sortWithinPartitions("resource", "at_ms", "id").mapInArrow(run, OUTCOME)
+                    now, place = resource, _Place()
+                before = len(place.queue)
+                blocked = place.apply(*event)
+                if blocked or len(place.queue) != before:
+                    out.append((resource, event[0], event[1], len(place.queue), len(place.queue) - before, blocked))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == "blocked" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
+
+    return _by_resource(log, resources).mapInArrow(run, "resource long, at_ms long, id long, depth long, change long, blocked boolean")
+
+
+def pressure(log: DataFrame, resources: DataFrame) -> DataFrame:
+    """``queue_changes`` with waiting, how many wait at all resources together after each event. What is seen
+    whenever a request is blocked has its maxima in the deepest queue and the most that wait."""
+    return running(cut(queue_changes(log, resources)), ["at_ms", "id", "resource"], {"waiting": ([], F.col("change"))})
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -135,12 +179,16 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
-    Ends of chains are trimmed off as long as that pays, then nodes that do not reach themselves are dropped
-    by squaring the reachability relation, which takes as many rounds as the longest wait has bits. Paths then
+    Ends of chains are trimmed off as long as that pays. Where everyone waits for one vehicle at most, those on a
+    cycle are where all waits lead in as many steps as there are vehicles, found by doubling the steps; else nodes
+    that do not reach themselves are dropped by squaring the reachability relation. Paths then
     grow from the least node of a cycle only, until none is left; a path repeats no node, so the nodes bound
     the rounds.
     """
     edges = trimmed(cut(edges.where("waiter <> holder").distinct()))
+    single = edges.groupBy("waiter").count().where("count > 1").isEmpty()
+    if single:
+        return single_cycles(edges)
     reach, n = edges, edges.count()
     while n:
         hop = reach.alias("p").join(reach.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder")
@@ -162,6 +210,30 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.select(rotated(F.col("path")).alias("cycle")).distinct()
 
 
+def single_cycles(edges: DataFrame) -> DataFrame:
+    """``cycles`` where no waiter has two holders: a row per vehicle in each of log2 rounds."""
+    leads, steps, n = edges, 1, edges.count()
+    while steps < n:
+        # who waits for nobody ends a walk; whoever leads there is on no cycle
+        leads = cut(leads.alias("p").join(leads.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder"))
+        steps *= 2
+    on = cut(leads.select(F.col("holder").alias("waiter")).distinct().join(edges, "waiter"))
+    # the least vehicle of each cycle, then its members by their distance from there
+    least, steps, n = on.withColumn("low", F.least("waiter", "holder")), 1, on.count()
+    while steps < n:
+        least = cut(least.alias("p").join(least.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder", F.least("p.low", "q.low").alias("low")))
+        steps *= 2
+    # steps to the least vehicle, by doubling: whoever has reached it stays there
+    far = on.join(least.select("waiter", "low"), "waiter").select("waiter", F.when(F.col("waiter") == F.col("low"), F.col("waiter")).otherwise(F.col("holder")).alias("to"), "low", F.when(F.col("waiter") == F.col("low"), 0).otherwise(1).cast("long").alias("d"))
+    steps = 1
+    while steps < n:
+        far = cut(far.alias("p").join(far.alias("q"), F.col("p.to") == F.col("q.waiter")).select("p.waiter", "q.to", "p.low", (F.col("p.d") + F.col("q.d")).alias("d")))
+        steps *= 2
+    members = F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "waiter")))
+    rest = F.transform(F.filter(members, lambda x: x["d"] < 0), lambda x: x["waiter"])
+    return far.groupBy("low").agg(F.concat(F.array("low"), rest).alias("cycle")).select("cycle")
+
+
 def victim(cycle: Column, priority: Column) -> Column:
     """Of a cycle the vehicle of least priority, then least id; ``priority`` is a map by vehicle."""
     return F.array_min(F.transform(cycle, lambda v: F.struct(F.coalesce(priority[v], F.lit(0)).alias("p"), v.alias("v"))))["v"]

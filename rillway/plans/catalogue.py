@@ -375,7 +375,11 @@ plain("deadline_events", """select t.task_id, t.state as from_state, 'FAIL' as e
 plain("snapshot_brief", "select 'task' as kind, state, count(*) as n from {tasks_in} group by state union all select 'vehicle' as kind, vstate as state, count(*) as n from {vehicles_in} group by vstate")
 plain("no_loss_sets", "select count(*) as missing from (select subject from {journal} where kind = 'task_assigned' except select subject from {journal} where kind = 'task_created') x")
 plain("snapshot_tasks", "select task_id, cust, priority, created_ms, state from {tasks_in}")
-plain("full_fingerprint", "select hub, SHA(concat('[', LAGG(concat('[', vehicle_id, ',\"', vstate, '\",', case when online then 'true' else 'false' end, ',', B(round(vx * 1000)), ',', B(round(battery * 100)), ']'), ',', vehicle_id), ']')) as fingerprint, count(*) as n from (select *, vehicle_id % 6 as hub from {vehicles_in}) v group by hub")
+#: A sum of hashes needs no order and no gathering: vehicles with what they carry, and tasks with their ends.
+plain("full_fingerprint", """select part, hub, STR(sum(H64(line))) as fingerprint, count(*) as n from (
+ select 'vehicle' as part, v.vehicle_id % 6 as hub, concat('[', v.vehicle_id, ',"', vstate, '",', case when online then 'true' else 'false' end, ',', B(round(vx * 1000)), ',', B(round(vy * 1000)), ',', B(round(battery * 100)), ',', coalesce(STR(p.task_id), ''), ']') as line
+ from {vehicles_in} v left join (select cust % 97 + 1 as vid, min(task_id) as task_id from {tasks_in} where state = 'EXECUTING' group by 1) p on p.vid = v.vehicle_id
+ union all select 'task', cust % 6, concat('[', task_id, ',"', state, '",', priority, ',', created_ms, ',', case when state = 'EXECUTING' then STR(cust % 97 + 1) else '' end, ']') from {tasks_in}) l group by part, hub""")
 plain("hub_vehicle_scores", "select ox, oy, vehicle_id, round(50.0 + 0.5 * battery - sqrt((vx - ox) * (vx - ox) + (vy - oy) * (vy - oy)), 6) as score from (select distinct ox, oy from {tasks_in}) o cross join {vehicles_in} v where online and vstate = 'IDLE' and battery >= 20")
 plain("task_of_vehicle", "select v.vehicle_id, min(t.task_id) as task_id from {vehicles_in} v join (select task_id, cust % 97 + 1 as vid from {tasks_in} where state = 'EXECUTING') t on t.vid = v.vehicle_id where v.online group by v.vehicle_id")
 
@@ -535,7 +539,20 @@ def _(spark, d):
 plain("nearest_hub", f"select vehicle_id, hub from (select v.vehicle_id, h.hub, row_number() over (partition by v.vehicle_id order by (v.vx - h.x) * (v.vx - h.x) + (v.vy - h.y) * (v.vy - h.y), h.hub) as rn from {{vehicles_in}} v cross join {_HUBS}) n where rn = 1")
 plain("contended_union", "select distinct vehicle, resource from (select vehicle, resource from {holders} union select vehicle, resource from {requests}) u where resource <> 3")
 plain("blocked_on", "select vehicle, count(*) as n, min(resource) as first from {requests} group by vehicle")
-plain("queue_depth_peak", "select B(max(n)) as deepest, count(*) as contended, B(sum(n)) as waiting from (select resource, count(*) as n from {requests} group by resource) q")
+#: What is seen whenever a request is blocked: its own queue, which is the one that grew, and all that wait.
+_PEAKS = _REQUESTS[: _REQUESTS.rindex(" select resource, array_to_string")] + """, ch as (select s.resource, e.at_ms, e.id, len(s.q) as depth, len(s.q) - lag(len(s.q), 1, 0) over (partition by s.resource order by s.n) as change, s.blocks > lag(s.blocks, 1, 0) over (partition by s.resource order by s.n) as blocked from st s join ev e on e.resource = s.resource and e.n = s.n where s.n > 0),
+ su as (select *, sum(change) over (order by at_ms, id, resource rows unbounded preceding) as waiting from ch)
+ select B(max(depth) filter (blocked)) as deepest, B(max(waiting) filter (blocked)) as most_waiting, B(count_if(blocked)) as blocks from su"""
+
+
+@built("queue_depth_peak", _PEAKS, True)
+def _(spark, d):
+    log = view(spark, d, "traffic_log")
+    capacity = log.select("resource").distinct().withColumn("capacity", 1 + F.col("resource") % 3)
+    seen = traffic.pressure(log, capacity).where("blocked")
+    return seen.agg(F.max("depth").alias("deepest"), F.max("waiting").alias("most_waiting"), F.count("*").alias("blocks"))
+
+
 plain("holder_priority", "select vehicle, max(priority) as priority from (select vehicle, priority from {holders} union all select vehicle, priority from {requests}) p group by vehicle")
 plain("traffic_snapshot", "select resource, LAGG(STR(vehicle), ',', vehicle) as held_by, count(*) as n from {holders} group by resource")
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.operators import admission, applier, compare, fsm, idempotency, yard
+from rillway.operators import admission, applier, compare, fsm, idempotency, kv, yard
 from rillway.plans.catalogue import _KV, _TWO, _moves, built
 from rillway.sources import io
 from rillway.sources.views import VIEWS, view
-from rillway.streaming import jobs, stores
+from rillway.streaming import collectors, jobs, stores
 
 # applier ------------------------------------------------------------------------------------------------
 _V_OF = " ".join(f"when '{k}' then '{v}'" for k, v in S.TASK_TO_VEHICLE.items() if k != "ASSIGN")
@@ -245,3 +245,25 @@ def _(spark, d):
     waits = view(spark, d, "yard_waits").where("waiter <> holder")
     requests = waits.select(F.col("holder").alias("resource"), F.col("waiter").alias("vehicle"), (1 + F.col("waiter") % 5).alias("priority"), (F.col("waiter") % 7).alias("requested_ms"), (F.col("waiter") * 100 + F.col("holder") % 100).alias("seq"))
     return yard.broken(places, holders, requests)
+
+
+# collectors, dumps --------------------------------------------------------------------------------------
+@built("stream_collectors", "select count(*) as applied, B(count_if(event_type = 'error')) as failed, max(event_id) as last from {events}")
+def _(spark, d):
+    """Counters that are taken while a stream is applied, summed over its micro-batches."""
+    counters = {"applied": F.count("*"), "failed": F.count_if(F.col("event_type") == "error"), "last": F.max("event_id")}
+    _, seen = collectors.collected(jobs.source(spark, d).select("event_id", "event_type"), counters, "collectors")
+    return seen.agg(F.sum("applied").alias("applied"), F.sum("failed").alias("failed"), F.max("last").alias("last"))
+
+
+NOW_MS = 1_706_000_000_000
+
+
+@built("store_dump_restore", _KV + f""", f as (select key, arg_max(present, n) as present, arg_max(coalesce(val, ''), n) as val, arg_max(coalesce(exp, -1), n) as exp from st group by key)
+ select key, 'string' as kind, val as value, B(case when exp >= 0 then 0 + ceil((exp - {NOW_MS}) / 1000.0) * 1000 end) as expires_ms from f where present and (exp = -1 or exp > {NOW_MS})""", True)
+def _(spark, d):
+    """The store is dumped as documents with whole seconds and restored under a clock that begins at 0."""
+    log = view(spark, d, "commands").select("key", F.col("seq").alias("order"), "at_ms", "op", "field", "value", "ttl_ms")
+    path = jobs.shared(spark, "dump")
+    io.dump_store(kv.final_entries(kv.run_commands(log)), path, NOW_MS, "redis", "fleet:", documents=4)
+    return io.load_store(spark, path, 0, "fleet:").select("key", "kind", "value", "expires_ms")

@@ -71,6 +71,45 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: A line of a store's dump, and the documents that other programs write: the same entries in one array.
+ENTRY = "key string, kind string, value string, fields map<string,string>, ttl double"
+BACKENDS = ("memory", "redis")
+
+
+def dump_store(entries: DataFrame, path: str, at_ms: int, backend: str = "memory", prefix: str = "", documents: int | None = None) -> None:
+    """Writes the live ``entries`` (key, kind, value, fields, expires_ms) of a store as JSON: one line per entry, or
+    with ``documents`` so many documents that hold an array of entries each.
+
+    ttl is what is left at ``at_ms`` in seconds, null for ever; the redis backend has whole seconds, rounded up. Keys
+    carry the prefix of their name space."""
+    if backend not in BACKENDS:
+        raise ValueError(f"no backend {backend!r}")
+    left = (F.col("expires_ms") - at_ms) / 1000.0
+    ttl = F.ceil(left).cast("double") if backend == "redis" else left
+    live = entries.where(F.col("kind").isNotNull() & (F.col("expires_ms").isNull() | (F.col("expires_ms") > at_ms)))
+    rows = live.select(F.lit(at_ms).cast("long").alias("at_ms"), F.lit(backend).alias("backend"), F.concat(F.lit(prefix), "key").alias("key"), "kind", F.when(F.col("kind") == "string", F.col("value")).alias("value"), F.when(F.col("kind") == "hash", F.col("fields")).alias("fields"), ttl.alias("ttl"))
+    if documents:
+        entry = F.struct("key", "kind", "value", "fields", "ttl")
+        part = F.pmod(F.xxhash64("key"), F.lit(documents))
+        rows = rows.groupBy("at_ms", "backend", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("key", entry.alias("e")).alias("x")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("s"))
+        rows = rows.select("at_ms", "backend", F.transform("s", lambda x: x["e"]).alias("entries"))
+    rows.write.mode("overwrite").json(path)
+
+
+def load_store(spark: SparkSession, path: str, now_ms: int, prefix: str = "", kind: str | None = None) -> DataFrame:
+    """(key, kind, value, fields, expires_ms) of a dump of either shape and backend, its times counted from ``now_ms``.
+
+    Only keys of the prefix are read, without it, and only one kind where it is named; of a dump by lines those
+    conditions are left to the reader of the lines. Entries that had no time left are gone."""
+    rows = spark.read.schema(f"at_ms long, backend string, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>, {ENTRY}").json(path)
+    wanted = F.col("key").startswith(prefix) & (F.lit(True) if kind is None else F.col("kind") == kind)
+    lines = rows.where(F.col("entries").isNull() & F.col("key").isNotNull() & wanted).select("key", "kind", "value", "fields", "ttl")
+    inner = rows.where(F.col("entries").isNotNull()).select(F.inline("entries")).where(wanted)
+    every = lines.unionByName(inner).where("ttl IS NULL OR ttl > 0")
+    expires = F.round(now_ms + 1000 * F.col("ttl")).cast("long")
+    return every.select(F.substring("key", len(prefix) + 1, 1 << 30).alias("key"), "kind", "value", "fields", expires.alias("expires_ms"))
+
+
 def level_filtered(log: DataFrame, least: str) -> DataFrame:
     rank = {"DEBUG": 0, "INFO": 1, "WARNING": 2, "ERROR": 3, "CRITICAL": 4}
     order = F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))

@@ -31,7 +31,7 @@ VIEWS = {
         from (select s_suppkey as vehicle_id, s_suppkey % 6 as h, s_acctbal as bal, s_nationkey as nation from {{supplier}}) s""",
     "resources": "select distinct l_suppkey % 26 as resource, 1 + (l_suppkey % 26) % 3 as capacity from {lineitem}",
     "holders": """select resource, vehicle, priority from (select l_suppkey % 26 as resource, l_orderkey as vehicle, max(1 + l_linenumber % 5) as priority, row_number() over (partition by l_suppkey % 26 order by l_orderkey) as rn
-        from {lineitem} where l_linestatus = 'F' group by l_suppkey % 26, l_orderkey) h where rn <= 1 + resource % 3 - case when resource % 4 = 0 then 1 else 0 end""",
+        from {lineitem} where l_linestatus = 'F' group by l_suppkey % 26, l_orderkey) h where rn <= 3 and rn <= 1 + resource % 3 - case when resource % 4 = 0 then 1 else 0 end""",
     "failures": "select msg_id, key, 2 * seq + 20 * k as arrival from {messages} cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19)) as t(k) where failed and k <= event_id % 20",
     "requests": """select l_suppkey % 26 as resource, l_orderkey as vehicle, max(1 + l_linenumber % 5) as priority, min(MS(l_shipdate)) as requested_ms, min(l_orderkey * 10 + l_linenumber) as seq
         from {lineitem} where l_linestatus = 'O' group by l_suppkey % 26, l_orderkey""",
