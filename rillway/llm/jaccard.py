@@ -15,8 +15,8 @@ First, each class is paired with the nearest in its block of a few tiles, and co
 are compared whole, but for classes that one component holds already. ``linked_pairs`` compares all of them instead.
 
 Null and blank texts have no shingles and are linked with nothing; a text with fewer words than the width has
-its whole sequence as its one shingle. Rows that repeat an id are judged each by its own text; a row without an
-id is linked with nothing and has no component. Other columns are not read. An empty table gives no rows.
+its whole sequence as its one shingle. Rows that repeat an id are one document, whose texts share its component,
+but for those without shingles; a row without an id is linked with nothing and has no component. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -261,6 +261,17 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     return sketched, settle(named.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("band").alias("band"), F.first("bits").alias("bits"), F.first("first").alias("first")))
 
 
+def _one_document(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes of different sets that rows of one id have; most tables have none."""
+    sets = ["n", "set_a", "set_b"]
+    told = sketched.where("doc_id IS NOT NULL AND n > 0").select("doc_id", *sets).distinct()
+    several = settle(told.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    named = told.join(several, "doc_id").join(classes.select(*sets, "id"), sets)
+    return named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+
+
 def linked_pairs(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a, b) with a < b, all links between distinct sets, each named by its least id; and (doc_id, class_id),
     which says whose set a row has. Copies are not expanded into pairs."""
@@ -282,7 +293,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         return settle(confirmed(pairs, sets, percent))
 
     near = links(settle(compared(first_jobs(seated, classes, percent), percent, nearest=True)))
-    label = components(near)
+    label = components(near.unionByName(_one_document(sketched, classes)))
     told = seated.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id").withColumnRenamed("label", "known")
     left = settle(compared(jobs(settle(told), classes, F.coalesce("known", "id")), percent))
     if not left.isEmpty():
