@@ -2,10 +2,11 @@
 
 The index is a list of immutable runs: tables bucketed by fingerprint and sorted within buckets, one per
 batch added. A batch is combined within itself, written as the next run, and merge-joined with every
-earlier run bucket by bucket, without shuffling history. Fingerprints met again are compared: equal
-contexts under equal fingerprints (128 bits together) are repeats throughout, others are verified word by
-word against the documents. When a level holds ``fan_in`` runs they are compacted into one run of the next
-level.
+earlier run bucket by bucket; of history only what a batch meets again is shuffled. Fingerprints met again are
+compared: equal contexts under equal fingerprints (128 bits together) are repeats throughout, others are
+verified against the documents, word by word on 64-bit hashes of the words. When a level holds ``fan_in`` runs
+they are compacted into one run of the next level. ``dedup`` compacts before its last batch and adds that to the
+index as it is opened again from its folder, as a later load would.
 """
 
 from __future__ import annotations
@@ -179,16 +180,21 @@ def cut_words(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest per row of the words left of each whole text, its documents added in batches of rising ids.
 
     A null text has no words. Rows that repeat an id must repeat its text and count as one document; a row
     without an id is compared with nothing and keeps everything.
     """
     picked = rp.keyed(docs, id_col, text_col)
+    *early, last = batches_by_id(picked, batches)
     index = FingerprintIndex(picked.sparkSession, width, gram)
     try:
-        cuts, wanted = zip(*map(index.add, batches_by_id(picked, batches)), strict=True)
+        found = [index.add(b) for b in early]
+        if early:
+            index.close()
+            index = FingerprintIndex(picked.sparkSession, root=index.root)
+        cuts, wanted = zip(*found, index.add(last), strict=True)
     finally:
         index.drop()
     wanted = reduce(DataFrame.unionByName, wanted).distinct()

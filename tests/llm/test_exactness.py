@@ -353,9 +353,10 @@ def test_registered_entries_run(spark, tmp_path, name):
         spark.createDataFrame(rows[keep], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{part}/documents.parquet")
         spark.createDataFrame([(i, i % 2, 0) for i in range(30)][keep], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
         spark.createDataFrame([(1, "u", html), (2, None, None)][keep], "page_id long, url string, html string").write.parquet(f"{tmp_path}/{part}/pages.parquet")
+        spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"so {t}.") for c in range(3) for t in range(4)][keep], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{part}/conversations.parquet")
     got = queries.QUERIES[name](spark, f"{tmp_path}/full")
-    want = {"op3_html_extraction": 2}.get(name, len(rows))
-    assert got.count() >= want if name in ("op8_packing",) else got.count() == want if name != "pipeline" else got.count() > 0
+    want = {"op3_html_extraction": 2, "op11_conversation_repair": 3}.get(name, len(rows))
+    assert got.count() >= want if name in ("op8_packing", "op12_source_divergence") else got.count() == want if name != "pipeline" else got.count() > 0
     assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
 
 
