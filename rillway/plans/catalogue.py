@@ -16,7 +16,7 @@ from rillway import schemas as S
 from rillway.functions import scalars as fn
 from rillway.functions.dialect import render
 from rillway.operators import dispatch, fsm, kv, liveness, ordered, traffic
-from rillway.sources import io
+from rillway.sources import generate, io
 from rillway.sources.views import view, with_clause
 from rillway.streaming import jobs
 
@@ -691,8 +691,33 @@ def _(spark, d):
 plain("idempotency_eviction", "select msg_id, arrival from (select msg_id, max(arrival) as arrival, row_number() over (order by max(arrival) desc, msg_id) as rn from {deliveries} where not failed group by msg_id) e where rn <= 500")
 
 # faults, scenarios ---------------------------------------------------------------------------------------
-plain("fault_perturb", "select partition, B(count_if(H64(msg_id) % 100 < 50)) as duplicated, B(count_if(H64(msg_id) % 100 >= 80)) as dropped, count(*) as n from {messages} group by partition")
-plain("fault_counts", "select case when event_id % 40 = 0 then 'crash' when event_id % 10 = 0 then 'timeout' when event_id % 7 = 0 then 'duplicate' else 'none' end as fault, count(*) as n from {messages} group by 1")
+#: The draws of the fault plan: a stable hash of the seed, the values and what is drawn.
+_DRAW = lambda what: f"D(H64(concat('7:', {what})) % 1099511627776) / D(1099511627776)"
+_FAULTS = f"""with c as (select partition, off, msg_id, copy from {{messages}} cross join (values (0), (1)) as t(copy) where copy = 0 or {_DRAW("msg_id, ':dup'")} < 0.3),
+ f as (select *, {_DRAW("msg_id, ':', copy, ':drop'")} < 0.2 as dropped, B(floor({_DRAW("msg_id, ':', copy, ':late'")} * 4)) as late, msg_id like '%-7' or {_DRAW("msg_id, ':', copy + 1")} < 0.1 as fails from c)"""
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of the log under the fault plan; each copy is an attempt."""
+    messages = view(spark, d, "messages").select("partition", F.col("off").alias("offset"), "msg_id")
+    return generate.perturbed(messages, 7, duplicate=0.3, drop=0.2, window=4).withColumn("attempt", F.col("copy") + 1)
+
+
+@built("fault_perturb", _FAULTS + " select partition, B(count_if(not dropped)) as delivered, B(count_if(not dropped and copy = 1)) as duplicated, B(count_if(not dropped and late > 0)) as late, B(sum(case when not dropped then off + late end)) as arrivals from f group by partition")
+def _(spark, d):
+    return _delivered(spark, d).groupBy("partition").agg(F.count("*").alias("delivered"), F.count_if(F.col("copy") == 1).alias("duplicated"), F.count_if(F.col("arrival") > F.col("offset")).alias("late"), F.sum("arrival").alias("arrivals"))
+
+
+@built("fault_counts", _FAULTS + """ select fault, count(*) as n, min(msg_id) as first from (select msg_id, unnest([case when copy = 1 and not dropped then 'duplicate' end, case when late > 0 and not dropped then 'late' end, case when msg_id like '%-7' and not dropped then 'poison' when fails and not dropped then 'failure' end]) as fault from f) x where fault is not null group by fault""")
+def _(spark, d):
+    """How often each injected fault fired, and the least id that it hit."""
+    got = _delivered(spark, d)
+    poison = [r.msg_id for r in got.where("msg_id LIKE '%-7'").select("msg_id").distinct().limit(100).collect()]
+    fails = generate.failing(got, 7, 0.1, poison)
+    fired = F.array_compact(F.array(F.when(F.col("copy") == 1, "duplicate"), F.when(F.col("arrival") > F.col("offset"), "late"), F.when(F.col("msg_id").isin(poison), "poison").when(fails, "failure")))
+    return got.select("msg_id", F.explode(fired).alias("fault")).groupBy("fault").agg(F.count("*").alias("n"), F.min("msg_id").alias("first"))
+
+
 plain("scenario_headline", "select event_type as scenario, count(*) as events, B(max(seq)) as head, count(distinct subject) as subjects, round(avg(value), 3) as mean from {journal} group by event_type")
 plain("event_samples", "select event_type as scenario, LAGG(concat(kind, '=', n), ',', kind) as kinds from (select event_type, kind, count(*) as n from {journal} group by event_type, kind) k group by event_type")
 

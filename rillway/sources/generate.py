@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.functions.scalars import padded_id
+from rillway.functions.scalars import padded_id, stable_hash
 
 #: Shares of the priorities 1 to 5, in hundredths.
 PRIORITY_SHARES = (10, 45, 25, 15, 5)
 
 
 def draw(seed: int, *what: Column | str) -> Column:
-    """Uniform in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """Uniform in [0, 1): the stable hash of the seed and the values, which other engines can work out as well."""
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(w).cast("string") if isinstance(w, str) else w.cast("string") for w in what))
+    return (stable_hash(name) % F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
 
 
 def fleet(spark: SparkSession, count: int) -> DataFrame:
