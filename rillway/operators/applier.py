@@ -74,6 +74,24 @@ def task_steps(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.explode("steps").alias("x")).select("task_id", "x.*")
 
 
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """One row per task that is there, with its times and what they come to.
+
+    assigned_ms is that of the latest assignment, started_ms of the first START, finished_ms of the latest end, 0
+    where there was none; dispatch_ms, cycle_ms and service_ms are null where one of their ends is 0. transitions
+    counts what the task's states accepted."""
+    moved = lambda *e: F.filter("steps", lambda x: x["accepted"] & x["event"].isin(*e))
+    at = lambda steps, i: F.coalesce(F.try_element_at(steps, F.lit(i))["at_ms"], F.lit(0))
+    made = F.filter("steps", lambda x: (x["kind"] == "task_created") & x["accepted"])
+    taken = F.filter("steps", lambda x: x["accepted"] & (x["kind"] != "task_created"))
+    rows = tasks.where("present").select(
+        "task_id", "state", F.col("vehicle_id").alias("assigned_vehicle"), "preempted", at(made, 1).alias("created_ms"), at(moved("ASSIGN"), -1).alias("assigned_ms"), at(moved("START"), 1).alias("started_ms"),
+        at(moved("COMPLETE", "CANCEL", "FAIL"), -1).alias("finished_ms"), F.size(taken).cast("long").alias("transitions"),
+    )
+    between = lambda a, b, *needed: F.when(F.greatest(*(F.col(c) == 0 for c in needed), F.lit(False)), None).otherwise(F.col(b) - F.col(a))
+    return rows.withColumns({"dispatch_ms": between("created_ms", "assigned_ms", "assigned_ms"), "cycle_ms": between("created_ms", "finished_ms", "finished_ms"), "service_ms": between("assigned_ms", "finished_ms", "assigned_ms", "finished_ms")})
+
+
 def vehicle_records(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """(vehicle_id, seq, kind, event, task_id): all that concerns vehicles, in the kinds that ``fold_vehicles`` reads."""
     made = task_steps(tasks).where("accepted AND vehicle_id <> ''").select("vehicle_id", "seq", F.when(F.col("kind") == "command", "task_event").otherwise(F.col("kind")).alias("kind"), "event", "task_id")

@@ -78,6 +78,15 @@ def _(spark, d):
     return applier.fold_vehicles(applier.vehicle_records(applier.fold_tasks(records), records))
 
 
+@built("task_rows", _tasks(_RECORDS.replace("'' as command from", "'' as command, at_ms from")) + """, tm as (select st.task_id, max(case when st.kind = 'task_created' then 1 else 0 end) as there, arg_max(st.state, st.n) as state, arg_max(st.vehicle, st.n) as assigned_vehicle, arg_max(st.preempted, st.n) as preempted,
+ coalesce(min(case when st.kind = 'task_created' then ev.at_ms end), 0) as created_ms, coalesce(max(case when st.ok and st.e = 'ASSIGN' then ev.at_ms end), 0) as assigned_ms, coalesce(min(case when st.ok and st.e = 'START' then ev.at_ms end), 0) as started_ms,
+ coalesce(max(case when st.ok and st.e in ('COMPLETE', 'CANCEL', 'FAIL') then ev.at_ms end), 0) as finished_ms, count_if(st.n > 0 and st.ok) as transitions from st left join ev on ev.task_id = st.task_id and ev.n = st.n group by st.task_id)
+ select task_id, state, assigned_vehicle, preempted, created_ms, assigned_ms, started_ms, finished_ms, B(transitions) as transitions, case when assigned_ms > 0 then assigned_ms - created_ms end as dispatch_ms, case when finished_ms > 0 then finished_ms - created_ms end as cycle_ms,
+  case when assigned_ms > 0 and finished_ms > 0 then finished_ms - assigned_ms end as service_ms from tm where there = 1""", True)
+def _(spark, d):
+    return applier.task_rows(applier.fold_tasks(_records(spark, d)))
+
+
 # commands are sent up to three times, between the records
 _COMMANDS = "select 8 * seq as ord, kind, task_id, vehicle_id, event, '' as command, at_ms from {records} union all select ord, 'command' as kind, task_id, '' as vehicle_id, event, command, at_ms from {task_commands}"
 
