@@ -190,9 +190,9 @@ _LINE = """concat('{"seq":', seq, ',"kind":"', kind, '","subject":"', subject, '
 
 
 def _tree_sql(journal: str, name: str) -> str:
-    """Two levels, which is what up to 262,144 records need."""
+    """Two levels, which is what up to 262,144 records need; one where there is one leaf."""
     return f"""{name}0 as (select B(seq // {compare.LEAF}) as node, min(seq) as low, max(seq) as high, count(*) as records, sha256(string_agg({_LINE}, chr(10) order by seq)) as digest from ({journal}) j group by 1),
- {name} as (select B(0) as level, * from {name}0 union all select 1, B(node // {compare.FAN}), min(low), max(high), B(sum(records)), sha256(string_agg(concat(node, ':', digest), ',' order by node)) from {name}0 group by 2)"""
+ {name} as (select B(0) as level, * from {name}0 union all select 1, B(node // {compare.FAN}), min(low), max(high), B(sum(records)), sha256(string_agg(concat(node, ':', digest), ',' order by node)) from {name}0 where (select min(node) <> max(node) from {name}0) group by 2)"""
 
 
 _COLUMNS = ["seq", "kind", "subject", "at_ms"]
