@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.operators import admission, applier, compare, fsm, idempotency, ordered, yard
+from rillway.operators import admission, applier, compare, dispatch, fsm, idempotency, ordered, traffic, yard
 from rillway.operators.kv import apply as kv_apply
 from rillway.operators.kv import GONE
 from rillway.sources import io
-from rillway.streaming import stores
+from rillway.streaming import collectors, stores
 
 RECORD = "seq long, kind string, task_id string, vehicle_id string, event string, command string, at_ms long"
 
@@ -254,3 +254,88 @@ def test_a_changed_record_breaks_the_replay(spark, tmp_path):
     back = io.read_journal(spark, str(tmp_path / "j")).withColumn("event", F.col("payload.event"))
     state = lambda d: fsm.fold_fsm(d, ["subject"], F.col("seq"), F.col("event"), F.col("at_ms")).first().state
     assert state(back) == "COMPLETED" and state(back.withColumn("event", F.when(F.col("seq") == 3, "FAIL").otherwise(F.col("event")))) == "FAILED"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pressure_equals_a_walk(spark, seed):
+    """Deepest queue and most that wait, over all resources, at every block of a random log."""
+    rng = random.Random(seed)
+    log = [(rng.randrange(4), i, i, rng.choice(["request"] * 4 + ["release", "release_resource"]), rng.randrange(7), rng.randint(1, 3)) for i in range(400)]
+    held, queue, want = {r: set() for r in range(4)}, {r: [] for r in range(4)}, []
+    for r, at, i, op, v, p in log:
+        blocked = op == "request" and v not in held[r]
+        if op == "request" and v not in held[r]:
+            old = next((w for w in queue[r] if w[3] == v), None)
+            queue[r] = [w for w in queue[r] if w[3] != v] + [(-p, *(old[1:3] if old else (at, i)), v)]
+        elif op != "request":
+            was, waited = v in held[r], op == "release_resource" and any(w[3] == v for w in queue[r])
+            held[r].discard(v)
+            queue[r] = [w for w in queue[r] if w[3] != v] if op == "release_resource" else queue[r]
+            if not (was or waited):
+                continue
+        queue[r].sort()
+        while queue[r] and len(held[r]) < 1 + r % 2:
+            held[r].add(queue[r].pop(0)[3])
+        if blocked and v not in held[r]:
+            want.append((i, len(queue[r]), sum(map(len, queue.values()))))
+    rows = spark.createDataFrame(log, "resource long, at_ms long, id long, op string, vehicle long, priority long")
+    capacity = spark.createDataFrame([(r, 1 + r % 2) for r in range(4)], "resource long, capacity long")
+    got = traffic.pressure(rows, capacity).where("blocked").orderBy("id").collect()
+    assert [(x.id, x.depth, x.waiting) for x in got] == want and want
+
+
+def test_cycles_of_single_waits(spark):
+    """Doubling finds what a walk finds: cycles of any length, chains into them, chains that end, many at once."""
+    rng = random.Random(6)
+    waits = {v: rng.choice([w for w in range(300) if w != v]) for v in range(250)}
+    waits |= {1000 + i: 1000 + (i + 1) % 37 for i in range(37)} | {2000: 2001, 2001: 2000}
+    want = set()
+    for v in waits:
+        path = []
+        while v in waits and v not in path:
+            path.append(v)
+            v = waits[v]
+        if v in path:
+            cycle = path[path.index(v) :]
+            at = cycle.index(min(cycle))
+            want.add(tuple(cycle[at:] + cycle[:at]))
+    got = traffic.cycles(spark.createDataFrame(list(waits.items()), "waiter long, holder long")).collect()
+    assert sorted(tuple(r.cycle) for r in got) == sorted(want) and len(want) >= 2
+
+
+@pytest.mark.parametrize("documents", [None, 3])
+@pytest.mark.parametrize("backend", ["memory", "redis"])
+def test_store_dumps_round_trip(spark, tmp_path, documents, backend):
+    rows = [("a", "string", "1", None, None), ("b", "hash", None, {"f": "x", "g": "y"}, 12_300), ("c", "string", "é", None, 11_000), ("gone", "string", "2", None, 10_000), ("none", None, None, None, None)]
+    df = spark.createDataFrame(rows, "key string, kind string, value string, fields map<string,string>, expires_ms long")
+    io.dump_store(df, str(tmp_path / "d"), 10_000, backend, "fleet:", documents)
+    got = {r.key: (r.kind, r.value, r.fields, r.expires_ms) for r in io.load_store(spark, str(tmp_path / "d"), 500, "fleet:").collect()}
+    left = 3_000 if backend == "redis" else 2_300
+    assert got == {"a": ("string", "1", None, None), "b": ("hash", None, {"f": "x", "g": "y"}, 500 + left), "c": ("string", "é", None, 1_500)}
+    assert [r.key for r in io.load_store(spark, str(tmp_path / "d"), 0, "fleet:", "hash").collect()] == ["b"]
+    assert io.load_store(spark, str(tmp_path / "d"), 0, "other:").count() == 0
+    if documents is None:
+        plan = io.load_store(spark, str(tmp_path / "d"), 0, "fleet:", "hash")._jdf.queryExecution().toString()
+        assert "StringStartsWith(key,fleet:)" in plan
+    with pytest.raises(ValueError):
+        io.dump_store(df, str(tmp_path / "d"), 0, "other")
+
+
+def test_collectors_count_each_batch(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(10 * i + k, k % 2 == 0) for k in range(4 + i)], "id long, bad boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("id long, bad boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows, seen = collectors.collected(read, {"n": F.count("*"), "bad": F.count_if("bad")}, "collected")
+    got = seen.orderBy("batch").collect()
+    assert [r.batch for r in got] == [0, 1, 2] and sum(r.n for r in got) == rows.count() == 15 and sum(r.bad for r in got) == 8
+    assert sorted(r.input_rows for r in got) == [4, 5, 6]
+
+
+def test_running_tasks_of_a_plan_are_bounded(spark):
+    """A plan looks at as many running tasks as there are vehicles, and picks the same victims as with all."""
+    fleet = spark.createDataFrame([(v, 0.0, 0.0, 90.0, v != 3, "EXECUTING") for v in range(1, 6)], "vehicle_id long, vx double, vy double, battery double, online boolean, vstate string")
+    tasks = spark.createDataFrame([(100 + i, 5, i, 1.0, 1.0) for i in range(9)], "task_id long, priority int, created_ms long, ox double, oy double")
+    running = spark.createDataFrame([(i, 1 + i % 3, 50 * i, 0, 1 + i % 6) for i in range(60)], "task_id long, priority int, assigned_ms long, preempted int, vehicle_id long")
+    got = [(r.step, r.victim) for r in dispatch.plan_greedy(tasks, fleet, running).orderBy("step").collect()]
+    able = sorted((1 + i % 3, -50 * i, i) for i in range(60) if 1 + i % 6 in (1, 2, 4, 5))
+    assert got == [(k + 1, t[2]) for k, t in enumerate(able[:5])]
