@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.operators import admission, applier, compare, fsm, idempotency, kv, yard
+from rillway.operators import admission, applier, compare, fsm, idempotency, kv, verify, yard
 from rillway.plans.catalogue import _KV, _TWO, _moves, built
 from rillway.sources import io
 from rillway.sources.views import VIEWS, view
@@ -87,6 +87,21 @@ def _(spark, d):
     return applier.task_rows(applier.fold_tasks(_records(spark, d)))
 
 
+@built("scenario_verdicts", _tasks(_RECORDS) + """, tk as (select task_id, bool_or(kind = 'task_created') as there, arg_max(state, n) as state, count_if(n > 0 and ok and e in ('COMPLETE', 'CANCEL', 'FAIL')) as ends, count_if(kind = 'task_created') as creates from st group by task_id)
+ select B(cast(split_part(substr(task_id, 2), '-', 1) as bigint) % 6) as scenario, B(sum(creates)) as created, B(sum(creates - 1)) as duplicates, B(0) as lost, B(count_if(state not in ('COMPLETED', 'FAILED', 'CANCELLED'))) as open, B(max(ends)) as most_ends, B(0) as differing, max(ends) <= 1 as consistent
+ from tk where there group by rollup (1)""", True)
+def _(spark, d):
+    """The journal is stored, read back and replayed; every sixth user is a scenario."""
+    records = _records(spark, d)
+    path = jobs.shared(spark, "records")
+    payload = {"task_id": "task_id", "vehicle_id": "vehicle_id", "event": "event"}
+    fields = [(F.col(payload[f.name]) if f.name in payload else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.PAYLOAD]
+    io.append_journal(records.select("seq", "kind", F.col("task_id").alias("subject"), "at_ms", F.struct(*fields).alias("payload")), path)
+    back = io.read_journal(spark, path).select("seq", "kind", "payload.task_id", "payload.vehicle_id", "payload.event", F.lit("").alias("command"), "at_ms")
+    scenario = F.split_part(F.substring("task_id", 2, 1 << 20), F.lit("-"), F.lit(1)).cast("long") % 6
+    return verify.verdicts(records, applier.fold_tasks(records), applier.fold_tasks(back), scenario)
+
+
 # commands are sent up to three times, between the records
 _COMMANDS = "select 8 * seq as ord, kind, task_id, vehicle_id, event, '' as command, at_ms from {records} union all select ord, 'command' as kind, task_id, '' as vehicle_id, event, command, at_ms from {task_commands}"
 

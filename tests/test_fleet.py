@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
-from rillway.operators import admission, applier, compare, dispatch, fsm, idempotency, ordered, traffic, yard
+from rillway.operators import admission, applier, compare, dispatch, fsm, idempotency, ordered, traffic, verify, yard
 from rillway.operators.kv import apply as kv_apply
 from rillway.operators.kv import GONE
 from rillway.sources import io
@@ -339,3 +339,17 @@ def test_running_tasks_of_a_plan_are_bounded(spark):
     got = [(r.step, r.victim) for r in dispatch.plan_greedy(tasks, fleet, running).orderBy("step").collect()]
     able = sorted((1 + i % 3, -50 * i, i) for i in range(60) if 1 + i % 6 in (1, 2, 4, 5))
     assert got == [(k + 1, t[2]) for k, t in enumerate(able[:5])]
+
+
+def test_verdict_has_teeth(spark):
+    """A copy with another record, a task that nobody created and a second end each break their scenario alone."""
+    rows = [(f"task_{k}", f"{s}{t}", *more) for s in "ab" for t in range(2) for k, *more in (("created",), ("assigned", "V1"), ("event", None, "DISPATCH"), ("event", None, "START"), ("event", None, "COMPLETE"), ("created",))]
+    log = records(spark, rows)
+    copy = log.where("NOT (task_id = 'b1' AND event = 'COMPLETE')")
+    fold, scenario = applier.fold_tasks, F.substring("task_id", 1, 1)
+    got = {r.scenario: (r.created, r.duplicates, r.lost, r.open, r.most_ends, r.differing, r.consistent) for r in verify.verdicts(log, fold(log), fold(log), scenario).collect()}
+    assert got == {"a": (4, 2, 0, 0, 1, 0, True), "b": (4, 2, 0, 0, 1, 0, True), None: (8, 4, 0, 0, 1, 0, True)}
+    got = {r.scenario: (r.differing, r.consistent) for r in verify.verdicts(log, fold(log), fold(copy), scenario).collect()}
+    assert got == {"a": (0, True), "b": (1, False), None: (1, False)}
+    got = {r.scenario: (r.lost, r.consistent) for r in verify.verdicts(log.where("task_id <> 'a0'"), fold(log), fold(log), scenario).collect()}
+    assert got == {"a": (1, False), "b": (0, True), None: (1, False)}
