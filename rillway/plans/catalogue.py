@@ -317,9 +317,20 @@ def _(spark, d):
     return _vehicles(spark, d).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@built("fsm_table", f"select f as from_state, string_agg(e, '|' order by e) as events, count(*) as n from {_moves(S.TASK_MOVES)} group by f")
+@built("fsm_table", _TASKS + f", taken as (select from_state, count(*) as moves from st where n > 0 and accepted group by from_state) select f as from_state, string_agg(e, '|' order by e) as events, count(*) as n, coalesce(max(moves), 0) as moves from {_moves(S.TASK_MOVES)} left join taken on taken.from_state = f group by f", True)
 def _(spark, d):
-    return spark.createDataFrame(S.TASK_MOVES, "from_state string, event string, to_state string").groupBy("from_state").agg(F.array_join(F.array_sort(F.collect_list("event")), "|").alias("events"), F.count("*").alias("n"))
+    """Legal events of each state, and how often the journal left it."""
+    taken = fsm.steps(_folded(spark, d), ["subject"]).where("accepted").groupBy("from_state").agg(F.count("*").alias("moves"))
+    table = spark.createDataFrame(S.TASK_MOVES, "from_state string, event string, to_state string").groupBy("from_state").agg(F.array_join(F.array_sort(F.collect_list("event")), "|").alias("events"), F.count("*").alias("n"))
+    return table.join(taken, "from_state", "left").select("from_state", "events", "n", F.coalesce("moves", F.lit(0)).alias("moves"))
+
+
+@built("fsm_consistency", _TASKS + f" select state as target, count(*) as n from st where n > 0 and accepted and state not in (select f from {_moves(S.TASK_MOVES)}) group by state", True)
+def _(spark, d):
+    """States that the journal reached and that have no moves of their own: the terminal ones, and no other."""
+    moves = spark.createDataFrame(S.TASK_MOVES, "target string, e string, t string").select("target").distinct()
+    reached = fsm.steps(_folded(spark, d), ["subject"]).where("accepted").select(F.col("to_state").alias("target"))
+    return reached.join(F.broadcast(moves), "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
 
 
 @built("fsm_allowed_events", _TASKS + f", cur as (select subject, arg_max(state, n) as state from st group by subject) select subject, count(e) as allowed, count(e) = 0 as terminal from cur left join {_moves(S.TASK_MOVES)} on f = state group by subject", True)
@@ -519,12 +530,18 @@ _HUBS = "(values " + ", ".join(f"('{h}', {x}, {y})" for h, x, y in S.HUBS) + ")
 _LANES = "(values " + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in S.ROADS) + ") as l(a, b)"
 
 
-@built("route_shortest", f"with recursive ln as (select l.a, l.b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as c from {_LANES} join (select * from {_HUBS}) p on p.hub = l.a join (select * from {_HUBS}) q on q.hub = l.b), rt(s, g, cost, path, seen) as (select hub, hub, D(0), hub, [hub] from {_HUBS} union all select r.s, ln.b, r.cost + ln.c, concat(r.path, '>', ln.b), list_append(r.seen, ln.b) from rt r join ln on ln.a = r.g where not list_contains(r.seen, ln.b)) select s as start, g as goal, min(cost) as cost, arg_min(path, (cost, path)) as path from rt group by s, g", True)
+#: Ways over lanes of cost c, on which no hub comes twice.
+_WAYS = f"""rt(s, g, cost, path, seen) as (select hub, hub, D(0), hub, [hub] from {_HUBS} union all select r.s, ln.b, r.cost + ln.c, concat(r.path, '>', ln.b), list_append(r.seen, ln.b) from rt r join ln on ln.a = r.g where not list_contains(r.seen, ln.b))"""
+_LENGTHS = f"select l.a, l.b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as c from {_LANES} join (select * from {_HUBS}) p on p.hub = l.a join (select * from {_HUBS}) q on q.hub = l.b"
+_RT = _check(f"with recursive ln as ({_LENGTHS}), {_WAYS} select 1", True).removeprefix("with recursive ").removesuffix(" select 1")
+
+
+@built("route_shortest", f"with recursive ln as (select w.a, w.b, w.c + {S.CONGESTION} * coalesce(d.load, 0) as c from ({_LENGTHS}) w left join {{lane_loads}} d on d.a = w.a and d.b = w.b), {_WAYS} select s as start, g as goal, min(cost) as cost, arg_min(path, (cost, path)) as path from rt group by s, g", True)
 def _(spark, d):
-    return traffic.routes(spark)
+    """Cheapest ways under the load that the tasks under way put on the lanes."""
+    return traffic.routes(spark, view(spark, d, "lane_loads"))
 
 
-_RT = ORACLE_SQL["route_shortest"].removeprefix("with recursive ").split(" select s as start")[0]
 _AT = lambda x, y: f"(select hub from {_HUBS} order by ({x} - x) * ({x} - x) + ({y} - y) * ({y} - y), hub limit 1)"
 
 

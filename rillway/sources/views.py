@@ -45,6 +45,8 @@ VIEWS = {
     "submissions": "select concat(user_id, ':', event_type) as command, MS(ts) as at_ms, event_id, event_id % 5 = 0 as fails, event_id % 5 <> 1 as confirmed from {events}",
     "hash_commands": """select concat('h', user_id % 50) as key, seq, MS(ts) as at_ms, case event_id % 6 when 0 then 'hset' when 1 then 'hget' when 2 then 'hset' when 3 then 'hlen' when 4 then 'exists' else 'hdel' end as op,
         concat('f', IDIV(event_id, 6) % 5) as field, case when event_id % 6 in (0, 2) then STR(event_id % 100) end as value from {events_seq}""",
+    "lane_loads": """select a, b, B(count(*) % 7) as load from (select substr('ABCDEF', cast(1 + (ox - 60) / 240 + case when oy > 200 then 3 else 0 end as int), 1) as a, substr('ABCDEF', cast(1 + (dx - 60) / 240 + case when dy > 200 then 3 else 0 end as int), 1) as b
+        from {tasks_in} where state = 'EXECUTING') h group by a, b""",
     "admission_log": "select seq, partition, at_ms, case when event_id % 4 = 0 then 'drain' else 'publish' end as op, case when event_id % 4 = 0 and event_id % 160 > 0 then IDIV(event_id, 4) % 7 end as budget from {messages}",
     "dedup_ops": """select concat('g', user_id % 16) as store, event_id as ord, MS(ts) as at_ms, concat('m', IDIV(event_id, 16) % 23) as key,
         case event_id % 7 when 0 then 'claim' when 1 then 'mark' when 2 then 'release' when 3 then 'check_and_set' when 4 then 'seen' when 5 then 'claim' else case when event_id % 3 = 0 then 'forget' else 'mark' end end as op from {events}""",
@@ -61,7 +63,7 @@ VIEWS = {
     "commands": """select concat('k', user_id % 60) as key, seq, MS(ts) as at_ms, case event_id % 9 when 0 then 'set' when 1 then 'incr' when 2 then 'get' when 3 then 'expire' when 4 then 'ttl' when 5 then 'exists' when 6 then 'incr' when 7 then 'persist' else case when event_id % 4 = 0 then 'delete' else 'get' end end as op,
         case when event_id % 9 = 0 then STR(event_id % 100) end as value, case when event_id % 9 = 3 or event_id % 18 = 0 then cast((event_id % 5) * 7200000 as bigint) end as ttl_ms, concat('f', event_id % 3) as field, event_id from {events_seq}""",
 }
-NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "yard_waits": ["customer"], "silence_plan": ["events"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "records": ["events_seq"], "dedup_ops": ["events"], "admission_log": ["messages"], "task_commands": ["records"], "commands": ["events_seq"]}
+NEEDS = {"journal": ["events_seq"], "journal_lean": ["events"], "messages": ["events_off"], "failures": ["messages"], "traffic_log": ["lineitem"], "waits": ["customer"], "yard_waits": ["customer"], "silence_plan": ["events"], "submissions": ["events"], "hash_commands": ["events_seq"], "tasks_in": ["orders"], "vehicles_in": ["supplier"], "resources": ["lineitem"], "holders": ["lineitem"], "requests": ["lineitem"], "spans": ["conversations"], "readings": ["events"], "deliveries": ["messages"], "records": ["events_seq"], "dedup_ops": ["events"], "admission_log": ["messages"], "lane_loads": ["tasks_in"], "task_commands": ["records"], "commands": ["events_seq"]}
 #: The journal without its sequence numbers, for what does not read them.
 VIEWS["journal_lean"] = VIEWS["journal"].replace("select seq, ", "select ", 1).replace("{events_seq}", "{events}")
 SEQUENCE = "select *, row_number() over (order by ts, event_id) as seq from events"
