@@ -33,7 +33,7 @@ def levels(df: DataFrame, by: list[str], order: list[str], step: Column, least:
     """
     dealt, _ = ranged(df.select(F.struct(*df.columns).alias("row"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), step.cast("long").alias("_a"), F.coalesce(least.cast("long"), F.lit(-FAR)).alias("_b"), F.coalesce(most.cast("long"), F.lit(FAR)).alias("_c")), [f"_o{i}" for i in range(len(order))])
     part, orders = F.xxhash64(*([f"_by{i}" for i in range(len(by))] or [F.lit(0)])).alias("_part"), [f"_o{i}" for i in range(len(order))]
-    dealt = cut(dealt.select("row", part, "_range", *orders, "_a", "_b", "_c"))
+    dealt = cut(dealt.select("row", part, F.col("_range").cast("long").alias("_range"), *orders, "_a", "_b", "_c"))
     sorted_ = dealt.repartition("_part", "_range").sortWithinPartitions("_part", "_range", *orders)
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,23 +62,27 @@ def levels(df: DataFrame, by: list[str], order: list[str], step: Column, least:
             yield _longs(out, ["_part", "_range", "_start"])
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, x = None, 0
+        x = 0
         for batch in batches:
-            before, moved = [], []
-            for p, r, start, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                if (p, r) != now:
-                    now, x = (p, r), start
+            before, moved, keep = [], [], []
+            for start, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                keep.append(start is None)
+                if start is not None:
+                    x = start
+                    continue
                 after = min(max(x + a, b), c)
                 before.append(x)
                 moved.append(after - x)
                 x = after
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.int64()), pa.array(moved, pa.int64())], names=["row", "level", "moved"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(before, pa.int64()), pa.array(moved, pa.int64())], names=["row", "level", "moved"])
 
     long = lambda *names: ", ".join(f"{n} long" for n in names)
-    whole = sorted_.select("_part", F.col("_range").cast("long").alias("_range"), "_a", "_b", "_c").mapInArrow(functions, long("_part", "_range", "_a", "_b", "_c"))
+    whole = sorted_.select("_part", "_range", "_a", "_b", "_c").mapInArrow(functions, long("_part", "_range", "_a", "_b", "_c"))
     starts = whole.repartition("_part").sortWithinPartitions("_part", "_range").mapInArrow(chained, long("_part", "_range", "_start"))
-    met = dealt.withColumn("_range", F.col("_range").cast("long")).join(starts, ["_part", "_range"])
-    met = met.repartition("_part", "_range").sortWithinPartitions("_part", "_range", *orders).select("row", "_part", "_range", "_start", "_a", "_b", "_c")
+    # A range's start comes as a row before its others, not by a join: Spark would take the join's shuffle for the
+    # one asked for here, and then read it map by map where it broadcasts the starts, which takes ranges apart.
+    met = dealt.unionByName(starts, allowMissingColumns=True)
+    met = met.repartition("_part", "_range").sortWithinPartitions("_part", "_range", F.col("_start").isNull(), *orders).select("row", "_start", "_a", "_b", "_c")
     out = met.mapInArrow(walked, f"row {met.schema['row'].dataType.simpleString()}, level long, moved long")
     return out.select("row.*", "level", "moved")
 

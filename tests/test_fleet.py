@@ -144,6 +144,24 @@ def test_admission_equals_a_walk(spark, monkeypatch, seed):
         level[p] = y
 
 
+def test_admission_keeps_ranges_whole(spark, monkeypatch):
+    """Rows of a range lie in several partitions of the input, and those that Spark shuffles are not coalesced."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 400)
+    rows = [(i, "ab"[i % 2], "drain" if i % 7 == 0 else "publish", i % 5) for i in range(4000)]
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = spark.createDataFrame(rows, "i long, p string, op string, budget long").repartition(6)
+        got = {r.i: (r.level, r.moved) for r in admission.admitted(log, ["p"], ["i"], 15).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    level = {"a": 0, "b": 0}
+    for i, p, op, budget in rows:
+        x = level[p]
+        level[p] = min(x + 1, 15) if op == "publish" else max(0, x - budget)
+        assert got[i] == (x, level[p] - x)
+
+
 def test_clamps_compose():
     rng = random.Random(4)
     for _ in range(500):
