@@ -64,3 +64,7 @@ def same_as_sql(spark, path, name):
 @pytest.mark.parametrize("name", ["journal_merkle", "journal_root"])
 def test_digests_of_a_long_journal(spark, long_journal, name):
     assert same_as_sql(spark, long_journal, name)
+
+
+def test_parting_of_long_journals(spark, long_journal):
+    assert same_as_sql(spark, long_journal, "journal_parting")
