@@ -179,15 +179,16 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
-    Ends of chains are trimmed off as long as that pays. Where everyone waits for one vehicle at most, those on a
-    cycle are where all waits lead in as many steps as there are vehicles, found by doubling the steps; else nodes
-    that do not reach themselves are dropped by squaring the reachability relation. Paths then
-    grow from the least node of a cycle only, until none is left; a path repeats no node, so the nodes bound
-    the rounds.
+    Where everyone waits for one vehicle at most, steps are doubled (``single_cycles``). Else ends of chains are
+    trimmed off as long as that pays, and nodes that do not reach themselves are dropped by squaring the
+    reachability relation. Paths then grow from the least node of a cycle only, until none is left; a path
+    repeats no node, so the nodes bound the rounds.
     """
-    edges = trimmed(cut(edges.where("waiter <> holder").distinct()))
-    single = edges.groupBy("waiter").count().where("count > 1").isEmpty()
-    if single:
+    edges = cut(edges.where("waiter <> holder").distinct())
+    if _single(edges):
+        return single_cycles(edges)
+    edges = trimmed(edges)
+    if _single(edges):
         return single_cycles(edges)
     reach, n = edges, edges.count()
     while n:
@@ -210,28 +211,35 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.select(rotated(F.col("path")).alias("cycle")).distinct()
 
 
+def _single(edges: DataFrame) -> bool:
+    return edges.groupBy("waiter").count().where("count > 1").isEmpty()
+
+
+#: Doublings of the steps between two cuts.
+DOUBLINGS = 3
+
+
 def single_cycles(edges: DataFrame) -> DataFrame:
-    """``cycles`` where no waiter has two holders: a row per vehicle in each of log2 rounds."""
-    leads, steps, n = edges, 1, edges.count()
-    while steps < n:
-        # who waits for nobody ends a walk; whoever leads there is on no cycle
-        leads = cut(leads.alias("p").join(leads.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder"))
-        steps *= 2
-    on = cut(leads.select(F.col("holder").alias("waiter")).distinct().join(edges, "waiter"))
-    # the least vehicle of each cycle, then its members by their distance from there
-    least, steps, n = on.withColumn("low", F.least("waiter", "holder")), 1, on.count()
-    while steps < n:
-        least = cut(least.alias("p").join(least.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder", F.least("p.low", "q.low").alias("low")))
-        steps *= 2
-    # steps to the least vehicle, by doubling: whoever has reached it stays there
-    far = on.join(least.select("waiter", "low"), "waiter").select("waiter", F.when(F.col("waiter") == F.col("low"), F.col("waiter")).otherwise(F.col("holder")).alias("to"), "low", F.when(F.col("waiter") == F.col("low"), 0).otherwise(1).cast("long").alias("d"))
-    steps = 1
-    while steps < n:
-        far = cut(far.alias("p").join(far.alias("q"), F.col("p.to") == F.col("q.waiter")).select("p.waiter", "q.to", "p.low", (F.col("p.d") + F.col("q.d")).alias("d")))
-        steps *= 2
+    """``cycles`` where no waiter has two holders.
+
+    A row per vehicle holds where ``steps`` waits lead, and the least vehicle met on the way with its distance.
+    Steps double, and of the vehicles only those are kept where such a walk ends, which all on a cycle are: the
+    others fall away, soon most of them. Once there are no more vehicles than steps, a walk that ends at a vehicle
+    left has gone round, so what is left is on a cycle and has met the whole of it.
+    """
+    at, steps = edges.select("waiter", "holder", F.col("waiter").alias("low"), F.lit(0).cast("long").alias("d")), 1
+    while at.count() > steps:
+        for _ in range(DOUBLINGS):
+            # who waits for nobody ends a walk; whoever leads there is on no cycle
+            least = F.least(F.struct("p.low", "p.d"), F.struct(F.col("q.low"), (F.col("q.d") + steps).alias("d")))
+            met = at.alias("p").join(at.alias("q"), F.col("p.holder") == F.col("q.waiter"))
+            at = met.select("p.waiter", "q.holder", least.alias("m")).select("waiter", "holder", F.col("m.low").alias("low"), F.col("m.d").alias("d"))
+            steps *= 2
+        at = cut(at.join(at.select(F.col("holder").alias("waiter")), "waiter", "left_semi"))
+    on = at.join(at.select(F.col("holder").alias("waiter")), "waiter", "left_semi")
     members = F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "waiter")))
     rest = F.transform(F.filter(members, lambda x: x["d"] < 0), lambda x: x["waiter"])
-    return far.groupBy("low").agg(F.concat(F.array("low"), rest).alias("cycle")).select("cycle")
+    return on.groupBy("low").agg(F.concat(F.array("low"), rest).alias("cycle")).select("cycle")
 
 
 def victim(cycle: Column, priority: Column) -> Column:

@@ -113,6 +113,40 @@ def test_long_deadlock_cycle(spark):
     assert sorted(list(r.cycle) for r in got) == [list(range(40)), [38, 39]]
 
 
+def walks(n, seed):
+    """Who waits for whom, one for each of n but a few, and the cycles by walking."""
+    rng = random.Random(seed)
+    to = {v: rng.randrange(n) for v in range(n) if v % 50}
+    to = {v: w for v, w in to.items() if v != w}
+    seen, found = {}, set()
+    for start in to:
+        path, v = [], start
+        while v in to and v not in seen:
+            seen[v] = start
+            path.append(v)
+            v = to[v]
+        if v in path:
+            ring = path[path.index(v) :]
+            at = ring.index(min(ring))
+            found.add(tuple(ring[at:] + ring[:at]))
+    return to, found
+
+
+def few_cuts(monkeypatch):
+    calls, cut = [], traffic.cut
+    monkeypatch.setattr(traffic, "cut", lambda df: (calls.append(1), cut(df))[1])
+    return calls
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_single_waits_take_few_rounds(spark, monkeypatch, seed):
+    """Steps are doubled some times before they are stored, and vehicles on no cycle fall away."""
+    calls = few_cuts(monkeypatch)
+    to, want = walks(3000, seed)
+    got = traffic.cycles(spark.createDataFrame(list(to.items()), "waiter long, holder long")).collect()
+    assert sorted(tuple(r.cycle) for r in got) == sorted(want) and want and len(calls) <= 4
+
+
 def test_routes(spark):
     r = {(x.start, x.goal): (x.path, x.cost) for x in traffic.routes(spark).collect()}
     assert r["A", "F"] == ("A>B>C>F", 760.0) and r["A", "A"] == ("A", 0.0) and len(r) == 36
