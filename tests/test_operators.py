@@ -147,6 +147,15 @@ def test_single_waits_take_few_rounds(spark, monkeypatch, seed):
     assert sorted(tuple(r.cycle) for r in got) == sorted(want) and want and len(calls) <= 4
 
 
+def test_victims_of_single_waits(spark, monkeypatch):
+    calls = few_cuts(monkeypatch)
+    to, want = walks(3000, 2)
+    found = traffic.cycles(spark.createDataFrame(list(to.items()), "waiter long, holder long"))
+    priority = F.map_from_entries(F.transform("cycle", lambda v: F.struct(v, (v % 5).cast("int"))))
+    got = {tuple(r.cycle): r.v for r in found.withColumn("v", traffic.victim(F.col("cycle"), priority)).collect()}
+    assert got == {c: min(c, key=lambda v: (v % 5, v)) for c in want} and want and len(calls) <= 4
+
+
 def test_routes(spark):
     r = {(x.start, x.goal): (x.path, x.cost) for x in traffic.routes(spark).collect()}
     assert r["A", "F"] == ("A>B>C>F", 760.0) and r["A", "A"] == ("A", 0.0) and len(r) == 36
