@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway import schemas as S
 from rillway.functions.scalars import rotated
 from rillway.operators.cut import cut
-from rillway.operators.ordered import placed, running
+from rillway.operators.ordered import placed, ranged, running
 
 
 def ranked(requests: DataFrame) -> DataFrame:
@@ -43,12 +44,22 @@ def wait_for(requests: DataFrame, resources: DataFrame, holders: DataFrame) -> D
     return waiting.select("resource", F.col("vehicle").alias("waiter")).join(holders.select("resource", F.col("vehicle").alias("holder")), "resource").select("waiter", "holder").distinct()
 
 
-def for_all(log: DataFrame) -> DataFrame:
-    """``log`` with each release_all as one release_resource per resource that its vehicle ever asked for."""
-    asked = log.where("op = 'request'").select(F.col("vehicle").alias("v"), F.col("resource").alias("r")).distinct()
-    every = log.where("op = 'release_all'").join(asked, F.col("vehicle") == F.col("v"))
-    spread = every.withColumn("resource", F.col("r")).withColumn("op", F.lit("release_resource")).drop("v", "r")
-    return log.where("op <> 'release_all'").unionByName(spread)
+def until_all(log: DataFrame) -> DataFrame:
+    """The requests and releases of ``log``, its requests with until_ms and until_id: the next release_all of their
+    vehicle, null where there is none. Other release_alls find neither a place held nor a wait, so that they need
+    no rows of their own, and one of a vehicle that uses many resources is not dealt to all of them.
+
+    The log is dealt to ranges of time; what comes first in the ranges after one is a row per range and vehicle.
+    """
+    all_ = F.when(F.col("op") == "release_all", F.struct(F.col("at_ms").alias("until_ms"), F.col("id").alias("until_id")))
+    dealt, _ = ranged(log, ["at_ms", "id"])
+    after = Window.partitionBy("_of").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    firsts = dealt.groupBy(F.col("vehicle").alias("_of"), F.col("_range").alias("_at")).agg(F.min(all_).alias("_first"))
+    later = firsts.select("_of", "_at", F.min("_first").over(after).alias("_later"))
+    ahead = Window.partitionBy("_range", "vehicle").orderBy("at_ms", "id").rowsBetween(0, Window.unboundedFollowing)
+    met = dealt.withColumn("_next", F.min(all_).over(ahead)).where("op <> 'release_all'").join(later, F.col("vehicle").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    until = F.when(F.col("op") == "request", F.coalesce("_next", "_later")).alias("_until")
+    return met.select(*log.columns, until).select(*log.columns, "_until.until_ms", "_until.until_id")
 
 
 OUTCOME = "resource long, holders array<long>, waiting array<long>, requests long, grants long, blocks long, conflicts long, releases long"
@@ -71,35 +82,64 @@ def fold_requests(log: DataFrame, resources: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place = None, _Place()
+        now, place = None, None
         for batch in batches:
             out = []
-            for resource, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for resource, capacity, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if resource != now:
-                    if now is not None:
+                    if place and place.used:
+                        place.upto(None)
                         out.append((now, *place.row()))
-                    now, place = resource, _Place()
-                place.apply(*event)
+                    now, place = resource, None
+                if capacity is not None:
+                    place = _Place(capacity)
+                elif place:
+                    place.event(*event)
             yield ends(out)
-        if now is not None:
+        if place and place.used:
+            place.upto(None)
             yield ends([(now, *place.row())])
 
     return _by_resource(log, resources).mapInArrow(run, OUTCOME)
 
 
 class _Place:
-    """Holders and queue of one resource; a queue's entries sort by rank, the vehicle last."""
+    """Holders and queue of one resource; a queue's entries sort by rank, the vehicle last. ``due`` has the
+    release_alls to come of the vehicles that asked, the earliest first."""
 
-    def __init__(self) -> None:
-        self.holders, self.queue = set(), []
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.used = capacity, False
+        self.holders, self.queue, self.due = set(), [], []
         self.n = dict.fromkeys(("requests", "grants", "blocks", "conflicts", "releases"), 0)
 
-    def admit(self, capacity: int) -> None:
-        while self.queue and len(self.holders) < capacity:
+    def upto(self, at: tuple[int, int] | None) -> list[tuple]:
+        """Handles the release_alls before ``at``, or all: (at_ms, id, depth, change, blocked) of each that changes the queue."""
+        out = []
+        while self.due and (at is None or self.due[0][:2] < at):
+            *when, vehicle = heappop(self.due)
+            before = len(self.queue)
+            self.apply(*when, "release_resource", vehicle, None)
+            if len(self.queue) != before:
+                out.append((*when, len(self.queue), len(self.queue) - before, False))
+        return out
+
+    def event(self, at_ms: int, ident: int, op: str, vehicle: int, priority: int, until_ms: int | None, until_id: int | None) -> list[tuple]:
+        """Handles the release_alls that are due and then one event, and tells what ``upto`` tells of all of them,
+        and of a request that is blocked."""
+        self.used, out, before = True, self.upto((at_ms, ident)), len(self.queue)
+        blocked = self.apply(at_ms, ident, op, vehicle, priority)
+        if until_ms is not None and (until_ms, until_id, vehicle) not in self.due:
+            heappush(self.due, (until_ms, until_id, vehicle))
+        if blocked or len(self.queue) != before:
+            out.append((at_ms, ident, len(self.queue), len(self.queue) - before, blocked))
+        return out
+
+    def admit(self) -> None:
+        while self.queue and len(self.holders) < self.capacity:
             self.holders.add(self.queue.pop(0)[-1])
             self.n["grants"] += 1
 
-    def apply(self, at_ms: int, ident: int, op: str, vehicle: int, priority: int, capacity: int) -> bool:
+    def apply(self, at_ms: int, ident: int, op: str, vehicle: int, priority: int | None) -> bool:
         """Handles one event; was it a request that is blocked?"""
         if op == "request":
             self.n["requests"] += 1
@@ -109,7 +149,7 @@ class _Place:
             if old:
                 self.queue.remove(old)
             insort(self.queue, (-priority, *(old[1:3] if old else (at_ms, ident)), vehicle))
-            self.admit(capacity)
+            self.admit()
             if vehicle in self.holders:
                 return False
             self.n["blocks"] += 1
@@ -123,7 +163,7 @@ class _Place:
             waited = any(w[-1] == vehicle for w in self.queue)
             self.queue = [w for w in self.queue if w[-1] != vehicle]
         if held or waited:
-            self.admit(capacity)
+            self.admit()
         return False
 
     def row(self) -> tuple:
@@ -131,8 +171,13 @@ class _Place:
 
 
 def _by_resource(log: DataFrame, resources: DataFrame) -> DataFrame:
-    rows = for_all(log).join(resources.select("resource", "capacity"), "resource").select("resource", "at_ms", "id", "op", "vehicle", "priority", "capacity")
-    return rows.repartition("resource").sortWithinPartitions("resource", "at_ms", "id")
+    """The log by resource in order, before it a row with the resource's capacity. Rows and capacities come by a union:
+    Spark would take the shuffle of a join for the one asked for here, and then read it map by map where it
+    broadcasts the capacities, which takes resources apart."""
+    rows = until_all(log.select("resource", "at_ms", "id", "op", "vehicle", "priority"))
+    met = rows.unionByName(resources.select("resource", F.col("capacity").cast("long").alias("capacity")), allowMissingColumns=True)
+    sorted_ = met.repartition("resource").sortWithinPartitions("resource", F.col("capacity").isNull(), "at_ms", "id")
+    return sorted_.select("resource", "capacity", "at_ms", "id", "op", "vehicle", "priority", "until_ms", "until_id")
 
 
 def queue_changes(log: DataFrame, resources: DataFrame) -> DataFrame:
@@ -141,18 +186,25 @@ def queue_changes(log: DataFrame, resources: DataFrame) -> DataFrame:
     names = ["resource", "at_ms", "id", "depth", "change", "blocked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place = None, _Place()
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == "blocked" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
+
+        now, place = None, None
         for batch in batches:
             out = []
-            for resource, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for resource, capacity, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if resource != now:
-                    now, place = resource, _Place()
-                before = len(place.queue)
-                blocked = place.apply(*event)
-                if blocked or len(place.queue) != before:
-                    out.append((resource, event[0], event[1], len(place.queue), len(place.queue) - before, blocked))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == "blocked" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
+                    if place:
+                        out += [(now, *x) for x in place.upto(None)]
+                    now, place = resource, None
+                if capacity is not None:
+                    place = _Place(capacity)
+                elif place:
+                    out += [(now, *x) for x in place.event(*event)]
+            yield told(out)
+        if place:
+            yield told([(now, *x) for x in place.upto(None)])
 
     return _by_resource(log, resources).mapInArrow(run, "resource long, at_ms long, id long, depth long, change long, blocked boolean")
 
