@@ -2,8 +2,8 @@
 
 Terms are counted per group (lang, source) in Arrow batches, so that what is dealt is one row per batch, group
 and term. Each kept term is pivoted into a vector with one count per source of its language; higher-order
-functions turn it into probabilities and into the contribution of each pair of sources, which are summed where
-they are made before they are dealt. All arithmetic is on integers: probabilities are parts of SCALE, and
+functions turn it into probabilities, and Arrow batches of vectors into the contribution of each pair of sources,
+summed where they are made before they are dealt. All arithmetic is on integers: probabilities are parts of SCALE, and
 divergence is the chi-squared distance (p - q)^2 / q, rounded down term by term.
 
 Null texts, languages and sources are read as empty. Repeated rows count again, as documents and as words. A
@@ -31,6 +31,8 @@ TOP_TERMS = 200
 BATCH = 4 << 20
 #: Groups whose totals are broadcast at most; beyond, terms and totals of a language meet in SALTS shuffled parts.
 BROADCAST_GROUPS, SALTS = 5_000, 64
+#: Numbers of vectors compared at a time; sums of pairs that a task holds before it hands them on.
+CELLS, HELD = 1 << 16, 1 << 22
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -108,12 +110,49 @@ def vectors(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     return met.select("lang", "term", "q", p.alias("p"), "n", "sources"), langs.select("lang", "sources")
 
 
+def _flat(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The sums of languages, each a square of sources, as rows, without its diagonal."""
+    cols = [[], [], [], []]
+    for lang, m in sums.items():
+        i, j = np.nonzero(~np.eye(len(m), dtype=bool))
+        for c, x in zip(cols, (np.repeat(np.array([lang], object), len(i)), i, j, m[i, j]), strict=True):
+            c.append(x)
+    whole = [np.concatenate(c) if c else np.array([], np.int64) for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(whole[0], pa.string()), *(pa.array(c.astype(t), k) for c, t, k in zip(whole[1:], (np.int32, np.int32, np.int64), (pa.int32(), pa.int32(), pa.int64()), strict=True))], names=["lang", "i", "j", "f"])
+
+
+def distances(terms: DataFrame) -> DataFrame:
+    """(lang, i, j, f) of (lang, p), several rows per pair: the distance of the i-th source to the j-th, summed over
+    the terms of a task, or of a part of it where there are many sources. A term adds p^2 + q at most, and all p of a
+    source come to SCALE and one per term, so that sums fit a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, p = batch.column(0).dictionary_encode(), batch.column(1)
+            codes = langs.indices.to_numpy()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                own = p.filter(pa.array(codes == code))
+                k = len(own[0])
+                rows = own.flatten().to_numpy().reshape(-1, k)
+                if lang not in sums and sum(m.size for m in sums.values()) + k * k > HELD:
+                    yield _flat(sums)
+                    sums = {}
+                m = sums.setdefault(lang, np.zeros((k, k), np.int64))
+                for at in range(0, len(rows), max(1, CELLS // k)):
+                    part = rows[at : at + max(1, CELLS // k)]
+                    for i in range(k):
+                        d = part - part[:, i : i + 1]
+                        m[i] += (d * d // part).sum(axis=0)
+        yield _flat(sums)
+
+    return terms.mapInArrow(run, "lang string, i int, j int, f long")
+
+
 def pair_sums(terms: DataFrame, langs: DataFrame) -> DataFrame:
     """(lang, source, item, value): the distance of each source to each other one of its language, summed over
-    all kept terms. A vector is unrolled source by source, so no row holds the square of their number."""
-    each = terms.select("lang", "sources", "p", F.posexplode("p").alias("i", "at"))
-    parts = F.filter(F.transform("p", lambda q, j: F.struct(j.alias("j"), distance(F.col("at"), q).alias("f"))), lambda x: x["j"] != F.col("i"))
-    made = each.select("lang", "i", F.explode(parts).alias("x")).select("lang", "i", "x.j", "x.f")
+    all kept terms. Vectors are compared in Arrow batches, source by source."""
+    made = distances(terms.select("lang", "p"))
     # a language without kept terms has its pairs all the same
     none = langs.select("lang", F.size("sources").alias("k")).select("lang", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("lang", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).where("i <> j")
     sums = made.unionByName(none.withColumn("f", F.lit(0).cast("long"))).groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))

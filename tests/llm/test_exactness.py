@@ -435,3 +435,23 @@ def test_prose_of_other_letters_is_no_secret():
     words = secrets.dictionary_path()
     for text in ("Passwort: müssen geändert werden", "secret : précieux", "token: überzeugend", "the passphrase: keep it, and never tell anyone of it."):
         assert secrets.redacted(text, words=words) == text
+
+
+def test_distances_of_many_sources(spark, monkeypatch):
+    """Vectors of several languages in batches, cut small, and handed on before a task ends."""
+    import random
+
+    from rillway.llm import divergence
+
+    monkeypatch.setattr(divergence, "CELLS", 8)
+    monkeypatch.setattr(divergence, "HELD", 20)
+    rng = random.Random(6)
+    rows = [(lang, [rng.choice([1, 5, rng.randrange(1, divergence.SCALE + 2)]) for _ in range(k)]) for lang, k in (("a", 4), ("b", 1), ("", 3)) for _ in range(60)]
+    got = {(r.lang, r.i, r.j): r.f for r in divergence.distances(spark.createDataFrame(rows, "lang string, p array<long>").repartition(3)).groupBy("lang", "i", "j").sum("f").withColumnRenamed("sum(f)", "f").collect()}
+    want = {}
+    for lang, p in rows:
+        for i, x in enumerate(p):
+            for j, y in enumerate(p):
+                if i != j:
+                    want[lang, i, j] = want.get((lang, i, j), 0) + (x - y) ** 2 // y
+    assert got == want
