@@ -403,3 +403,13 @@ def test_ranges_hold_about_as_much(spark, monkeypatch, times):
 def test_no_rows_to_range(spark):
     df = spark.createDataFrame([], "at long, id long")
     assert ordered.with_sequence(df, ["at", "id"]).count() == 0
+
+
+def test_release_alls_are_not_dealt_to_every_resource(spark):
+    """One vehicle asks for 60 resources and then releases all of them 200 times, and asks again."""
+    log = [(r, 1, 1, r, r, "request") for r in range(60)] + [(0, 1, 1, 100 + i, 100 + i, "release_all") for i in range(200)] + [(5, 1, 1, 400, 400, "request"), (7, 2, 1, 401, 401, "request")]
+    rows = spark.createDataFrame(log, "resource long, vehicle long, priority long, at_ms long, id long, op string")
+    capacity = spark.range(60).selectExpr("id as resource", "1L as capacity")
+    assert traffic._by_resource(rows, capacity).count() <= len(log) + 60
+    got = {r.resource: (r.holders, r.requests, r.grants, r.releases) for r in traffic.fold_requests(rows, capacity).collect()}
+    assert got == {r: ([1], 2, 2, 1) if r == 5 else ([2], 2, 2, 1) if r == 7 else ([], 1, 1, 1) for r in range(60)}
