@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -231,17 +231,18 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of two or more, each turned to start at its least vehicle, as arrays.
 
-    Where everyone waits for one vehicle at most, steps are doubled (``single_cycles``). Else ends of chains are
+    Where everyone waits for one vehicle at most, steps are multiplied (``single_cycles``). Else ends of chains are
     trimmed off as long as that pays, and nodes that do not reach themselves are dropped by squaring the
     reachability relation. Paths then grow from the least node of a cycle only, until none is left; a path
     repeats no node, so the nodes bound the rounds.
     """
     edges = cut(edges.where("waiter <> holder").distinct())
-    if _single(edges):
-        return single_cycles(edges)
-    edges = trimmed(edges)
-    if _single(edges):
-        return single_cycles(edges)
+    n, most = _waits(edges)
+    if most > 1:
+        edges = trimmed(edges)
+        n, most = _waits(edges)
+    if most <= 1:
+        return single_cycles(edges, n)
     reach, n = edges, edges.count()
     while n:
         hop = reach.alias("p").join(reach.alias("q"), F.col("p.holder") == F.col("q.waiter")).select("p.waiter", "q.holder")
@@ -263,40 +264,54 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.select(rotated(F.col("path")).alias("cycle")).distinct()
 
 
-def _single(edges: DataFrame) -> bool:
-    return edges.groupBy("waiter").count().where("count > 1").isEmpty()
+def _waits(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and the most of one waiter."""
+    n, most = edges.groupBy("waiter").count().agg(F.sum("count"), F.max("count")).first()
+    return n or 0, most or 0
 
 
-#: Doublings of the steps between two cuts.
-DOUBLINGS = 3
+#: Up to so many vehicles a round broadcasts their rows (3 MB, less than Spark broadcasts unasked) instead of dealing them; rows of a task.
+FEW, TASK_ROWS = 100_000, 25_000
+#: By what a round multiplies the steps: where rows are broadcast, and where they are dealt.
+LEGS, DEALT_LEGS = 8, 4
 
 
-def single_cycles(edges: DataFrame) -> DataFrame:
-    """``cycles`` where no waiter has two holders.
+def single_cycles(edges: DataFrame, n: int) -> DataFrame:
+    """``cycles`` where no waiter has two holders; ``edges`` has ``n`` rows.
 
     A row per vehicle holds where ``steps`` waits lead, and the least vehicle met on the way with its distance.
-    Steps double, and of the vehicles only those are kept where such a walk ends, which all on a cycle are: the
-    others fall away, soon most of them. Once there are no more vehicles than steps, a walk that ends at a vehicle
-    left has gone round, so what is left is on a cycle and has met the whole of it.
+    A round puts some such walks end to end, and of the vehicles only those are kept where such a walk ends, which
+    all on a cycle are: the others fall away, soon most of them. Once there are no more vehicles than steps, a walk
+    that ends at a vehicle left has gone round, so what is left is on a cycle and has met the whole of it. Each leg
+    meets the same rows, which Spark deals or broadcasts once a round.
     """
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if n <= FEW else rows
+
+    def ended(rows: DataFrame) -> DataFrame:
+        return rows.join(side(rows.select(F.col("holder").alias("waiter"))), "waiter", "left_semi")
+
     at, steps = edges.select("waiter", "holder", F.col("waiter").alias("low"), F.lit(0).cast("long").alias("d")), 1
-    while at.count() > steps:
-        for _ in range(DOUBLINGS):
+    while n > steps:
+        legs, far = LEGS if n <= FEW else DEALT_LEGS, at
+        for k in range(1, legs):
             # who waits for nobody ends a walk; whoever leads there is on no cycle
-            least = F.least(F.struct("p.low", "p.d"), F.struct(F.col("q.low"), (F.col("q.d") + steps).alias("d")))
-            met = at.alias("p").join(at.alias("q"), F.col("p.holder") == F.col("q.waiter"))
-            at = met.select("p.waiter", "q.holder", least.alias("m")).select("waiter", "holder", F.col("m.low").alias("low"), F.col("m.d").alias("d"))
-            steps *= 2
-        at = cut(at.join(at.select(F.col("holder").alias("waiter")), "waiter", "left_semi"))
-    on = at.join(at.select(F.col("holder").alias("waiter")), "waiter", "left_semi")
+            least = F.least(F.struct("p.low", "p.d"), F.struct(F.col("q.low"), (F.col("q.d") + k * steps).alias("d")))
+            met = far.alias("p").join(side(at).alias("q"), F.col("p.holder") == F.col("q.waiter"))
+            far = met.select("p.waiter", "q.holder", least.alias("m")).select("waiter", "holder", F.col("m.low").alias("low"), F.col("m.d").alias("d"))
+        at = cut(ended(far).coalesce(-(-n // TASK_ROWS)))
+        n, steps = at.count(), steps * legs
     members = F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "waiter")))
     rest = F.transform(F.filter(members, lambda x: x["d"] < 0), lambda x: x["waiter"])
-    return on.groupBy("low").agg(F.concat(F.array("low"), rest).alias("cycle")).select("cycle")
+    return ended(at).groupBy("low").agg(F.concat(F.array("low"), rest).alias("cycle")).select("cycle")
 
 
-def victim(cycle: Column, priority: Column) -> Column:
-    """Of a cycle the vehicle of least priority, then least id; ``priority`` is a map by vehicle."""
-    return F.array_min(F.transform(cycle, lambda v: F.struct(F.coalesce(priority[v], F.lit(0)).alias("p"), v.alias("v"))))["v"]
+def victim(cycle: Column, priority: Column | Callable[[Column], Column]) -> Column:
+    """Of a cycle the vehicle of least priority, then least id; ``priority`` is a map by vehicle, or a function of the
+    vehicle. A map that is made from the cycle would be made again for each of its vehicles."""
+    of = (lambda v: F.coalesce(priority[v], F.lit(0))) if isinstance(priority, Column) else priority
+    return F.array_min(F.transform(cycle, lambda v: F.struct(of(v).alias("p"), v.alias("v"))))["v"]
 
 
 def routes(spark, congestion: DataFrame | None = None) -> DataFrame:

@@ -156,6 +156,44 @@ def test_victims_of_single_waits(spark, monkeypatch):
     assert got == {c: min(c, key=lambda v: (v % 5, v)) for c in want} and want and len(calls) <= 4
 
 
+@pytest.mark.parametrize("few", [0, 700])
+def test_single_waits_dealt_or_broadcast(spark, monkeypatch, few):
+    """Rounds that deal their rows, and a change to rounds that broadcast them, find what a walk finds."""
+    monkeypatch.setattr(traffic, "FEW", few)
+    to, want = walks(3000, 4)
+    to |= {5000 + i: 5000 + (i + 1) % 150 for i in range(150)}
+    got = traffic.cycles(spark.createDataFrame(list(to.items()), "waiter long, holder long")).collect()
+    assert sorted(tuple(r.cycle) for r in got) == sorted([*want, tuple(range(5000, 5150))])
+
+
+def test_single_waits_take_few_tasks(spark):
+    """Where Spark joins no small partitions, a round does not run all of them for every doubling."""
+    to, want = walks(3000, 2)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "")
+        got = traffic.cycles(spark.createDataFrame(list(to.items()), "waiter long, holder long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)
+    assert sorted(tuple(r.cycle) for r in got) == sorted(want) and 0 < tasks <= 500, tasks
+
+
+def test_victim_makes_no_map_per_vehicle(spark):
+    """A map that the query makes from a cycle would be made again for each of its vehicles."""
+    from rillway.plans import registry
+
+    plan = registry.QUERIES["deadlock_victim"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "array_min" in plan
+
+
 def test_routes(spark):
     r = {(x.start, x.goal): (x.path, x.cost) for x in traffic.routes(spark).collect()}
     assert r["A", "F"] == ("A>B>C>F", 760.0) and r["A", "A"] == ("A", 0.0) and len(r) == 36
