@@ -5,8 +5,8 @@ batch added. A batch is combined within itself, written as the next run, and mer
 earlier run bucket by bucket; of history only what a batch meets again is shuffled. Fingerprints met again are
 compared: equal contexts under equal fingerprints (128 bits together) are repeats throughout, others are
 verified against the documents, word by word on 64-bit hashes of the words. When a level holds ``fan_in`` runs
-they are compacted into one run of the next level. ``dedup`` compacts before its last batch and adds that to the
-index as it is opened again from its folder, as a later load would.
+they are compacted into one run of the next level before a batch is added. ``dedup`` adds its last batch, before
+which a level is full, to the index as it is opened again from its folder, as a later load would.
 """
 
 from __future__ import annotations
@@ -88,7 +88,11 @@ class FingerprintIndex:
         remove(self.spark, f"{self.root}/{run}")
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Adds documents (doc, text) later than all before. Gives (ranges to cut, stretches to verify)."""
+        """Adds documents (doc, text) later than all before. Gives (ranges to cut, stretches to verify).
+
+        Full levels are merged before, not after: the runs of the last batch of a load wait for the next load.
+        """
+        self.compact()
         rows = rp.anchors(batch, rp.word_units, self.width, self.gram).repartition(self.buckets, "fp")
         new = self._rows(run := self._write(rows))
         every = [t.where("kind = 1") for t in (new, *(self._rows(r) for _, r in self.runs))]
@@ -101,7 +105,6 @@ class FingerprintIndex:
         found = settle(rp.classes(sorted_, self.width))
         self.runs.append((0, run))
         whole = settle(new.where("kind = 0").select("doc", "lo", "n"))
-        self.compact()
         self._commit()
         return found.where("kind = 0").select("doc", "lo", "n").unionByName(whole), found.where("kind = 2").select("fp", "doc", "lo", "n", "off")
 
