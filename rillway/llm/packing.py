@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,75 +33,111 @@ def cut(total: int, window: int) -> list[tuple[int, int]]:
     return [(s, min(window, total - s)) for s in range(0, total, window)]
 
 
-#: A word of plain letters with ASCII marks after it: lower-casing and NFC leave such letters one to one,
-#: and the vocabulary's splitting pattern cuts exactly between letters and marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Byte-level vocabularies write the bytes outside the printable ranges as characters from 256 on.
-_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
+#: Classes of bytes. Letters are A-Z, a-z, À-Ö, Ø-ö and ø-ÿ, marks ASCII ones but the apostrophe: lower-casing and
+#: NFC leave a run of either as it is but for case, and the vocabulary's splitting pattern cuts exactly between them.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[i for i in range(33, 127) if not chr(i).isalnum()]] = _MARK
+_CLASS[[i for i in range(128) if chr(i).isalpha()]] = _LETTER
+_CLASS[ord("'")] = _OTHER
+_CLASS[tb.SPACE] = _SPACE
+_LATIN = 0xC3  # leads U+00C0 to U+00FF, of which the capitals lie 32 before the small letters
+_CLASS[_LATIN] = _LETTER
+#: Plain spans that are tokenised as one line.
+LINE = 128
 
 
-class WordIds(dict):
-    """Little-endian ids of words (UTF-8 keys), filled on demand and emptied beyond CACHE entries."""
+class SpanIds(dict):
+    """Little-endian ids of spans (UTF-8 keys), learnt a chunk at a time and emptied beyond CACHE entries."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {"": b""}
-
-    def _part(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))
-            got = self.parts[text] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return got
-
-    def __missing__(self, key: bytes) -> bytes:
-        if len(self) >= CACHE:
+        self.tokenizer, self.classes = tokenizer, _CLASS.copy()
+        for token in tokenizer.get_added_tokens_decoder().values():  # told from the text around them by the tokenizer alone
+            for letter in (token.content[:1].lower(), token.content[:1].upper()):
+                self.classes[list(letter.encode()[:1])] = _OTHER
+
+    def spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, whether plain) of the spans of all words in turn.
+
+        Spans are runs of letters, made small, and runs of marks, plain if at most LONG bytes; a word with any other
+        byte is one span, as it is.
+        """
+        kind, data = self.classes[data], data.copy()
+        tail = np.flatnonzero(data[:-1] == _LATIN) + 1
+        of = data[tail]
+        tail = tail[(of >= 0x80) & (of <= 0xBF) & (of != 0x97) & (of != 0xB7) & (kind[tail - 1] == _LETTER)]
+        kind[tail] = _LETTER
+        starts, ends = tb.runs(kind != _SPACE, offs)
+        if len(starts):
+            odd = np.maximum.reduceat(kind, starts) == _OTHER
+            at, size = starts[odd], (ends - starts)[odd]
+            kind[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())] = _OTHER
+        tail = tail[(data[tail] <= 0x9E) & (kind[tail] == _LETTER)]
+        data[tail] += 32
+        data[(data >= 65) & (data <= 90) & (kind == _LETTER)] += 32
+        edge = np.zeros(len(data) + 1, bool)  # a span may begin or has ended here
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[offs] = True
+        starts = np.flatnonzero(edge[:-1] & (kind != _SPACE))
+        ends = np.flatnonzero(edge[1:] & (kind != _SPACE)) + 1
+        return data, starts, ends, (kind[starts] != _OTHER) & (ends - starts <= tb.LONG)
+
+    def of(self, keys: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of each of some distinct keys. New plain ones are tokenised by lines of many, each a word of its line."""
+        got = list(map(self.get, keys))
+        new = [i for i, e in enumerate(got) if e is None]
+        if len(self) + len(new) > CACHE:
             self.clear()
-            self.parts = {"": b""}
-        word = key.decode()
-        if plain := _PLAIN.fullmatch(word):
-            got = self._part(plain[1].lower()) + self._part(plain[2])
-        else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[key] = got
+            self.update((k, e) for k, e in zip(keys, got, strict=True) if e is not None)
+        alone, many = [i for i in new if not plain[i]], [i for i in new if plain[i]]
+        lines = [many[i : i + LINE] for i in range(0, len(many), LINE)]
+        for i in range(0, len(lines), 16):
+            texts = [b" ".join([keys[k] for k in line]).decode() for line in lines[i : i + 16]]
+            for line, told in zip(lines[i : i + 16], self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                ids, word = np.array(told.ids, "<u4").tobytes(), np.array(told.word_ids)
+                cuts = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(ids)]
+                if len(cuts) == len(line) + 1:
+                    for k, (a, b) in zip(line, pairwise(cuts), strict=True):
+                        got[k] = ids[a:b]
+                else:  # a vocabulary that cuts or drops some of them
+                    alone += line
+        for k in alone:
+            got[k] = np.array(self.tokenizer.encode(keys[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.update((keys[k], got[k]) for k in new)
         return got
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, SpanIds] = {}
 
 
-def word_ids(tokenizer: str) -> WordIds:
+def word_ids(tokenizer: str) -> SpanIds:
     """One table per worker process and vocabulary."""
     if tokenizer not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[tokenizer] = WordIds(Tokenizer.from_file(tokenizer))
+        _LOADED[tokenizer] = SpanIds(Tokenizer.from_file(tokenizer))
     return _LOADED[tokenizer]
 
 
-def token_ids(known: WordIds, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(known: SpanIds, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): each text's ids with the end id after them.
 
-    The vocabulary drops white space, so the ids of a text are those of its words in turn; each distinct
-    word of the chunk is looked up once.
+    The vocabulary drops white space, so the ids of a text are those of its words in turn, and those of a word
+    are those of its spans; each distinct span of the chunk is looked up once.
     """
-    starts, ends, first = tb.words(data, offs)
-    owner = tb.owner(first)
+    data, starts, ends, plain = known.spans(data, offs)
     at, which = tb.distinct_spans(data, starts, ends)
     raw = data.tobytes()
-    entries = [known[raw[a:b]] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    entries = known.of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], plain[at].tolist())
     flat = np.frombuffer(b"".join(entries), "<u4")
     length = np.array([len(e) for e in entries], np.int64) // 4
     begin = np.cumsum(length) - length
-    per_word = length[which]
-    run = np.cumsum(per_word)
-    total = int(run[-1]) if len(run) else 0
-    place = np.arange(total)
-    out = np.full(total + len(offs) - 1, END_ID, "<u4")
-    out[place + np.repeat(owner, per_word)] = flat[place + np.repeat(begin[which] - (run - per_word), per_word)]
-    bounds = np.concatenate([[0], run])[first] + np.arange(len(offs))
-    return out, bounds
+    per_span = length[which]
+    run = np.concatenate([[0], np.cumsum(per_span)])
+    ids = flat[np.arange(run[-1]) + np.repeat(begin[which] - run[:-1], per_span)]
+    cuts = run[np.searchsorted(starts, offs, "left")]
+    return np.insert(ids, cuts[1:], END_ID), cuts + np.arange(len(offs))
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -508,6 +508,32 @@ def test_pieces_and_packing(spark, docs, empty):
     assert len(packing.pack_documents(frame(spark, ["a"] * 4, [1, 1, None, None]), path).collect()) == 4
 
 
+def test_spans_share_ids(monkeypatch):
+    """Words with the same letters are looked up once, whatever their case and marks, and nothing else is cut."""
+    known = packing.word_ids(packing.tokenizer_path())
+    known.clear()
+
+    def ids(texts):
+        data, offs = tb.column_bytes(pa.array(texts))
+        got, bounds = packing.token_ids(known, data, offs)
+        return [got[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def told(texts):
+        return [[*known.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+    texts = ["Élan, élan. (ÉLAN! élan", "", "don't <|endoftext|> a<|startoftext|>b 2x3 Á× é÷é e\u0301"]
+    assert ids(texts) == told(texts)
+    assert set(known) == {x.encode() for x in ["élan", ",", ".", "(", "!", "don't", "<|endoftext|>", "a<|startoftext|>b", "2x3", "Á×", "é÷é", "e\u0301"]}
+    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "LINE", 3)
+    r = random.Random(5)
+    bits = [*"aBéÉ×÷ÿßÞþªµº!<_`~1½²Σςİ=я中한\U0001f600\x00\x1c\x7f’—#$&\u0338\u200b\xa0", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "|>", "</w>", "x" * 300, "Ö" * 200]
+    for _ in range(40):
+        texts = ["".join(r.choice(bits) + r.choice(["", "", "", " ", "\n", "\x0b\r"]) for _ in range(r.randint(0, 30))) for _ in range(25)]
+        assert ids(texts) == told(texts)
+    assert ids([""]) == [[1]] and ids(["", " \n"]) == [[1], [1]]
+
+
 def test_best_fit_equals_scan():
     r = random.Random(8)
     for _ in range(50):
